@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import exact_dedup, langid, mixing, packing, topk
+from skeinlog.llm import exact_dedup, langid, mixing, packing, secrets, sharding, topk
+from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -42,6 +43,33 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shard that holds it in the newest version, read back through the manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.shard_documents(docs, new_path(spark, "shards"))
+    shards, _ = store.manifest()
+    # file names and sizes, one row per shard of about the target size
+    files = spark.createDataFrame(
+        [(s.file, i, s.bytes, s.merges) for i, s in enumerate(shards)],
+        "shard_file string, shard_id int, shard_bytes long, merges int",
+    )
+    rows = store.read().select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard_file")
+    return rows.join(files, "shard_file").withColumn("version", F.lit(store.version()))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -55,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_source_mixing": op2_source_mixing,
         "op3_language_id": op3_language_id,
+        "op5_shard_compaction": op5_shard_compaction,
+        "op6_secret_scan": op6_secret_scan,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_exact_dedup": op9_exact_dedup,
     }
