@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import exact_dedup, langid, mixing, packing, secrets, sharding, topk
+from skeinlog.llm import exact_dedup, langid, mixing, ngram_join, packing, secrets, sharding, topk
 from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
@@ -78,6 +78,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": op6_secret_scan,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
