@@ -6,9 +6,10 @@ and positional filters, and each pair is verified once on its whole sets, after
 
 Groups are linked without forming all of their pairs. Equal sets are one node from the start. In the sorted list
 of a prefix n-gram, each entry is first paired with the list's first entry of fitting length and with its
-predecessor only. Verified links give components; lists that still hold several components are paired again by one
-representative each, until nothing merges. What then remains are the pairs between different components, and all
-of these are formed and verified, so no link that could join two components is lost. Very frequent n-grams are
+predecessor only. Verified links give components. Lists that still hold several components are put in a new, hashed
+order, and entries of different components a few places apart are paired, twice with a growing reach, so that sparse
+groups merge at a cost in proportion to their size. What then remains are the pairs between different components,
+and all of these are formed and verified, so no link that could join two components is lost. Very frequent n-grams are
 dealt over several tasks by a salt.
 
 Defined results: a null text or one without words has an empty set and links with nothing; fewer than ``n`` words
@@ -37,6 +38,8 @@ PERCENT = 75
 FREQUENT, LEAST_FREQUENT = 4, 64
 SALT_ROWS = 50_000
 BROADCAST_IDS = 500_000
+#: Places apart in a list that the rounds before the last look at: 8, then 32.
+FIRST_WIDTH, LAST_WIDTH = 8, 32
 _SUFFIX_BUCKETS = 32
 
 
@@ -201,6 +204,40 @@ def _stream(percent: int, keep_lists: bool):
     return run
 
 
+def _neighbours(percent: int, width: int):
+    """Over entries sorted by (h, order): pairs of entries of different components that stand at most ``width``
+    places apart in one list. Holds one batch and ``width`` entries."""
+    names = ("h", "comp", "sid", "n", "pos")
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            fresh = 0 if kept is None else len(kept[0])  # pairs among the kept entries were formed before
+            if kept is not None:
+                columns = [np.concatenate([k, c]) for k, c in zip(kept, columns, strict=True)]
+            h, comp, sid, n, pos = columns
+            found = []
+            for d in range(1, min(width, len(h) - 1) + 1):
+                lo = max(0, fresh - d)
+                i, j = slice(lo, len(h) - d), slice(lo + d, len(h))
+                ok = (h[i] == h[j]) & (comp[i] != comp[j])
+                if ok.any():
+                    x, y = np.flatnonzero(ok) + lo, np.flatnonzero(ok) + lo + d
+                    x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
+                    fine = _fits(n[x], pos[x], n[y], pos[y], percent)
+                    found.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])], 1)[fine])
+            kept = [c[-width:] for c in columns]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 _CANDIDATES = "a long, b long, h long, n int, pos int"
 
 
@@ -297,6 +334,7 @@ class _Join:
         lists = found.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos").dropDuplicates(["h", "sid"])
         done = write_table(found.where("h is null").select("a", "b").distinct(), "ngram-pairs")
         links = self.verify(done)
+        width = FIRST_WIDTH
         while True:
             labels = components(links)
             placed = lists.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left")
@@ -305,13 +343,15 @@ class _Join:
             mixed = write_table(mixed, "ngram-mixed")
             rows = write_table(placed.join(mixed, "h", "left_semi"), "ngram-open")
             drop_table(placed)
-            heads = rows.groupBy("h", "comp").agg(F.min(F.struct("n", "sid", "pos")).alias("m"))
-            heads = heads.select("h", F.lit(0).alias("salt"), F.col("m.sid").alias("sid"), F.col("m.n").alias("n"), F.col("m.pos").alias("pos"))
-            ordered = heads.repartition(partitions, "h").sortWithinPartitions("h", "salt", "n", "sid")
-            fresh = ordered.mapInArrow(_stream(percent, False), _CANDIDATES).select("a", "b").distinct()
+            if width > LAST_WIDTH:
+                break
+            shuffled = rows.withColumn("order", F.xxhash64("sid", F.lit(width)))
+            ordered = shuffled.repartition(partitions, "h").sortWithinPartitions("h", "order")
+            fresh = ordered.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
             fresh = write_table(fresh.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
             more = self.verify(fresh)
             done = done.unionByName(fresh)
+            width *= 4
             if more.isEmpty():
                 break
             links = links.unionByName(more)
