@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlog.llm import _sketch, _words
@@ -142,10 +142,10 @@ def _postings(n: int, counts, frequent: int, percent: int):
     return run
 
 
-def _fits(n1, p1, n2, p2, percent: int):
-    """Length and positional filter of entries at places p1, p2 in sets of sizes n1 <= n2: what both have before
-    the shared n-gram, itself, and what is left of the shorter rest bound the intersection."""
-    bound = np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)
+def _fits(n1, p1, n2, p2, percent: int, before=None):
+    """Length and positional filter of entries at places p1, p2 in sets of sizes n1 <= n2: what both can share before
+    the n-gram (``before``, else the smaller place), itself, and the shorter rest bound the intersection."""
+    bound = (np.minimum(p1, p2) if before is None else before) + np.minimum(n1 - p1, n2 - p2)
     return (100 * n1 >= percent * n2) & (bound >= least_overlap(n1, n2, percent))
 
 
@@ -207,7 +207,7 @@ def _stream(percent: int, keep_lists: bool):
 def _neighbours(percent: int, width: int):
     """Over entries sorted by (h, order): pairs of entries of different components that stand at most ``width``
     places apart in one list. Holds one batch and ``width`` entries."""
-    names = ("h", "comp", "sid", "n", "pos")
+    names = ("h", "comp", "sid", "n", "pos", "before")
 
     def run(batches):
         kept = None
@@ -218,7 +218,7 @@ def _neighbours(percent: int, width: int):
             fresh = 0 if kept is None else len(kept[0])  # pairs among the kept entries were formed before
             if kept is not None:
                 columns = [np.concatenate([k, c]) for k, c in zip(kept, columns, strict=True)]
-            h, comp, sid, n, pos = columns
+            h, comp, sid, n, pos, before = columns
             found = []
             for d in range(1, min(width, len(h) - 1) + 1):
                 lo = max(0, fresh - d)
@@ -227,7 +227,7 @@ def _neighbours(percent: int, width: int):
                 if ok.any():
                     x, y = np.flatnonzero(ok) + lo, np.flatnonzero(ok) + lo + d
                     x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
-                    fine = _fits(n[x], pos[x], n[y], pos[y], percent)
+                    fine = _fits(n[x], pos[x], n[y], pos[y], percent, np.minimum(before[x], before[y]))
                     found.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])], 1)[fine])
             kept = [c[-width:] for c in columns]
             if found:
@@ -341,7 +341,9 @@ class _Join:
             placed = write_table(placed.select("h", F.coalesce("component", "sid").alias("comp"), "sid", "n", "pos"), "ngram-placed")
             mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
             mixed = write_table(mixed, "ngram-mixed")
-            rows = write_table(placed.join(mixed, "h", "left_semi"), "ngram-open")
+            # an n-gram that two sets of different components share before this place is in such a list as well
+            earlier = F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1
+            rows = write_table(placed.join(mixed, "h", "left_semi").withColumn("before", earlier), "ngram-open")
             drop_table(placed)
             if width > LAST_WIDTH:
                 break
@@ -358,7 +360,7 @@ class _Join:
         # what is left: pairs of different components that share a prefix n-gram
         x, y = rows.alias("x"), rows.alias("y")
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        bound = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+        bound = F.least("x.before", "y.before") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         rest = x.join(
             y,
             (F.col("x.h") == F.col("y.h"))
