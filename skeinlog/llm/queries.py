@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import exact_dedup, langid, mixing, ngram_join, packing, secrets, sharding, topk
+from skeinlog.llm import exact_dedup, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
 from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
@@ -43,6 +43,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the shard that holds it in the newest version, read back through the manifest."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_source_mixing": op2_source_mixing,
         "op3_language_id": op3_language_id,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_shard_compaction": op5_shard_compaction,
         "op6_secret_scan": op6_secret_scan,
         "op8_exact_top_k": op8_exact_top_k,
@@ -129,6 +135,22 @@ SELECT doc_id, size, source_size, target, CAST(full_copies * size + cut_words AS
 FROM copies
 """
 
+_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, words[i] AS word,
+        CASE WHEN i + 19 <= len(words) THEN md5(array_to_string(words[i:i + 19], ' ')) END AS content
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+f AS (SELECT doc_id, i, word,
+        content IS NOT NULL AND row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1 AS later FROM w),
+c AS (SELECT doc_id, i, word,
+        bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed,
+        coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
 _OP8 = r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e
@@ -150,4 +172,4 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": _OP2, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
+    return {"op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
