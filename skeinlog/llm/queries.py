@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import exact_dedup, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
+from skeinlog.llm import exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
 from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
@@ -75,6 +75,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id() % 7 == 2)
+    model = katz.KatzModel(docs.where(~F.col("held_out")))
+    return model.score(docs, keep=["doc_id", "held_out"])
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_shard_compaction": op5_shard_compaction,
         "op6_secret_scan": op6_secret_scan,
+        "op7_katz_scoring": op7_katz_scoring,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
