@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -163,7 +164,8 @@ class ShardStore:
                 batch = groups[at : at + GROUPS_PER_JOB]
                 parts = [self.spark.read.schema(schema).parquet(*[f"{self.path}/{s.file}" for s in g]).coalesce(1) for g in batch]
                 name = f"data/{base + 1:08d}-{uuid.uuid4().hex}"
-                reduce(DataFrame.union, parts).write.parquet(f"{self.path}/{name}")
+                with self._separate_unions():
+                    reduce(DataFrame.union, parts).write.parquet(f"{self.path}/{name}")
                 # part files are numbered by partition, and partition i is group i
                 for file, size in self._list(name):
                     g = batch[int(file.split("-")[1])]
@@ -171,6 +173,17 @@ class ShardStore:
             gone = {s.file for g in groups for s in g}
             self._commit(base, [s for s in shards if s.file not in gone] + new, schema)
 
+    @contextmanager
+    def _separate_unions(self):
+        """A union of one-partition inputs keeps one partition for each (else Spark makes them one)."""
+        name = "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def vacuum(self) -> int:
         """Delete data files that the newest manifest doesn't name, and older manifests; returns how many files went."""
         version = self.version()
