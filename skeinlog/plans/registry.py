@@ -1,11 +1,489 @@
-"""Registered queries over the driver tables and their SQL."""
+"""Registered queries: the operators applied to whole driver tables, each with the same query in SQL.
+
+The driver tables stand in for transcripts: a conversation or a user is a session, an event type is a tool, the event type
+``error`` is a failure, and the key in ``props`` is a file.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skeinlog.functions import text as X
+from skeinlog.operators import dedup, messages, sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("msg_idx"), "role", F.col("role").alias("raw_type"),
+        F.col("text").alias("text_content"), F.array().cast("array<string>").alias("tool_names"),
+    )
+
+
+# --- messages ---
+
+_PREPARED = """prepared AS (
+  SELECT * FROM (
+    SELECT conv_id AS session_id, role, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE coalesce(text, '') END AS text,
+      CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS original_index
+    FROM conversations WHERE role IN ('user', 'assistant')) WHERE length(text) > 0)"""
+
+
+@query("""SELECT conv_id, turn, role, CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'unknown' END AS normalized FROM conversations""")
+def role_normalise(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select("conv_id", "turn", "role", messages.role_of(F.col("role"), F.lit(None).cast("string")).alias("normalized"))
+
+
+@query("""SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')""")
+def conversation_filter(spark, d):
+    out = messages.conversation_only(conversation_messages(spark, d))
+    return out.select(F.col("session_id").alias("conv_id"), F.col("msg_idx").alias("turn"), "role")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS cut FROM conversations""")
+def truncate_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.truncate(F.col("text"), 500).alias("cut"))
+
+
+@query(f"""WITH {_PREPARED} SELECT session_id, role, text, original_index FROM prepared""")
+def prepared_messages(spark, d):
+    return messages.prepare(conversation_messages(spark, d)).select("session_id", "role", "text", "original_index")
+
+
+@query(f"""WITH {_PREPARED},
+counts AS (SELECT conv_id AS session_id, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS user_messages,
+  CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS assistant_messages FROM conversations GROUP BY conv_id),
+flagged AS (SELECT session_id, text, CASE WHEN role = 'user' AND lag(role) OVER (PARTITION BY session_id ORDER BY original_index) = 'assistant' THEN 1 ELSE 0 END AS s FROM prepared),
+sized AS (SELECT session_id, CAST(sum(s) + 1 AS BIGINT) AS exchanges, CAST(ceil((3000 + sum(length(text) + 20)) / 4) AS BIGINT) AS token_estimate FROM flagged GROUP BY session_id)
+SELECT c.session_id, user_messages, assistant_messages, exchanges, token_estimate, user_messages >= 2 AS analyzable
+FROM counts c LEFT JOIN sized USING (session_id)""")
+def session_summary(spark, d):
+    m = conversation_messages(spark, d)
+    counts = m.groupBy("session_id").agg(
+        F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.col("role") == "assistant").alias("assistant_messages")
+    )
+    prepared = messages.prepare(m)
+    sized = messages.exchanges(prepared).groupBy("session_id").agg((F.max("exchange") + 1).cast("long").alias("exchanges"))
+    tokens = messages.token_estimate(prepared)
+    out = counts.join(sized, "session_id", "left").join(tokens, "session_id", "left")
+    return out.withColumn("analyzable", F.col("user_messages") >= sessions.MIN_USER_MESSAGES)
+
+
+@query("""SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
+  CAST(floor(date_sub('millisecond', min(ts), max(ts)) / 60000 + 0.5) AS INTEGER) AS duration_minutes FROM events GROUP BY user_id""")
+def session_time_span(spark, d):
+    first, last = F.min("ts"), F.max("ts")
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), first.alias("first_ts"), last.alias("last_ts"), sessions.duration_minutes(first, last).alias("duration_minutes")
+    )
+
+
+@query(f"""WITH {_PREPARED},
+f AS (SELECT *, CASE WHEN role = 'user' AND lag(role) OVER (PARTITION BY session_id ORDER BY original_index) = 'assistant' THEN 1 ELSE 0 END AS s FROM prepared)
+SELECT session_id, original_index, role, CAST(sum(s) OVER (PARTITION BY session_id ORDER BY original_index) AS INTEGER) AS exchange FROM f""")
+def exchange_sessionise(spark, d):
+    return messages.exchanges(messages.prepare(conversation_messages(spark, d))).select("session_id", "original_index", "role", "exchange")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS exchange FROM events),
+r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, md5(CAST(event_id AS VARCHAR)) AS k FROM e),
+p AS (SELECT *, CASE WHEN n <= 15 THEN 'all' WHEN exchange < 5 THEN 'head' WHEN exchange >= n - 5 THEN 'tail' ELSE 'middle' END AS part FROM r),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY k, exchange) AS rk FROM p)
+SELECT user_id, exchange, part FROM q WHERE part <> 'middle' OR rk <= 5""")
+def exchange_sample_head_tail(spark, d):
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = table(spark, d, "events").select("user_id", "event_id", order.alias("exchange"))
+    keys = e.select("user_id", "exchange", F.md5(F.col("event_id").cast("string").cast("binary")).alias("k"))
+    per = Window.partitionBy("user_id")
+    ranked = keys.withColumn("n", F.count(F.lit(1)).over(per))
+    part = F.when(F.col("n") <= 15, "all").when(F.col("exchange") < 5, "head").when(F.col("exchange") >= F.col("n") - 5, "tail").otherwise("middle")
+    ranked = ranked.withColumn("part", part)
+    rk = F.row_number().over(Window.partitionBy("user_id", "part").orderBy("k", "exchange"))
+    return ranked.withColumn("rk", rk).where((F.col("part") != "middle") | (F.col("rk") <= 5)).select("user_id", "exchange", "part")
+
+
+@query(f"""WITH {_PREPARED} SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY original_index) AS rendered FROM prepared GROUP BY session_id""")
+def render_conversation(spark, d):
+    return messages.render(messages.prepare(conversation_messages(spark, d)))
+
+
+@query(f"""WITH {_PREPARED} SELECT session_id, CAST(ceil((3000 + sum(length(text) + 20)) / 4) AS BIGINT) AS token_estimate FROM prepared GROUP BY session_id""")
+def token_estimate(spark, d):
+    return messages.token_estimate(messages.prepare(conversation_messages(spark, d)))
+
+
+@query("""WITH c AS (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS u FROM conversations GROUP BY conv_id)
+SELECT count(*) AS sessions, CAST(ceil((sum(10 + least(u, 300) * 0.12) + greatest(0, count(*) - 1)) / 60) AS BIGINT) AS eta_minutes FROM c""")
+def eta_estimate(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("user_message_count"))
+    return sessions.eta_minutes(c)
+
+
+@query("""WITH h AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id)
+SELECT DISTINCT c.conv_id, bool_or((role = 'user' AND (contains(lower(text), 'the') AND contains(lower(text), 'run')))) AS own
+FROM conversations c WHERE turn < 5 GROUP BY c.conv_id""")
+def own_session_detection(spark, d):
+    """Whether one of the first five messages is a user's with the product name and a command word."""
+    low = F.lower("text")
+    hit = (F.col("role") == "user") & low.contains("the") & low.contains("run")
+    return table(spark, d, "conversations").where("turn < 5").groupBy("conv_id").agg(F.bool_or(hit).alias("own"))
+
+
+# --- tool usage and access ---
+
+
+@query("""SELECT user_id, event_type, count(*) AS calls, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM events GROUP BY user_id, event_type""")
+def tool_usage(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("value") > 100).alias("failures"))
+
+
+@query("""SELECT user_id, count(*) AS calls, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END), 0), 0.0)::DOUBLE AS failure_rate
+FROM events GROUP BY user_id""")
+def tool_failure_rate(spark, d):
+    rate = F.try_divide(F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type").isin("error", "click")))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(rate, F.lit(0.0)).alias("failure_rate"))
+
+
+@query("""WITH k AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS file FROM events),
+c AS (SELECT user_id, file, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS reads, CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) AS BIGINT) AS writes FROM k WHERE coalesce(file, '') <> '' GROUP BY user_id, file)
+SELECT * FROM c WHERE reads + writes >= 5""")
+def repeated_access(spark, d):
+    k = table(spark, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("file")).where(F.coalesce("file", F.lit("")) != "")
+    c = k.groupBy("user_id", "file").agg(F.count_if(F.col("event_type") == "view").alias("reads"), F.count_if(F.col("event_type") != "view").alias("writes"))
+    return c.where(F.col("reads") + F.col("writes") >= 5)
+
+
+@query("""WITH r AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT user_id, min_by(ts, n) AS first_ts FROM r WHERE n <= 5 AND event_type <> 'error' GROUP BY user_id""")
+def first_ts_lookahead(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    r = table(spark, d, "events").select("user_id", "event_type", "ts", n.alias("n")).where("n <= 5")
+    return r.where(F.col("event_type") != "error").groupBy("user_id").agg(F.min_by("ts", "n").alias("first_ts"))
+
+
+# --- listing, limits, latest ---
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderdate, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
+def limit_per_project(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return sessions.newest_per_group(o, "o_custkey", [F.col("o_orderdate").desc(), F.col("o_orderkey")], 3)
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)""")
+def latest_batch(spark, d):
+    return sessions.latest_batch(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderdate")
+
+
+@query("""SELECT event_id, user_id, ts FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)""")
+def days_filter(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    latest = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("cutoff"))
+    return e.join(F.broadcast(latest), F.col("ts") >= F.col("cutoff")).drop("cutoff")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_name, c_custkey LIMIT 1""")
+def session_prefix_lookup(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return c.where(F.col("c_name").startswith("Customer#00000001")).orderBy("c_name", "c_custkey").limit(1)
+
+
+@query("""SELECT count(DISTINCT o_custkey) AS projects, count(*) AS sessions, CAST(sum(CAST(o_totalprice AS BIGINT) % 100) AS BIGINT) AS minutes FROM orders""")
+def list_totals(spark, d):
+    minutes = F.round("o_totalprice").cast("long") % 100
+    return table(spark, d, "orders").agg(F.count_distinct("o_custkey").alias("projects"), F.count(F.lit(1)).alias("sessions"), F.sum(minutes).alias("minutes"))
+
+
+_SQL["list_totals"] = """SELECT count(DISTINCT o_custkey) AS projects, count(*) AS sessions, CAST(sum(CAST(round(o_totalprice) AS BIGINT) % 100) AS BIGINT) AS minutes FROM orders"""
+
+
+# --- enums, buckets, ranks, statistics ---
+
+
+@query("""SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS category, CASE WHEN n_chars BETWEEN 0 AND 1000 THEN n_chars / 1000.0 ELSE 0.5 END::DOUBLE AS confidence FROM documents""")
+def normalise_enum(spark, d):
+    conf = F.when(F.col("n_chars").between(0, 1000), F.col("n_chars") / 1000.0).otherwise(F.lit(0.5))
+    return table(spark, d, "documents").select("doc_id", X.normalize_enum(F.col("lang"), ["en", "de"], "other").alias("category"), conf.cast("double").alias("confidence"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal >= 8000 THEN 'high' WHEN c_acctbal >= 6000 THEN 'medium' ELSE 'low' END AS bucket FROM customer""")
+def confidence_bucket(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.bucket(F.col("c_acctbal"), 8000, 6000).alias("bucket"))
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY substr(o_orderpriority, 1, 1), o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders""")
+def priority_rank(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.substring("o_orderpriority", 1, 1), F.col("o_totalprice").desc(), "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank"))
+
+
+@query("""SELECT quality, CAST(sum(CASE WHEN toxic >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN toxic < 1 THEN 1 ELSE 0 END) AS BIGINT) AS filtered_out FROM labels GROUP BY quality""")
+def confidence_filter_counts(spark, d):
+    return table(spark, d, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") >= 1).alias("kept"), F.count_if(F.col("toxic") < 1).alias("filtered_out"))
+
+
+@query("""SELECT CAST(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS urgent, CAST(sum(CASE WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END) AS BIGINT) AS high,
+ CAST(sum(CASE WHEN o_orderpriority LIKE '3%' THEN 1 ELSE 0 END) AS BIGINT) AS medium, CAST(sum(CASE WHEN o_orderpriority LIKE '9%' THEN 1 ELSE 0 END) AS BIGINT) AS none_such, count(*) AS total FROM orders""")
+def stats_pivot(spark, d):
+    p = F.substring("o_orderpriority", 1, 1)
+    one = lambda v, n: F.count_if(p == v).alias(n)
+    return table(spark, d, "orders").agg(one("1", "urgent"), one("2", "high"), one("3", "medium"), one("9", "none_such"), F.count(F.lit(1)).alias("total"))
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
+def group_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("""SELECT CAST(sum(CASE WHEN conv_id >= 0 AND u < 2 THEN 1 ELSE 0 END) AS BIGINT) AS skipped_short, CAST(sum(CASE WHEN u >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS analyzable FROM (
+ SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS u FROM conversations GROUP BY conv_id)""")
+def skipped_short_counter(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("u"))
+    return c.agg(F.count_if(F.col("u") < 2).alias("skipped_short"), F.count_if(F.col("u") >= 2).alias("analyzable"))
+
+
+# --- joins ---
+
+
+@query("""SELECT l_orderkey, count(DISTINCT c_custkey) AS customers, count(DISTINCT l_suppkey) AS suppliers,
+ CASE WHEN count(DISTINCT l_suppkey) = 0 THEN 0.6 WHEN count(DISTINCT l_suppkey) >= 3 THEN 0.95 WHEN count(DISTINCT l_suppkey) >= 2 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence
+ FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY l_orderkey""")
+def provenance_lineage(spark, d):
+    l, o, c = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))  # noqa: E741
+    j = l.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    j = j.join(c.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    g = j.groupBy("l_orderkey").agg(F.count_distinct("c_custkey").alias("customers"), F.count_distinct("l_suppkey").alias("suppliers"))
+    n = F.col("suppliers")
+    return g.withColumn("confidence", F.when(n == 0, 0.6).when(n >= 3, 0.95).when(n >= 2, 0.85).otherwise(0.7))
+
+
+@query("""SELECT d.doc_id, (l.doc_id IS NULL OR l.quality <> 1) AS needs_analysis FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def needs_analysis(spark, d):
+    l = table(spark, d, "labels").select(F.col("doc_id").alias("k"), "quality")  # noqa: E741
+    j = table(spark, d, "documents").select("doc_id").join(l, F.col("doc_id") == F.col("k"), "left")
+    return j.select("doc_id", (F.col("k").isNull() | (F.col("quality") != 1)).alias("needs_analysis"))
+
+
+@query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def needs_analysis_anti(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def already_done_semi(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def new_only_anti(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def scope_semi(spark, d):
+    c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left_semi")
+
+
+@query("""SELECT coalesce(d.lang, '?') AS lang, bool_and(l.doc_id IS NOT NULL AND d.n_chars <= 100000) AS valid, count(*) AS n
+FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+def cache_validity(spark, d):
+    a = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    b = table(spark, d, "labels").select(F.col("doc_id").alias("k"))
+    j = a.join(b, F.col("doc_id") == F.col("k"), "full_outer")
+    ok = F.col("k").isNotNull() & (F.col("n_chars") <= 100000)
+    return j.groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.bool_and(ok).alias("valid"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'single' AS source, c_custkey AS id, c_name AS title, c_mktsegment AS category FROM customer UNION ALL SELECT 'cross', s_suppkey, s_name, NULL FROM supplier""")
+def union_payload(spark, d):
+    c = table(spark, d, "customer").select(F.lit("single").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
+    s = table(spark, d, "supplier").select(F.lit("cross").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+@query("""SELECT p_partkey, p_name, n_name, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT p_partkey, p_name, n_name, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN lower(n_name) = lower(p_name) THEN 0 ELSE 1 END, n_nationkey) AS rank
+ FROM part JOIN nation ON substr(lower(p_name), 1, 1) = substr(lower(n_name), 1, 1)) WHERE rank = 1""")
+def target_file_match(spark, d):
+    """Best of several kinds of match: an equal name first, else the first that shares the initial."""
+    initial = lambda c: F.substring(F.lower(c), 1, 1)
+    p, n = table(spark, d, "part").select("p_partkey", "p_name"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    j = p.join(n, initial("p_name") == initial("n_name"))
+    w = Window.partitionBy("p_partkey").orderBy(F.when(F.lower("n_name") == F.lower("p_name"), 0).otherwise(1), "n_nationkey")
+    return j.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("p_partkey", "p_name", "n_name", "rank")
+
+
+# --- similarity, lines, digests ---
+
+_WORDS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand, {_WORDS.format("p_name || ' ' || p_type")} AS w FROM part),
+q AS (SELECT DISTINCT p_brand, list_sort(w) AS w, min(p_partkey) OVER (PARTITION BY p_brand, list_sort(w)) AS k FROM p),
+j AS (SELECT a.p_brand, a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS t FROM q a JOIN q b ON a.p_brand = b.p_brand AND a.k < b.k)
+SELECT p_brand, a, b, (i / (t - i))::DOUBLE AS similarity FROM j WHERE t > i AND i / (t - i) > 0.6""")
+def jaccard_pairs(spark, d):
+    """Pairs of representatives of equal word sets, within a brand, that are similar; a theta join on a small blocking key."""
+    w = F.array_sort(X.title_words(F.concat_ws(" ", "p_name", "p_type")))
+    p = table(spark, d, "part").groupBy("p_brand", w.alias("w")).agg(F.min("p_partkey").alias("k"))
+    a, b = p.select("p_brand", F.col("w").alias("wa"), F.col("k").alias("a")), p.select("p_brand", F.col("w").alias("wb"), F.col("k").alias("b"))
+    s = X.jaccard(F.col("wa"), F.col("wb"))
+    return a.join(b, "p_brand").where("a < b").select("p_brand", "a", "b", s.alias("similarity")).where("similarity > 0.6")
+
+
+@query()
+def greedy_dedup(spark, d):
+    """The order-dependent fold over each brand's parts (a recursive fold; tested against a plain model)."""
+    parts = table(spark, d, "part").select(
+        "p_brand", F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"),
+        F.element_at(F.array(*map(F.lit, dedup.PRIORITIES)), (F.col("p_size") % 3 + 1).cast("int")).alias("priority"),
+        (F.col("p_retailprice") % 1.0).alias("confidence"), F.lit("A.md").alias("target_file"), F.lit(None).cast("string").alias("target_section"),
+        F.array().cast("array<string>").alias("source_insight_ids"), F.lit("").alias("added_text"),
+    )
+    return dedup.dedup_and_rank(parts, ["p_brand"]).select("p_brand", "place", "rank", "id", "title", "priority", "confidence")
+
+
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
+n AS (SELECT doc_id, lower(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l WHERE line <> ''),
+known AS (SELECT DISTINCT lower(regexp_replace(trim(line), '\\s+', ' ', 'g')) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0))
+SELECT n.doc_id, count(*) AS lines, CAST(sum(CASE WHEN k.line IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS present,
+ sum(CASE WHEN k.line IS NOT NULL THEN 1 ELSE 0 END) / count(*) > 0.8 AS already_present FROM n LEFT JOIN known k ON n.line = k.line GROUP BY n.doc_id""")
+def line_presence_ratio(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    norm = F.lower(F.regexp_replace(F.trim("line"), r"\s+", " "))
+    lines = t.select("doc_id", norm.alias("line")).where("line <> ''")
+    known = t.where("doc_id % 2 = 0").select(norm.alias("line"), F.lit(1).alias("hit")).distinct()
+    j = lines.join(known, "line", "left")
+    present = F.count("hit")
+    return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), present.alias("present"), (present / F.count(F.lit(1)) > 0.8).alias("already_present"))
+
+
+@query("""SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '(?m)^#{1,6}\\s+', '', 'g'), '[^a-z0-9À-ɏ\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))) AS INTEGER) AS words FROM documents""")
+def content_word_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.content_words(F.col("text"))).alias("words"))
+
+
+@query("""SELECT doc_id, substr(sha256(source || ':' || CAST(doc_id AS VARCHAR) || ':' || text), 1, 16) AS rule_id, substr(sha256(text), 1, 12) AS prompt_version FROM documents""")
+def hash_id(spark, d):
+    return table(spark, d, "documents").select(
+        "doc_id", X.digest(F.concat_ws(":", "source", F.col("doc_id").cast("string"), "text"), 16).alias("rule_id"), X.digest(F.col("text"), 12).alias("prompt_version")
+    )
+
+
+@query("""SELECT source, substr(sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR)) || '|prompt:v1'), 1, 16) AS cache_key FROM documents GROUP BY source""")
+def cache_key(spark, d):
+    """A digest over each source's sorted ids; the ids alone are gathered."""
+    ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n")
+    return table(spark, d, "documents").groupBy("source").agg(X.digest(F.concat(ids, F.lit("|prompt:v1")), 16).alias("cache_key"))
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) / 15) AS BIGINT) AS batch FROM orders""")
+def batch_chunks(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.ceil(F.row_number().over(w) / 15).alias("batch"))
+
+
+@query("""SELECT p_partkey, regexp_extract_all(regexp_replace('see @docs/' || p_partkey || '.md and `@code/x.md` plus @' || p_brand || '.txt', '`[^`]+`', '', 'g'), '(?:^|\\s)@([\\w./-]+\\.[\\w]+)', 1) AS imports FROM part""")
+def import_extract(spark, d):
+    line = F.concat(F.lit("see @docs/"), F.col("p_partkey").cast("string"), F.lit(".md and `@code/x.md` plus @"), "p_brand", F.lit(".txt"))
+    return table(spark, d, "part").select("p_partkey", X.import_references(line).alias("imports"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, p_type, CASE p_partkey % 4 WHEN 0 THEN '- NEVER use ' WHEN 1 THEN '- `run` ' WHEN 2 THEN '- avoid ' ELSE 'Prefer ' END || p_name AS text FROM part),
+s AS (SELECT *, regexp_replace(text, '^[*-]\\s+', '') AS body FROM r)
+SELECT p_partkey, CASE WHEN regexp_matches(body, '(?i)^(IMPORTANT|CRITICAL|YOU MUST|NEVER)\\b') THEN 'emphatic' WHEN regexp_matches(body, '^`[^`]+`') THEN 'command' WHEN regexp_matches(text, '^[*-]\\s+') THEN 'bullet_point' ELSE 'paragraph' END AS format,
+ CASE WHEN regexp_matches(text, '(?i)\\b(IMPORTANT|NEVER|DO NOT|DON''T|YOU MUST|REQUIRED|CRITICAL)\\b') OR regexp_matches(text, '\\bMUST\\b') THEN 'important' WHEN regexp_matches(text, '(?i)\\bavoid\\b') THEN 'negative' ELSE 'normal' END AS emphasis FROM s""")
+def rule_classify(spark, d):
+    from skeinlog.operators import rules
+
+    k = F.col("p_partkey") % 4
+    text = F.concat(F.when(k == 0, "- NEVER use ").when(k == 1, "- `run` ").when(k == 2, "- avoid ").otherwise("Prefer "), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", rules.format_of(text).alias("format"), rules.emphasis_of(text).alias("emphasis"))
+
+
+@query("""WITH r AS (SELECT p_brand AS file, p_type AS section, p_partkey AS line FROM part)
+SELECT file, section, count(*) AS rules, min(line) AS first_line, max(line) AS last_line FROM r GROUP BY file, section""")
+def section_stats(spark, d):
+    from skeinlog.operators import rules
+
+    r = table(spark, d, "part").select(F.col("p_brand").alias("source_file"), F.col("p_type").alias("section"), F.col("p_partkey").alias("line_start"), F.col("p_partkey").alias("line_end"))
+    return rules.section_report(r).select(F.col("source_file").alias("file"), "section", "rules", "first_line", "last_line")
+
+
+@query()
+def llm_response_parse(spark, d):
+    """Model answers in all their shapes, built from part names: plain, fenced, with a preamble, and none."""
+    body = F.concat(F.lit('[{"title": "'), F.col("p_name"), F.lit('"}]'))
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), body)).otherwise(F.lit("nothing"))
+    value = X.model_json(raw)
+    return table(spark, d, "part").select("p_partkey", k.alias("shape"), F.try_variant_get(value, "$[0].title", "string").alias("title"), value.isNull().alias("failed"))
+
+
+@query("""WITH n AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(length(props)) AS grown FROM events GROUP BY user_id, day),
+s AS (SELECT user_id, day, sum(grown) OVER (PARTITION BY user_id ORDER BY day) AS size FROM n),
+p AS (SELECT *, lag(size) OVER (PARTITION BY user_id ORDER BY day) AS seen FROM s)
+SELECT user_id, day, CAST(size AS BIGINT) AS size, (seen IS NULL OR size - seen > 20) AS candidate FROM p""")
+def watch_growth(spark, d):
+    """Sizes by day as snapshots: a session is a candidate when new or grown by more than the threshold since the last."""
+    n = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sum(F.length("props")).alias("grown"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    s = n.select("user_id", "day", F.sum("grown").over(w).alias("size"))
+    seen = F.lag("size").over(w)
+    return s.select("user_id", "day", "size", (seen.isNull() | (F.col("size") - seen > 20)).alias("candidate"))
+
+
+@query("""SELECT p_partkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN format('{:.0f} KB', floor(s / 1024 + 0.5)) ELSE format('{:.1f} MB', floor(s / 104857.6 + 0.5) / 10) END AS size,
+ replace(p_name, ' ', '/') AS path FROM (SELECT p_partkey, p_name, CAST(p_partkey * p_partkey AS BIGINT) AS s FROM part)""")
+def file_size_label(spark, d):
+    s = F.col("p_partkey") * F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", X.file_size(s).alias("size"), X.decode_project(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("path"))
+
+
+@query("""SELECT doc_id, len(string_split(text, chr(10))) > 50 AS large, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents""")
+def large_file_warning(spark, d):
+    n = F.size(F.split("text", "\n", -1))
+    return table(spark, d, "documents").select("doc_id", (n > 50).alias("large"), n.alias("lines"))
+
 
-def queries() -> dict:
-    return {}
+@query("""SELECT c_custkey, CASE WHEN c_acctbal / 10000 >= 0.8 THEN 'accept' ELSE 'skip' END AS decision FROM customer""")
+def auto_accept(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") / 10000 >= 0.8, "accept").otherwise("skip").alias("decision"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""SELECT conv_id, turn, replace(replace('{{role}}: {{text}}', '{{role}}', role), '{{text}}', text) AS prompt, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM conversations""")
+def template_fill(spark, d):
+    filled = X.template(F.lit("{{role}}: {{text}}"), {"role": F.col("role"), "text": F.col("text")})
+    return table(spark, d, "conversations").select("conv_id", "turn", filled.alias("prompt"), F.ceil(F.length("text") / 4).alias("tokens"))
