@@ -108,4 +108,4 @@ def model_json(raw: Column) -> Column:
 
 def unwrap_envelope(raw: Column) -> Column:
     """The ``result`` text of an envelope object, else the answer as it came."""
-    return F.coalesce(F.expr("cast(null as string)"), F.try_variant_get(F.try_parse_json(raw), "$.result", "string"), raw)
+    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.result", "string"), raw)

@@ -28,7 +28,7 @@ _HEADING = re.compile(r"(#{1,6})\s+(.+)$")
 _BULLET = re.compile(r"(\s*)[*-]\s+.+$")
 _FENCE = re.compile(r"(`{3,}|~{3,})")
 _RULE_OFF = re.compile(r"[-*_]{3,}\s*$")
-_WIDE = "\t\n\x0b\x0c\r \xa0                　﻿"
+_WIDE = "\t\n\x0b\x0c\r                  　﻿"
 
 
 @dataclass

@@ -27,7 +27,7 @@ def lines(spark: SparkSession, root: str, min_bytes: int = MIN_BYTES) -> DataFra
     Files are split by their line ends only after they are read, so that numbers are physical ones; small files
     are left out by their metadata before that.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*/")
+    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*/", wholetext=True)
     meta = raw.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified_at"))
     files = meta.where(F.col("file_size") >= min_bytes)
     text = F.regexp_replace(F.regexp_replace("value", r"\r\n|\r", "\n"), r"\n\z", "")
