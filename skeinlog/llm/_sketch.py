@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skeinlog.llm._tables import shuffles_removed
+
 CELLS = 1 << 21
 _CHUNK = 1 << 11
 
@@ -44,7 +46,8 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
 
     schema = "chunk int, counts binary"
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = rows.mapInArrow(count, schema).repartition(n, "chunk").mapInArrow(add, schema).toArrow()
+    with shuffles_removed(rows.sparkSession):
+        table = rows.mapInArrow(count, schema).repartition(n, "chunk").mapInArrow(add, schema).toArrow()
     out = np.zeros(cells, np.int64)
     for i, blob in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
         out[i * _CHUNK : (i + 1) * _CHUNK] = np.frombuffer(blob, np.int64)
