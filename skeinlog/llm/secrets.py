@@ -41,45 +41,45 @@ _BLOCK = 256
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once; lambdas would compute an expression anew for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def prefix_sums(lengths: Column) -> Column:
-    """Sums of all values up to each place, in blocks, so that long arrays take about n * sqrt(n) steps at most."""
+    """Sums of all values up to each place of a bound array, in blocks, so that long arrays take few steps an element."""
     whole = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")))
     add = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(whole, lambda b: add(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
-    starts = F.transform(whole, lambda b: add(F.slice(blocks, F.lit(1), b)))
-    return F.transform(
-        lengths,
-        lambda x, i: F.element_at(starts, F.floor(i / _BLOCK).cast("int") + 1)
-        + add(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1)),
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    sums = F.transform(whole, lambda b: add(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
+    starts = let(sums, lambda blocks: F.transform(whole, lambda b: add(F.slice(blocks, F.lit(1), b))))
+    return let(
+        starts,
+        lambda before: F.transform(
+            lengths, lambda x, i: F.element_at(before, block(i) + 1) + add(F.slice(lengths, block(i) * _BLOCK + 1, i % _BLOCK + 1))
+        ),
     )
 
 
 def spans_of(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Leftmost matches of ``pattern`` for which ``keep(matches, i)`` holds, as (start, kind, end)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    n = F.size(matches)
-    lengths = F.transform(matches, lambda m: F.length(m))
-    steps = F.zip_with(
-        F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), n),
-        F.slice(F.concat(F.array(F.lit(0)), lengths), F.lit(1), n),
-        lambda g, m: g + m,
-    )
-    kept = keep(text, matches)
-    found = F.zip_with(
-        prefix_sums(steps),
-        F.zip_with(lengths, kept, lambda m, k: F.struct(m.alias("n"), k.alias("k"))),
-        lambda s, m: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + m["n"]).alias("end"), m["k"].alias("k")),
-    )
-    cleaned = F.transform(
-        F.filter(found, lambda f: f["k"]),
-        lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end")),
-    )
-    return F.when(text.rlike(pattern), cleaned).otherwise(F.array()).cast(_SPANS)
-
-
-def _long_enough(least: int):
-    return lambda _, matches: F.transform(matches, lambda m: F.length(m) >= least)
+    """Leftmost matches of ``pattern`` for which ``keep(text, matches)`` holds, as (start, kind, end)."""
+
+    def places(lengths: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        shifted = F.slice(F.concat(F.array(F.lit(0)), lengths), F.lit(1), F.size(lengths))
+        return let(F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), shifted, lambda g, m: g + m), prefix_sums)
+
+    def spans(matches: Column) -> Column:
+        lengths = F.transform(matches, lambda m: F.length(m))
+        sized = F.zip_with(lengths, keep(text, matches), lambda m, k: F.struct(m.alias("n"), k.alias("k")))
+        found = F.zip_with(
+            let(lengths, places), sized, lambda s, m: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + m["n"]).alias("end"), m["k"].alias("k"))
+        )
+        return F.transform(
+            F.filter(found, lambda f: f["k"]), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end"))
+        )
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(F.array()).cast(_SPANS)
 
 
 def _value_long_enough(text: Column, _matches: Column) -> Column:
