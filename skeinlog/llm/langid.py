@@ -143,7 +143,7 @@ def train(
     return fit([t for t, _ in rows], [n for _, n in rows]) if rows else None
 
 
-def _predict(model: Model | None, sharpness: float, batch_rows: int = 128):
+def _predict(model: Model | None, sharpness: float, names: tuple[str, str], batch_rows: int = 128):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
@@ -161,16 +161,23 @@ def _predict(model: Model | None, sharpness: float, batch_rows: int = 128):
                 kept = part.schema.names[:-1]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(kept))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*kept, "lang_pred", "score"],
+                    names=[*kept, *names],
                 )
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``; a map over the rows, no shuffle."""
+def predict(
+    docs: DataFrame,
+    model: Model | None,
+    keep: list[str],
+    text_col: str = "text",
+    sharpness: float = SHARPNESS,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns ``keep`` of every row with the predicted language and its score; a map over the rows, no shuffle."""
     from pyspark.sql import types as T
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(model, sharpness), schema)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(_predict(model, sharpness, names), schema)

@@ -58,7 +58,7 @@ def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(s.file, i, s.bytes, s.merges) for i, s in enumerate(shards)],
         "shard_file string, shard_id int, shard_bytes long, merges int",
     )
-    rows = store.read().select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard_file")
+    rows = store.read(file_col="__file").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.col("__file").alias("shard_file"))
     return rows.join(files, "shard_file").withColumn("version", F.lit(store.version()))
 
 

@@ -201,15 +201,15 @@ class ShardStore:
 
     # --- reading ---
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``shard_file`` naming the file that holds each."""
+    def read(self, version: int | None = None, file_col: str = "shard_file") -> DataFrame:
+        """The rows of a version, with ``file_col`` naming the file that holds each."""
         shards, schema = self.manifest(version)
         if schema is None:
             raise ValueError("the store has no version yet")
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumn("shard_file", F.lit(None).cast("string"))
+            return self.spark.createDataFrame([], schema).withColumn(file_col, F.lit(None).cast("string"))
         rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{s.file}" for s in shards])
-        return rows.select("*", F.regexp_extract("_metadata.file_path", ".*/(data/.+)$", 1).alias("shard_file"))
+        return rows.select("*", F.regexp_extract("_metadata.file_path", ".*/(data/.+)$", 1).alias(file_col))
 
 
 def shard_documents(docs: DataFrame, path: str, id_col: str = "doc_id", arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:
