@@ -25,9 +25,9 @@ LEAST_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, F.lit(True))
-    found = langid.predict(docs, model, docs.columns)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, model, docs.columns, names=("__lang", "__score"))
+    kept = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
