@@ -173,6 +173,38 @@ def _judge(batches):
         head = (w[at[-1]], k[at[-1]], pos[at[-1]])
 
 
+def _gather(batches):
+    """Over lists sorted by k: one list per k. Holds one batch and the lists of one document."""
+    key, held = None, []
+
+    def out(keys, offsets, values):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["k", "starts"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, lists = batch.column(0).to_numpy(), batch.column(1)
+        values = lists.flatten()
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        if key is not None and k[0] != key:
+            whole = pa.concat_arrays(held)
+            yield out([key], np.array([0, len(whole)]), whole)
+            held = []
+        elif key is not None and len(starts) > 1:
+            whole = pa.concat_arrays([*held, values.slice(0, int(offsets[starts[1]]))])
+            yield out([key], np.array([0, len(whole)]), whole)
+            held, starts = [], starts[1:]
+        if len(starts) > 1:
+            bounds = offsets[starts]
+            yield out(k[starts[:-1]], bounds - bounds[0], values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])))
+        key = k[-1]
+        held.append(values.slice(int(offsets[starts[-1]])))
+    if key is not None:
+        whole = pa.concat_arrays(held)
+        yield out([key], np.array([0, len(whole)]), whole)
+
+
 def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
     """Which words the windows at these starts cover."""
     change = np.zeros(n_words + 1, np.int64)
@@ -233,7 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = joined.mapInArrow(_windows(shared, frequent, kind), f"w long, id {id_sql}, k long, pos int, repeats array<int>")
     windows = windows.repartition(partitions, F.coalesce("w", "k")).sortWithinPartitions(F.col("w"), F.col("id").asc_nulls_last(), F.col("k"), F.col("pos"))
     judged = windows.mapInArrow(_judge, "k long, repeats array<int>")
-    repeats = write_table(judged.groupBy("k").agg(F.flatten(F.collect_list("repeats")).alias("starts")), "repeat-windows")
+    gathered = judged.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(_gather, "k long, starts array<int>")
+    repeats = write_table(gathered, "repeat-windows")
     drop_table(repeated)
     out = rows.join(repeats, "k", "left").select("__id", "__text", "starts")
     out = out.mapInArrow(_cut(kind), f"__id {id_sql}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept_text string")
