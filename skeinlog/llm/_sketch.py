@@ -22,6 +22,39 @@ def cell(h: np.ndarray, cells: int = CELLS) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) & (cells - 1)
 
 
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A set of 64-bit hashes as a bitmap of a fixed size (bits is a power of two): what it does not hold is not in the set."""
+
+    def mark(batches):
+        flags = np.zeros(bits, bool)
+        for batch in batches:
+            flags[cell(batch.column(0).to_numpy().view(np.uint64), bits)] = True
+        packed = np.packbits(flags, bitorder="little")
+        yield from _emit({i: packed[i * _CHUNK : (i + 1) * _CHUNK] for i in range(len(packed) // _CHUNK)}, skip_empty=True)
+
+    def either(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(blob, np.uint8)
+                sums[i] = sums[i] | part if i in sums else part.copy()
+        yield from _emit(sums)
+
+    schema = "chunk int, counts binary"
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_removed(rows.sparkSession):
+        table = rows.select(column).mapInArrow(mark, schema).repartition(n, "chunk").mapInArrow(either, schema).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for i, blob in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
+        out[i * _CHUNK : (i + 1) * _CHUNK] = np.frombuffer(blob, np.uint8)
+    return out
+
+
+def holds(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = cell(h, len(packed) * 8)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int = CELLS) -> np.ndarray:
     """Counts over all hashes that ``hashes`` yields from the batches of ``rows``.
 
