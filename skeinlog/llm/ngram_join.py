@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.llm import _sketch, _words
 from skeinlog.llm._graph import components
-from skeinlog.llm._tables import drop_table, free_shuffles, write_table
+from skeinlog.llm._tables import drop_table, write_table
 
 SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -40,7 +40,6 @@ SALT_ROWS = 50_000
 BROADCAST_IDS = 500_000
 #: Places apart in a list that the rounds before the last look at: 8, then 32.
 FIRST_WIDTH, LAST_WIDTH = 8, 32
-_SUFFIX_BUCKETS = 32
 
 
 # --- sets -------------------------------------------------------------------------------------------------
@@ -75,20 +74,27 @@ def rare_first(s: np.ndarray, counts: np.ndarray, frequent: int) -> tuple[np.nda
     return s[order], estimate[order]
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """At least the intersection of two sorted sets: they can share no more in any slice of the hash range than
-    the smaller slice holds."""
-    edges = (np.arange(1, _SUFFIX_BUCKETS, dtype=np.uint64)) << np.uint64(64 - int(np.log2(_SUFFIX_BUCKETS)))
-    at_a = np.diff(np.concatenate([[0], np.searchsorted(a, edges), [len(a)]]))
-    at_b = np.diff(np.concatenate([[0], np.searchsorted(b, edges), [len(b)]]))
-    return int(np.minimum(at_a, at_b).sum())
+def signature(s: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each slice of the hash range, 255 standing for 255 and more; 256 slices, or as
+    many as a quarter of a larger set."""
+    bits = max(8, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def suffix_bound(x: bytes, y: bytes) -> float:
+    """An upper bound of the intersection of the sets with these signatures: in no slice of the hash range can they
+    share more than the smaller slice holds. A full slice bounds nothing."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    if a.max() == 255 or b.max() == 255:
+        return float("inf")
+    if len(a) < len(b):
+        b = b.reshape(len(a), -1).sum(1, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     need = least_overlap(len(a), len(b), percent)
-    if min(len(a), len(b)) < need or suffix_bound(a, b) < need:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+    return min(len(a), len(b)) >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
 # --- tasks ------------------------------------------------------------------------------------------------
@@ -97,11 +103,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def _members(n: int, id_type: pa.DataType):
     def run(batches):
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, marks = [], [], []
             for s in sets_of(batch.column(1), n):
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["__id", "n", "sid"])
+                marks.append(signature(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary())], names=["__id", "n", "sid", "mark"]
+            )
 
     return run
 
@@ -262,6 +271,19 @@ def _sets(n: int):
     return run
 
 
+def _suffix_filter(percent: int):
+    """Pairs (a, b) whose signatures leave room for enough shared n-grams."""
+
+    def run(batches):
+        for batch in batches:
+            need = least_overlap(0, batch.column("nx").to_numpy() + batch.column("ny").to_numpy(), percent).tolist()
+            marks = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), need, strict=True)
+            keep = pa.array([suffix_bound(x, y) >= n for x, y, n in marks], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -281,17 +303,60 @@ def _verify(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> None:
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
         self.docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = self.docs.schema[0].dataType
-        members = self.docs.mapInArrow(_members(n, to_arrow_type(kind)), f"__id {kind.simpleString()}, n long, sid long")
+        members = self.docs.mapInArrow(_members(n, to_arrow_type(kind)), f"__id {kind.simpleString()}, n long, sid long, mark binary")
         self.members = write_table(members, "ngram-members")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a written table): each pair is looked at once, on whole sets."""
+        nodes = self.members.where("sid is not null").groupBy("sid")
+        self.nodes = write_table(nodes.agg(F.min("__id").alias("least"), F.max("n").alias("n"), F.max("mark").alias("mark")), "ngram-nodes")
+
+    def suffix_filter(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a written table) that the signatures of their sets allow."""
+        marks = self.nodes.select("sid", "n", "mark")
+        both = pairs.join(marks.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("mark").alias("x")), "a").join(
+            marks.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("mark").alias("y")), "b"
+        )
+        return write_table(both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(_suffix_filter(self.percent), "a long, b long"), "ngram-filtered")
+
+    def settle(self, pairs: DataFrame) -> bool:
+        """Verify candidate pairs (a written table) as far as they can join components; whether any did.
+
+        The first pass takes each set's smallest partner only, which makes stars of groups that are alike throughout; the
+        second takes all pairs whose ends are still apart.
+        """
+        pairs = self.suffix_filter(pairs)
+        first = write_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-first")
+        joined = self._link(first)
+        apart = pairs.join(first, ["a", "b"], "left_anti")
+        if self.labels is not None:
+            for end in ("a", "b"):
+                apart = apart.join(self.labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+            apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        apart = write_table(apart.select("a", "b"), "ngram-apart")
+        joined = self._link(apart) or joined
+        for t in (pairs, first, apart):
+            drop_table(t)
+        return joined
+
+    def _link(self, pairs: DataFrame) -> bool:
+        links = self.verify(pairs)
+        if links is None or links.isEmpty():
+            return False
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.labels = components(self.links)
+        return True
+
+    def verify(self, pairs: DataFrame) -> DataFrame | None:
+        """The links among ``pairs`` (a written table). Each pair is looked at once, on whole sets, which are made
+        again for the documents concerned only."""
         needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        picks = write_table(self.members.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("__id").alias("__pick")), "ngram-picks")
+        picks = write_table(self.nodes.join(needed, "sid", "left_semi").select("sid", F.col("least").alias("__pick")), "ngram-picks")
+        if picks.isEmpty():
+            return None
         few = picks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         side = F.broadcast(picks) if few else picks
         texts = self.docs.join(side, F.col("__id").eqNullSafe(F.col("__pick"))).select("__text", "sid")
@@ -304,11 +369,10 @@ class _Join:
         links = write_table(both.mapInArrow(_verify(self.percent), "a long, b long"), "ngram-links")
         drop_table(sets)
         drop_table(picks)
-        free_shuffles(self.spark)
         return links
 
-    def run(self) -> DataFrame:
-        """(node, component) over set keys with a link to another set."""
+    def run(self) -> DataFrame | None:
+        """(node, component) over set keys with a link to another set; None if there is no link at all."""
         n, percent = self.n, self.percent
 
         def grams(batch: pa.RecordBatch):
@@ -330,13 +394,12 @@ class _Join:
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = entries.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
         found = write_table(ordered.mapInArrow(_stream(percent, True), _CANDIDATES), "ngram-candidates")
-        free_shuffles(self.spark)
         lists = found.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos").dropDuplicates(["h", "sid"])
         done = write_table(found.where("h is null").select("a", "b").distinct(), "ngram-pairs")
-        links = self.verify(done)
+        more = self.settle(done)
         width = FIRST_WIDTH
         while True:
-            labels = components(links)
+            labels = self.labels if self.labels is not None else self.spark.createDataFrame([], "node long, component long")
             placed = lists.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left")
             placed = write_table(placed.select("h", F.coalesce("component", "sid").alias("comp"), "sid", "n", "pos"), "ngram-placed")
             mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
@@ -345,18 +408,15 @@ class _Join:
             earlier = F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1
             rows = write_table(placed.join(mixed, "h", "left_semi").withColumn("before", earlier), "ngram-open")
             drop_table(placed)
-            if width > LAST_WIDTH:
+            if width > LAST_WIDTH or not more:
                 break
             shuffled = rows.withColumn("order", F.xxhash64("sid", F.lit(width)))
             ordered = shuffled.repartition(partitions, "h").sortWithinPartitions("h", "order")
             fresh = ordered.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
             fresh = write_table(fresh.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
-            more = self.verify(fresh)
+            more = self.settle(fresh)
             done = done.unionByName(fresh)
             width *= 4
-            if more.isEmpty():
-                break
-            links = links.unionByName(more)
         # what is left: pairs of different components that share a prefix n-gram
         x, y = rows.alias("x"), rows.alias("y")
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
@@ -369,21 +429,22 @@ class _Join:
             & (bound * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))),
         ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
         rest = write_table(rest.distinct().join(done, ["a", "b"], "left_anti"), "ngram-rest")
-        last = self.verify(rest)
-        return labels if last.isEmpty() else components(links.unionByName(last))
+        self.settle(rest)
+        return self.labels
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id that similarity links reach."""
     join = _Join(docs, id_col, text_col, n, percent)
     labels = join.run()
+    if labels is None:
+        labels = join.spark.createDataFrame([], "node long, component long")
     # a node's component carries over to all documents with that set; documents without words stay alone
-    sids = join.members.where("sid is not null").groupBy("sid").agg(F.min("__id").alias("least"))
-    named = write_table(sids.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("comp")), "ngram-nodes")
+    named = write_table(join.nodes.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("comp")), "ngram-named")
     least = write_table(named.groupBy("comp").agg(F.min("least").alias("component_id")), "ngram-least")
     by_set = write_table(named.join(least, "comp").select("sid", "component_id"), "ngram-names")
     own = F.coalesce("sid", F.xxhash64("__id"))  # documents without words spread over all tasks and match nothing
-    rows = join.members.withColumn("__key", own).join(by_set.withColumnRenamed("sid", "__key"), "__key", "left")
+    rows = join.members.drop("mark").withColumn("__key", own).join(by_set.withColumnRenamed("sid", "__key"), "__key", "left")
     return rows.select(
         F.col("__id").alias(id_col),
         F.col("n").alias("n_shingles"),
