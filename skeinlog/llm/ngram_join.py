@@ -9,8 +9,9 @@ of a prefix n-gram, each entry is first paired with the list's first entry of fi
 predecessor only. Verified links give components. Lists that still hold several components are put in a new, hashed
 order, and entries of different components a few places apart are paired, twice with a growing reach, so that sparse
 groups merge at a cost in proportion to their size. What then remains are the pairs between different components,
-and all of these are formed and verified, so no link that could join two components is lost. Very frequent n-grams are
-dealt over several tasks by a salt.
+and all of these are formed and verified, so no link that could join two components is lost. There an entry names the
+few listed n-grams before it, and two entries that name a common one are passed over: their pair has been formed, or
+ruled out, at that n-gram. Very frequent n-grams are dealt over several tasks by a salt.
 
 Defined results: a null text or one without words has an empty set and links with nothing; fewer than ``n`` words
 are one n-gram; repeated rows and equal sets share a component; an empty table gives an empty result; a component
@@ -35,11 +36,15 @@ SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: An n-gram is frequent if its estimate is over this many times the mean cell, and at least LEAST_FREQUENT.
-FREQUENT, LEAST_FREQUENT = 4, 64
+FREQUENT, LEAST_FREQUENT = 2, 16
+#: Cells of the frequency sketch; more of them tell passages that a few dozen texts share from the text around them.
+SKETCH_CELLS = 1 << 23
 SALT_ROWS = 50_000
 BROADCAST_IDS = 500_000
 #: Places apart in a list that the rounds before the last look at: 8, then 32.
 FIRST_WIDTH, LAST_WIDTH = 8, 32
+#: How many of a set's earlier listed n-grams an entry names in the last join.
+RECENT = 8
 
 
 # --- sets -------------------------------------------------------------------------------------------------
@@ -136,7 +141,7 @@ def _postings(n: int, counts, frequent: int, percent: int):
                 p = prefix_length(len(s), percent)
                 h = ordered[:p].view(np.int64)
                 spread = np.where(estimate[:p] >= frequent, estimate[:p] // SALT_ROWS + 1, 1)
-                for column, value in zip(out, (h, np.full(p, sid), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(estimate[:p] >= frequent, 1 + sid % spread, 0).astype(np.int32)), strict=True):
+                for column, value in zip(out, (h, np.full(p, sid), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(spread > 1, 1 + sid % spread, 0).astype(np.int32)), strict=True):
                     column.append(value)
                 rows += p
                 if rows > 100_000:
@@ -387,7 +392,7 @@ class _Join:
                 yield np.concatenate(block)
 
         texts = self.docs.select("__text")
-        counts = _sketch.build(texts, grams)
+        counts = _sketch.build(texts, grams, SKETCH_CELLS)
         frequent = max(LEAST_FREQUENT, int(FREQUENT * counts.mean()))
         shared = self.spark.sparkContext.broadcast(counts)
         entries = texts.mapInArrow(_postings(n, shared, frequent, percent), "h long, sid long, n int, pos int, salt int")
@@ -406,9 +411,13 @@ class _Join:
             mixed = write_table(mixed, "ngram-mixed")
             # an n-gram that two sets of different components share before this place is in such a list as well
             earlier = F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1
-            rows = write_table(placed.join(mixed, "h", "left_semi").withColumn("before", earlier), "ngram-open")
+            rows = placed.join(mixed, "h", "left_semi").withColumn("before", earlier)
+            last = width > LAST_WIDTH or not more
+            if last:
+                rows = rows.withColumn("recent", F.collect_list("h").over(Window.partitionBy("sid").orderBy("pos").rowsBetween(-RECENT, -1)))
+            rows = write_table(rows, "ngram-open")
             drop_table(placed)
-            if width > LAST_WIDTH or not more:
+            if last:
                 break
             shuffled = rows.withColumn("order", F.xxhash64("sid", F.lit(width)))
             ordered = shuffled.repartition(partitions, "h").sortWithinPartitions("h", "order")
@@ -426,7 +435,8 @@ class _Join:
             (F.col("x.h") == F.col("y.h"))
             & (F.col("x.comp") < F.col("y.comp"))
             & (100 * small >= percent * large)
-            & (bound * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))),
+            & (bound * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")))
+            & ~F.arrays_overlap("x.recent", "y.recent"),
         ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
         rest = write_table(rest.distinct().join(done, ["a", "b"], "left_anti"), "ngram-rest")
         self.settle(rest)
