@@ -204,7 +204,8 @@ def _stream(percent: int, keep_lists: bool):
             if keep_lists:
                 follows = np.concatenate([same[1:], [False]])
                 listed = same | follows | (salt > 0)
-                rows = [c[listed] for c in (sid, h, n, pos)]
+                once = listed & ~(same & (sid == before[2]))  # a set that several tasks have sent stands next to itself
+                rows = [c[once] for c in (sid, h, n, pos)]
                 if goes_on and not listed_prev:
                     rows = [np.concatenate([[prev[i]], c]) for i, c in zip((2, 0, 3, 4), rows, strict=True)]
                 if len(rows[0]):
@@ -399,7 +400,7 @@ class _Join:
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = entries.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
         found = write_table(ordered.mapInArrow(_stream(percent, True), _CANDIDATES), "ngram-candidates")
-        lists = found.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos").dropDuplicates(["h", "sid"])
+        lists = found.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos")
         done = write_table(found.where("h is null").select("a", "b").distinct(), "ngram-pairs")
         more = self.settle(done)
         width = FIRST_WIDTH
@@ -423,6 +424,7 @@ class _Join:
             ordered = shuffled.repartition(partitions, "h").sortWithinPartitions("h", "order")
             fresh = ordered.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
             fresh = write_table(fresh.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
+            lists = rows.select("h", "sid", "n", "pos")  # components only merge, so no other list can be mixed again
             more = self.settle(fresh)
             done = done.unionByName(fresh)
             width *= 4
