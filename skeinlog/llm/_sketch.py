@@ -63,12 +63,12 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
     """
 
     def count(batches):
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.uint32)
         for batch in batches:
             for h in hashes(batch):
                 np.add.at(total, cell(h, cells), 1)
         # most chunks hold small numbers only, which go as single bytes
-        yield from _emit({i: c.astype(np.uint8) if c.max() < 256 else c for i, c in enumerate(total.reshape(-1, _CHUNK))}, skip_empty=True)
+        yield from _emit({i: c.astype(np.uint8) if c.max() < 256 else c.astype(np.int64) for i, c in enumerate(total.reshape(-1, _CHUNK))}, skip_empty=True)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}

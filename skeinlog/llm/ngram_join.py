@@ -38,7 +38,7 @@ PERCENT = 75
 #: An n-gram is frequent if its estimate is over this many times the mean cell, and at least LEAST_FREQUENT.
 FREQUENT, LEAST_FREQUENT = 2, 16
 #: Cells of the frequency sketch; more of them tell passages that a few dozen texts share from the text around them.
-SKETCH_CELLS = 1 << 23
+SKETCH_CELLS = 1 << 22
 SALT_ROWS = 50_000
 BROADCAST_IDS = 500_000
 #: Places apart in a list that the rounds before the last look at: 8, then 32.
@@ -140,7 +140,7 @@ def _postings(n: int, counts, frequent: int, percent: int):
                 ordered, estimate = rare_first(s, table, frequent)
                 p = prefix_length(len(s), percent)
                 h = ordered[:p].view(np.int64)
-                spread = np.where(estimate[:p] >= frequent, estimate[:p] // SALT_ROWS + 1, 1)
+                spread = np.where(estimate[:p] >= frequent, estimate[:p].astype(np.int64) // SALT_ROWS + 1, 1)
                 for column, value in zip(out, (h, np.full(p, sid), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(spread > 1, 1 + sid % spread, 0).astype(np.int32)), strict=True):
                     column.append(value)
                 rows += p
@@ -395,7 +395,8 @@ class _Join:
         texts = self.docs.select("__text")
         counts = _sketch.build(texts, grams, SKETCH_CELLS)
         frequent = max(LEAST_FREQUENT, int(FREQUENT * counts.mean()))
-        shared = self.spark.sparkContext.broadcast(counts)
+        # each Python worker holds a copy, so the cells are as narrow as they can be
+        shared = self.spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
         entries = texts.mapInArrow(_postings(n, shared, frequent, percent), "h long, sid long, n int, pos int, salt int")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = entries.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
