@@ -309,7 +309,6 @@ def _verify(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> None:
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
         from pyspark.sql.pandas.types import to_arrow_type
@@ -352,8 +351,18 @@ class _Join:
         links = self.verify(pairs)
         if links is None or links.isEmpty():
             return False
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = components(self.links)
+        if self.labels is None:
+            self.labels = components(links)
+            return True
+        # go on from the components found before: links between these, and to nodes that had none
+        old, ends = self.labels, links
+        for end in ("a", "b"):
+            ends = ends.join(old.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = components(write_table(ends.where("a <> b").distinct(), "ngram-ends"))
+        moved = old.join(merged.select(F.col("node").alias("component"), F.col("component").alias("__to")), "component", "left")
+        moved = moved.select("node", F.coalesce("__to", "component").alias("component"))
+        self.labels = write_table(moved.unionByName(merged.join(old, "node", "left_anti")), "ngram-labels")
         return True
 
     def verify(self, pairs: DataFrame) -> DataFrame | None:
