@@ -1,9 +1,9 @@
 """Katz backoff scoring of whole texts.
 
 Tokens are the words of a text and one end mark, which is also the context of the first word. Unigrams and
-bigrams are counted over all training texts. Counts up to ``GT_MOST`` are discounted by Good-Turing; bigrams seen
-once count towards the discounts and are then treated as unseen (``LEAST_BIGRAM``), so the stored table has the
-others only. The unigram mass that discounting frees belongs to unknown words. For a context v,
+bigrams are counted over all training texts. Counts up to ``GT_MOST`` are discounted by Good-Turing. Bigrams with
+fewer than ``least_bigram`` occurrences count towards the discounts and are then treated as unseen; with 1 every
+bigram is stored. The unigram mass that discounting frees belongs to unknown words. For a context v,
 
     P(w | v) = d * c(v w) / c(v)   if v w is stored, else   alpha(v) * P(w)
 
@@ -12,8 +12,9 @@ model; with it the probabilities of all words and the unknown class add up to on
 
 Per token the recursion is log P(w) + log alpha(v), plus a correction if the bigram is stored. So a text's score is
 a sum over its distinct words and bigrams, each looked up by an equi-join with a stored table that is partitioned
-by hash slice. Slices are worked through one after the other, which bounds the shuffle files that exist at once;
-the work of each is spread over all tasks. Tables are joined from files, so the adaptive join splits a frequent word.
+by hash slice: words by their own hash, bigrams by that of their context, so that a slice holds whole contexts. Slices
+are worked through one after the other, which bounds the shuffle files that exist at once; the work of each is spread
+over all tasks. Tables are joined from files, so the adaptive join splits a frequent word.
 
 Defined results: a null text is empty and consists of the end mark; rows that repeat id and text get one score
 each; without training texts every score is that of unknown words, with probability one.
@@ -36,6 +37,8 @@ GT_MOST = 5
 LEAST_BIGRAM = 2
 SLICES = 4
 COMBINE_TOKENS = 2_000_000
+#: A table of no more words than this is broadcast to the bigrams.
+BROADCAST_WORDS = 500_000
 #: Bits of the map that tells which bigrams are surely not stored; of a fixed size, it only saves work.
 STORED_BITS = 1 << 25
 #: The hash of the end mark.
@@ -111,7 +114,7 @@ def _count_bigrams(part: int, slices: int):
         for batch in batches:
             for _, _, t, _ in tokens(batch.column(0)):
                 v, b = bigrams(t)
-                own = b % np.uint64(slices) == np.uint64(part)
+                own = v % np.uint64(slices) == np.uint64(part)
                 kept.append((v[own], t[own], b[own]))
                 size += int(own.sum())
                 if size > COMBINE_TOKENS:
@@ -123,6 +126,31 @@ def _count_bigrams(part: int, slices: int):
     return run
 
 
+def _sum_bigrams(batches):
+    """One row per bigram of a partition that holds all rows of its bigrams."""
+    kept, size, least = [], 0, COMBINE_TOKENS
+
+    def combined():
+        b, v, w, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.argsort(b)
+        b = b[order]
+        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        return b[first], v[order][first], w[order][first], np.add.reduceat(c[order], first)
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(tuple(x.to_numpy() for x in batch.columns))
+            size += batch.num_rows
+        if size > least:
+            kept = [combined()]
+            size = len(kept[0][0])
+            least = max(COMBINE_TOKENS, 2 * size)
+    if kept:
+        columns = combined()
+        for i in range(0, len(columns[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in columns], names=["b", "v", "w", "c"])
+
+
 def _requests(part: int, slices: int, stored):
     """(k, key, n) per text: distinct words with their number, distinct bigrams that may be stored with their number as a
     negative."""
@@ -138,9 +166,9 @@ def _requests(part: int, slices: int, stored):
             keys = batch.column(0).to_numpy()
             for a, b, t, offsets in tokens(batch.column(1)):
                 text = np.repeat(np.arange(b - a), np.diff(offsets))
-                _, pair = bigrams(t)
-                for key, sign in ((t, 1), (pair, -1)):
-                    own = key % np.uint64(slices) == np.uint64(part)
+                context, pair = bigrams(t)
+                for key, by, sign in ((t, t, 1), (pair, context, -1)):
+                    own = by % np.uint64(slices) == np.uint64(part)
                     if sign < 0:
                         own[own] = _sketch.holds(stored.value, key[own])
                     if own.any():
@@ -154,10 +182,10 @@ class KatzModel:
     """Counts and tables of a trained model; ``words`` and ``pairs`` are written tables.
 
     words: w, c, p (log10 of its probability), alpha (log10 of its backoff weight as a context).
-    pairs: b (hash of v and w), v, w, c, gain (log10 P(w|v) less what backing off would give), partitioned by slice.
+    pairs: b (hash of v and w), gain (log10 P(w|v) less what backing off would give), a table per slice.
     """
 
-    def __init__(self, texts: DataFrame, text_col: str = "text", slices: int = SLICES) -> None:
+    def __init__(self, texts: DataFrame, text_col: str = "text", slices: int = SLICES, least_bigram: int = LEAST_BIGRAM) -> None:
         self.slices = slices
         rows = texts.select(F.col(text_col).alias("__text"))
         counts = rows.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
@@ -170,42 +198,46 @@ class KatzModel:
         self.scale = 1.0 if self.n and mass < self.n * (1 - 1e-12) else self.n / (self.n + 1)
         self.unknown = math.log10(max(1 - self.scale * mass / self.n, 1e-300)) if self.n else 0.0
 
-        parts, histogram = [], {}
+        counted, histogram = [], {}
         for part in range(slices):
             found = rows.mapInArrow(_count_bigrams(part, slices), "b long, v long, w long, c long")
-            found = write_table(found.groupBy("b").agg(F.min("v").alias("v"), F.min("w").alias("w"), F.sum("c").alias("c")).withColumn("__once", F.col("c") < LEAST_BIGRAM)
-                                .groupBy("__once", F.when(F.col("__once"), F.lit(0)).otherwise(F.col("b")).alias("b"), F.when(~F.col("__once"), F.col("v")).alias("v"), F.when(~F.col("__once"), F.col("w")).alias("w"), "c").agg(F.count(F.lit(1)).alias("m")), f"lm-pairs-{part}")
-            for r, m in self._histogram(found, "m").items():
+            found = write_table(found.repartition("b").mapInArrow(_sum_bigrams, found.schema), f"lm-pairs-{part}")
+            for r, m in self._histogram(found).items():
                 histogram[r] = histogram.get(r, 0) + m
-            parts.append(found.where(~F.col("__once")).select(F.lit(part).alias("slice"), "b", "v", "w", "c"))
+            counted.append(found)
         self.pair_factors = discounts(histogram)
-        pairs = parts[0]
-        for p in parts[1:]:
-            pairs = pairs.unionByName(p)
 
+        small = F.broadcast if self.v <= BROADCAST_WORDS else lambda table: table
         probability = _discounted(F.col("c"), self.word_factors) * (self.scale / max(self.n, 1))
         words = counts.select("w", "c", F.log10(probability).alias("p"))
-        pairs = pairs.withColumn("d", _discounted(F.col("c"), self.pair_factors))
-        joined = pairs.join(words.select("w", "p"), "w").join(words.select(F.col("w").alias("v"), F.col("c").alias("cv")), "v")
-        joined = write_table(joined.select("slice", "b", "v", "w", "c", "d", "p", "cv"), "lm-joined")
-        sums = joined.groupBy("v").agg(F.sum("d").alias("d"), F.sum(F.pow(F.lit(10.0), F.col("p"))).alias("q"), F.max("cv").alias("cv"))
-        full = F.col("d") >= F.col("cv") * (1 - 1e-12)
-        kept = F.when(full, F.col("cv") / (F.col("cv") + 1)).otherwise(F.lit(1.0))
-        left = 1 - kept * F.col("d") / F.col("cv")
-        contexts = sums.select("v", F.log10(kept).alias("kept"), F.log10(left / (1 - F.col("q"))).alias("alpha"))
-        contexts = write_table(contexts, "lm-contexts")
-        gain = F.log10(F.col("d") / F.col("cv")) + F.col("kept") - F.col("alpha") - F.col("p")
-        self.pairs = write_table(joined.join(contexts, "v").select("slice", "b", "v", "w", "c", gain.alias("gain")), "lm-model-pairs")
-        self.words = write_table(
-            words.join(contexts.select(F.col("v").alias("w"), "alpha"), "w", "left").select("w", "c", "p", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "lm-model-words"
-        )
-        drop_table(joined)
+        is_stored = F.col("c") >= least_bigram
+        self.pairs, contexts = [], []
+        for part, found in enumerate(counted):
+            joined = found.withColumn("d", _discounted(F.col("c"), self.pair_factors)).join(small(words.select("w", "p")), "w")
+            joined = write_table(joined.select("b", "v", "c", "d", "p"), f"lm-joined-{part}")
+            drop_table(found)
+            # every occurrence of a context is followed by one token, so its count is the sum over its bigrams
+            sums = joined.groupBy("v").agg(
+                F.sum("c").alias("cv"), F.sum(F.when(is_stored, F.col("d"))).alias("d"), F.sum(F.when(is_stored, F.pow(F.lit(10.0), F.col("p")))).alias("q")
+            ).where("d is not null")
+            full = F.col("d") >= F.col("cv") * (1 - 1e-12)
+            kept = F.when(full, F.col("cv") / (F.col("cv") + 1)).otherwise(F.lit(1.0))
+            left = 1 - kept * F.col("d") / F.col("cv")
+            own = sums.select("v", "cv", F.log10(kept).alias("kept"), F.log10(left / (1 - F.col("q"))).alias("alpha"))
+            own = write_table(own, f"lm-contexts-{part}")
+            gain = F.log10(F.col("d") / F.col("cv")) + F.col("kept") - F.col("alpha") - F.col("p")
+            self.pairs.append(write_table(joined.where(is_stored).join(small(own), "v").select("b", gain.alias("gain")), f"lm-model-pairs-{part}"))
+            drop_table(joined)
+            contexts.append(own.select(F.col("v").alias("w"), "alpha"))
+        alphas = contexts[0]
+        for c in contexts[1:]:
+            alphas = alphas.unionByName(c)
+        self.words = write_table(words.join(alphas, "w", "left").select("w", "c", "p", F.coalesce("alpha", F.lit(0.0)).alias("alpha")), "lm-model-words")
 
     @staticmethod
-    def _histogram(counts: DataFrame, each: str | None = None) -> dict[int, int]:
+    def _histogram(counts: DataFrame) -> dict[int, int]:
         """How many items have each count from 1 to GT_MOST + 1."""
-        n = F.sum(each) if each else F.count(F.lit(1))
-        return {r["c"]: r["m"] for r in counts.where(F.col("c") <= GT_MOST + 1).groupBy("c").agg(n.alias("m")).collect()}
+        return {r["c"]: r["m"] for r in counts.where(F.col("c") <= GT_MOST + 1).groupBy("c").agg(F.count(F.lit(1)).alias("m")).collect()}
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
         """The columns ``keep`` (the id, if none are named) of every row with n_tokens, n_known, train_tokens, base_score and score."""
@@ -219,8 +251,8 @@ class KatzModel:
         parts = []
         for part in range(self.slices):
             table = words.where(_slice_of("key", self.slices) == part)
-            table = table.unionByName(self.pairs.where(F.col("slice") == part).select(F.col("b").alias("key"), F.lit(None).cast("long").alias("c"), F.col("gain").alias("value")))
-            stored = spark.sparkContext.broadcast(_sketch.bitmap(self.pairs.where(F.col("slice") == part), "b", STORED_BITS))
+            table = table.unionByName(self.pairs[part].select(F.col("b").alias("key"), F.lit(None).cast("long").alias("c"), F.col("gain").alias("value")))
+            stored = spark.sparkContext.broadcast(_sketch.bitmap(self.pairs[part], "b", STORED_BITS))
             found = rows.mapInArrow(_requests(part, self.slices, stored), "k long, key long, n int").join(table, "key", "left")
             found = found.groupBy("k").agg(
                 F.sum(F.when(is_word, F.col("n") * F.coalesce("value", F.lit(self.unknown))).otherwise(-F.col("n") * F.coalesce("value", F.lit(0.0)))).alias("score"),

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinlog.llm import _words, katz, langid, mixing, packing, secrets, substring_dedup
+from skeinlog.llm import _words, katz, langid, mixing, packing, queries, secrets, substring_dedup
 from skeinlog.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, score double, k long, n int, held_out string"
@@ -333,6 +333,35 @@ def test_katz(spark, mixed):
         assert math.isclose(o.base_score, base, rel_tol=1e-9) and math.isclose(o.score, score, rel_tol=1e-7)
 
 
+def test_katz_query_stores_all(spark, tmp_path):
+    """The registered query scores by every bigram of its training texts, those seen once too."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randint(1, 6)))) for i in range(40)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op7_katz_scoring(spark, str(tmp_path)).collect()}
+    toks = lambda t: [*t.split(), None]
+    u, b = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not got[i].held_out:
+            u.update(toks(t))
+            b.update(zip([None, *toks(t)[:-1]], toks(t), strict=True))
+    n, du, db = sum(u.values()), katz.discounts(collections.Counter(u.values())), katz.discounts(collections.Counter(b.values()))
+    assert 1 in b.values()
+    mass = sum(du.get(c, 1) * c for c in u.values())
+    scale = 1 if mass < n * (1 - 1e-12) else n / (n + 1)
+    p = {w: scale * du.get(c, 1) * c / n for w, c in u.items()}
+    seen = collections.defaultdict(dict)
+    for (v, w), c in b.items():
+        seen[v][w] = db.get(c, 1) * c / u[v]
+    for v, x in seen.items():
+        if sum(x.values()) >= 1 - 1e-12:
+            seen[v] = {w: q * u[v] / (u[v] + 1) for w, q in x.items()}
+    alpha = {v: (1 - sum(x.values())) / (1 - sum(p[w] for w in x)) for v, x in seen.items()}
+    for i, t in rows:
+        score = sum(math.log10(seen[v][w] if w in seen.get(v, {}) else alpha.get(v, 1) * p.get(w, 1 - scale * mass / n)) for v, w in zip([None, *toks(t)[:-1]], toks(t), strict=True))
+        assert math.isclose(got[i].score, score, rel_tol=1e-7)
+
+
 def test_katz_empty(spark):
     model = katz.KatzModel(docs(spark, []))
     assert model.score(docs(spark, [])).count() == 0
