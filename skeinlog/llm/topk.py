@@ -5,8 +5,11 @@ is sent to every task, which walks the terms (components) one at a time: the que
 scattered over the term's postings into a dense score array, and a partition selects each query's best k. The
 selections of all tasks are merged by a window per query.
 
+Sums that could pass 64 bits are taken in Python integers instead; a score that passes them is an error, as it is in
+the query's SQL.
+
 Defined results: a vector that is null, or holds a null or non-finite component, or one whose scaled value
-passes ``LIMIT``, takes no part. Missing trailing components count as zero, so an empty vector scores 0 with everything. Rows that
+is no 64-bit integer (``LIMIT``), takes no part. Missing trailing components count as zero, so an empty vector scores 0 with everything. Rows that
 share the query's id are not its candidates; a query id that occurs in several rows is answered for its smallest
 vector. Repeated candidate rows are each ranked. Ties go to the smaller id.
 """
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 from skeinlog.llm._tables import write_table
 
 QUERY_BLOCK = 4096
-LIMIT = 1 << 24
+LIMIT = 1 << 63
 _TILE_QUERIES, _TILE_ROWS = 128, 4096
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(__id, __v array<int>) of the rows that take part; a filter and a projection, no shuffle."""
+    """(__id, __v array<long>) of the rows that take part; a filter and a projection, no shuffle."""
     v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
     fine = F.forall(
         F.col(vec_col),
@@ -37,7 +40,7 @@ def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFra
     return (
         vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
         .where(fine)
-        .select(F.col(id_col).cast("long").alias("__id"), v.cast("array<int>").alias("__v"))
+        .select(F.col(id_col).cast("long").alias("__id"), v.cast("array<long>").alias("__v"))
     )
 
 
@@ -67,8 +70,41 @@ def accumulate(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return scores
 
 
+def largest(rows: np.ndarray) -> np.ndarray:
+    """The largest magnitude in each row, never too low."""
+    return np.abs(rows.astype(np.float64)).max(axis=1, initial=0) * (1 + 1e-9)
+
+
+def exact_scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Dense scores, as Python integers where a sum of the tile could pass 64 bits."""
+    dims = max(min(weights.shape[1], rows.shape[1]), 1)
+    wide = np.multiply.outer(largest(weights), largest(rows)) * dims >= 2.0**62
+    if not wide.any():
+        return accumulate(weights, rows)
+    columns, lines = np.flatnonzero(wide.any(axis=0)), np.flatnonzero(wide.any(axis=1))
+    narrow, short = rows.copy(), weights.copy()
+    if len(columns) <= len(lines):
+        narrow[columns] = 0
+    else:
+        short[lines] = 0
+    scores = accumulate(short, narrow).astype(object)
+    if len(columns) <= len(lines):
+        scores[:, columns] = weights[:, :dims].astype(object) @ rows[columns, :dims].T.astype(object)
+    else:
+        scores[lines] = weights[lines, :dims].astype(object) @ rows[:, :dims].T.astype(object)
+    return scores
+
+
+def as_long(scores: np.ndarray) -> pa.Array:
+    if scores.dtype == object and any(not -LIMIT <= s < LIMIT for s in scores):
+        raise OverflowError("an inner product of the scaled vectors passes 64 bits; use a smaller scale")
+    return pa.array(scores.astype(np.int64))
+
+
 def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, larger score first and then smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         above = np.flatnonzero(scores > least)
@@ -93,7 +129,7 @@ def _search(query_ids: np.ndarray, weights: np.ndarray, k: int):
             for at in range(0, len(all_ids), _TILE_ROWS):
                 ids, rows = all_ids[at : at + _TILE_ROWS], matrix[at : at + _TILE_ROWS]
                 for q in range(0, len(query_ids), _TILE_QUERIES):
-                    scores = accumulate(weights[q : q + _TILE_QUERIES], rows)
+                    scores = exact_scores(weights[q : q + _TILE_QUERIES], rows)
                     for i, own in enumerate(scores, q):
                         other = ids != query_ids[i]
                         s = np.concatenate([best[i][0], own[other]])
@@ -106,7 +142,7 @@ def _search(query_ids: np.ndarray, weights: np.ndarray, k: int):
                 [
                     pa.array(np.repeat(query_ids, sizes)),
                     pa.array(np.concatenate([v for _, v in best])),
-                    pa.array(np.concatenate([s for s, _ in best])),
+                    as_long(np.concatenate([s for s, _ in best])),
                 ],
                 names=["query_id", "vec_id", "score"],
             )
@@ -140,7 +176,7 @@ def exact_top_k(
             break
         block = block.combine_chunks()
         ids = block.column(0).to_numpy()
-        column = block.column(1).chunk(0) if block.column(1).num_chunks else pa.array([], pa.list_(pa.int32()))
+        column = block.column(1).chunk(0) if block.column(1).num_chunks else pa.array([], pa.list_(pa.int64()))
         found = rows.mapInArrow(_search(ids, as_matrix(column), k), schema)
         after = int(ids[-1])
         last = len(ids) < query_block

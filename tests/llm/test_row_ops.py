@@ -148,6 +148,37 @@ def test_top_k(spark, block):
     assert sorted(tuple(r) for r in got) == sorted(search(rows))
 
 
+def test_top_k_large(spark):
+    """Finite components of any size that scales into 64 bits take part, as candidates and as queries."""
+    rnd = random.Random(4)
+    rows = [(i, [float(np.float32(rnd.choice([-3e4, 2e4, 1.5, 3e8, -3e8]) * rnd.random())) for _ in range(6)]) for i in range(210)]
+    # products near and beyond 2^53 that cancel
+    rows += [(300, [float(2**20), 3.0]), (301, [float(2**20), float(-(2**20))]), (302, [float(2**50), 0.0]), (400, [0.0, 1.0 / 1024]), (303, [0.0, float(2**52)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    v = [(i, [int(np.floor(1024 * float(np.float32(c)))) for c in x]) for i, x in rows]
+    want = []
+    for q, own in v:
+        if q in (0, 100, 200, 400):
+            scores = sorted((-sum(a * b for a, b in zip(own, x, strict=False)), i) for i, x in v if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:10], 1)]
+    fits = {q for q in (0, 100, 200, 400) if all(-(2**63) <= s < 2**63 for x, _, _, s in want if x == q)}
+    assert 400 in fits
+    got = topk.exact_top_k(df, F.col("vec_id").isin(*fits)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(w for w in want if w[0] in fits)
+
+
+def test_top_k_exact_beyond_64_bits():
+    rnd = random.Random(6)
+    for few in (1, 9):
+        a = np.array([[rnd.choice([rnd.randint(-(2**62), 2**62), rnd.randint(-9, 9)]) for _ in range(5)] for _ in range(9)])
+        b = np.array([[rnd.randint(-(2**62), 2**62) if i < few else rnd.randint(-9, 9) for _ in range(5)] for i in range(20)])
+        for x, y in ((a, b), (b, a)):
+            want = [[sum(int(p) * int(q) for p, q in zip(r, s, strict=True)) for s in y] for r in x]
+            assert topk.exact_scores(x, y).tolist() == want
+    with pytest.raises(OverflowError):
+        topk.as_long(np.array([1 << 63], object))
+
+
 def test_top_k_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 2097152)]
