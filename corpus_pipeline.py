@@ -4,10 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 one. All but the last return the columns of ``documents``; the last returns the packed pieces.
 
 Defined results: documents without any letter, or with no language more likely than not, are rejected by the first
-stage, and a missing language is filled in with the predicted one; of equal texts the row with the largest id stays; of a
-group of near copies the smallest id stays, and rows that share an id stay or go together; a document that the mix takes several times appears as
+stage, and a missing language is filled in with the predicted one; of equal texts one row stays, with the largest id; of a
+group of near copies one row stays, with the smallest id, whether or not other rows share that id; a document that the mix takes several times appears as
 several rows, one that it takes no words of goes, and each source's last copy may be cut to its first words. Rows with null
-ids are kept unless they repeat another row's text. Empty tables give empty results.
+ids rank behind all others and are kept unless they repeat another row's text or are near copies of it. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,14 +30,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written so that every later scan reads the same numbers."""
+    return write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_duplicates(docs)
+    return exact_dedup.drop_duplicates(numbered(docs), row_col="__row").drop("__row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_duplicate_components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    rows = numbered(docs)
+    groups = ngram_join.near_duplicate_components(rows, id_col="__row").select("__row", "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    stay = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least["__row"].alias("__stay"))
+    return rows.join(stay, F.col("__row") == F.col("__stay"), "left_semi").drop("__row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,6 +239,19 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
 
 
+def test_pipeline_repeated_and_null_ids(spark):
+    """One row stays of each text and of each group of near copies, also where ids repeat or are null."""
+    rnd = random.Random(7)
+    a, b, c, e = (" ".join(f"w{rnd.randrange(1000)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (None, c), (None, None), (None, "")]
+    exact = corpus_pipeline.drop_exact_copies(spark, docs(spark, rows), "").collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in exact) == sorted([(1, a), (0, b), (2, c), (0, "")])
+    rows = [(1, a), (1, a + " more"), (5, b), (None, b + " more"), (None, c), (None, c + " more"), (7, e), (7, "x y z"), (None, None), (None, "")]
+    near = [((r.doc_id or 0), r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()]
+    left = collections.Counter((i, t.removesuffix(" more")) for i, t in near)
+    assert left == {(1, a): 1, (5, b): 1, (0, c): 1, (7, e): 1, (7, "x y z"): 1, (0, ""): 2} and (5, b) in near
+
+
 def test_pipeline_empty(spark):
     d = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
