@@ -6,7 +6,7 @@ one. All but the last return the columns of ``documents``; the last returns the
 Defined results: documents without any letter, or with no language more likely than not, are rejected by the first
 stage, and a missing language is filled in with the predicted one; of equal texts one row stays, with the largest id; of a
 group of near copies one row stays, with the smallest id, whether or not other rows share that id; a document that the mix takes several times appears as
-several rows, one that it takes no words of goes, and each source's last copy may be cut to its first words. Rows with null
+several rows, one that it takes no words of goes, and each source's last copy is taken whole. Rows with null
 ids rank behind all others and are kept unless they repeat another row's text or are near copies of it. Empty tables give empty results.
 """
 
@@ -48,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, whole=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

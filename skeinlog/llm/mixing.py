@@ -14,7 +14,8 @@ many tasks as there are slices.
 Defined results: a null text has no words, documents without words are never taken; a null source is a source of
 its own and comes last; null ids are ordered as the empty string; rows that repeat an id are ordered by size and
 otherwise interchangeable; without any words all targets are 0. The last copy taken of a source may be cut to its first
-words, so that the source meets its rounded target exactly.
+words, so that the source meets its rounded target exactly; ``mix_documents`` with ``whole`` takes that copy uncut, so
+that the source passes its target by less than one document.
 """
 
 from __future__ import annotations
@@ -150,6 +151,7 @@ def mix_documents(
     ramps: Sequence[float] = RAMPS,
     max_repeats: int = MAX_REPEATS,
     partitions: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """The mixed corpus in training order: the columns of ``docs``, one row per copy taken, range-sorted by position.
 
@@ -170,8 +172,8 @@ def mix_documents(
     last = F.col("__full_copies") - F.when(F.col("__cut_words") > 0, 0).otherwise(1)
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     at = _time(F.col("__copy") * F.col("__source_size") + F.col("__supply"), F.col("__target"), F.col("__ramp"))
-    whole = (F.col("__copy") < F.col("__full_copies")) | (F.col("__cut_words") == F.col("__words"))
-    text = F.when(whole, own(text_col)).otherwise(first_words(own(text_col), F.col("__cut_words").cast("int")))
+    uncut = F.lit(whole) | (F.col("__copy") < F.col("__full_copies")) | (F.col("__cut_words") == F.col("__words"))
+    text = F.when(uncut, own(text_col)).otherwise(first_words(own(text_col), F.col("__cut_words").cast("int")))
     rows = rows.withColumns({"__position": at, text_col: text})
     n = [partitions] if partitions else []
     ordered = rows.repartitionByRange(*n, "__position", "__source", "__id").sortWithinPartitions("__position", "__source", "__id")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skeinlog.llm import _graph, exact_dedup, ngram_join, sharding, topk
+from skeinlog.llm import _graph, exact_dedup, mixing, ngram_join, sharding, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, kept boolean, n long, sid long, shard_file string"
 
@@ -252,6 +252,23 @@ def test_pipeline_repeated_and_null_ids(spark):
     assert left == {(1, a): 1, (5, b): 1, (0, c): 1, (7, e): 1, (7, "x y z"): 1, (0, ""): 2} and (5, b) in near
 
 
+def test_pipeline_mixes_whole_texts(spark):
+    """No text is cut, and each source's words pass its target by less than one document."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"t{i}w{j}" for j in range(rnd.randint(5, 40))), "en", "abc"[i % 3]) for i in range(90)]
+    d = spark.createDataFrame([(i, t, g, s, None, 1, False, 2, 3, "f") for i, t, g, s in rows], SCHEMA)
+    demand = mixing.assign_demand(d).collect()
+    texts = {i: t for i, t, _, _ in rows}
+    assert any(0 < r.cut_words < r.size for r in demand)
+    got = collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, d, "").collect():
+        assert r.text == texts[r.doc_id]
+        got[r.source] += len(r.text.split())
+    for s in "abc":
+        target = round(next(r.target for r in demand if r.source == s))
+        assert target <= got[s] < target + 40
+
+
 def test_pipeline_empty(spark):
     d = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
