@@ -30,17 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, written so that every later scan reads the same numbers."""
-    return write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-numbered")
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_duplicates(numbered(docs), row_col="__row").drop("__row")
+    return exact_dedup.drop_duplicates(docs, one_row=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
+    """Rows are told apart by a 64-bit hash of id and text, which repeats for exact copies only (dropped before)."""
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     groups = ngram_join.near_duplicate_components(rows, id_col="__row").select("__row", "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
     stay = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least["__row"].alias("__stay"))

@@ -40,22 +40,19 @@ def find_groups(
     text_col: str = "text",
     prefix_chars: int = PREFIX_CHARS,
     broadcast_keys: int = BROADCAST_KEYS,
-    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Groups of equal texts with more than one row: ``(__full, __keep, __rows)``, and the broadcastable
-    (length, prefix hash) keys that a text must have to belong to one (None when they are too many).
-    With ``row_col`` also ``__row_kept``, that column of one row with the id ``__keep``."""
-    rows = keyed(docs.select(id_col, text_col, *([row_col] if row_col else [])), text_col, prefix_chars)
-    one_row = [F.max(F.struct(id_col, row_col))[row_col].alias("__row_kept")] if row_col else []
+    (length, prefix hash) keys that a text must have to belong to one (None when they are too many)."""
+    rows = keyed(docs.select(id_col, text_col), text_col, prefix_chars)
     lengths = _repeated(rows.select("__len"), ["__len"], "dedup-lengths")
     rows, _ = _prune(rows, lengths, broadcast_keys)
     prefixes = _repeated(rows.select("__len", "__prefix"), ["__len", "__prefix"], "dedup-prefixes")
     rows, small = _prune(rows, prefixes, broadcast_keys)
     groups = (
         rows.groupBy("__len", "__prefix", full_hash(text_col).alias("__full"))
-        .agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__rows"), *one_row)
+        .agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__rows"))
         .where("__rows > 1")
-        .drop("__len", "__prefix")
+        .select("__full", "__keep", "__rows")
     )
     return write_table(groups, "dedup-groups"), prefixes if small else None
 
@@ -102,25 +99,25 @@ def drop_duplicates(
     text_col: str = "text",
     prefix_chars: int = PREFIX_CHARS,
     broadcast_keys: int = BROADCAST_KEYS,
-    row_col: str | None = None,
+    one_row: bool = False,
 ) -> DataFrame:
     """The documents without their exact copies, all columns kept.
 
     Rows whose (length, prefix hash) does not repeat pass straight through; only candidates are joined. With
-    ``row_col``, a column that tells all rows apart, one row of each text stays; without it, all rows with the kept id.
+    ``one_row``, one row of each text stays; without it, all rows with the kept id.
     """
-    groups, prefixes = find_groups(docs, id_col, text_col, prefix_chars, broadcast_keys, row_col)
-    stays = F.col(row_col) == F.col("__row_kept") if row_col else F.col(id_col).eqNullSafe(F.col("__keep"))
+    groups, prefixes = find_groups(docs, id_col, text_col, prefix_chars, broadcast_keys)
     rows = keyed(docs, text_col, prefix_chars)
     own = [F.col(f"`{c}`") for c in docs.columns]
     candidates, single = rows, None
     if prefixes is not None:
         candidates = rows.join(F.broadcast(prefixes), ["__len", "__prefix"], "left_semi")
         single = rows.join(F.broadcast(prefixes), ["__len", "__prefix"], "left_anti").select(*own)
-    kept = (
-        candidates.withColumn("__own", full_hash(text_col))
-        .join(groups, F.col("__own") == F.col("__full"), "left")
-        .where(F.col("__full").isNull() | stays)
-        .select(*own)
-    )
+    joined = candidates.withColumn("__own", full_hash(text_col)).join(groups, F.col("__own") == F.col("__full"), "left")
+    if one_row:
+        alone = joined.where(F.col("__full").isNull()).select(*own)
+        tied = joined.where(F.col("__full").isNotNull() & F.col(id_col).eqNullSafe(F.col("__keep")))
+        kept = alone.unionByName(tied.dropDuplicates(["__full"]).select(*own))
+    else:
+        kept = joined.where(F.col("__full").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*own)
     return kept if single is None else single.unionByName(kept)
