@@ -44,15 +44,32 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_parts(df: DataFrame, name: str, column: str, values: list[int]) -> list[DataFrame]:
+    """Write ``df`` once and return a table for each of the values that an integer column takes; each can be dropped alone."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.partitionBy(column).parquet(path, compression="zstd")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    own = df.drop(column).schema
+    out = []
+    for value in values:
+        folder = f"{path}/{column}={value}"
+        at = fs_path(folder)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        out.append(spark.read.schema(own).parquet(folder) if there else spark.createDataFrame([], own))
+    return out
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete a table made by :func:`write_table` that no later plan reads."""
     spark = table.sparkSession

@@ -77,8 +77,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id() % 7 == 2)
-    model = katz.KatzModel(docs.where(~F.col("held_out")), least_bigram=1)
-    return model.score(docs, keep=["doc_id", "held_out"])
+    scored = katz.KatzModel(order=2).fit_and_score(docs, ~F.col("held_out"))
+    return scored.withColumn("held_out", ~F.col("in_training")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,75 +295,102 @@ def test_substring_repeated_rows(spark):
 # --- language model ---
 
 
-def test_katz(spark, mixed):
-    rows = [r for r in mixed if r[0] not in (600, 601)] + [(900, "unknown foo bar unheard")]
+class Brute:
+    """Katz backoff over dictionaries, checked to add up to one after every context of every length."""
+
+    def __init__(self, texts, order):
+        self.order, self.levels = order, []
+        for k in range(1, order + 1):
+            c = collections.Counter()
+            for t in texts:
+                w = [None] * (k - 1) + self.tokens(t)
+                c.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+            d = katz.discounts(collections.Counter(c.values()))
+            kept = collections.defaultdict(dict)
+            for g, n in c.items():
+                kept[g[:-1]][g[-1]] = n
+            p, alpha = {}, {}
+            for v, x in kept.items():
+                total, mass = sum(x.values()), sum(d.get(n, 1) * n for n in x.values())
+                times = 1 / (total + 1) if mass >= total * (1 - 1e-12) else 1 / total
+                for w, n in x.items():
+                    p[*v, w] = d.get(n, 1) * n * times
+                alpha[v] = (1 - mass * times) / ((1 - sum(self.p((*v[1:], w)) for w in x)) if k > 1 else 1)
+            self.levels.append((c, p, alpha))
+            words = {g[0] for g in self.levels[0][0]}
+            for v in kept:
+                assert math.isclose(sum(self.p((*v, w)) for w in words) + self.p((*v, "never seen")), 1, rel_tol=1e-9)
+
+    @staticmethod
+    def tokens(text):
+        return [*(text or "").encode().lower().split(), None]
+
+    def p(self, gram):
+        _, p, alpha = self.levels[len(gram) - 1]
+        if gram in p:
+            return p[gram]
+        return alpha.get(gram[:-1], 1) * (self.p(gram[1:]) if len(gram) > 1 else 1)
+
+    def row(self, text):
+        c = self.levels[0][0]
+        t, n, v = self.tokens(text), sum(c.values()), len(c)
+        padded = [None] * (self.order - 1) + t
+        score = sum(math.log10(self.p(tuple(padded[i : i + self.order]))) for i in range(len(t)))
+        return len(t), sum((w,) in c for w in t), n, sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in t), score
+
+
+def near(row, want):
+    return (row.n_tokens, row.n_known, row.train_tokens) == want[:3] and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip((row.base_score, row.score), want[3:], strict=True))
+
+
+@pytest.mark.parametrize(("order", "small"), [(1, False), (2, True), (3, False), (3, True), (4, True)])
+def test_katz(spark, mixed, monkeypatch, order, small):
+    if small:  # many parts
+        monkeypatch.setattr(katz, "PART_TOKENS", 40)
+    rows = [r for r in mixed if r[0] not in (600, 601, None, 7)] + [(900, "unknown foo bar unheard"), (901, "foo " * 3000)]
     df = docs(spark, rows)
-    train = df.where("doc_id is null or doc_id < 550")
-    model = katz.KatzModel(train)
-    got = {(r.doc_id, r.h): r for r in model.score(df.withColumn("h", F.md5(F.coalesce("text", F.lit("")))), keep=["doc_id", "h"]).collect()}
-    toks = lambda t: [*(t or "").encode().lower().split(), None]
-    u, b = collections.Counter(), collections.Counter()
+    model = katz.KatzModel(order)
+    got = {r.doc_id: r for r in model.fit_and_score(df, F.col("doc_id") < 550).collect()}
+    brute = Brute([t for i, t, *_ in rows if i < 550], order)
+    assert len(got) == len(rows)
     for r in rows:
-        if r[0] is None or r[0] < 550:
-            t = toks(r[1])
-            u.update(t)
-            b.update(zip([None, *t[:-1]], t, strict=True))
-    n, du, db = sum(u.values()), katz.discounts(collections.Counter(u.values())), katz.discounts(collections.Counter(b.values()))
-    mass = sum(du.get(c, 1) * c for c in u.values())
-    scale = 1 if mass < n * (1 - 1e-12) else n / (n + 1)
-    p = {w: scale * du.get(c, 1) * c / n for w, c in u.items()}
-    unknown = 1 - scale * mass / n
-    seen = collections.defaultdict(dict)
-    for (v, w), c in b.items():
-        if c >= 2:
-            seen[v][w] = db.get(c, 1) * c / u[v]
-    alpha = {}
-    for v, x in seen.items():
-        if sum(x.values()) >= 1 - 1e-12:
-            seen[v] = x = {w: q * u[v] / (u[v] + 1) for w, q in x.items()}
-        alpha[v] = (1 - sum(x.values())) / (1 - sum(p[w] for w in x))
-        everything = sum(x.values()) + alpha[v] * (unknown + sum(q for w, q in p.items() if w not in x))
-        assert math.isclose(everything, 1, rel_tol=1e-9)
-    for r in rows:
-        t = toks(r[1])
-        base = sum(math.log10((u[w] + 1) / (n + len(u) + 1)) for w in t)
-        score = sum(math.log10(seen[v][w]) if w in seen.get(v, {}) else math.log10(alpha.get(v, 1)) + math.log10(p.get(w, unknown)) for v, w in zip([None, *t[:-1]], t, strict=True))
-        o = got[r[0], hashlib.md5((r[1] or "").encode()).hexdigest()]
-        assert (o.n_tokens, o.n_known, o.train_tokens) == (len(t), sum(w in u for w in t), n)
-        assert math.isclose(o.base_score, base, rel_tol=1e-9) and math.isclose(o.score, score, rel_tol=1e-7)
+        assert near(got[r[0]], brute.row(r[1])) and got[r[0]].in_training == (r[0] < 550)
+    other = [(1, "Bar baz new words"), (2, None), (2, "qux qux"), (None, "foo")]
+    again = sorted(model.score(docs(spark, other)).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
+    assert all(near(r, brute.row(t)) for r, (_, t) in zip(again, other, strict=True))
 
 
-def test_katz_query_stores_all(spark, tmp_path):
-    """The registered query scores by every bigram of its training texts, those seen once too."""
+def test_katz_query(spark, tmp_path):
+    """The registered query: two words deep, from every bigram of its training texts, those seen once too."""
     rnd = random.Random(8)
-    rows = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randint(1, 6)))) for i in range(40)]
+    rows = [(i, " ".join(rnd.choices("abcdefghij", k=rnd.randint(1, 12)))) for i in range(60)]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op7_katz_scoring(spark, str(tmp_path)).collect()}
-    toks = lambda t: [*t.split(), None]
-    u, b = collections.Counter(), collections.Counter()
-    for i, t in rows:
-        if not got[i].held_out:
-            u.update(toks(t))
-            b.update(zip([None, *toks(t)[:-1]], toks(t), strict=True))
-    n, du, db = sum(u.values()), katz.discounts(collections.Counter(u.values())), katz.discounts(collections.Counter(b.values()))
-    assert 1 in b.values()
-    mass = sum(du.get(c, 1) * c for c in u.values())
-    scale = 1 if mass < n * (1 - 1e-12) else n / (n + 1)
-    p = {w: scale * du.get(c, 1) * c / n for w, c in u.items()}
-    seen = collections.defaultdict(dict)
-    for (v, w), c in b.items():
-        seen[v][w] = db.get(c, 1) * c / u[v]
-    for v, x in seen.items():
-        if sum(x.values()) >= 1 - 1e-12:
-            seen[v] = {w: q * u[v] / (u[v] + 1) for w, q in x.items()}
-    alpha = {v: (1 - sum(x.values())) / (1 - sum(p[w] for w in x)) for v, x in seen.items()}
-    for i, t in rows:
-        score = sum(math.log10(seen[v][w] if w in seen.get(v, {}) else alpha.get(v, 1) * p.get(w, 1 - scale * mass / n)) for v, w in zip([None, *toks(t)[:-1]], toks(t), strict=True))
-        assert math.isclose(got[i].score, score, rel_tol=1e-7)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 7 == 2) for i, _ in rows)
+    brute = Brute([t for i, t in rows if not got[i].held_out], 2)
+    assert all(near(got[i], brute.row(t)) for i, t in rows)
 
 
 def test_katz_empty(spark):
-    model = katz.KatzModel(docs(spark, []))
-    assert model.score(docs(spark, [])).count() == 0
+    model = katz.KatzModel()
+    assert model.fit_and_score(docs(spark, []), F.lit(True)).count() == 0
     r = model.score(docs(spark, [(1, "a b")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
+    r = katz.KatzModel().fit_and_score(docs(spark, [(1, "a b")]), F.lit(None).cast("boolean")).first()
+    assert (r.n_tokens, r.in_training, r.train_tokens, r.score) == (3, False, 0, 0.0)
+
+
+def test_katz_merge(monkeypatch):
+    """Parts are combined in steps and come out as if in one."""
+    monkeypatch.setattr(katz, "COMBINE", 10)
+    rnd = np.random.default_rng(1)
+    rows, want = [], collections.defaultdict(collections.Counter)
+    for part in (1, 4, 5):
+        for _ in range(30):
+            keys = np.unique(rnd.integers(0, 40, 8).astype(np.uint64))
+            n = rnd.integers(1, 5, len(keys))
+            rows.append((part, keys.tobytes(), n.tobytes()))
+            want[part].update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7], strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "n"]) for i in range(0, len(rows), 7)]
+    got = {p: dict(zip(k.tolist(), n.tolist(), strict=True)) for p, k, (n,) in katz._merge(iter(batches), [np.int64], [True])}
+    assert got == {p: dict(c) for p, c in want.items()}
