@@ -90,12 +90,12 @@ def blocks_with_bytes(texts: pa.Array, lower: bool, block_bytes: int = BLOCK_BYT
         a = b
 
 
-def runs(h: np.ndarray, n: int, step: int = 1) -> np.ndarray:
-    """Hashes of all runs of n consecutive entries, in order."""
+def runs(h: np.ndarray, n: int, factor: int = 0xD1342543DE82EF95) -> np.ndarray:
+    """Hashes of all runs of n consecutive entries, in order; other (odd) factors give other hashes."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for j in range(n):
-        out *= np.uint64(0xD1342543DE82EF95)
+        out *= np.uint64(factor)
         out += h[j : len(h) - n + 1 + j]
     return mix(out + np.uint64(n))

@@ -4,15 +4,21 @@ A window is ``WINDOW`` consecutive words of one document. A difference cover D o
 positions i and j a shift s < p such that i + s and j + s both lie in D modulo p. So two equal windows also share an
 anchor, a run of ``WINDOW - p + 1`` words that starts at a cover position in both documents, and only anchors at cover
 positions are hashed and shuffled (4 in 13). Anchors that occur twice are then extended: windows around them are
-hashed whole, and of equal windows all but the earliest are repeats. Every word that a repeat covers goes.
+hashed whole (128 bits), and of equal windows all but the earliest are repeats. Every word that a repeat covers goes.
+
+Documents are laid end to end in the order of their ids, and a word's place is its number in that row (leaving room for
+as many words as a text has bytes). So places are single numbers that tell both the document and the order, windows are
+sorted by their hash alone, and runs of repeats come together when sorted by place.
 
 Anchors that a bounded sketch shows to be very frequent count as repeated without being shuffled (a wrong guess
-costs work, not correctness), and a task sends only its earliest occurrence of a window, so a passage that very
-many documents share is combined before the shuffle. Runs of equal hashes are read as sorted streams.
+costs work, not correctness), and a block of about 2 MB of text sends only its earliest occurrence of a window, so a passage
+that very many documents share is combined before the shuffle. Sorted rows are read as streams, which hold one batch
+and the open row or document.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; null ids rank after all
 others; rows that repeat an id are ordered by a hash of the text, and rows that repeat both are one document
-written twice, which share one result; an empty table gives an empty result.
+written twice, which share one result; very long texts are a block of their own; an empty table gives an empty result.
+Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,6 +39,8 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 FREQUENT, LEAST_FREQUENT = 8, 256
+#: Fixed: the factor of a window's second hash.
+_SECOND = 0xF1357AEA2E62A9C5
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -99,16 +108,16 @@ def candidate_windows(h: np.ndarray, offsets: np.ndarray, marked: np.ndarray) ->
     return starts[(sums[starts + PERIOD] > sums[starts]) & (left[: len(starts)] >= WINDOW)]
 
 
-def _windows(counts, frequent: int, id_type: pa.DataType):
+def _windows(counts, frequent: int):
     """Candidate windows of texts with their repeated anchors: for each window content the earliest place in the
-    block, to be judged; and all later places, which are repeats already."""
+    block, to be judged (w, w2, place); and runs of later places, which are repeats already (w is null)."""
+    names = ["w", "w2", "start", "place", "n"]
 
     def run(batches):
         table = counts.value
         for batch in batches:
-            ids, keys, known = batch.column(0), batch.column(1).to_numpy(), batch.column(3)
-            order = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
-            for a, b, h, offsets in _words.blocks(batch.column(2), lower=False):
+            begins, known = batch.column(0).to_numpy(), batch.column(2)
+            for a, b, h, offsets in _words.blocks(batch.column(1), lower=False):
                 marked = np.zeros(len(h), bool)
                 own, text, place = anchors(h, offsets)
                 often = table[_sketch.cell(own, len(table))] >= frequent
@@ -116,102 +125,95 @@ def _windows(counts, frequent: int, id_type: pa.DataType):
                 part = known.slice(a, b - a)
                 values = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-                marked[np.repeat(offsets[:-1], sizes) + values] = True
+                inside = values < np.repeat(np.diff(offsets), sizes)  # rows of one hash are listed together
+                marked[(np.repeat(offsets[:-1], sizes) + values)[inside]] = True
                 starts = candidate_windows(h, offsets, marked)
                 if not len(starts):
                     continue
-                content = _words.runs(h, WINDOW)[starts].view(np.int64)
+                w, w2 = (_words.runs(h, WINDOW, *f)[starts].view(np.int64) for f in ((), (_SECOND,)))
                 text = np.searchsorted(offsets, starts, side="right") - 1
-                place = starts - offsets[text]
-                sort = np.lexsort((place, keys[a + text], order[a + text], content))
-                content, text, place = content[sort], text[sort], place[sort]
-                first = np.concatenate([[True], content[1:] != content[:-1]])
-                head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-                later = ~first & ((keys[a + text] != keys[a + text[head]]) | (place != place[head]))
-                t, p = text[first], place[first]
-                k = len(t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(content[first]), ids.take(pa.array(a + t)).cast(id_type), pa.array(keys[a + t]), pa.array(p.astype(np.int32)), pa.nulls(k, pa.list_(pa.int32()))],
-                    names=["w", "id", "k", "pos", "repeats"],
-                )
+                begin = begins[a + text]
+                place = begin + starts - offsets[text]
+                sort, head, first = _earliest(w, w2, place)
+                w, w2, begin, place = w[sort], w2[sort], begin[sort], place[sort]
+                later = ~first & (place != place[head])
+                n = int(first.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(w2[first]), pa.array(begin[first]), pa.array(place[first]), pa.array(np.ones(n, np.int32))], names=names)
                 if later.any():
-                    t, p = text[later], place[later]
-                    sort = np.lexsort((p, t))
-                    t, p = t[sort], p[sort]
-                    texts, at = np.unique(t, return_index=True)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(t)]]).astype(np.int32)), pa.array(p.astype(np.int32)))
-                    k = len(texts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.array(keys[a + texts]), pa.nulls(k, pa.int32()), lists], names=["w", "id", "k", "pos", "repeats"]
-                    )
+                    sort = np.argsort(place[later])
+                    begin, place = begin[later][sort], place[later][sort]
+                    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1] + 1]))
+                    n = np.diff(np.append(at, len(place))).astype(np.int32)
+                    nothing = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(begin[at]), pa.array(place[at]), pa.array(n)], names=names)
 
     return run
 
 
+def _earliest(w: np.ndarray, w2: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by content and then place; for each row of it the first of its content, and which are first."""
+    sort = np.lexsort((place, w))
+    same = w[sort][1:] == w[sort][:-1]
+    if (same & (w2[sort][1:] != w2[sort][:-1])).any():
+        sort = np.lexsort((place, w2, w))
+        same = (w[sort][1:] == w[sort][:-1]) & (w2[sort][1:] == w2[sort][:-1])
+    first = np.concatenate([[True], ~same])
+    return sort, np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)), first
+
+
 def _judge(batches):
-    """Over windows sorted by content and then place: all places but the first of each content; lists of known
-    repeats pass through. Holds one batch and one row."""
-    head = None
+    """Over windows sorted by w: all places but the earliest of each content; known repeats pass through. Holds one batch
+    and the earliest places of the contents with the last w."""
+    held = None
     for batch in batches:
         known = pc.is_null(batch.column("w"))
-        lists = batch.filter(known)
-        if lists.num_rows:
-            yield pa.RecordBatch.from_arrays([lists.column("k"), lists.column("repeats")], names=["k", "repeats"])
+        passed = batch.filter(known)
+        if passed.num_rows:
+            yield passed.select(["start", "place", "n"])
         rows = batch.filter(pc.invert(known))
         if not rows.num_rows:
             continue
-        w, k, pos = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("w", "k", "pos"))
-        if head is not None:
-            w, k, pos = (np.concatenate([[v], c]) for v, c in zip(head, (w, k, pos), strict=True))
-        first = np.concatenate([[True], w[1:] != w[:-1]])
-        at = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        later = ~first & ((k != k[at]) | (pos != pos[at]))
-        if later.any():
-            n = int(later.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(pos[later].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(k[later].astype(np.int64)), lists], names=["k", "repeats"])
-        head = (w[at[-1]], k[at[-1]], pos[at[-1]])
+        w, w2, begin, place = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("w", "w2", "start", "place"))
+        if held is not None:
+            w, w2, begin, place = (np.concatenate(c) for c in zip(held, (w, w2, begin, place), strict=True))
+        sort, head, first = _earliest(w, w2, place)
+        w, w2, begin, place = w[sort], w2[sort], begin[sort], place[sort]
+        later = ~first & (place != place[head])
+        n = int(later.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(begin[later]), pa.array(place[later]), pa.array(np.ones(n, np.int32))], names=["start", "place", "n"])
+        last = first & (w == w[-1])
+        held = w[last], w2[last], begin[last], place[last]
 
 
 def _gather(batches):
-    """Over lists sorted by k: one list per k. Holds one batch and the lists of one document."""
-    key, held = None, []
+    """Over runs of repeated windows sorted by place: the words that they cover, as ranges, a row for each document. Holds one
+    batch and the ranges of one document."""
+    held = None
 
-    def out(keys, offsets, values):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], names=["k", "starts"])
+    def out(begin, lo, hi):
+        at = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1]]))
+        offsets = pa.array(np.append(at, len(begin)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array((x - begin).astype(np.int32))) for x in (lo, hi)]
+        return pa.RecordBatch.from_arrays([pa.array(begin[at]), *lists], names=["start", "from", "to"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, lists = batch.column(0).to_numpy(), batch.column(1)
-        values = lists.flatten()
-        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-        if key is not None and k[0] != key:
-            whole = pa.concat_arrays(held)
-            yield out([key], np.array([0, len(whole)]), whole)
-            held = []
-        elif key is not None and len(starts) > 1:
-            whole = pa.concat_arrays([*held, values.slice(0, int(offsets[starts[1]]))])
-            yield out([key], np.array([0, len(whole)]), whole)
-            held, starts = [], starts[1:]
-        if len(starts) > 1:
-            bounds = offsets[starts]
-            yield out(k[starts[:-1]], bounds - bounds[0], values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])))
-        key = k[-1]
-        held.append(values.slice(int(offsets[starts[-1]])))
-    if key is not None:
-        whole = pa.concat_arrays(held)
-        yield out([key], np.array([0, len(whole)]), whole)
-
-
-def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
-    """Which words the windows at these starts cover."""
-    change = np.zeros(n_words + 1, np.int64)
-    starts = np.unique(starts)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + WINDOW, n_words), -1)
-    return np.cumsum(change[:-1]) > 0
+        begin, lo, n = (batch.column(c).to_numpy() for c in range(3))
+        hi = lo + n + (WINDOW - 1)
+        if held is not None:
+            begin, lo, hi = (np.concatenate(c) for c in zip(held, (begin, lo, hi), strict=True))
+        # no range reaches the next document's first place, so one running maximum serves all
+        reach = np.maximum.accumulate(hi)
+        at = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
+        begin, lo, hi = begin[at], lo[at], reach[np.append(at[1:], len(reach)) - 1]
+        done = int(np.searchsorted(begin, begin[-1]))  # documents come in the order of their first places
+        if done:
+            yield out(begin[:done], lo[:done], hi[:done])
+        held = begin[done:], lo[done:], hi[done:]
+    if held is not None:
+        yield out(*held)
 
 
 def _cut(id_type: pa.DataType):
@@ -221,18 +223,15 @@ def _cut(id_type: pa.DataType):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n_words, n_removed, removed, kept = [], [], [], []
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, lo, hi in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     n_words.append(len(words))
-                    if starts:
-                        gone = covered(np.array(starts, np.int64), len(words))
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                        removed.append([{"from": int(x), "to": int(y)} for x, y in edges])
-                        n_removed.append(int(gone.sum()))
-                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    else:
-                        removed.append([])
-                        n_removed.append(0)
+                    ranges = list(zip(lo or [], hi or [], strict=True))
+                    removed.append([{"from": x, "to": y} for x, y in ranges])
+                    n_removed.append(sum(y - x for x, y in ranges))
+                    if ranges:
+                        edges = [0, *(e for r in ranges for e in r), len(words)]
+                        words = [w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in words[x:y]]
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.string())],
@@ -242,6 +241,34 @@ def _cut(id_type: pa.DataType):
     return run
 
 
+def _in_order(batches):
+    """Of documents sorted by id: the room that those before them in this task take up."""
+    before, task = 0, TaskContext.get().partitionId()
+    for batch in batches:
+        room = batch.column("room").to_numpy()
+        ends = before + np.cumsum(room)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("k"), pa.array(ends - room), pa.array(np.full(len(room), task, np.int32)), pa.array(ends)], names=["__id", "k", "before", "task", "upto"])
+        before = int(ends[-1]) if len(ends) else before
+
+
+def first_places(rows: DataFrame, partitions: int) -> DataFrame:
+    """(__id, k, start): each document's first place. The driver sums one number per task."""
+    id_sql = rows.schema["__id"].dataType.simpleString()
+    sizes = rows.groupBy("__id", "k").agg(F.max(F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long") + 1).alias("room"))
+    sizes = write_table(sizes, "repeat-sizes")
+    order = [F.col("__id").asc_nulls_last(), F.col("k").asc()]
+    ordered = sizes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    placed = write_table(ordered.mapInArrow(_in_order, f"__id {id_sql}, k long, before long, task int, upto long"), "repeat-order")
+    drop_table(sizes)
+    ends = {r["task"]: r["n"] for r in placed.groupBy("task").agg(F.max("upto").alias("n")).collect()}
+    sums, at = [], 0
+    for task in sorted(ends):
+        sums.append((task, at))
+        at += ends[task]
+    offsets = rows.sparkSession.createDataFrame(sums, "task int, offset long")
+    return placed.join(F.broadcast(offsets), "task").select("__id", "k", (F.col("before") + F.col("offset")).alias("start"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_words``, ``n_removed``, ``removed`` (word ranges, end exclusive) and
     ``kept_text``, the words that stay joined by one space."""
@@ -255,19 +282,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for _, _, h, offsets in _words.blocks(batch.column(0), lower=False):
             yield anchors(h, offsets)[0]
 
+    def with_text(table: DataFrame, *columns: str) -> DataFrame:
+        other = table.select(F.col("__id").alias("__other"), F.col("k").alias("__k"), *columns)
+        return rows.join(other, (F.col("k") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__other")), "left")
+
     counts = _sketch.build(rows.select("__text"), anchor_hashes)
     frequent = max(LEAST_FREQUENT, int(FREQUENT * counts.mean()))
     shared = spark.sparkContext.broadcast(counts)
     found = rows.select("k", "__text").mapInArrow(_anchor_rows(shared, frequent), "h long, k long, pos int")
     found = found.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(_repeated, "k long, pos int")
     repeated = write_table(found.groupBy("k").agg(F.collect_list("pos").alias("places")), "repeat-anchors")
-    joined = rows.join(repeated, "k", "left").select("__id", "k", "__text", "places")
-    windows = joined.mapInArrow(_windows(shared, frequent, kind), f"w long, id {id_sql}, k long, pos int, repeats array<int>")
-    windows = windows.repartition(partitions, F.coalesce("w", "k")).sortWithinPartitions(F.col("w"), F.col("id").asc_nulls_last(), F.col("k"), F.col("pos"))
-    judged = windows.mapInArrow(_judge, "k long, repeats array<int>")
-    gathered = judged.repartition(partitions, "k").sortWithinPartitions("k").mapInArrow(_gather, "k long, starts array<int>")
-    repeats = write_table(gathered, "repeat-windows")
+    starts = first_places(rows, partitions)
+    listed = write_table(starts.join(repeated, "k", "left"), "repeat-listed")
     drop_table(repeated)
-    out = rows.join(repeats, "k", "left").select("__id", "__text", "starts")
+    windows = with_text(listed, "start", "places").select("start", "__text", "places")
+    windows = windows.mapInArrow(_windows(shared, frequent), "w long, w2 long, start long, place long, n int")
+    windows = windows.repartition(partitions, F.coalesce("w", "start")).sortWithinPartitions("w")
+    judged = windows.mapInArrow(_judge, "start long, place long, n int")
+    gathered = judged.repartition(partitions, "start").sortWithinPartitions("place")
+    gathered = write_table(gathered.mapInArrow(_gather, "start long, from array<int>, to array<int>"), "repeat-ranges")
+    ranges = gathered.join(listed.select("__id", "k", "start"), "start")
+    out = with_text(ranges, "from", "to").select("__id", "__text", "from", "to")
     out = out.mapInArrow(_cut(kind), f"__id {id_sql}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept_text string")
     return out.withColumnRenamed("__id", id_col)

@@ -292,6 +292,34 @@ def test_substring_repeated_rows(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_substring_streams(size):
+    """Windows whose first hashes agree are told apart by the second, however the rows fall into batches."""
+    rnd = np.random.default_rng(3)
+    n = 400
+    w, w2, place = rnd.integers(0, 30, n), rnd.integers(0, 3, n), rnd.integers(0, 200, n)
+    order = np.argsort(w)
+    w, w2, place = w[order], w2[order], place[order]
+    begin = place // 50 * 50
+    batches = lambda cols, names: (pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=names) for i in range(0, len(cols[0]), size))
+    got = [(s, p) for b in substring_dedup._judge(batches((w, w2, begin, place, np.ones(n, np.int32)), ["w", "w2", "start", "place", "n"])) for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    least = {}
+    for key, p in sorted(zip(zip(w.tolist(), w2.tolist(), strict=True), place.tolist(), strict=True)):
+        least.setdefault(key, p)
+    want = {p for key, p in zip(zip(w.tolist(), w2.tolist(), strict=True), place.tolist(), strict=True) if p != least[key]}
+    assert {p for _, p in got} == want and all(s == p // 50 * 50 for s, p in got)
+    runs = np.array(sorted({(s * 10, s * 10 + p % 50, k) for (s, p), k in zip(got, rnd.integers(1, 9, len(got)).tolist(), strict=True)}), np.int64)
+    ranges = {}
+    for b in substring_dedup._gather(batches((runs[:, 0], runs[:, 1], runs[:, 2].astype(np.int32)), ["start", "place", "n"])):
+        for s, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert s not in ranges
+            ranges[s] = [x for a, z in zip(lo, hi, strict=True) for x in range(a, z)]
+    cover = collections.defaultdict(set)
+    for s, p, k in runs.tolist():
+        cover[s] |= set(range(p - s, p - s + k + 19))
+    assert ranges == {s: sorted(c) for s, c in cover.items()}
+
+
 # --- language model ---
 
 
