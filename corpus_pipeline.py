@@ -25,9 +25,10 @@ LEAST_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, F.lit(True))
-    found = langid.predict(docs, model, docs.columns, names=("__lang", "__score"))
-    kept = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])  # no name of theirs meets one of ours
+    found = langid.predict(numbered, model, numbered.columns, text_col=f"c{docs.columns.index('text')}", names=("pred", "score"))
+    kept = found.where((F.col("pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[(F.coalesce(f"c{i}", "pred") if c == "lang" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +37,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by a 64-bit hash of id and text, which repeats for exact copies only (dropped before)."""
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    groups = ngram_join.near_duplicate_components(rows, id_col="__row").select("__row", "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
-    stay = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least["__row"].alias("__stay"))
-    return rows.join(stay, F.col("__row") == F.col("__stay"), "left_semi").drop("__row")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    groups = ngram_join.near_duplicate_components(rows, id_col="key").select("key", "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    stay = groups.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(least["key"].alias("stay"))
+    return rows.join(stay, F.col("key") == F.col("stay"), "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from skeinlog.llm._memory import cleared_after_tasks
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 BLOCK_BYTES = 1 << 21
@@ -23,6 +25,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _POWERS: dict[str, np.ndarray] = {}
+cleared_after_tasks(_POWERS.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

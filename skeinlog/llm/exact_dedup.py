@@ -1,14 +1,15 @@
 """Exact de-duplication by progressive refinement: length, then prefix hash, then full hash.
 
-Each level keeps only the keys that more than one row has. A key table whose size has been counted and is
-within ``broadcast_keys`` is broadcast, so that the scan of the texts itself prunes: the prefix is hashed only
-for rows whose length repeats, and the whole text is hashed only for rows whose (length, prefix hash) repeats.
-A larger key table is not broadcast; the next level then runs over all rows that the previous one left, and the
-grouping itself separates them. No text is ever shuffled to find the groups.
+Each level keeps only the keys that more than one row has, and the next level looks at nothing else: prefixes are
+compared only among rows whose length repeats, and a whole text is hashed only if its (length, prefix hash) repeats. The
+first two levels run on narrow rows, without the texts. A key table whose size has been counted and is within
+``broadcast_keys`` is broadcast, so that the scan of the texts prunes as it goes; a larger one is joined by a shuffle
+on the keys. The rows that go on are the same.
 
 Defined results: a null text counts as empty; a null id never wins against a number; rows that repeat both id
 and text are one document written twice, so they share one answer (``kept`` is true for each of them when their id
-is the largest); an empty table gives an empty result.
+is the largest); very long texts are hashed whole; an empty table gives an empty result. Other columns may have any
+names: the operator's own stand beside the documents' rows, not among their columns.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from skeinlog.llm._tables import write_table
 
 PREFIX_CHARS = 256
 BROADCAST_KEYS = 200_000
+_KEYS = ["__len", "__prefix"]
 
 
 def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -27,11 +29,22 @@ def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return write_table(counted.where("__n > 1").select(*keys), name)
 
 
-def _prune(rows: DataFrame, keys: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """Rows whose key repeats, if the keys are few enough to broadcast; else all rows."""
-    if keys.limit(most + 1).count() > most:
-        return rows, False
-    return rows.join(F.broadcast(keys), keys.columns, "left_semi"), True
+def _hinted(keys: DataFrame, most: int) -> DataFrame:
+    """A table of keys, to be broadcast if it has been counted to have few rows."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys.hint("merge")
+
+
+def full_hash(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """Whole rows as ``__row`` beside their id and the keys of the first two levels."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(
+        F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"),
+        F.octet_length(text).alias("__len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("__prefix"),
+    )
 
 
 def find_groups(
@@ -40,32 +53,21 @@ def find_groups(
     text_col: str = "text",
     prefix_chars: int = PREFIX_CHARS,
     broadcast_keys: int = BROADCAST_KEYS,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Groups of equal texts with more than one row: ``(__full, __keep, __rows)``, and the broadcastable
-    (length, prefix hash) keys that a text must have to belong to one (None when they are too many)."""
-    rows = keyed(docs.select(id_col, text_col), text_col, prefix_chars)
-    lengths = _repeated(rows.select("__len"), ["__len"], "dedup-lengths")
-    rows, _ = _prune(rows, lengths, broadcast_keys)
-    prefixes = _repeated(rows.select("__len", "__prefix"), ["__len", "__prefix"], "dedup-prefixes")
-    rows, small = _prune(rows, prefixes, broadcast_keys)
+) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal texts with more than one row, ``(__full, __keep, __rows)``, and the (length, prefix hash) keys that
+    a text must have to belong to one."""
+    rows = _keyed(docs, id_col, text_col, prefix_chars)
+    lengths = _repeated(rows, ["__len"], "dedup-lengths")
+    narrow = rows.select(*_KEYS).join(_hinted(lengths, broadcast_keys), ["__len"], "left_semi")
+    prefixes = _hinted(_repeated(narrow, _KEYS, "dedup-prefixes"), broadcast_keys)
     groups = (
-        rows.groupBy("__len", "__prefix", full_hash(text_col).alias("__full"))
-        .agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__rows"))
+        rows.select("__id", "__text", *_KEYS).join(prefixes, _KEYS, "left_semi")
+        .groupBy(*_KEYS, full_hash(F.col("__text")).alias("__full"))
+        .agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__rows"))
         .where("__rows > 1")
         .select("__full", "__keep", "__rows")
     )
-    return write_table(groups, "dedup-groups"), prefixes if small else None
-
-
-def keyed(docs: DataFrame, text_col: str, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns(
-        {"__len": F.octet_length(text), "__prefix": F.xxhash64(F.substring(text, 1, prefix_chars))}
-    )
-
-
-def full_hash(text_col: str) -> Column:
-    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return write_table(groups, "dedup-groups"), prefixes
 
 
 def exact_dedup(
@@ -81,14 +83,14 @@ def exact_dedup(
     rows is split by the adaptive skew join; only ids and hashes move.
     """
     groups, _ = find_groups(docs, id_col, text_col, prefix_chars, broadcast_keys)
-    narrow = docs.select(F.col(id_col), full_hash(text_col).alias("text_sha256"))
+    narrow = docs.select(F.col(id_col).alias("__id"), full_hash(F.col(text_col)).alias("text_sha256"))
     joined = narrow.join(groups, F.col("text_sha256") == F.col("__full"), "left")
-    keep = F.when(F.col("__full").isNull(), F.col(id_col)).otherwise(F.col("__keep"))
+    keep = F.when(F.col("__full").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return joined.select(
-        F.col(id_col),
+        F.col("__id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("__rows", F.lit(1)).cast("long").alias("group_size"),
-        F.col(id_col).eqNullSafe(keep).alias("kept"),
+        F.col("__id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
 
@@ -103,21 +105,18 @@ def drop_duplicates(
 ) -> DataFrame:
     """The documents without their exact copies, all columns kept.
 
-    Rows whose (length, prefix hash) does not repeat pass straight through; only candidates are joined. With
+    Rows whose (length, prefix hash) does not repeat pass straight through; only candidates are hashed whole and joined. With
     ``one_row``, one row of each text stays; without it, all rows with the kept id.
     """
     groups, prefixes = find_groups(docs, id_col, text_col, prefix_chars, broadcast_keys)
-    rows = keyed(docs, text_col, prefix_chars)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    candidates, single = rows, None
-    if prefixes is not None:
-        candidates = rows.join(F.broadcast(prefixes), ["__len", "__prefix"], "left_semi")
-        single = rows.join(F.broadcast(prefixes), ["__len", "__prefix"], "left_anti").select(*own)
-    joined = candidates.withColumn("__own", full_hash(text_col)).join(groups, F.col("__own") == F.col("__full"), "left")
+    rows = _keyed(docs, id_col, text_col, prefix_chars)
+    single = rows.join(prefixes, _KEYS, "left_anti").select("__row")
+    candidates = rows.join(prefixes, _KEYS, "left_semi").withColumn("__own", full_hash(F.col("__text")))
+    joined = candidates.join(groups, F.col("__own") == F.col("__full"), "left")
+    largest = F.col("__id").eqNullSafe(F.col("__keep"))
     if one_row:
-        alone = joined.where(F.col("__full").isNull()).select(*own)
-        tied = joined.where(F.col("__full").isNotNull() & F.col(id_col).eqNullSafe(F.col("__keep")))
-        kept = alone.unionByName(tied.dropDuplicates(["__full"]).select(*own))
+        alone = joined.where(F.col("__full").isNull()).select("__row")
+        kept = alone.unionByName(joined.where(F.col("__full").isNotNull() & largest).dropDuplicates(["__full"]).select("__row"))
     else:
-        kept = joined.where(F.col("__full").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*own)
-    return kept if single is None else single.unionByName(kept)
+        kept = joined.where(F.col("__full").isNull() | largest).select("__row")
+    return single.unionByName(kept).select("__row.*")

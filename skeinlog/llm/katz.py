@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from skeinlog.llm import _words
+from skeinlog.llm._memory import released
 from skeinlog.llm._tables import drop_table, write_parts, write_table
 
 ORDER = 3
@@ -421,7 +422,7 @@ class KatzModel:
 
     def _by_part(self, rows: DataFrame, run: Callable, schema: str, *order: str) -> DataFrame:
         partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(partitions, "part").sortWithinPartitions("part", *order).mapInArrow(run, schema)
+        return rows.repartition(partitions, "part").sortWithinPartitions("part", *order).mapInArrow(released(run), schema)
 
     def _slices(self, length: int) -> int:
         return self.slices if length > 1 else 1
@@ -440,10 +441,10 @@ class KatzModel:
         self.counts[length] = []
         shorter = self._logp(length - 1) if length > 1 else None
         for part in range(self._slices(length)):
-            found = blocks.mapInArrow(_count(length, self.bits, part, self._slices(length), shorter), _SUMS)
+            found = blocks.mapInArrow(released(_count(length, self.bits, part, self._slices(length), shorter)), _SUMS)
             counts, made = write_parts(self._by_part(found, _add_counts, _COUNTED), f"lm-counts-{length}-{part}", "kind", [0, 1])
             if length > 1:
-                added = made.select("n", "context", "q").mapInArrow(_sum_contexts(self.bits), _CONTEXT_SCHEMA)
+                added = made.select("n", "context", "q").mapInArrow(released(_sum_contexts(self.bits)), _CONTEXT_SCHEMA)
                 sums.append(_write(self._by_part(added, _add_sums, _CONTEXT_SCHEMA), f"lm-context-sums-{length}-{part}"))
             drop_table(made)
             own = counts.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(len(totals))]).first()
@@ -471,8 +472,8 @@ class KatzModel:
         nothing, out = F.lit(None).cast("binary"), []
         parts = self._slices(length)
         for part in range(parts):
-            doubles = self.counts[length][part].mapInArrow(_as_doubles, "part long, keys binary, x binary")
-            asked = blocks.mapInArrow(_ask(length, self.bits, part, parts), _ASKED).unionByName(
+            doubles = self.counts[length][part].mapInArrow(released(_as_doubles), "part long, keys binary, x binary")
+            asked = blocks.mapInArrow(released(_ask(length, self.bits, part, parts)), _ASKED).unionByName(
                 doubles.select("part", F.lit(-2).cast("long").alias("block"), F.lit(_COUNTS).alias("kind"), "keys", "x", nothing.alias("y"))
             )
             if length > 1:
@@ -513,7 +514,7 @@ class KatzModel:
         binary = [T.StructField(n, T.BinaryType()) for n in ("words", "codes", "known", "logp")]
         lists = [("ids", rows.schema["id"].dataType), ("train", T.BooleanType()), ("lengths", T.IntegerType())]
         schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.ArrayType(t)) for n, t in lists), *binary])
-        return _write(rows.mapInArrow(_blocks(to_arrow_type(rows.schema["id"].dataType), to_arrow_schema(schema)), schema), "lm-blocks")
+        return _write(rows.mapInArrow(released(_blocks(to_arrow_type(rows.schema["id"].dataType), to_arrow_schema(schema))), schema), "lm-blocks")
 
     def fit_and_score(self, docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Learn from the rows that ``training`` admits and score all: id, in_training, n_tokens, n_known, train_tokens,

@@ -7,22 +7,28 @@ the rest) is solved on it. At prediction a batch of texts becomes a 0/1 matrix o
 matrix products give all kernel values and all scores.
 
 The fit uses a bounded, hash-chosen sample: at most ``per_lang`` texts a language, ``max_sample`` in all, none over
-``max_train_chars``. Prediction reads whole texts and nothing else of a row.
+``max_train_chars``. The number of texts of each language sets a threshold on a hash of id and text, so that only about
+twice the texts that are needed leave the scan. Prediction reads whole texts and nothing else of a row.
 
-Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text when nothing could be learned.
+Defined results: a null text, or one without any letter (Unicode category L), is ``und`` with score 0; so is every text
+when nothing could be learned. Languages that score alike go to the first by name. Repeated rows are predicted
+each and drawn once. Very long texts are predicted from all of their n-grams. An empty table gives no model and no rows.
+Other columns may have any names but those of the two that are added.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlog.llm._memory import cleared_after_tasks, released
+
 PER_LANG = 150
 MAX_SAMPLE = 2000
 MAX_TRAIN_CHARS = 50_000
@@ -32,7 +38,7 @@ RIDGE = 0.01
 SHARPNESS = 6.0
 UNKNOWN = "und"
 _CODES = 256 + 65536 + 16777216
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codes(text: str) -> np.ndarray:
@@ -49,22 +55,30 @@ class Model:
     landmarks: np.ndarray  # vocabulary x landmarks, 0/1
     weights: np.ndarray  # landmarks x languages
 
-    def presence(self, texts: list[str]) -> np.ndarray:
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The vocabulary's n-grams in each text (0/1), and the size of each text's whole set."""
         flags = _flags()
-        out = np.zeros((len(texts), len(self.vocabulary)), np.float32)
+        out, sizes = np.zeros((len(texts), len(self.vocabulary)), np.float32), np.zeros(len(texts))
         for i, text in enumerate(texts):
-            own = codes(text)
+            own = np.unique(codes(text))
+            sizes[i] = len(own)
             flags[own] = 1
             out[i] = flags[self.vocabulary]
             flags[own] = 0
-        return out
+        return out, sizes
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = self.presence(texts)
-        return kernel(x, self.landmarks) @ self.weights
+        return self.kernel(*self.presence(texts)) @ self.weights
+
+    def kernel(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Shared n-grams over the root of the product of the set sizes; the vocabulary holds all n-grams of the landmarks."""
+        own = np.sqrt(np.maximum(sizes, 1))[:, None]
+        other = np.sqrt(np.maximum(self.landmarks.sum(0, dtype=np.float64), 1))[None, :]
+        return (x @ self.landmarks) / (own * other)
 
 
 _FLAGS: list[np.ndarray] = []
+cleared_after_tasks(_FLAGS.clear)
 
 
 def _flags() -> np.ndarray:
@@ -73,13 +87,6 @@ def _flags() -> np.ndarray:
     return _FLAGS[0]
 
 
-def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Shared n-grams, normalised; x: texts x vocabulary, landmarks: vocabulary x landmarks."""
-    own = np.sqrt(np.maximum(x.sum(1, dtype=np.float64), 1))[:, None]
-    other = np.sqrt(np.maximum(landmarks.sum(0, dtype=np.float64), 1))[None, :]
-    return (x @ landmarks) / (own * other)
-
-
 def fit(texts: list[str], langs: list[str], ridge: float = RIDGE, per_lang: int = LANDMARKS_PER_LANG, most: int = MAX_LANDMARKS) -> Model:
     """texts in an order of preference; the first of each language become its landmarks."""
     names = sorted(set(langs))
@@ -89,19 +96,15 @@ def fit(texts: list[str], langs: list[str], ridge: float = RIDGE, per_lang: int
         if taken[lang] < each:
             taken[lang] += 1
             chosen.append(i)
-    counts: dict[int, int] = {}
-    for i in chosen:
-        for c in np.unique(codes(texts[i])).tolist():
-            counts[c] = counts.get(c, 0) + 1
-    least = 2 if len(chosen) > 2 * len(names) else 1
-    vocabulary = np.array(sorted(c for c, n in counts.items() if n >= least), np.int64)
+    vocabulary = np.unique(np.concatenate([codes(texts[i]) for i in chosen])).astype(np.int64)
     model = Model(names, vocabulary, np.zeros((len(vocabulary), 0), np.float32), np.zeros((0, len(names))))
-    model.landmarks = np.ascontiguousarray(model.presence([texts[i] for i in chosen]).T)
-    inner = kernel(model.landmarks.T, model.landmarks)
+    marks, sizes = model.presence([texts[i] for i in chosen])
+    model.landmarks = np.ascontiguousarray(marks.T)
+    inner = model.kernel(marks, sizes)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     fine = values > 1e-8 * max(values.max(initial=0), 1e-12)
     root = vectors[:, fine] / np.sqrt(values[fine])
-    features = np.concatenate([kernel(model.presence(texts[i : i + 256]), model.landmarks) @ root for i in range(0, len(texts), 256)])
+    features = np.concatenate([model.kernel(*model.presence(texts[i : i + 256])) @ root for i in range(0, len(texts), 256)])
     wanted = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in langs])
     # each language's regression weighs its own and the other texts alike
     solved = []
@@ -115,16 +118,21 @@ def fit(texts: list[str], langs: list[str], ridge: float = RIDGE, per_lang: int
 
 
 def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_sample: int, max_chars: int) -> DataFrame:
-    """At most per_lang rows of each language and max_sample in all, chosen by hash; two limits, so that no
-    language's rows meet in one task."""
-    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(7))
+    """At most per_lang rows of each language and max_sample in all, those with the least hashes of id and text.
+
+    A language's share of the hash range is about twice what it needs; the rows in it are the only ones that are moved.
+    """
+    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
     rows = docs.where(allowed & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
     rows = rows.select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
-    order = ["h", "text"]
-    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy(*order)
-    rows = rows.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_lang)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_lang)
-    return rows.orderBy("r", "lang").limit(max_sample)
+    # few languages in number: no more than there can be rows in the sample
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy("lang").limit(max_sample)
+    share = F.least(F.lit(1.0), (2.0 * per_lang + 100) / F.col("n"))
+    bounds = sizes.select(F.col("lang").alias("__lang"), (-(2.0**63) + share * 2.0**64).alias("__most"))
+    few = rows.join(F.broadcast(bounds), (F.col("lang") == F.col("__lang")) & (F.col("h").cast("double") <= F.col("__most")))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.where(F.col("r") <= per_lang).orderBy("r", "lang").limit(max_sample)
 
 
 def train(
@@ -143,12 +151,12 @@ def train(
     return fit([t for t, _ in rows], [n for _, n in rows]) if rows else None
 
 
-def _predict(model: Model | None, sharpness: float, names: tuple[str, str], batch_rows: int = 128):
+def _predict(model: Model | None, sharpness: float, names: tuple[str, str], text_at: int, kept: int, batch_rows: int = 128):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(text_at).to_pylist()
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 lettered = [i for i, t in enumerate(texts) if t is not None and model is not None and _LETTER.search(t)]
                 if lettered:
@@ -158,10 +166,9 @@ def _predict(model: Model | None, sharpness: float, names: tuple[str, str], batc
                     best = p.argmax(1)
                     for i, j, q in zip(lettered, best.tolist(), p[np.arange(len(best)), best].tolist(), strict=True):
                         langs[i], scores[i] = model.langs[j], q
-                kept = part.schema.names[:-1]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(kept))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*kept, *names],
+                    [*(part.column(i) for i in range(kept)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*part.schema.names[:kept], *names],
                 )
 
     return run
@@ -178,6 +185,8 @@ def predict(
     """The columns ``keep`` of every row with the predicted language and its score; a map over the rows, no shuffle."""
     from pyspark.sql import types as T
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(_predict(model, sharpness, names), schema)
+    own = [F.col(f"`{c}`") for c in keep]
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*own, *([F.col(text_col).alias("__text")] if text_at == len(keep) else []))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(released(_predict(model, sharpness, names, text_at, len(keep))), schema)

@@ -165,16 +165,16 @@ def mix_documents(
         own(id_col).alias("__id"), own(source_col).alias("__source"), F.col("size").alias("__size"),
         *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "full_copies", "cut_words", "supply", "ramp")],
     ).dropDuplicates(["__id", "__source", "__size"])
-    rows = docs.withColumn("__words", count_words(own(text_col))).join(
-        plan,
-        own(id_col).eqNullSafe(F.col("__id")) & own(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")),
+    whole_rows = docs.select(F.struct("*").alias("__row"), own(text_col).alias("__text"), own(id_col).alias("__own_id"), own(source_col).alias("__own_source"), count_words(own(text_col)).alias("__words"))
+    rows = whole_rows.join(
+        plan, F.col("__own_id").eqNullSafe(F.col("__id")) & F.col("__own_source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     )
     last = F.col("__full_copies") - F.when(F.col("__cut_words") > 0, 0).otherwise(1)
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     at = _time(F.col("__copy") * F.col("__source_size") + F.col("__supply"), F.col("__target"), F.col("__ramp"))
     uncut = F.lit(whole) | (F.col("__copy") < F.col("__full_copies")) | (F.col("__cut_words") == F.col("__words"))
-    text = F.when(uncut, own(text_col)).otherwise(first_words(own(text_col), F.col("__cut_words").cast("int")))
-    rows = rows.withColumns({"__position": at, text_col: text})
+    text = F.when(uncut, F.col("__text")).otherwise(first_words(F.col("__text"), F.col("__cut_words").cast("int")))
+    rows = rows.withColumns({"__position": at, "__text": text})
     n = [partitions] if partitions else []
     ordered = rows.repartitionByRange(*n, "__position", "__source", "__id").sortWithinPartitions("__position", "__source", "__id")
-    return ordered.select(*[own(c) for c in docs.columns])
+    return ordered.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns])

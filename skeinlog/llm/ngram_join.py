@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.llm import _sketch, _words
 from skeinlog.llm._graph import components
+from skeinlog.llm._memory import released
 from skeinlog.llm._tables import drop_table, write_table
 
 SHINGLE = 5
@@ -314,7 +315,7 @@ class _Join:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = self.docs.schema[0].dataType
-        members = self.docs.mapInArrow(_members(n, to_arrow_type(kind)), f"__id {kind.simpleString()}, n long, sid long, mark binary")
+        members = self.docs.mapInArrow(released(_members(n, to_arrow_type(kind))), f"__id {kind.simpleString()}, n long, sid long, mark binary")
         self.members = write_table(members, "ngram-members")
         nodes = self.members.where("sid is not null").groupBy("sid")
         self.nodes = write_table(nodes.agg(F.min("__id").alias("least"), F.max("n").alias("n"), F.max("mark").alias("mark")), "ngram-nodes")
@@ -325,7 +326,7 @@ class _Join:
         both = pairs.join(marks.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("mark").alias("x")), "a").join(
             marks.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("mark").alias("y")), "b"
         )
-        return write_table(both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(_suffix_filter(self.percent), "a long, b long"), "ngram-filtered")
+        return write_table(both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(released(_suffix_filter(self.percent)), "a long, b long"), "ngram-filtered")
 
     def settle(self, pairs: DataFrame) -> bool:
         """Verify candidate pairs (a written table) as far as they can join components; whether any did.
@@ -375,13 +376,13 @@ class _Join:
         few = picks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         side = F.broadcast(picks) if few else picks
         texts = self.docs.join(side, F.col("__id").eqNullSafe(F.col("__pick"))).select("__text", "sid")
-        sets = write_table(texts.mapInArrow(_sets(self.n), "sid long, grams binary").dropDuplicates(["sid"]), "ngram-sets")
+        sets = write_table(texts.mapInArrow(released(_sets(self.n)), "sid long, grams binary").dropDuplicates(["sid"]), "ngram-sets")
         both = (
             pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
             .join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
             .select("a", "b", "x", "y")
         )
-        links = write_table(both.mapInArrow(_verify(self.percent), "a long, b long"), "ngram-links")
+        links = write_table(both.mapInArrow(released(_verify(self.percent)), "a long, b long"), "ngram-links")
         drop_table(sets)
         drop_table(picks)
         return links
@@ -406,10 +407,10 @@ class _Join:
         frequent = max(LEAST_FREQUENT, int(FREQUENT * counts.mean()))
         # each Python worker holds a copy, so the cells are as narrow as they can be
         shared = self.spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-        entries = texts.mapInArrow(_postings(n, shared, frequent, percent), "h long, sid long, n int, pos int, salt int")
+        entries = texts.mapInArrow(released(_postings(n, shared, frequent, percent)), "h long, sid long, n int, pos int, salt int")
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = entries.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
-        found = write_table(ordered.mapInArrow(_stream(percent, True), _CANDIDATES), "ngram-candidates")
+        found = write_table(ordered.mapInArrow(released(_stream(percent, True)), _CANDIDATES), "ngram-candidates")
         lists = found.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos")
         done = write_table(found.where("h is null").select("a", "b").distinct(), "ngram-pairs")
         more = self.settle(done)
@@ -432,7 +433,7 @@ class _Join:
                 break
             shuffled = rows.withColumn("order", F.xxhash64("sid", F.lit(width)))
             ordered = shuffled.repartition(partitions, "h").sortWithinPartitions("h", "order")
-            fresh = ordered.mapInArrow(_neighbours(percent, width), "a long, b long").distinct()
+            fresh = ordered.mapInArrow(released(_neighbours(percent, width)), "a long, b long").distinct()
             fresh = write_table(fresh.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
             lists = rows.select("h", "sid", "n", "pos")  # components only merge, so no other list can be mixed again
             more = self.settle(fresh)

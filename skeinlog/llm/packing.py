@@ -13,6 +13,7 @@ an empty result. A text with the tokenizer's special strings gets the ids the to
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlog.llm._memory import released
 from skeinlog.llm._tables import write_table
 
 CAPACITY = 2048
@@ -137,11 +139,23 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether a vocabulary file is byte-level with the usual split, unnormalised, and ranks its merges by their ids; then
+    merging by rank gives the ids that the ``tokenizers`` library gives."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or odd or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    return all(x < y for x, y in zip([max(model["vocab"].get(c, -1) for c in _byte_of()), *made], made, strict=False)) and all(c in model["vocab"] for c in _byte_of())
+
+
 class Encoder:
-    """Ids of a byte-level vocabulary file (JSON of the ``tokenizers`` library).
+    """Ids of a vocabulary file (JSON of the ``tokenizers`` library).
 
-    The vocabulary's merges run in ``tiktoken``, which gives the same ids several times faster. Texts that hold
-    one of the file's added strings are left to ``tokenizers`` itself.
+    The merges of a plain byte-level vocabulary run in ``tiktoken``, which gives the same ids several times faster. Texts
+    that hold one of the file's added strings, and files of other kinds, are left to ``tokenizers`` itself.
     """
 
     #: Fixed: the split pattern of byte-level vocabularies.
@@ -149,22 +163,34 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path, self._exact, self._fast = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        byte_of = _byte_of()
-        ranks = {
-            bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added
-        }
-        self.fast = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if is_plain(spec):
+            byte_of = _byte_of()
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
+            self._fast = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @property
+    def exact(self):
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact
 
     def ids(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
+        if self._fast is None or any(a in text for a in self.added):
             return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        return self._fast.encode_ordinary(text)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -175,7 +201,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenize(tokenizer: str, capacity: int, keep_ids: bool, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).ids
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
@@ -183,7 +209,7 @@ def _tokenize(tokenizer: str, capacity: int, keep_ids: bool, id_type: pa.DataTyp
                 piece = batch.slice(at, 256)
                 names, out = ["__id", "piece", "start", "length", "ids_crc32", "__part", "__rank", "ids"], []
                 for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encoder.ids(text or ""), END_ID], np.uint32)
+                    ids = np.array([*encode(text or ""), END_ID], np.uint32)
                     for i, (start, n) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + n].astype("<u4")
                         rank = seen.get(n, 0)
@@ -229,7 +255,7 @@ def pack_documents(
 
     kind = to_arrow_type(id_field.dataType)
     pieces = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    pieces = write_table(pieces.mapInArrow(_tokenize(tokenizer, capacity, keep_ids, kind), schema), "packing-pieces")
+    pieces = write_table(pieces.mapInArrow(released(_tokenize(tokenizer, capacity, keep_ids, kind)), schema), "packing-pieces")
     counts = write_table(pieces.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("__n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     plan = plan_packing(histogram, capacity)
@@ -238,4 +264,4 @@ def pack_documents(
     columns = ["__id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
     ranked = pieces.join(offsets, ["__part", "length"]).select(*columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
     out_schema = f"__id {id_field.dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, {'ids array<int>, ' if keep_ids else ''}sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan, kind), out_schema).withColumnRenamed("__id", id_col)
+    return ranked.mapInArrow(released(_place(plan, kind)), out_schema).withColumnRenamed("__id", id_col)

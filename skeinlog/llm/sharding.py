@@ -4,20 +4,22 @@ Arrivals are written as small immutable shard files. Compaction looks at sizes:
 same power of ``fanout`` form a tier; when a tier has ``fanout`` files or more, they are merged in order of arrival
 into files of about ``target_bytes``. A merge group is read and written by one task, without a shuffle. A version
 becomes visible when its manifest is renamed into place, and a rename never replaces an existing manifest, so of two
-writers one fails and nothing is lost. Readers open the files of the newest manifest only; ``vacuum`` removes
-files that it doesn't name.
+writers one loses; it then tries again on top of the other's version. Readers open the files of one manifest. ``vacuum``
+removes the files that none of the newest ``retain`` manifests names, if they are older than a grace period, in which
+a writer may still commit them.
 
-The driver handles file names and sizes, never rows. Defined results: rows are kept as they are (nulls, repeats,
-extra columns); an empty arrival adds no shard; an empty store reads as no rows of its schema.
+The driver handles file names and sizes, never rows. Defined results: rows are kept as they are (nulls, repeats, very long
+texts, extra columns of any name); an empty arrival adds no shard; an empty store reads as no rows of its schema.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,9 @@ UNIT_BYTES = 1 << 20
 FANOUT = 4
 GROUPS_PER_JOB = 64
 ARRIVALS = 8
+#: Versions that a vacuum leaves readable, and how old a file must be to go, in seconds.
+RETAIN, GRACE_S = 2, 86_400.0
+ATTEMPTS = 10
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,13 @@ class Shard:
     merges: int
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 class ConcurrentCommit(RuntimeError):
     """Another writer committed this version first."""
 
@@ -109,25 +121,40 @@ class ShardStore:
 
     # --- writing ---
 
+    def _add(self, new: list[Shard], schema: T.StructType) -> int:
+        """Commit new shards on top of the newest version, behind its arrivals; a writer that loses a race tries again."""
+        for attempt in range(ATTEMPTS):
+            base = self.version()
+            shards, have = self.manifest(base)
+            if have is not None and [(f.name, f.dataType) for f in have] != [(f.name, f.dataType) for f in schema]:
+                raise ValueError("the arrival's columns differ from the store's")
+            arrival = 1 + max((s.arrival for s in shards), default=-1)
+            try:
+                return self._commit(base, shards + [replace(s, arrival=arrival) for s in new], schema)
+            except ConcurrentCommit:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
     def append(self, rows: DataFrame, arrival_col: str | None = None) -> int:
-        """Add rows as new shards. With ``arrival_col`` (integers), the rows of each arrival get shards of their
-        own, in one job; that column is not stored."""
-        base = self.version()
-        shards, schema = self.manifest(base)
+        """Add rows as new shards. With ``arrival_col`` (integers from 0), the files of all arrivals are written in one job, and
+        each arrival is committed as a version of its own, in order; that column is not stored."""
         own = T.StructType([f for f in rows.schema if f.name != arrival_col])
-        if schema is not None and [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in own]:
-            raise ValueError("the arrival's columns differ from the store's")
-        name = f"data/{base + 1:08d}-{uuid.uuid4().hex}"
-        first = 1 + max((s.arrival for s in shards), default=-1)
-        writer = rows.write
-        if arrival_col:
-            writer = rows.withColumn("__arrival", F.col(arrival_col).cast("int")).drop(arrival_col).write.partitionBy("__arrival")
-        writer.parquet(f"{self.path}/{name}")
-        folders = [(name, first)] if not arrival_col else [(f"{name}/{d}", first + int(d.split("=")[1])) for d in self._dirs(name) if d.split("=")[1].isdigit()]
-        if arrival_col and any(not d.split("=")[1].isdigit() for d in self._dirs(name)):
-            raise ValueError("an arrival number is null or negative")
-        new = [Shard(f"{folder}/{file}", size, arrival, 0) for folder, arrival in folders for file, size in self._list(folder)]
-        return self._commit(base, shards + new, own)
+        name = f"data/{uuid.uuid4().hex}"
+        if not arrival_col:
+            rows.write.parquet(f"{self.path}/{name}")
+            folders = [name]
+        else:
+            number = free_name("arrival", rows.columns)
+            rows.withColumn(number, F.col(arrival_col).cast("int")).drop(arrival_col).write.partitionBy(number).parquet(f"{self.path}/{name}")
+            values = {d: d.split("=")[1] for d in self._dirs(name)}
+            if any(not v.isdigit() for v in values.values()):
+                raise ValueError("an arrival number is null or negative")
+            folders = [f"{name}/{d}" for d in sorted(values, key=lambda d: int(values[d]))]
+        version = self.version()
+        for folder in folders or [name]:
+            version = self._add([Shard(f"{folder}/{file}", size, 0, 0) for file, size in self._list(folder)], own)
+        return version
 
     def tier(self, size: int) -> int:
         return 0 if size <= UNIT_BYTES else 1 + int(math.log(size / UNIT_BYTES, self.fanout))
@@ -152,7 +179,9 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self) -> int:
-        """Merge until no tier is full; each pass is committed before the next."""
+        """Merge until no tier is full; each pass is committed before the next. What other writers have appended in the
+        meantime stays; if they have merged the same files, this pass counts for nothing and the next begins anew."""
+        attempts = 0
         while True:
             base = self.version()
             shards, schema = self.manifest(base)
@@ -163,7 +192,7 @@ class ShardStore:
             for at in range(0, len(groups), GROUPS_PER_JOB):
                 batch = groups[at : at + GROUPS_PER_JOB]
                 parts = [self.spark.read.schema(schema).parquet(*[f"{self.path}/{s.file}" for s in g]).coalesce(1) for g in batch]
-                name = f"data/{base + 1:08d}-{uuid.uuid4().hex}"
+                name = f"data/{uuid.uuid4().hex}"
                 with self._separate_unions():
                     reduce(DataFrame.union, parts).write.parquet(f"{self.path}/{name}")
                 # part files are numbered by partition, and partition i is group i
@@ -171,7 +200,16 @@ class ShardStore:
                     g = batch[int(file.split("-")[1])]
                     new.append(Shard(f"{name}/{file}", size, min(s.arrival for s in g), 1 + max(s.merges for s in g)))
             gone = {s.file for g in groups for s in g}
-            self._commit(base, [s for s in shards if s.file not in gone] + new, schema)
+            while gone <= {s.file for s in shards}:
+                try:
+                    self._commit(base, [s for s in shards if s.file not in gone] + new, schema)
+                    break
+                except ConcurrentCommit:
+                    attempts += 1
+                    if attempts >= ATTEMPTS:
+                        raise
+                    base = self.version()
+                    shards, schema = self.manifest(base)
 
     @contextmanager
     def _separate_unions(self):
@@ -184,18 +222,21 @@ class ShardStore:
         finally:
             self.spark.conf.set(name, before)
 
-    def vacuum(self) -> int:
-        """Delete data files that the newest manifest doesn't name, and older manifests; returns how many files went."""
-        version = self.version()
-        named = {s.file for s in self.manifest(version)[0]}
+    def vacuum(self, retain: int = RETAIN, grace_s: float = GRACE_S) -> int:
+        """Delete the manifests before the newest ``retain``, and data files that none of these names and that are older than
+        the grace period; returns how many data files went."""
+        before = time.time() * 1000 - grace_s * 1000
+        kept = [int(n[1:-5]) for n, _ in self._list("manifest") if n.startswith("v")][-max(1, retain) :]
+        named = {s.file for v in kept for s in self.manifest(v)[0]}
         fs, gone = self._fs(), 0
         for top in self._dirs("data"):
             for folder in (f"data/{top}", *[f"data/{top}/{d}" for d in self._dirs(f"data/{top}")]):
                 for file, _ in self._list(folder):
-                    if f"{folder}/{file}" not in named:
-                        gone += bool(fs.delete(self._path(f"{folder}/{file}"), False))
+                    at = self._path(f"{folder}/{file}")
+                    if f"{folder}/{file}" not in named and fs.getFileStatus(at).getModificationTime() <= before:
+                        gone += bool(fs.delete(at, False))
         for n, _ in self._list("manifest"):
-            if n.startswith("v") and int(n[1:-5]) < version:
+            if n.startswith("v") and int(n[1:-5]) < min(kept, default=0):
                 fs.delete(self._path(f"manifest/{n}"), False)
         return gone
 
@@ -213,10 +254,10 @@ class ShardStore:
 
 
 def shard_documents(docs: DataFrame, path: str, id_col: str = "doc_id", arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:
-    """Append ``docs`` as ``arrivals`` arrivals, compact, and remove what is no longer named."""
+    """Append ``docs`` as ``arrivals`` arrivals, a version each; compact; and remove what no retained version names."""
     store = ShardStore(docs.sparkSession, path, target_bytes, fanout)
-    number = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(arrivals))
-    store.append(docs.withColumn("__arrival_no", number), "__arrival_no")
+    number = free_name("arrival_no", docs.columns)
+    store.append(docs.withColumn(number, F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(arrivals))), number)
     store.compact()
     store.vacuum()
     return store

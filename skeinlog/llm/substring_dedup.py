@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinlog.llm import _sketch, _words
+from skeinlog.llm._memory import released
 from skeinlog.llm._tables import drop_table, write_table
 
 WINDOW = 20
@@ -258,7 +259,7 @@ def first_places(rows: DataFrame, partitions: int) -> DataFrame:
     sizes = write_table(sizes, "repeat-sizes")
     order = [F.col("__id").asc_nulls_last(), F.col("k").asc()]
     ordered = sizes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    placed = write_table(ordered.mapInArrow(_in_order, f"__id {id_sql}, k long, before long, task int, upto long"), "repeat-order")
+    placed = write_table(ordered.mapInArrow(released(_in_order), f"__id {id_sql}, k long, before long, task int, upto long"), "repeat-order")
     drop_table(sizes)
     ends = {r["task"]: r["n"] for r in placed.groupBy("task").agg(F.max("upto").alias("n")).collect()}
     sums, at = [], 0
@@ -289,19 +290,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = _sketch.build(rows.select("__text"), anchor_hashes)
     frequent = max(LEAST_FREQUENT, int(FREQUENT * counts.mean()))
     shared = spark.sparkContext.broadcast(counts)
-    found = rows.select("k", "__text").mapInArrow(_anchor_rows(shared, frequent), "h long, k long, pos int")
-    found = found.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(_repeated, "k long, pos int")
+    found = rows.select("k", "__text").mapInArrow(released(_anchor_rows(shared, frequent)), "h long, k long, pos int")
+    found = found.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(released(_repeated), "k long, pos int")
     repeated = write_table(found.groupBy("k").agg(F.collect_list("pos").alias("places")), "repeat-anchors")
     starts = first_places(rows, partitions)
     listed = write_table(starts.join(repeated, "k", "left"), "repeat-listed")
     drop_table(repeated)
     windows = with_text(listed, "start", "places").select("start", "__text", "places")
-    windows = windows.mapInArrow(_windows(shared, frequent), "w long, w2 long, start long, place long, n int")
+    windows = windows.mapInArrow(released(_windows(shared, frequent)), "w long, w2 long, start long, place long, n int")
     windows = windows.repartition(partitions, F.coalesce("w", "start")).sortWithinPartitions("w")
-    judged = windows.mapInArrow(_judge, "start long, place long, n int")
+    judged = windows.mapInArrow(released(_judge), "start long, place long, n int")
     gathered = judged.repartition(partitions, "start").sortWithinPartitions("place")
-    gathered = write_table(gathered.mapInArrow(_gather, "start long, from array<int>, to array<int>"), "repeat-ranges")
+    gathered = write_table(gathered.mapInArrow(released(_gather), "start long, from array<int>, to array<int>"), "repeat-ranges")
     ranges = gathered.join(listed.select("__id", "k", "start"), "start")
     out = with_text(ranges, "from", "to").select("__id", "__text", "from", "to")
-    out = out.mapInArrow(_cut(kind), f"__id {id_sql}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept_text string")
+    out = out.mapInArrow(released(_cut(kind)), f"__id {id_sql}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept_text string")
     return out.withColumnRenamed("__id", id_col)

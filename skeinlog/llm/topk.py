@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlog.llm._memory import released
 from skeinlog.llm._tables import write_table
 
 QUERY_BLOCK = 4096
@@ -177,7 +178,7 @@ def exact_top_k(
         block = block.combine_chunks()
         ids = block.column(0).to_numpy()
         column = block.column(1).chunk(0) if block.column(1).num_chunks else pa.array([], pa.list_(pa.int64()))
-        found = rows.mapInArrow(_search(ids, as_matrix(column), k), schema)
+        found = rows.mapInArrow(released(_search(ids, as_matrix(column), k)), schema)
         after = int(ids[-1])
         last = len(ids) < query_block
         parts.append(found if last and not parts else write_table(_merge(found, k), "topk-block"))

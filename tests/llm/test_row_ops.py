@@ -44,6 +44,31 @@ def test_exact(spark, limit):
     assert collections.Counter((r.doc_id, r.text or "") for r in kept.collect()) == expect
 
 
+def test_exact_prunes(spark, monkeypatch):
+    """Beyond the broadcast bound too, only rows whose length and prefix repeat are hashed whole."""
+    seen = []
+    monkeypatch.setattr(exact_dedup, "write_table", lambda df, name: seen.append((name, df.count(), df._jdf.queryExecution().toString())) or df.cache())
+    rows = [(i, "x" * i) for i in range(50)] + [(100 + i, f"{i:03d} same length") for i in range(20)] + [(200, "twice"), (201, "twice")]
+    for limit in (0, 1000):
+        seen.clear()
+        groups, prefixes = exact_dedup.find_groups(docs(spark, rows), broadcast_keys=limit)
+        assert [(n, c) for n, c, _ in seen] == [("dedup-lengths", 2), ("dedup-prefixes", 1), ("dedup-groups", 1)]
+        assert ("BroadcastHashJoin" in seen[2][2].split("== Physical Plan ==")[1]) == (limit > 0) and "LeftSemi" in seen[2][2]
+
+
+def test_own_names(spark):
+    """Columns of the names that the operators use inside come back as they were."""
+    names = ["__len", "__prefix", "__row", "__id", "__text", "__full", "__keep", "__own", "__arrival", "__arrival_no", "__lang", "__score", "__row_key", "__stay", "__words"]
+    base = docs(spark, [(1, "one two three"), (2, "one two three"), (3, "another text here"), (4, "so much more text here")])
+    df = base.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    want = {r.doc_id: r for r in df.collect()}
+    kept = exact_dedup.drop_duplicates(df).collect()
+    assert {r.doc_id for r in kept} == {2, 3, 4} and all(r == want[r.doc_id] for r in kept)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "").collect()
+        assert out and all(r.asDict() == want[r.doc_id].asDict() for r in out), name
+
+
 def test_exact_empty(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
     assert exact_dedup.drop_duplicates(docs(spark, [])).count() == 0
@@ -204,14 +229,59 @@ def test_sharding(spark, tmp_path):
     assert read(None) == read(first) == collections.Counter(rows)
     assert {r[0] for r in store.read(file_col="__f").select("__f").distinct().collect()} == {s.file for s in after}
     # the first shards go, and what a first pass of merges made and a second merged again
-    assert store.vacuum() >= len(before) - len({s.file for s in after} & {s.file for s in before}) and read(None) == collections.Counter(rows)
-    assert store.vacuum() == 0
+    assert store.vacuum() == 0  # all of it is younger than the grace period
+    assert store.vacuum(retain=1, grace_s=0) >= len(before) - len({s.file for s in after} & {s.file for s in before}) and read(None) == collections.Counter(rows)
+    assert store.vacuum(retain=1, grace_s=0) == 0
     with pytest.raises(sharding.ConcurrentCommit):
         store._commit(store.version() - 1, after, df.schema)
     with pytest.raises(ValueError):
         store.append(df.select("doc_id"))
 
 
+def test_sharding_versions(spark, tmp_path):
+    """One version an arrival; rows of whatever column names; retained versions stay readable."""
+    df = docs(spark, [(i, f"t{i}") for i in range(40)]).withColumn("__arrival", F.lit("mine")).withColumn("batch", F.pmod("doc_id", F.lit(5)))
+    store = sharding.ShardStore(spark, str(tmp_path / "v"), target_bytes=60_000, fanout=3)
+    store.append(df, "batch")
+    assert store.version() == 5
+    assert [store.read(v).count() for v in range(1, 6)] == [8, 16, 24, 32, 40]
+    assert {r["__arrival"] for r in store.read().collect()} == {"mine"}
+    store.compact()
+    newest = store.version()
+    store.vacuum(retain=2, grace_s=0)
+    assert store.read(newest).count() == store.read(newest - 1).count() == 40
+    with pytest.raises(Exception, match="v00000001"):
+        store.read(1)
+
+
+def test_sharding_races(spark, tmp_path):
+    """Another writer's uncommitted files survive a vacuum, and a writer that lost a race commits on top of the winner."""
+    path = str(tmp_path / "r")
+    one, two = (sharding.ShardStore(spark, path, target_bytes=60_000, fanout=2) for _ in range(2))
+    part = lambda a: docs(spark, [(i, f"t{i}") for i in range(a, a + 20)])
+    one.append(part(0))
+    commit, lost = two._commit, []
+
+    def late(base, shards, schema):  # between this writer's files and its commit, the other one appends and cleans up
+        if not lost:
+            lost.append(1)
+            one.append(part(100))
+            one.vacuum(retain=1)
+        return commit(base, shards, schema)
+
+    two._commit = late
+    two.append(part(200))
+    assert one.read().count() == 60 and one.version() == 3
+    lost.clear()
+    two.compact()
+    assert one.read().count() == 80 and len({s.file for s in one.manifest()[0]}) == len(one.manifest()[0])
+    fail = sharding.ShardStore(spark, path)
+    fail._commit = lambda *_: (_ for _ in ()).throw(sharding.ConcurrentCommit("always"))
+    with pytest.raises(sharding.ConcurrentCommit):
+        fail.append(part(300))
+    assert one.read().count() == 80
+
+
 def test_sharding_all(spark, tmp_path):
     store = sharding.shard_documents(docs(spark, [(i, "t") for i in range(50)]), str(tmp_path / "a"), arrivals=3)
     assert store.read(file_col="__f").count() == 50

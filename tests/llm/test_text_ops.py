@@ -109,6 +109,54 @@ def test_packing(spark, mixed):
     assert len(bins) <= 1.02 * math.ceil(sum(r.length for r in got) / 256) + 1
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= sizes[i] and rooms[j] not in rooms[:j]:
+                rooms[j] -= sizes[i]
+                place(i + 1, rooms)
+                rooms[j] += sizes[i]
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9))
+def test_plan_near_least(sizes):
+    plan = packing.plan_packing(collections.Counter(sizes), 30)
+    used = int(max((r[3] + (r[2] - 1) // r[4] + 1 for r in plan), default=0))
+    least = fewest(sorted(sizes, reverse=True), 30)
+    assert least <= used <= least + 1
+
+
+def test_other_vocabularies(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.is_plain(spec)
+    text = "Some text, déjà vu 123"
+    want = packing.Encoder(tokenizer_path()).exact.encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(tokenizer_path()).ids(text) == want
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        own = packing.Encoder(str(tmp_path / "v.json"))
+        assert not packing.is_plain(spec | change) and own.ids(text) == own.exact.encode(text, add_special_tokens=False).ids != want
+    merges = spec["model"]["merges"]
+    assert not packing.is_plain(spec | {"model": spec["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}})
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(docs(spark, []), tokenizer_path()).count() == 0
 
@@ -184,18 +232,39 @@ def test_langid(spark):
     texts, langs = ["aaa bbb", "aab bba", "xyz zyx", "zzy yxx"], ["a", "a", "x", "x"]
     m = langid.fit(texts, langs, per_lang=2)
     assert (m.scores(texts).argmax(1) == [0, 0, 1, 1]).all()
-    grams = [{t.encode()[i : i + k] for k in (1, 2, 3) for i in range(len(t) - k + 1)} for t in texts]
-    x = m.presence(texts)
-    assert np.allclose(langid.kernel(x, m.landmarks)[0, 0], 1) and int(x[0] @ x[1]) == len(grams[0] & grams[1])
+    assert len(m.vocabulary) == len(set().union(*map(spectrum, texts)))
+
+
+def spectrum(text):
+    b = text.lower().encode()
+    return {b[i : i + k] for k in (1, 2, 3) for i in range(len(b) - k + 1)}
+
+
+def test_langid_kernel():
+    """With many landmarks a language too, the kernel is that of the whole blended spectrum."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(5, 40))) for letters in ("abcde ", "stuvé ") for _ in range(30)]
+    model = langid.fit(texts, ["x"] * 30 + ["y"] * 30, per_lang=24)
+    marks = [t for i in (0, 30) for t in texts[i : i + 24]]
+    assert model.landmarks.shape[1] == 48
+    others = [*texts[-3:], "zzz qqq abc", "ABCDE"]
+    want = [[len(spectrum(t) & spectrum(u)) / math.sqrt(len(spectrum(t)) * len(spectrum(u))) for u in marks] for t in others]
+    assert np.allclose(model.kernel(*model.presence(others)), want, rtol=1e-6)
+
+
+def test_langid_sample(spark):
+    rows = [(i, f"text {i}", "a") for i in range(3000)] + [(i, f"text {i}", "b") for i in range(5)] + [(9, "same", "c")] * 500 + [(None, None, "a"), (1, "long" * 100, "a")]
+    got = collections.Counter(r.lang for r in langid.sample(docs(spark, rows), F.lit(True), "doc_id", "text", "lang", 40, 100, 100).collect())
+    assert got == {"a": 40, "b": 5, "c": 1}
 
 
 def test_langid_edges(spark, mixed):
-    df = docs(spark, [*mixed, (800, "123 !?"), (801, None)])
+    df = docs(spark, [*mixed, (800, "123 !?"), (801, None), (802, "½ ²")])
     out = {r.doc_id: r for r in langid.predict(df, langid.train(df, F.lit(True)), ["doc_id", "score"], names=("p", "q")).collect()}
-    assert out[800].p == out[801].p == out[602].p == "und" and out[800].q == 0 and out[600].p == "en"
+    assert out[800].p == out[801].p == out[802].p == out[602].p == "und" and out[800].q == 0 and out[600].p == "en"
     assert langid.train(docs(spark, []), F.lit(True)) is None
     none = langid.predict(df, None, ["doc_id"]).collect()
-    assert len(none) == len(mixed) + 2 and {r.lang_pred for r in none} == {"und"}
+    assert len(none) == len(mixed) + 3 and {r.lang_pred for r in none} == {"und"}
 
 
 # --- secrets ---
