@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from skeinlog.llm import _words
+from skeinlog.llm._exchange import answer, by_part, distinct, merge, row_of, sliced, within
 from skeinlog.llm._memory import released
 from skeinlog.llm._tables import drop_table, write_parts, write_table
 
@@ -53,8 +54,6 @@ PART_TOKENS = 1_000_000
 BLOCK_BYTES = 1 << 22
 #: Ranges of parts, a power of two.
 SLICES = 4
-#: A part's rows are combined whenever this many entries have come together.
-COMBINE = 1_000_000
 #: The hash of the end mark.
 END = np.uint64(0x5851F42D4C957F2D)
 _FACTOR = np.uint64(0xD1342543DE82EF95)
@@ -126,22 +125,6 @@ class Block:
         return keys, own[at], own, which, context
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values in order, a place of each, and which of them stands at each place."""
-    order = np.argsort(values)
-    ordered = values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    which = np.empty(len(values), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return ordered[new], order[new], which
-
-
-def within(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
-    """Which keys lie in one of ``parts`` (a power of two) ranges of hashes."""
-    return keys >> np.uint64(65 - parts.bit_length()) == np.uint64(part) if parts > 1 else np.ones(len(keys), bool)
-
-
 def _blocks(id_type: pa.DataType, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -163,16 +146,6 @@ def _blocks(id_type: pa.DataType, schema: pa.Schema):
     return run
 
 
-def _sliced(keys: np.ndarray, bits: int, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
-    """Sorted keys cut into the parts they belong to (their highest bits): part numbers, and the columns in slices."""
-    parts, starts = np.unique(keys >> np.uint64(64 - bits), return_index=True)
-    out = []
-    for c in columns:
-        offsets = (np.append(starts, len(c)) * c.itemsize).astype(np.int32)
-        out.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(c))]))
-    return parts.astype(np.int64), out
-
-
 # --- counting ---------------------------------------------------------------------------------------------
 
 _SUMS = "part long, keys binary, a binary, b binary, c binary"
@@ -194,55 +167,19 @@ def _count(length: int, bits: int, part: int, parts: int, shorter: Callable):
                 columns = [keys[own], n[own].astype(np.int64)]
                 if length > 1:
                     columns += [context[at[own]], shorter(block)[block.level(length - 1)[3][at[own]]]]
-                numbers, cells = _sliced(keys[own], bits, columns)
+                numbers, cells = sliced(keys[own], bits, columns)
                 cells += [pa.array([b""] * len(numbers), pa.binary())] * (4 - len(cells))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), *cells], names=["part", "keys", "a", "b", "c"])
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch], kinds: list, summed: list[bool]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """Over rows sorted by part: each part's distinct keys, with their columns summed or taken from the first row. Holds one part."""
-    part, kept, size = None, [], 0
-
-    def combined():
-        keys, *columns = (np.concatenate(c) for c in zip(*kept, strict=True))
-        u, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        out = []
-        for c, kind, add in zip(columns, kinds, summed, strict=True):
-            if len(c) == len(keys):
-                c = np.bincount(which, weights=c, minlength=len(u)).astype(kind) if add else c[first]
-            out.append(c)
-        return u, *out
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            p = batch.column(0)[i].as_py()
-            if part is not None and p != part:
-                u, *columns = combined()
-                yield part, u, columns
-                kept, size = [], 0
-            part = p
-            kept.append(tuple(np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate([np.uint64, *kinds], 1)))
-            size += len(kept[-1][0])
-            if size > COMBINE + 2 * len(kept[0][0]) and len(kept) > 1:
-                kept = [combined()]
-                size = len(kept[0][0])
-    if part is not None:
-        u, *columns = combined()
-        yield part, u, columns
-
-
-def _row(part: int, arrays: list[np.ndarray], *more: pa.Array, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays), *more], names=names)
-
-
 _COUNTED = "kind int, part long, keys binary, n binary, context binary, q binary, stats array<long>"
 
 
 def _add_counts(batches):
     """Two rows for each part: its n-grams with their counts (kind 0), and what their contexts are made of (kind 1)."""
-    for part, keys, (n, context, q) in _merge(batches, [np.int64, np.uint64, np.float64], [True, False, False]):
+    for part, keys, (n, context, q) in merge(batches, [np.int64, np.uint64, np.float64], [True, False, False]):
         stats = [int(n.sum()), len(n), *(int((n == r).sum()) for r in range(1, GT_MOST + 2))]
         cell = lambda a: a.tobytes()
         rows = [(0, 1), (part, part), (cell(keys), None), (cell(n), cell(n)), (None, cell(context)), (None, cell(q)), (stats, None)]
@@ -264,15 +201,15 @@ def _sum_contexts(bits: int):
                 n, context, q = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate((np.int64, np.uint64, np.float64)))
                 keys, _, which = distinct(context)
                 columns = [np.bincount(which, weights=w, minlength=len(keys)) for w in (n, *(n == r for r in range(1, GT_MOST + 1)), 10.0**q)]
-                numbers, cells = _sliced(keys, bits, [keys, *columns])
+                numbers, cells = sliced(keys, bits, [keys, *columns])
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), *cells], names=["part", "keys", *(f"s{j}" for j in range(_CONTEXT_SUMS))])
 
     return run
 
 
 def _add_sums(batches):
-    for part, keys, columns in _merge(batches, [np.float64] * _CONTEXT_SUMS, [True] * _CONTEXT_SUMS):
-        yield _row(part, [keys, *columns], names=["part", "keys", *(f"s{j}" for j in range(_CONTEXT_SUMS))])
+    for part, keys, columns in merge(batches, [np.float64] * _CONTEXT_SUMS, [True] * _CONTEXT_SUMS):
+        yield row_of(part, [keys, *columns], names=["part", "keys", *(f"s{j}" for j in range(_CONTEXT_SUMS))])
 
 
 def weights(count: np.ndarray, kept: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,9 +221,9 @@ def weights(count: np.ndarray, kept: np.ndarray, share: np.ndarray) -> tuple[np.
 
 def _add_contexts(factors: dict[int, float]):
     def run(batches):
-        for part, keys, (count, *often, share) in _merge(batches, [np.float64] * _CONTEXT_SUMS, [True] * _CONTEXT_SUMS):
+        for part, keys, (count, *often, share) in merge(batches, [np.float64] * _CONTEXT_SUMS, [True] * _CONTEXT_SUMS):
             kept = count - sum((1 - factors[r]) * r * m for r, m in enumerate(often, 1))
-            yield _row(part, [keys, *weights(count, kept, share)], names=["part", "keys", "whole", "alpha"])
+            yield row_of(part, [keys, *weights(count, kept, share)], names=["part", "keys", "whole", "alpha"])
 
     return run
 
@@ -308,7 +245,7 @@ def _ask(length: int, bits: int, part: int, parts: int):
                 for kind, asked in ((_COUNTS, keys), (_CONTEXTS, np.unique(context[within(context, part, parts)]))):
                     if not len(asked):
                         continue
-                    numbers, (cells,) = _sliced(asked, bits, [asked])
+                    numbers, (cells,) = sliced(asked, bits, [asked])
                     n = len(numbers)
                     nothing = pa.nulls(n, pa.binary())
                     yield pa.RecordBatch.from_arrays(
@@ -318,32 +255,6 @@ def _ask(length: int, bits: int, part: int, parts: int):
     return run
 
 
-def _answer(batches):
-    """Over rows sorted by (part, block), a part's own rows first: the values of the keys that blocks ask for. Holds one part."""
-    part, held = None, {}
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for i in range(batch.num_rows):
-            p, block, kind = (batch.column(j)[i].as_py() for j in range(3))
-            keys, x, y = (None if not (v := batch.column(j)[i]).is_valid else np.frombuffer(v.as_buffer(), t) for j, t in ((3, np.uint64), (4, np.float64), (5, np.float64)))
-            if p != part:
-                part, held = p, {}
-            if block < 0:
-                held[kind] = keys, x, y
-                continue
-            have, *values = held.get(kind, (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
-            answers = [np.zeros(len(keys)) for _ in values]
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                hit = have[at] == keys
-                answers = [np.where(hit, v[at], 0.0) if v is not None else np.zeros(0) for v in values]
-            for column, value in zip(out, (block, part, kind, *(a.tobytes() for a in answers)), strict=True):
-                column.append(value)
-        if out[0]:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["block", "part", "kind", "x", "y"])
-
-
 def recursion(n: np.ndarray, factors: dict[int, float], whole: np.ndarray | float, alpha: np.ndarray | float, shorter: np.ndarray | float) -> np.ndarray:
     """log10 P of n-grams from their counts, their contexts' weights, and the shorter n-grams' log10 P."""
     seen = n > 0
@@ -420,10 +331,6 @@ class KatzModel:
         self.n = self.v = 0
         self.scale, self.unknown = 1.0, 0.0
 
-    def _by_part(self, rows: DataFrame, run: Callable, schema: str, *order: str) -> DataFrame:
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(partitions, "part").sortWithinPartitions("part", *order).mapInArrow(released(run), schema)
-
     def _slices(self, length: int) -> int:
         return self.slices if length > 1 else 1
 
@@ -442,10 +349,10 @@ class KatzModel:
         shorter = self._logp(length - 1) if length > 1 else None
         for part in range(self._slices(length)):
             found = blocks.mapInArrow(released(_count(length, self.bits, part, self._slices(length), shorter)), _SUMS)
-            counts, made = write_parts(self._by_part(found, _add_counts, _COUNTED), f"lm-counts-{length}-{part}", "kind", [0, 1])
+            counts, made = write_parts(by_part(found, _add_counts, _COUNTED), f"lm-counts-{length}-{part}", "kind", [0, 1])
             if length > 1:
                 added = made.select("n", "context", "q").mapInArrow(released(_sum_contexts(self.bits)), _CONTEXT_SCHEMA)
-                sums.append(_write(self._by_part(added, _add_sums, _CONTEXT_SCHEMA), f"lm-context-sums-{length}-{part}"))
+                sums.append(_write(by_part(added, _add_sums, _CONTEXT_SCHEMA), f"lm-context-sums-{length}-{part}"))
             drop_table(made)
             own = counts.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(len(totals))]).first()
             totals = [t + (own[f"s{i}"] or 0) for i, t in enumerate(totals)]
@@ -455,7 +362,7 @@ class KatzModel:
             every = sums[0]
             for more in sums[1:]:
                 every = every.unionByName(more)
-            self.contexts[length] = _write(self._by_part(every, _add_contexts(self.factors[length]), "part long, keys binary, whole binary, alpha binary"), f"lm-contexts-{length}")
+            self.contexts[length] = _write(by_part(every, _add_contexts(self.factors[length]), "part long, keys binary, whole binary, alpha binary"), f"lm-contexts-{length}")
             for table in sums:
                 drop_table(table)
             return
@@ -479,7 +386,7 @@ class KatzModel:
             if length > 1:
                 own = self.contexts[length].where(F.col("part").bitwiseAND((1 << self.bits) - (1 << self.bits) // parts) == part * ((1 << self.bits) // parts))
                 asked = asked.unionByName(own.select("part", F.lit(-1).cast("long").alias("block"), F.lit(_CONTEXTS).alias("kind"), "keys", F.col("whole").alias("x"), F.col("alpha").alias("y")))
-            out.append(_write(self._by_part(asked, _answer, "block long, part long, kind int, x binary, y binary", "block"), f"lm-answers-{length}-{part}"))
+            out.append(_write(by_part(asked, answer, "block long, part long, kind int, x binary, y binary", "block"), f"lm-answers-{length}-{part}"))
         return out
 
     def _look_up(self, length: int, blocks: DataFrame, id_col: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-A document is its set of word n-grams. Sets are ordered by frequency class, rarest first, and two sets can only be
-similar enough if their prefixes share an n-gram; so prefixes are joined on n-grams, candidates pass the length
-and positional filters, and each pair is verified once on its whole sets, after a suffix filter.
+A document is its set of word n-grams. Sets are ordered by the number of texts that hold each n-gram, rarest first, and two
+sets can only be similar enough if their prefixes share an n-gram; so prefixes are joined on n-grams, candidates pass the
+length and positional filters, and each pair is verified once on its whole sets, after a suffix filter. The numbers are counted
+over all texts: blocks of texts send each of their n-grams once to the part of a table that its hash names, and are answered
+with the sums (``_exchange``). N-grams of one text only keep their places but are never sent.
 
 Groups are linked without forming all of their pairs. Equal sets are one node from the start. In the sorted list
 of a prefix n-gram, each entry is first paired with the list's first entry of fitting length and with its
@@ -11,11 +13,11 @@ order, and entries of different components a few places apart are paired, twice
 groups merge at a cost in proportion to their size. What then remains are the pairs between different components,
 and all of these are formed and verified, so no link that could join two components is lost. There an entry names the
 few listed n-grams before it, and two entries that name a common one are passed over: their pair has been formed, or
-ruled out, at that n-gram. Very frequent n-grams are dealt over several tasks by a salt.
+ruled out, at that n-gram. The lists of very frequent n-grams are dealt over several tasks by a salt.
 
 Defined results: a null text or one without words has an empty set and links with nothing; fewer than ``n`` words
-are one n-gram; repeated rows and equal sets share a component; an empty table gives an empty result; a component
-is named by its smallest id (null ids rank after all numbers).
+are one n-gram; repeated rows and equal sets share a component; very long texts are taken whole; an empty table gives an
+empty result; a component is named by its smallest id (null ids rank after all numbers). Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from skeinlog.llm import _sketch, _words
+from skeinlog.llm import _words
+from skeinlog.llm._exchange import answer, by_part, merge, row_of, sliced
 from skeinlog.llm._graph import components
 from skeinlog.llm._memory import released
 from skeinlog.llm._tables import drop_table, write_table
@@ -36,10 +42,9 @@ from skeinlog.llm._tables import drop_table, write_table
 SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: An n-gram is frequent if its estimate is over this many times the mean cell, and at least LEAST_FREQUENT.
-FREQUENT, LEAST_FREQUENT = 2, 16
-#: Cells of the frequency sketch; more of them tell passages that a few dozen texts share from the text around them.
-SKETCH_CELLS = 1 << 22
+#: N-grams for each part of the table of counts.
+PART_GRAMS = 1_000_000
+#: Entries of a list for each task that it is dealt to.
 SALT_ROWS = 50_000
 BROADCAST_IDS = 500_000
 #: Places apart in a list that the rounds before the last look at: 8, then 32.
@@ -72,12 +77,9 @@ def least_overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def rare_first(s: np.ndarray, counts: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set by frequency class and then hash, and the estimates in that order; all that isn't frequent is one class."""
-    estimate = counts[_sketch.cell(s, len(counts))]
-    group = np.where(estimate >= frequent, np.log2(np.maximum(estimate, 1)).astype(np.int64) + 1, 0)
-    order = np.lexsort((s, group))
-    return s[order], estimate[order]
+def rare_first(s: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The order of a set's n-grams by the number of texts that hold each, and then by hash."""
+    return np.lexsort((s, texts))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -106,53 +108,97 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 # --- tasks ------------------------------------------------------------------------------------------------
 
 
-def _members(n: int, id_type: pa.DataType):
+def _blocks(n: int, schema: pa.Schema):
+    """Rows of about 2 MB of text: ids, texts, and each text's set size, key and signature. A text whose set this task has
+    had before is left out (null)."""
+
     def run(batches):
+        number, seen = TaskContext.get().partitionId() << 32, set()
         for batch in batches:
-            sizes, keys, marks = [], [], []
-            for s in sets_of(batch.column(1), n):
-                sizes.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
-                marks.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary())], names=["__id", "n", "sid", "mark"]
-            )
+            texts = batch.column(1)
+            for a, b, *_ in _words.blocks(texts, lower=True):
+                part = texts.slice(a, b - a)
+                sets = [(len(s), set_key(s), signature(s), s) if len(s) else (0, None, None, s) for s in sets_of(part, n)]
+                fresh = []
+                for size, key, _, _ in sets:
+                    fresh.append(size > 0 and key not in seen)
+                    if fresh[-1]:
+                        seen.add(key)
+                if len(seen) > 200_000:
+                    seen.clear()
+                ends = pa.array([0, b - a], pa.int32())
+                lists = [batch.column(0).slice(a, b - a), part.take(pa.array(np.arange(b - a), mask=~np.array(fresh, bool)))]
+                lists += [pa.array([s[i] for s in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists)], schema=schema)
+                number += 1
 
     return run
 
 
-def _postings(n: int, counts, frequent: int, percent: int):
-    """Prefix entries; a set that this task has sent before is not sent again."""
+def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block's texts in order, and how many of its sets hold each."""
+    sets = list(sets_of(texts, n))
+    return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
 
+def _count(n: int, bits: int):
     def run(batches):
-        table, seen = counts.value, set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            rows = 0
-            for s in sets_of(batch.column(0), n):
-                if not len(s):
-                    continue
-                sid = set_key(s)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                ordered, estimate = rare_first(s, table, frequent)
-                p = prefix_length(len(s), percent)
-                h = ordered[:p].view(np.int64)
-                spread = np.where(estimate[:p] >= frequent, estimate[:p].astype(np.int64) // SALT_ROWS + 1, 1)
-                for column, value in zip(out, (h, np.full(p, sid), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.where(spread > 1, 1 + sid % spread, 0).astype(np.int32)), strict=True):
-                    column.append(value)
-                rows += p
-                if rows > 100_000:
-                    yield _batch(out)
-                    out, rows = [[], [], [], [], []], 0
-            if rows:
-                yield _batch(out)
-
-    def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "sid", "n", "pos", "salt"])
+            for texts in batch.column(0):
+                keys, number = _grams(texts.values, n)
+                if len(keys):
+                    parts, cells = sliced(keys, bits, [keys, number.astype(np.float64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), *cells], names=["part", "keys", "x"])
+
+    return run
+
+
+def _shared(batches):
+    """Of each part: the n-grams that more than one text holds, and how many hold each."""
+    for part, keys, (number,) in merge(batches, [np.float64], [True]):
+        yield row_of(part, [keys[number > 1], number[number > 1]], names=["part", "keys", "x"])
+
+
+def _ask(n: int, bits: int):
+    def run(batches):
+        for batch in batches:
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, _ = _grams(texts.values, n)
+                if len(keys):
+                    parts, (cells,) = sliced(keys, bits, [keys])
+                    k = len(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(parts), pa.array(np.full(k, block)), pa.array(np.zeros(k, np.int32)), cells, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
+                        names=["part", "block", "kind", "keys", "x", "y"],
+                    )
+
+    return run
+
+
+def _postings(n: int, percent: int, salt_rows: int, schema: pa.Schema):
+    """A block and the answers to it: the prefix entries of its sets whose n-grams other texts hold as well."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, sids = (left.column(c).combine_chunks().values for c in ("texts", "sids"))
+        sets = list(sets_of(texts, n))
+        keys = np.unique(np.concatenate(sets))
+        cells = right.column("x").take(pa.array(np.argsort(right.column("part").to_numpy())))
+        number = np.concatenate([np.zeros(0), *(np.frombuffer(v.as_buffer(), np.float64) for v in cells)])
+        out: list[list[np.ndarray]] = [[np.zeros(0, f.type.to_pandas_dtype())] for f in schema]
+        for s, sid in zip(sets, sids.to_pylist(), strict=True):
+            if not len(s):
+                continue
+            held = number[np.searchsorted(keys, s)]
+            order = rare_first(s, held)[: prefix_length(len(s), percent)]
+            pos = np.flatnonzero(held[order] > 1)
+            if not len(pos):
+                continue
+            order = order[pos]
+            spread = held[order].astype(np.int64) // salt_rows + 1
+            salt = np.where(spread > 1, 1 + sid % spread, 0)
+            for column, value in zip(out, (s[order].view(np.int64), np.full(len(pos), sid), np.full(len(pos), len(s)), pos, salt), strict=True):
+                column.append(value)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
@@ -223,7 +269,7 @@ def _stream(percent: int, keep_lists: bool):
 def _neighbours(percent: int, width: int):
     """Over entries sorted by (h, order): pairs of entries of different components that stand at most ``width``
     places apart in one list. Holds one batch and ``width`` entries."""
-    names = ("h", "comp", "sid", "n", "pos", "before")
+    names = ("h", "comp", "sid", "n", "pos", "before", "share")
 
     def run(batches):
         kept = None
@@ -234,12 +280,12 @@ def _neighbours(percent: int, width: int):
             fresh = 0 if kept is None else len(kept[0])  # pairs among the kept entries were formed before
             if kept is not None:
                 columns = [np.concatenate([k, c]) for k, c in zip(kept, columns, strict=True)]
-            h, comp, sid, n, pos, before = columns
+            h, comp, sid, n, pos, before, share = columns
             found = []
             for d in range(1, min(width, len(h) - 1) + 1):
                 lo = max(0, fresh - d)
                 i, j = slice(lo, len(h) - d), slice(lo + d, len(h))
-                ok = (h[i] == h[j]) & (comp[i] != comp[j])
+                ok = (h[i] == h[j]) & (share[i] == share[j]) & (comp[i] != comp[j])
                 if ok.any():
                     x, y = np.flatnonzero(ok) + lo, np.flatnonzero(ok) + lo + d
                     x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
@@ -312,10 +358,10 @@ class _Join:
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         self.labels: DataFrame | None = None
         self.docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = self.docs.schema[0].dataType
-        members = self.docs.mapInArrow(released(_members(n, to_arrow_type(kind))), f"__id {kind.simpleString()}, n long, sid long, mark binary")
+        lists = [("ids", self.docs.schema[0].dataType), ("texts", T.StringType()), ("ns", T.LongType()), ("sids", T.LongType()), ("marks", T.BinaryType())]
+        schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(name, T.ArrayType(t)) for name, t in lists)])
+        self.blocks = write_table(self.docs.mapInArrow(released(_blocks(n, to_arrow_schema(schema))), schema), "ngram-blocks", compression="zstd")
+        members = self.blocks.select(F.inline(F.arrays_zip("ids", "ns", "sids", "marks"))).toDF("__id", "n", "sid", "mark")
         self.members = write_table(members, "ngram-members")
         nodes = self.members.where("sid is not null").groupBy("sid")
         self.nodes = write_table(nodes.agg(F.min("__id").alias("least"), F.max("n").alias("n"), F.max("mark").alias("mark")), "ngram-nodes")
@@ -387,28 +433,31 @@ class _Join:
         drop_table(picks)
         return links
 
+    def _entries(self) -> DataFrame:
+        """The prefix entries of all sets, as (h, sid, n, pos, salt)."""
+        total = self.members.agg(F.sum("n").alias("n")).first()["n"] or 0
+        bits = max(4, (total // PART_GRAMS).bit_length())
+        nothing = F.lit(None).cast("binary")
+        blocks = self.blocks.select("block", "texts", "sids")
+        counted = by_part(blocks.select("texts").mapInArrow(released(_count(self.n, bits)), "part long, keys binary, x binary"), _shared, "part long, keys binary, x binary")
+        counted = write_table(counted, "ngram-counts", compression="zstd")
+        asked = blocks.select("block", "texts").mapInArrow(released(_ask(self.n, bits)), "part long, block long, kind int, keys binary, x binary, y binary").unionByName(
+            counted.select("part", F.lit(-1).cast("long").alias("block"), F.lit(0).alias("kind"), "keys", "x", nothing.alias("y"))
+        )
+        answers = write_table(by_part(asked, answer, "block long, part long, kind int, x binary, y binary", "block"), "ngram-answers", compression="zstd")
+        drop_table(counted)
+        schema = T.StructType([T.StructField(c, t) for c, t in zip(("h", "sid", "n", "pos", "salt"), (T.LongType(), T.LongType(), *[T.IntegerType()] * 3), strict=True)])
+        run = _postings(self.n, self.percent, SALT_ROWS, to_arrow_schema(schema))
+        entries = write_table(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "ngram-entries", compression="zstd")
+        drop_table(answers)
+        drop_table(self.blocks)
+        return entries
+
     def run(self) -> DataFrame | None:
         """(node, component) over set keys with a link to another set; None if there is no link at all."""
-        n, percent = self.n, self.percent
-
-        def grams(batch: pa.RecordBatch):
-            block, size = [], 0
-            for s in sets_of(batch.column(0), n):
-                block.append(s)
-                size += len(s)
-                if size > 1 << 19:
-                    yield np.concatenate(block)
-                    block, size = [], 0
-            if block:
-                yield np.concatenate(block)
-
-        texts = self.docs.select("__text")
-        counts = _sketch.build(texts, grams, SKETCH_CELLS)
-        frequent = max(LEAST_FREQUENT, int(FREQUENT * counts.mean()))
-        # each Python worker holds a copy, so the cells are as narrow as they can be
-        shared = self.spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-        entries = texts.mapInArrow(released(_postings(n, shared, frequent, percent)), "h long, sid long, n int, pos int, salt int")
+        percent = self.percent
         partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entries = self._entries()
         ordered = entries.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "sid")
         found = write_table(ordered.mapInArrow(released(_stream(percent, True)), _CANDIDATES), "ngram-candidates")
         lists = found.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos")
@@ -419,11 +468,11 @@ class _Join:
             labels = self.labels if self.labels is not None else self.spark.createDataFrame([], "node long, component long")
             placed = lists.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left")
             placed = write_table(placed.select("h", F.coalesce("component", "sid").alias("comp"), "sid", "n", "pos"), "ngram-placed")
-            mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+            mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("h", "size")
             mixed = write_table(mixed, "ngram-mixed")
             # an n-gram that two sets of different components share before this place is in such a list as well
             earlier = F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1
-            rows = placed.join(mixed, "h", "left_semi").withColumn("before", earlier)
+            rows = placed.join(mixed, "h").withColumn("before", earlier)
             last = width > LAST_WIDTH or not more
             if last:
                 rows = rows.withColumn("recent", F.collect_list("h").over(Window.partitionBy("sid").orderBy("pos").rowsBetween(-RECENT, -1)))
@@ -431,8 +480,10 @@ class _Join:
             drop_table(placed)
             if last:
                 break
-            shuffled = rows.withColumn("order", F.xxhash64("sid", F.lit(width)))
-            ordered = shuffled.repartition(partitions, "h").sortWithinPartitions("h", "order")
+            # a long list is dealt over several tasks; what stands next to each other in one of them is paired
+            order = F.xxhash64("sid", F.lit(width))
+            shuffled = rows.withColumns({"order": order, "share": F.pmod(F.shiftright(order, 8), F.expr(f"size div {SALT_ROWS} + 1"))})
+            ordered = shuffled.repartition(partitions, "h", "share").sortWithinPartitions("h", "share", "order")
             fresh = ordered.mapInArrow(released(_neighbours(percent, width)), "a long, b long").distinct()
             fresh = write_table(fresh.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
             lists = rows.select("h", "sid", "n", "pos")  # components only merge, so no other list can be mixed again

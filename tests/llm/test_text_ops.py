@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinlog.llm import _words, katz, langid, mixing, packing, queries, secrets, substring_dedup
+from skeinlog.llm import _exchange, _words, katz, langid, mixing, packing, queries, secrets, substring_dedup
 from skeinlog.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, score double, k long, n int, held_out string"
@@ -479,7 +479,7 @@ def test_katz_empty(spark):
 
 def test_katz_merge(monkeypatch):
     """Parts are combined in steps and come out as if in one."""
-    monkeypatch.setattr(katz, "COMBINE", 10)
+    monkeypatch.setattr(_exchange, "COMBINE", 10)
     rnd = np.random.default_rng(1)
     rows, want = [], collections.defaultdict(collections.Counter)
     for part in (1, 4, 5):
@@ -489,5 +489,5 @@ def test_katz_merge(monkeypatch):
             rows.append((part, keys.tobytes(), n.tobytes()))
             want[part].update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
     batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7], strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "n"]) for i in range(0, len(rows), 7)]
-    got = {p: dict(zip(k.tolist(), n.tolist(), strict=True)) for p, k, (n,) in katz._merge(iter(batches), [np.int64], [True])}
+    got = {p: dict(zip(k.tolist(), n.tolist(), strict=True)) for p, k, (n,) in _exchange.merge(iter(batches), [np.int64], [True])}
     assert got == {p: dict(c) for p, c in want.items()}
