@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.llm import _words
-from skeinlog.llm._exchange import answer, by_part, merge, row_of, sliced
+from skeinlog.llm._exchange import answer, by_part, distinct, merge, row_of, sliced
 from skeinlog.llm._graph import components
 from skeinlog.llm._memory import released
 from skeinlog.llm._tables import drop_table, write_table
@@ -59,9 +59,10 @@ RECENT = 8
 def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted set of n-gram hashes of each text."""
     for a, b, h, offsets in _words.blocks(texts, lower=True):
+        grams = _words.runs(h, n)
         for i in range(b - a):
-            own = h[offsets[i] : offsets[i + 1]]
-            yield np.unique(_words.runs(own, min(n, len(own)))) if len(own) else own
+            lo, hi = int(offsets[i]), int(offsets[i + 1])
+            yield np.unique(grams[lo : hi - n + 1] if hi - lo >= n else _words.runs(h[lo:hi], hi - lo)) if hi > lo else h[:0]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -181,22 +182,25 @@ def _postings(n: int, percent: int, salt_rows: int, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, sids = (left.column(c).combine_chunks().values for c in ("texts", "sids"))
         sets = list(sets_of(texts, n))
-        keys = np.unique(np.concatenate(sets))
+        sizes = np.array([len(s) for s in sets])
+        _, _, which = distinct(np.concatenate(sets))
         cells = right.column("x").take(pa.array(np.argsort(right.column("part").to_numpy())))
         number = np.concatenate([np.zeros(0), *(np.frombuffer(v.as_buffer(), np.float64) for v in cells)])
+        held = number[which]
+        common = held > 1
+        before = np.concatenate([[0], np.cumsum(common)])
+        ends = np.cumsum(sizes)
+        alone = sizes - (before[ends] - before[ends - sizes])  # n-grams of one text only, which come first
         out: list[list[np.ndarray]] = [[np.zeros(0, f.type.to_pandas_dtype())] for f in schema]
-        for s, sid in zip(sets, sids.to_pylist(), strict=True):
-            if not len(s):
-                continue
-            held = number[np.searchsorted(keys, s)]
-            order = rare_first(s, held)[: prefix_length(len(s), percent)]
-            pos = np.flatnonzero(held[order] > 1)
-            if not len(pos):
-                continue
-            order = order[pos]
-            spread = held[order].astype(np.int64) // salt_rows + 1
-            salt = np.where(spread > 1, 1 + sid % spread, 0)
-            for column, value in zip(out, (s[order].view(np.int64), np.full(len(pos), sid), np.full(len(pos), len(s)), pos, salt), strict=True):
+        keys = sids.to_pylist()
+        for i in np.flatnonzero((sizes > 0) & (alone < prefix_length(sizes, percent))).tolist():
+            own = slice(ends[i] - sizes[i], ends[i])
+            rest, texts_of = sets[i][common[own]], held[own][common[own]]
+            order = rare_first(rest, texts_of)[: prefix_length(len(sets[i]), percent) - alone[i]]
+            spread = texts_of[order].astype(np.int64) // salt_rows + 1
+            salt = np.where(spread > 1, 1 + keys[i] % spread, 0)
+            k = len(order)
+            for column, value in zip(out, (rest[order].view(np.int64), np.full(k, keys[i]), np.full(k, sizes[i]), alone[i] + np.arange(k), salt), strict=True):
                 column.append(value)
         return pa.Table.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(out, schema, strict=True)], schema=schema)
 
