@@ -1,14 +1,21 @@
-"""Greedy similarity de-duplication and ranking of suggestions.
+"""Greedy similarity de-duplication and ranking of suggestions, and links between similar titles.
 
-Items are folded in input order: an item similar to a kept one replaces it in place if it is better, and is
-dropped if it isn't. The fold is a higher-order aggregate over one group's items, so it runs inside Catalyst; groups
-(``group`` columns, such as a project) are spread over tasks.
+Items are folded in input order: an item similar to a kept one (the first such) replaces it in place if it is better, and is
+dropped if it isn't. What an item meets depends on all items before it, so a group (``group`` columns, such as a project) is
+one stream in order; the task holds the group's kept items, not the group. The kept items that an item can be similar to are
+found exactly, by the words and ids that they share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.functions import text as X
 
@@ -27,48 +34,120 @@ def with_words(rows: DataFrame) -> DataFrame:
     )
 
 
-def similar(a: Column, b: Column) -> Column:
-    title = X.jaccard(a["tw"], b["tw"])
-    same_place = a["target_file"].eqNullSafe(b["target_file"]) & a["target_section"].eqNullSafe(b["target_section"])
-    return (
-        (same_place & (title > SAME_TARGET))
-        | F.coalesce(F.arrays_overlap(a["source_insight_ids"], b["source_insight_ids"]), F.lit(False))
-        | (title > ANY_TARGET)
-        | (X.jaccard(a["cw"], b["cw"]) > SAME_CONTENT)
-    )
-
-
-def better(new: Column, old: Column) -> Column:
-    return (new["po"] < old["po"]) | ((new["po"] == old["po"]) & (new["confidence"] > old["confidence"]))
-
-
-def fold(items: Column, item_type: str) -> Column:
-    """The kept items, in their places."""
-
-    def step(kept: Column, x: Column) -> Column:
-        # 1-based place of the first similar kept item, 0 if there is none
-        hit = F.coalesce(F.array_position(F.transform(kept, lambda k: similar(k, x)), F.lit(True)), F.lit(0)).cast("int")
-        place = F.transform(kept, lambda k, i: F.when((i == hit - 1) & better(x, k), x).otherwise(k))
-        return F.when(hit == 0, F.concat(kept, F.array(x))).otherwise(place)
-
-    return F.aggregate(items, F.array().cast(f"array<{item_type}>"), step)
+class Kept:
+    """The kept items of one group, with the words and ids by which similar ones are found."""
+
+    def __init__(self) -> None:
+        self.items: list[dict] = []
+        self.at: dict[tuple, set[int]] = defaultdict(set)
+
+    @staticmethod
+    def _keys(x: dict) -> list[tuple]:
+        return [*(("t", w) for w in x["tw"] or ()), *(("c", w) for w in x["cw"] or ()), *(("i", i) for i in set(x["source_insight_ids"] or ()) if i is not None)]
+
+    def _put(self, place: int, x: dict) -> None:
+        for key in self._keys(x):
+            self.at[key].add(place)
+
+    def first_similar(self, x: dict) -> int | None:
+        titles, contents, hits = Counter(), Counter(), set()
+        for key in self._keys(x):
+            places = self.at.get(key, ())
+            if key[0] == "i":
+                hits.update(places)
+            else:
+                (titles if key[0] == "t" else contents).update(places)
+        for place, common in titles.items():
+            k = self.items[place]
+            share = common / (len(k["tw"]) + len(x["tw"]) - common)
+            same_place = k["target_file"] == x["target_file"] and k["target_section"] == x["target_section"]
+            if share > (SAME_TARGET if same_place else ANY_TARGET):
+                hits.add(place)
+        for place, common in contents.items():
+            if common / (len(self.items[place]["cw"]) + len(x["cw"]) - common) > SAME_CONTENT:
+                hits.add(place)
+        return min(hits, default=None)
+
+    def add(self, x: dict) -> None:
+        place = self.first_similar(x)
+        if place is None:
+            self._put(len(self.items), x)
+            self.items.append(x)
+        elif better(x, self.items[place]):
+            for key in self._keys(self.items[place]):
+                self.at[key].discard(place)
+            self._put(place, x)
+            self.items[place] = x
+
+
+def better(new: dict, old: dict) -> bool:
+    if new["po"] != old["po"]:
+        return new["po"] < old["po"]
+    return new["confidence"] is not None and old["confidence"] is not None and new["confidence"] > old["confidence"]
+
+
+_COMPARED = ("tw", "cw", "source_insight_ids", "target_file", "target_section", "po", "confidence")
+
+
+def _fold(group: list[str], out: pa.Schema):
+    """Over rows sorted by group and order: the kept rows of each group with their places."""
+
+    def rows_of(kept: Kept) -> pa.RecordBatch:
+        rows = [x["row"].to_pylist()[0] | {"place": i} for i, x in enumerate(kept.items)]
+        return pa.RecordBatch.from_pylist(rows, schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, Kept()
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in (*group, *_COMPARED)}
+            for i in range(batch.num_rows):
+                key = tuple(columns[c][i] for c in group)
+                if key != now:
+                    if kept.items:
+                        yield rows_of(kept)
+                    now, kept = key, Kept()
+                kept.add({c: columns[c][i] for c in _COMPARED} | {"row": batch.slice(i, 1)})
+            for x in kept.items:  # a kept row alone, not its whole batch
+                x["row"] = pa.RecordBatch.from_pylist(x["row"].to_pylist(), schema=batch.schema)
+        if kept.items:
+            yield rows_of(kept)
+
+    return run
 
 
 def dedup(rows: DataFrame, group: list[str], order: str = "ord") -> DataFrame:
-    """Kept rows with ``place`` (from 0) within the group."""
+    """Kept rows with ``place`` (from 0) within the group; rows of equal ``order`` go by their id."""
     worded = with_words(rows)
-    names = [order, *[c for c in worded.columns if c not in (*group, order)]]
-    struct = F.struct(*names)
-    kind = worded.select(struct.alias("s")).schema[0].dataType.simpleString()
-    grouped = worded.groupBy(*group).agg(F.array_sort(F.collect_list(struct)).alias("items"))
-    kept = grouped.select(*group, F.posexplode(fold(F.col("items"), kind)).alias("place", "s"))
-    return kept.select(*group, "place", "s.*").drop("tw", "cw", "po")
+    names = [order, *[c for c in rows.columns if c not in (*group, order)]]
+    schema = T.StructType([*(rows.schema[c] for c in group), T.StructField("place", T.IntegerType()), *(rows.schema[c] for c in names)])
+    ordered = worded.repartition(*map(F.col, group)).sortWithinPartitions(*group, order, "id")
+    return ordered.mapInArrow(_fold(group, to_arrow_schema(schema)), schema)
+
+
+def similar_sets(rows: DataFrame, key: str, words: Column, least: float = ANY_TARGET) -> DataFrame:
+    """One row per row: its key, ``class_id`` (the smallest key with the same word set) and ``links``, the number of other
+    classes whose sets have a similarity over ``least``.
+
+    Classes are joined by their rarest words: two sets can only be similar enough if the first words of both, rarest
+    first, have one in common. Each pair of classes is compared once.
+    """
+    own = rows.select(F.col(key), F.array_sort(words).alias("w"))
+    classes = own.groupBy("w").agg(F.min(key).alias("class_id")).withColumn("n", F.size("w"))
+    spread = classes.select("class_id", "n", F.explode("w").alias("word"))
+    rarity = spread.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("held", "word"))
+    prefix = spread.join(rarity, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    a, b = prefix.select("word", F.col("class_id").alias("a"), F.col("n").alias("na")), prefix.select("word", F.col("class_id").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * least)).select("a", "b").distinct()
+    sets = lambda side: classes.select(F.col("class_id").alias(side), F.col("w").alias(f"w{side}"))
+    linked = pairs.join(sets("a"), "a").join(sets("b"), "b").where(X.jaccard(F.col("wa"), F.col("wb")) > least)
+    ends = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    named = classes.join(ends, "class_id", "left").select("w", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return own.join(named, "w").select(key, "class_id", "links")
 
 
 def rank(rows: DataFrame, group: list[str], order: str = "place") -> DataFrame:
     """Adds ``rank``: by priority, then confidence, then the order given."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group).orderBy(X.ordinal(F.col("priority"), PRIORITIES).asc_nulls_last(), F.col("confidence").desc(), order)
     return rows.withColumn("rank", F.row_number().over(w))
 
@@ -81,7 +160,13 @@ def incremental(kept: DataFrame, new: DataFrame, group: list[str]) -> tuple[Data
     """Kept items in their rank order, followed by the new ones, folded and ranked again; and the new survivors."""
     shape = [c for c in new.columns if c != "ord"]
     before = kept.select(*shape, F.col("rank").cast("long").alias("ord"))
-    offset = 1_000_000_000
+    # ranks are dense, so every new item's order lies behind all of them
+    offset = F.lit(1 << 62)
     merged = before.unionByName(new.select(*shape, (F.col("ord") + offset).cast("long").alias("ord")))
     out = dedup_and_rank(merged, group)
-    return out, out.join(kept.select("id"), "id", "left_anti")
+    return out, new_only(out, kept)
+
+
+def new_only(rows: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is not known yet."""
+    return rows.join(known.select(key), key, "left_anti")

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.functions import markdown as M
+from skeinlog.functions import text as X
 
 _LINE = "struct<line_number:int,content:string>"
 _FLAT = f"type:string,after_line:int,in_section:string,removed_lines:array<{_LINE}>,added_lines:array<{_LINE}>"
@@ -66,14 +69,19 @@ def build_diff(kind: str, add: str | None, removes: list[str], section: str | No
 
 def match_files(suggestions: DataFrame, files: DataFrame) -> DataFrame:
     """Adds the file each suggestion aims at: an equal relative path, else a path that ends so, else a home path;
-    the first of the best kind. Files are few and small, and joined by a condition."""
+    the first of the best kind."""
     f = files.select(F.col("path").alias("file_path"), F.col("relative_path").alias("__rel"), F.col("content").alias("file_content"), F.col("ord").alias("__ord"))
     home = F.col("target_file").contains("~") | F.col("target_file").startswith(".claude/")
     bare = F.regexp_replace("target_file", r"~[/\\]", "")
     kind = F.when(F.col("__rel") == F.col("target_file"), 0).when(F.expr("endswith(__rel, target_file)"), 1).when(home & F.col("file_path").endswith(bare), 2)
-    hits = suggestions.select("id", "target_file").join(f, kind.isNotNull()).withColumn("__kind", kind)
-    best = hits.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("__kind", "__ord"))).where("__r = 1")
-    return suggestions.join(best.select("id", "file_path", "file_content"), "id", "left")
+    # every ending of a path is a key, so that the matches are an equi-join on the distinct targets
+    targets = suggestions.select("target_file").distinct()
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i))
+    keyed = f.withColumn("__end", F.explode(F.array_distinct(F.concat(ends(F.col("__rel")), ends(F.col("file_path"))))))
+    wanted = targets.withColumn("__end", F.explode(F.array_distinct(F.array(F.col("target_file"), bare))))
+    hits = wanted.join(keyed, "__end").withColumn("__kind", kind).where("__kind is not null")
+    best = hits.groupBy("target_file").agg(F.min_by(F.struct("file_path", "file_content"), F.struct("__kind", "__ord", "file_path")).alias("__best"))
+    return suggestions.join(best, "target_file", "left").select(*[F.col(c) for c in suggestions.columns], "__best.file_path", "__best.file_content")
 
 
 def with_diffs(matched: DataFrame, rules: DataFrame) -> DataFrame:
@@ -81,12 +89,25 @@ def with_diffs(matched: DataFrame, rules: DataFrame) -> DataFrame:
     counts = rules.groupBy(F.col("source_file").alias("file_path"), F.col("section").alias("target_section")).agg(F.count(F.lit(1)).alias("__rules"))
     joined = matched.join(counts, ["file_path", "target_section"], "left")
 
-    @F.udf(DIFF)
-    def diff(kind, add, removes, section, content, n):
-        return build_diff(kind, add, removes or [], section, content, n or 0)
+    names = ["type", "add_text", "remove_texts", "target_section", "file_content", "__rules"]
+    schema = T.StructType([*(f for f in joined.schema if f.name != "__rules"), T.StructField("diff", T._parse_datatype_string(DIFF))])
+    out = to_arrow_schema(schema)
 
-    args = ["type", "add_text", "remove_texts", "target_section", "file_content", "__rules"]
-    return joined.withColumn("diff", diff(*args)).drop("__rules")
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+            made = [build_diff(kind, add, removes or [], section, content, n or 0) for kind, add, removes, section, content, n in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f).cast(out.field(f).type) for f in out.names[:-1]), pa.array(made, out.field("diff").type)], schema=out)
+
+    return joined.mapInArrow(run, schema)
+
+
+def line_presence(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.8) -> DataFrame:
+    """Of each text, its lines that are not blank, how many of them stand in another text, and whether that is nearly all."""
+    lines = texts.select(F.col(id_col), F.explode(F.split(text_col, "\n")).alias("line")).select(id_col, X.normalize_line(F.col("line")).alias("line")).where("line <> ''")
+    shared = lines.groupBy("line").agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).where("a <> b").select("line", F.lit(1).alias("hit"))
+    present = F.count("hit")
+    return lines.join(shared, "line", "left").groupBy(id_col).agg(F.count(F.lit(1)).alias("lines"), present.alias("present"), (present / F.count(F.lit(1)) > most).alias("already_present"))
 
 
 def added_text(diff: Column) -> Column:
@@ -177,6 +198,14 @@ def decide(confidence: Column, dry_run: bool = False, yes: bool = False, least:
     return F.coalesce(choice, F.lit("skip")) if choice is not None else F.lit("skip")
 
 
+def rule_counts(applied: DataFrame) -> DataFrame:
+    """One row of applied suggestions(type, added_lines): rules added, updated, removed and split. A consolidation removes one
+    and adds one, and list lines after the first count as added."""
+    bullets = F.size(F.filter(F.coalesce("added_lines", F.array().cast("array<string>")), lambda x: x.startswith("- ") | x.startswith("* ")))
+    more, of = F.coalesce(F.sum(F.greatest(bullets - 1, F.lit(0))), F.lit(0)), lambda *kinds: F.count_if(F.col("type").isin(*kinds))
+    return applied.agg((of("add", "consolidate") + more).alias("added"), of("update").alias("updated"), of("remove", "consolidate").alias("removed"), of("split").alias("split"))
+
+
 def review_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(
         F.count_if((F.col("action") != "skipped") & F.col("error").isNull()).alias("accepted"), F.count_if(F.col("error").isNotNull()).alias("failed"),

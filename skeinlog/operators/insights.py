@@ -101,3 +101,13 @@ def batches(rows: DataFrame, group: list[str], order: str = "id", size: int = BA
     """Adds ``batch``, from 1: the most confident first, ``size`` at a time, within each group."""
     w = Window.partitionBy(*group).orderBy(F.col("confidence").desc(), order)
     return rows.withColumn("batch", F.ceil(F.row_number().over(w) / size).cast("int"))
+
+
+def by_category(rows: DataFrame) -> DataFrame:
+    """Insights and sessions of each category."""
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("insights"), F.count_distinct("session_id").alias("sessions"))
+
+
+def in_scope(rows: DataFrame, scope: DataFrame, key: str = "session_id") -> DataFrame:
+    """Rows whose key is one of the scope's."""
+    return rows.join(scope.select(key), key, "left_semi")

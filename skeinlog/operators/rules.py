@@ -181,3 +181,11 @@ def section_report(rules: DataFrame) -> DataFrame:
     return rules.groupBy("source_file", section.alias("section")).agg(
         F.count(F.lit(1)).alias("rules"), F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line")
     ).orderBy("source_file", F.col("rules").desc(), "first_line")
+
+
+LARGE_LINES = 500
+
+
+def large_files(files: DataFrame, most: int = LARGE_LINES) -> DataFrame:
+    """Rule files (path, content) of more than ``most`` lines, with their number of lines."""
+    return files.select("path", F.size(F.split("content", "\n", -1)).alias("lines")).where(F.col("lines") > most)

@@ -80,3 +80,32 @@ def change_status(sessions: DataFrame, audit: DataFrame, prompt_version: str) ->
     joined = sessions.join(audit.select("session_id", "analyzed_at", "analysis_prompt_version", "session_mtime"), "session_id", "left")
     same = F.col("analysis_prompt_version").eqNullSafe(F.lit(prompt_version)) & F.col("session_mtime").eqNullSafe(F.col("mtime"))
     return joined.withColumn("needs_analysis", F.col("analyzed_at").isNull() | ~same).drop("analyzed_at", "analysis_prompt_version", "session_mtime")
+
+
+def skipped_short(sessions: DataFrame, least: int = MIN_USER_MESSAGES) -> DataFrame:
+    """One row: how many sessions are too short to be analysed, and how many are not."""
+    short = F.col("user_message_count") < least
+    return sessions.agg(F.count_if(short).alias("skipped_short"), F.count_if(~short).alias("analyzable"))
+
+
+def with_results(sessions: DataFrame, audit: DataFrame, results: DataFrame) -> DataFrame:
+    """Sessions that the audit knows as analysed and that have stored results."""
+    done = audit.where("analyzed_at is not null").select("session_id")
+    return sessions.join(done, "session_id", "left_semi").join(results.select("session_id"), "session_id", "left_semi")
+
+
+def listed(sessions: DataFrame) -> DataFrame:
+    """What a listing shows: sessions with a first timestamp."""
+    return sessions.where(F.col("first_timestamp").isNotNull())
+
+
+def date_range(first: Column, last: Column) -> Column:
+    """``2024-01-31 09:05 - 10:20`` of two timestamps, in the session's time zone."""
+    time = lambda c: F.date_format(c, "HH:mm")
+    start = F.concat(F.date_format(first, "yyyy-MM-dd "), time(first))
+    return F.when(first.isNull(), "Unknown date").when(last.isNull(), start).otherwise(F.concat(start, F.lit(" - "), time(last)))
+
+
+def short_path(path: Column, home: str) -> Column:
+    """A path with the home folder as ``~``."""
+    return F.when(path.startswith(home), F.concat(F.lit("~"), F.substring(path, len(home) + 1, 1 << 30))).otherwise(path) if home else path

@@ -72,3 +72,7 @@ def cache_key(ids: DataFrame, files: DataFrame, prompt_version: str) -> str:
     right = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "").alias("files"))
     whole = F.concat("ids", nul, "files", nul, F.lit(f"prompt:{prompt_version}"))
     return left.join(right).select(X.digest(whole, 16).alias("key")).first()["key"]
+
+
+def pending(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("status") == "pending")

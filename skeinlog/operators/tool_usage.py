@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlog.functions import text as X
+
 REPEATED = 5
 #: Fixed: what marks a failed result, in this case.
 FAILURE_MARKS = ("exit code", "Error", "error:")
@@ -75,3 +77,16 @@ def render(usage: DataFrame) -> DataFrame:
     rate = F.when(F.col("bash_failure_rate") > 0, F.array(F.format_string("Bash failure rate: %.0f%%", F.col("bash_failure_rate") * 100))).otherwise(F.array().cast("array<string>"))
     files = F.transform(F.coalesce("repeated_file_access", F.array().cast("array<struct<file_path:string,read_count:int,write_count:int>>")), lambda x: F.concat(F.lit("- "), x["file_path"], F.lit(": "), x["read_count"].cast("string"), F.lit(" reads, "), x["write_count"].cast("string"), F.lit(" writes")))
     return usage.select("session_id", F.array_join(F.concat(lines, rate, files), "\n").alias("rendered"))
+
+
+PREVIEW_CHARS = 80
+
+
+def preview(name: Column, given: Column) -> Column:
+    """What a call's input comes down to, by the tool's name; empty for others."""
+    at = lambda key: F.get_json_object(given, f"$.{key}")
+    shown = (
+        F.when(name == SHELL, X.truncate(at("command"), PREVIEW_CHARS)).when(name.isin(*READS, *WRITES), at("file_path"))
+        .when(name == "Grep", F.concat(F.lit("/"), at("pattern"), F.lit("/"))).when(name == "Glob", at("pattern")).when(name == "Task", at("description"))
+    )
+    return F.coalesce(shown, F.lit(""))

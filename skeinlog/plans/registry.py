@@ -1,7 +1,7 @@
 """Registered queries: the operators applied to whole driver tables, each with the same query in SQL.
 
-The driver tables stand in for transcripts: a conversation or a user is a session, an event type is a tool, the event type
-``error`` is a failure, and the key in ``props`` is a file.
+The driver tables stand in for transcripts: a conversation or a user is a session, an event type is a tool, a large value
+is a failure, and the key in ``props`` is a file. Every query maps the columns of its tables and calls the operator.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
-from skeinlog.operators import dedup, messages, sessions
+from skeinlog.operators import dedup, edits, insights, messages, rules, sessions, suggestions
+from skeinlog.operators import tool_usage as usage
+from skeinlog.sources import transcripts
+from skeinlog.sources.store import cache_is_valid
+from skeinlog.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,10 +48,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("msg_idx"), "role", F.col("role").alias("raw_type"),
-        F.col("text").alias("text_content"), F.array().cast("array<string>").alias("tool_names"),
+        F.col("text").alias("text_content"), F.array().cast("array<string>").alias("tool_names"), F.lit(None).cast("string").alias("timestamp"),
+        F.array().cast("array<struct<id:string,name:string,input:string>>").alias("tool_uses"),
     )
 
 
+_WORDS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))"
+
+
 # --- messages ---
 
 _PREPARED = """prepared AS (
@@ -114,21 +122,16 @@ def exchange_sessionise(spark, d):
     return messages.exchanges(messages.prepare(conversation_messages(spark, d))).select("session_id", "original_index", "role", "exchange")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS exchange FROM events),
-r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, md5(CAST(event_id AS VARCHAR)) AS k FROM e),
-p AS (SELECT *, CASE WHEN n <= 15 THEN 'all' WHEN exchange < 5 THEN 'head' WHEN exchange >= n - 5 THEN 'tail' ELSE 'middle' END AS part FROM r),
+@query("""WITH e AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS exchange FROM events),
+r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, md5(CAST(user_id AS VARCHAR) || ':' || CAST(exchange AS VARCHAR)) AS k FROM e),
+p AS (SELECT *, CASE WHEN n <= 30 THEN 'all' WHEN exchange < 10 THEN 'head' WHEN exchange >= n - 10 THEN 'tail' ELSE 'middle' END AS part FROM r),
 q AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY k, exchange) AS rk FROM p)
-SELECT user_id, exchange, part FROM q WHERE part <> 'middle' OR rk <= 5""")
+SELECT user_id, exchange, part FROM q WHERE part <> 'middle' OR rk <= 10""")
 def exchange_sample_head_tail(spark, d):
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    e = table(spark, d, "events").select("user_id", "event_id", order.alias("exchange"))
-    keys = e.select("user_id", "exchange", F.md5(F.col("event_id").cast("string").cast("binary")).alias("k"))
-    per = Window.partitionBy("user_id")
-    ranked = keys.withColumn("n", F.count(F.lit(1)).over(per))
-    part = F.when(F.col("n") <= 15, "all").when(F.col("exchange") < 5, "head").when(F.col("exchange") >= F.col("n") - 5, "tail").otherwise("middle")
-    ranked = ranked.withColumn("part", part)
-    rk = F.row_number().over(Window.partitionBy("user_id", "part").orderBy("k", "exchange"))
-    return ranked.withColumn("rk", rk).where((F.col("part") != "middle") | (F.col("rk") <= 5)).select("user_id", "exchange", "part")
+    e = table(spark, d, "events").select("user_id", order.alias("exchange"))
+    key = F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("exchange").cast("string")).cast("binary"))
+    return messages.choose_exchanges(e, key, session="user_id")
 
 
 @query(f"""WITH {_PREPARED} SELECT session_id, string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY original_index) AS rendered FROM prepared GROUP BY session_id""")
@@ -148,46 +151,124 @@ def eta_estimate(spark, d):
     return sessions.eta_minutes(c)
 
 
-@query("""WITH h AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id)
-SELECT DISTINCT c.conv_id, bool_or((role = 'user' AND (contains(lower(text), 'the') AND contains(lower(text), 'run')))) AS own
-FROM conversations c WHERE turn < 5 GROUP BY c.conv_id""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT DISTINCT conv_id AS session_id FROM n WHERE n <= 5 AND role = 'user' AND (contains(lower(text), 'the') OR contains(lower(text), 'que'))
+ AND (contains(lower(text), 'analyze') OR contains(lower(text), 'review') OR contains(lower(text), 'suggest') OR contains(lower(text), 'apply') OR contains(lower(text), 'watch') OR contains(lower(text), 'run'))""")
 def own_session_detection(spark, d):
-    """Whether one of the first five messages is a user's with the product name and a command word."""
-    low = F.lower("text")
-    hit = (F.col("role") == "user") & low.contains("the") & low.contains("run")
-    return table(spark, d, "conversations").where("turn < 5").groupBy("conv_id").agg(F.bool_or(hit).alias("own"))
+    """Sessions in whose first messages the user names a product and a command."""
+    return watch.own_sessions(conversation_messages(spark, d), ("the", "que"))
 
 
 # --- tool usage and access ---
 
 
-@query("""SELECT user_id, event_type, count(*) AS calls, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM events GROUP BY user_id, event_type""")
+_CALLS = """calls AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Edit' WHEN 'purchase' THEN 'Write' WHEN 'error' THEN 'Bash' ELSE 'Task' END AS name,
+ json_extract_string(props, '$.k') AS file, CASE WHEN value > 100 THEN 1 ELSE 0 END AS failed, event_id % 5 <> 0 AS has_input FROM events)"""
+
+
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event is a message with one tool call and its result; one in five calls has no input object."""
+    name = F.when(F.col("event_type") == "view", "Read").when(F.col("event_type") == "click", "Edit").when(F.col("event_type") == "purchase", "Write").when(F.col("event_type") == "error", "Bash").otherwise("Task")
+    given = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("file_path")))
+    call = F.struct(F.col("event_id").cast("string").alias("id"), name.alias("name"), F.when(F.col("event_id") % 5 != 0, given).otherwise(F.lit("null")).alias("input"))
+    content = F.when(F.col("value") > 100, F.concat(F.lit("Error: "), F.col("value").cast("string"))).otherwise(F.lit("done"))
+    result = F.struct(F.col("event_id").cast("string").alias("tool_use_id"), content.alias("content"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("msg_idx"), F.array(call).alias("tool_uses"), F.array(result).alias("tool_results"))
+
+
+@query(f"""WITH {_CALLS} SELECT session_id, name, CAST(count(*) AS INTEGER) AS count, CAST(sum(failed) AS INTEGER) AS failures FROM calls GROUP BY session_id, name""")
 def tool_usage(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("value") > 100).alias("failures"))
+    return usage.by_tool(usage.calls(event_messages(spark, d)))
+
 
+@query(f"""WITH {_CALLS} SELECT session_id, event_id AS msg_idx, name, CAST(failed AS INTEGER) AS failures FROM calls""")
+def tool_calls(spark, d):
+    return usage.calls(event_messages(spark, d), "session").select("session_id", "msg_idx", "name", "failures")
 
-@query("""SELECT user_id, count(*) AS calls, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END), 0), 0.0)::DOUBLE AS failure_rate
-FROM events GROUP BY user_id""")
+
+@query(f"""WITH {_CALLS},
+t AS (SELECT session_id, name, count(*) AS n, sum(failed) AS f FROM calls GROUP BY 1, 2),
+l AS (SELECT session_id, string_agg('- ' || name || ': ' || n || ' calls' || CASE WHEN f > 0 THEN ' (' || CAST(f AS BIGINT) || ' failures)' ELSE '' END, chr(10) ORDER BY n DESC, name) AS lines FROM t GROUP BY 1),
+r AS (SELECT session_id, coalesce(sum(CASE WHEN name = 'Bash' THEN failed END) / nullif(count(CASE WHEN name = 'Bash' AND has_input THEN 1 END), 0), 0) AS rate FROM calls GROUP BY 1),
+w AS (SELECT session_id, file, sum(CASE WHEN name = 'Read' THEN 1 ELSE 0 END) AS reads, sum(CASE WHEN name IN ('Write', 'Edit') THEN 1 ELSE 0 END) AS writes FROM calls WHERE has_input AND name IN ('Read', 'Write', 'Edit') GROUP BY 1, 2),
+f AS (SELECT session_id, string_agg('- ' || file || ': ' || CAST(reads AS BIGINT) || ' reads, ' || CAST(writes AS BIGINT) || ' writes', chr(10) ORDER BY reads + writes DESC, file) AS files FROM w WHERE reads + writes >= 5 GROUP BY 1)
+SELECT session_id, concat_ws(chr(10), lines, CASE WHEN rate > 0 THEN 'Bash failure rate: ' || format('{{:.0f}}', floor(rate * 100 + 0.5)) || '%' END, files) AS rendered FROM l JOIN r USING (session_id) LEFT JOIN f USING (session_id)""")
+def tool_usage_text(spark, d):
+    return usage.render(usage.summary(event_messages(spark, d)))
+
+
+@query(f"""WITH {_CALLS} SELECT session_id, coalesce(sum(CASE WHEN name = 'Bash' THEN failed ELSE 0 END) / nullif(sum(CASE WHEN name = 'Bash' AND has_input THEN 1 ELSE 0 END), 0), 0.0)::DOUBLE AS bash_failure_rate FROM calls GROUP BY session_id""")
 def tool_failure_rate(spark, d):
-    rate = F.try_divide(F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type").isin("error", "click")))
-    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(rate, F.lit(0.0)).alias("failure_rate"))
+    return usage.shell_failure_rate(usage.calls(event_messages(spark, d)))
 
 
-@query("""WITH k AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS file FROM events),
-c AS (SELECT user_id, file, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS reads, CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) AS BIGINT) AS writes FROM k WHERE coalesce(file, '') <> '' GROUP BY user_id, file)
-SELECT * FROM c WHERE reads + writes >= 5""")
+@query(f"""WITH {_CALLS} SELECT session_id, file AS file_path, CAST(sum(CASE WHEN name = 'Read' THEN 1 ELSE 0 END) AS INTEGER) AS read_count, CAST(sum(CASE WHEN name IN ('Write', 'Edit') THEN 1 ELSE 0 END) AS INTEGER) AS write_count
+FROM calls WHERE has_input AND coalesce(file, '') <> '' AND name IN ('Read', 'Write', 'Edit') GROUP BY session_id, file HAVING count(*) >= 2""")
 def repeated_access(spark, d):
-    k = table(spark, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("file")).where(F.coalesce("file", F.lit("")) != "")
-    c = k.groupBy("user_id", "file").agg(F.count_if(F.col("event_type") == "view").alias("reads"), F.count_if(F.col("event_type") != "view").alias("writes"))
-    return c.where(F.col("reads") + F.col("writes") >= 5)
+    return usage.repeated_files(usage.calls(event_messages(spark, d)), 2)
 
 
-@query("""WITH r AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
-SELECT user_id, min_by(ts, n) AS first_ts FROM r WHERE n <= 5 AND event_type <> 'error' GROUP BY user_id""")
-def first_ts_lookahead(spark, d):
+_LINES = """numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"""
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as transcript lines of a session per user: errors are broken lines, sign-ups summaries, views the user's."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    r = table(spark, d, "events").select("user_id", "event_type", "ts", n.alias("n")).where("n <= 5")
-    return r.where(F.col("event_type") != "error").groupBy("user_id").agg(F.min_by("ts", "n").alias("first_ts"))
+    e = table(spark, sf_dir, "events").withColumn("line_no", n)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.struct(F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), F.col("value").cast("string")).alias("content"))
+    kind = F.when(F.col("event_type") == "view", "user").when(F.col("event_type") == "signup", "summary").otherwise("assistant")
+    whole = F.to_json(F.struct(kind.alias("type"), at.alias("timestamp"), said.alias("message"), F.concat(F.lit("about "), F.col("event_id").cast("string")).alias("summary")))
+    session = F.col("user_id").cast("string")
+    folder = F.concat(F.lit("-home-u"), (F.col("user_id") % 7).cast("string"))
+    return e.select(
+        session.alias("session_id"), folder.alias("project_path_encoded"), X.decode_project(folder).alias("project_path"), F.concat(session, F.lit(".jsonl")).alias("file_path"),
+        (F.col("user_id") * 10).alias("file_size"), F.lit("2024-06-01 00:00:00").cast("timestamp").alias("modified_at"), "line_no",
+        F.when(F.col("event_type") == "error", F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(whole).alias("line"),
+    )
+
+
+@query(f"""WITH {_LINES} SELECT CAST(user_id AS VARCHAR) AS session_id, strftime(date_trunc('second', min_by(ts, n) FILTER (event_type <> 'error')), '%Y-%m-%d %H:%M:%S') AS created FROM numbered WHERE n <= 5 GROUP BY user_id""")
+def first_ts_lookahead(spark, d):
+    first = transcripts.first_timestamps(transcripts.parsed(event_lines(spark, d)))
+    return first.select("session_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+@query(f"""WITH {_LINES} SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(n AS INTEGER) AS line_no, 'invalid line' AS error FROM numbered WHERE event_type = 'error'""")
+def line_warnings(spark, d):
+    return transcripts.warnings(transcripts.parsed(event_lines(spark, d)))
+
+
+@query(f"""WITH {_LINES} SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(n AS INTEGER) AS msg_idx, CASE WHEN event_type = 'view' THEN 'user' ELSE 'assistant' END AS role, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+ starts_with('said ' || CAST(value AS VARCHAR), 'said ') AS has_text, CASE WHEN event_type = 'view' THEN 'user' ELSE 'assistant' END AS raw_type FROM numbered WHERE event_type NOT IN ('error', 'signup')""")
+def parsed_messages(spark, d):
+    m = transcripts.messages(transcripts.parsed(event_lines(spark, d)))
+    return m.select("session_id", "msg_idx", "role", "timestamp", F.col("text_content").startswith("said ").alias("has_text"), "raw_type")
+
+
+@query(f"""WITH {_LINES},
+s AS (SELECT user_id, max(n) AS lines, max_by('about ' || event_id, n) FILTER (event_type = 'signup') AS summary, count(*) FILTER (event_type = 'view') AS u, count(*) FILTER (event_type IN ('click', 'purchase')) AS a,
+ min(date_trunc('second', ts)) FILTER (event_type NOT IN ('error', 'signup')) AS first_ts, max(date_trunc('second', ts)) FILTER (event_type NOT IN ('error', 'signup')) AS last_ts FROM numbered GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS session_id, '/home/u' || (user_id % 7) AS project_path, CAST(lines AS INTEGER) AS message_count, summary, CAST(u AS INTEGER) AS user_message_count, CAST(a AS INTEGER) AS assistant_message_count,
+ CAST(floor(date_sub('millisecond', first_ts, last_ts) / 60000 + 0.5) AS INTEGER) AS duration_minutes FROM s""")
+def parsed_sessions(spark, d):
+    s = transcripts.sessions(transcripts.parsed(event_lines(spark, d)))
+    return s.select("session_id", "project_path", "message_count", "summary", "user_message_count", "assistant_message_count", "duration_minutes")
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT user_id, coalesce(min_by(date_trunc('second', ts), n) FILTER (event_type <> 'error' AND n <= 5), TIMESTAMP '2024-06-01 00:00:00') AS at FROM numbered GROUP BY user_id)
+SELECT '/home/u' || (user_id % 7) AS project_path, '-home-u' || (user_id % 7) AS project_path_encoded, count(*) AS sessions, strftime(max(at), '%Y-%m-%d %H:%M:%S') AS latest FROM c GROUP BY user_id % 7""")
+def project_list(spark, d):
+    p = transcripts.projects(transcripts.sessions(transcripts.parsed(event_lines(spark, d))))
+    return p.withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS u FROM numbered GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(u AS INTEGER) AS user_message_count FROM c WHERE u >= 2 AND user_id % 7 = 3""")
+def project_sessions(spark, d):
+    """Sessions of one project that are long enough to be analysed."""
+    s = transcripts.sessions(transcripts.parsed(event_lines(spark, d)))
+    return sessions.for_project(sessions.analyzable(s), "/home/u3/").select("session_id", "user_message_count")
 
 
 # --- listing, limits, latest ---
@@ -208,23 +289,20 @@ def latest_batch(spark, d):
 @query("""SELECT event_id, user_id, ts FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)""")
 def days_filter(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
-    latest = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("cutoff"))
-    return e.join(F.broadcast(latest), F.col("ts") >= F.col("cutoff")).drop("cutoff")
+    latest = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("cutoff"))  # one row
+    return sessions.modified_since(e.join(F.broadcast(latest)), F.col("cutoff"), "ts").drop("cutoff")
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_name, c_custkey LIMIT 1""")
+@query("""SELECT c_custkey AS modified_at, c_name AS session_id FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_custkey DESC, c_name LIMIT 1""")
 def session_prefix_lookup(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return c.where(F.col("c_name").startswith("Customer#00000001")).orderBy("c_name", "c_custkey").limit(1)
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("modified_at"), F.lit(None).cast("long").alias("created_at"), F.col("c_name").alias("session_id"))
+    return sessions.find_session(c, "Customer#00000001").select("modified_at", "session_id")
 
 
-@query("""SELECT count(DISTINCT o_custkey) AS projects, count(*) AS sessions, CAST(sum(CAST(o_totalprice AS BIGINT) % 100) AS BIGINT) AS minutes FROM orders""")
+@query("""SELECT count(DISTINCT o_custkey) AS projects, count(*) AS sessions, CAST(sum(CAST(round(o_totalprice) AS BIGINT) % 100) AS BIGINT) AS minutes, round(sum(CAST(round(o_totalprice) AS BIGINT) % 100) / 60, 1)::DOUBLE AS hours FROM orders""")
 def list_totals(spark, d):
-    minutes = F.round("o_totalprice").cast("long") % 100
-    return table(spark, d, "orders").agg(F.count_distinct("o_custkey").alias("projects"), F.count(F.lit(1)).alias("sessions"), F.sum(minutes).alias("minutes"))
-
-
-_SQL["list_totals"] = """SELECT count(DISTINCT o_custkey) AS projects, count(*) AS sessions, CAST(sum(CAST(round(o_totalprice) AS BIGINT) % 100) AS BIGINT) AS minutes FROM orders"""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("project_path"), (F.round("o_totalprice").cast("long") % 100).alias("duration_minutes"))
+    return sessions.listing_totals(o)
 
 
 # --- enums, buckets, ranks, statistics ---
@@ -241,153 +319,200 @@ def confidence_bucket(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.bucket(F.col("c_acctbal"), 8000, 6000).alias("bucket"))
 
 
-@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY substr(o_orderpriority, 1, 1), o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders""")
+@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY least(CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 4), o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders""")
 def priority_rank(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.substring("o_orderpriority", 1, 1), F.col("o_totalprice").desc(), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank"))
+    p = F.substring("o_orderpriority", 1, 1)
+    named = F.when(p == "1", "high").when(p == "2", "medium").when(p == "3", "low").otherwise("none of these")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", named.alias("priority"), F.col("o_totalprice").alias("confidence"))
+    return dedup.rank(o, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "rank")
 
 
-@query("""SELECT quality, CAST(sum(CASE WHEN toxic >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN toxic < 1 THEN 1 ELSE 0 END) AS BIGINT) AS filtered_out FROM labels GROUP BY quality""")
+@query("""SELECT 'kept' AS what, count(*) AS n FROM documents WHERE n_chars / 2000.0 >= 0.5 UNION ALL SELECT 'filtered_out', count(*) FROM documents WHERE n_chars / 2000.0 < 0.5""")
 def confidence_filter_counts(spark, d):
-    return table(spark, d, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") >= 1).alias("kept"), F.count_if(F.col("toxic") < 1).alias("filtered_out"))
+    rows = table(spark, d, "documents").select((F.col("n_chars") / 2000.0).alias("confidence"))
+    kept = insights.confident(rows).agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("what"), "n")
+    return kept.unionByName(insights.filtered_out(rows).select(F.lit("filtered_out").alias("what"), F.col("filtered_out").alias("n")))
 
 
-@query("""SELECT CAST(sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS urgent, CAST(sum(CASE WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END) AS BIGINT) AS high,
- CAST(sum(CASE WHEN o_orderpriority LIKE '3%' THEN 1 ELSE 0 END) AS BIGINT) AS medium, CAST(sum(CASE WHEN o_orderpriority LIKE '9%' THEN 1 ELSE 0 END) AS BIGINT) AS none_such, count(*) AS total FROM orders""")
+@query("""WITH o AS (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'remove' WHEN 3 THEN 'split' ELSE 'other' END AS t, substr(o_orderpriority, 1, 1) AS p FROM orders)
+SELECT count(*) AS total, count(*) FILTER (t = 'add') AS adds, count(*) FILTER (t = 'update') AS updates, count(*) FILTER (t = 'consolidate') AS consolidates, count(*) FILTER (p = '1') AS high, count(*) FILTER (p = '3') AS low, 40 + count(*) FILTER (t = 'add') AS estimated_rules_after FROM o""")
 def stats_pivot(spark, d):
-    p = F.substring("o_orderpriority", 1, 1)
-    one = lambda v, n: F.count_if(p == v).alias(n)
-    return table(spark, d, "orders").agg(one("1", "urgent"), one("2", "high"), one("3", "medium"), one("9", "none_such"), F.count(F.lit(1)).alias("total"))
+    k, p = F.col("o_orderkey") % 6, F.substring("o_orderpriority", 1, 1)
+    kind = F.when(k == 0, "add").when(k == 1, "update").when(k == 2, "remove").when(k == 3, "split").otherwise("other")
+    named = F.when(p == "1", "high").when(p == "2", "medium").when(p == "3", "low").otherwise("none")
+    out = suggestions.stats(table(spark, d, "orders").select(kind.alias("type"), named.alias("priority")), 40)
+    of = lambda c, v: F.col(c)[v]
+    return out.select("total", of("by_type", "add").alias("adds"), of("by_type", "update").alias("updates"), of("by_type", "consolidate").alias("consolidates"), of("by_priority", "high").alias("high"), of("by_priority", "low").alias("low"), "estimated_rules_after")
 
 
-@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS category, count(*) AS insights, count(DISTINCT user_id) AS sessions FROM events GROUP BY event_type""")
 def group_counts(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    return insights.by_category(table(spark, d, "events").select(F.col("event_type").alias("category"), F.col("user_id").alias("session_id")))
+
+
+@query("""SELECT conv_id AS session_id, count(*) FILTER (role IN ('user', 'system')) AS corrections_detected FROM conversations GROUP BY conv_id""")
+def corrections_count(spark, d):
+    kind = F.when(F.col("role") == "user", insights.CORRECTIONS[0]).when(F.col("role") == "system", insights.CORRECTIONS[1]).otherwise("suggested_rule")
+    return insights.corrections(table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), kind.alias("category")))
 
 
-@query("""SELECT CAST(sum(CASE WHEN conv_id >= 0 AND u < 2 THEN 1 ELSE 0 END) AS BIGINT) AS skipped_short, CAST(sum(CASE WHEN u >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS analyzable FROM (
- SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS u FROM conversations GROUP BY conv_id)""")
+@query("""SELECT doc_id AS id, n_chars FROM documents WHERE NOT (doc_id % 3 <> 0 AND lang = 'en')""")
+def actionable_filter(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.when(F.col("doc_id") % 3 == 0, "a rule").otherwise("").alias("suggested_rule"), F.when(F.col("lang") == "en", "prompt_improvement").otherwise("unclear").alias("action_hint"))
+    return insights.actionable(rows).select("id", "n_chars")
+
+
+@query("""SELECT count(*) FILTER (u < 2) AS skipped_short, count(*) FILTER (u >= 2) AS analyzable FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)""")
 def skipped_short_counter(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("u"))
-    return c.agg(F.count_if(F.col("u") < 2).alias("skipped_short"), F.count_if(F.col("u") >= 2).alias("analyzable"))
+    facts = sessions.session_facts(conversation_messages(spark, d))
+    return sessions.skipped_short(facts)
 
 
 # --- joins ---
 
 
-@query("""SELECT l_orderkey, count(DISTINCT c_custkey) AS customers, count(DISTINCT l_suppkey) AS suppliers,
- CASE WHEN count(DISTINCT l_suppkey) = 0 THEN 0.6 WHEN count(DISTINCT l_suppkey) >= 3 THEN 0.95 WHEN count(DISTINCT l_suppkey) >= 2 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence
- FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY l_orderkey""")
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 4 <> 0),
+n AS (SELECT l_orderkey, count(DISTINCT s_nationkey) AS n FROM s JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey)
+SELECT o_orderkey AS id, coalesce(n, 0) AS sessions, CASE WHEN o_orderkey % 9 = 0 THEN 0.85 WHEN s.l_orderkey IS NULL THEN 0.6 WHEN n >= 3 THEN 0.95 WHEN n >= 2 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence
+FROM orders LEFT JOIN n ON o_orderkey = n.l_orderkey LEFT JOIN (SELECT DISTINCT l_orderkey FROM s) s ON o_orderkey = s.l_orderkey""")
 def provenance_lineage(spark, d):
-    l, o, c = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))  # noqa: E741
-    j = l.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    j = j.join(c.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    g = j.groupBy("l_orderkey").agg(F.count_distinct("c_custkey").alias("customers"), F.count_distinct("l_suppkey").alias("suppliers"))
-    n = F.col("suppliers")
-    return g.withColumn("confidence", F.when(n == 0, 0.6).when(n >= 3, 0.95).when(n >= 2, 0.85).otherwise(0.7))
+    """An order is a suggestion, its suppliers are the insights behind it, and their nations the sessions."""
+    cited = table(spark, d, "lineitem").where("l_suppkey % 4 <> 0").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("ids"))
+    made = table(spark, d, "orders").join(cited, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "split").otherwise("add").alias("type"), F.coalesce("ids", F.array().cast("array<string>")).alias("source_insight_ids")
+    )
+    links = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("insight_id"), F.col("s_nationkey").cast("string").alias("session_id"))
+    out = suggestions.with_provenance(made, links)
+    return out.select("id", F.size("source_session_ids").cast("long").alias("sessions"), "confidence")
+
 
+_AUDITED = "SELECT doc_id, CASE WHEN quality = 1 THEN 'done' END AS analyzed_at, CASE WHEN toxic = 0 THEN 'v1' ELSE 'v0' END AS version, doc_id % 5 AS mtime FROM labels"
 
-@query("""SELECT d.doc_id, (l.doc_id IS NULL OR l.quality <> 1) AS needs_analysis FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+
+def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("session_id"), F.when(F.col("quality") == 1, "done").alias("analyzed_at"), F.when(F.col("toxic") == 0, "v1").otherwise("v0").alias("analysis_prompt_version"), (F.col("doc_id") % 5).cast("double").alias("session_mtime")
+    )
+
+
+@query(f"""SELECT d.doc_id AS session_id, (a.doc_id IS NULL OR a.analyzed_at IS NULL OR a.version <> 'v1' OR a.mtime <> d.doc_id % 7) AS needs_analysis FROM documents d LEFT JOIN ({_AUDITED}) a ON d.doc_id = a.doc_id""")
 def needs_analysis(spark, d):
-    l = table(spark, d, "labels").select(F.col("doc_id").alias("k"), "quality")  # noqa: E741
-    j = table(spark, d, "documents").select("doc_id").join(l, F.col("doc_id") == F.col("k"), "left")
-    return j.select("doc_id", (F.col("k").isNull() | (F.col("quality") != 1)).alias("needs_analysis"))
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), (F.col("doc_id") % 7).cast("double").alias("mtime"))
+    return sessions.change_status(s, label_audit(spark, d), "v1").select("session_id", "needs_analysis")
 
 
-@query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query("""SELECT doc_id AS session_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def needs_analysis_anti(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return watch.not_analyzed(table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), "source"), label_audit(spark, d))
 
 
-@query("""SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+@query("""SELECT doc_id AS session_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)""")
 def already_done_semi(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    """Analysed sessions that have stored results."""
+    stored = table(spark, d, "labels").where("toxic = 0").select(F.col("doc_id").alias("session_id"))
+    return sessions.with_results(table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), "source"), label_audit(spark, d), stored)
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def new_only_anti(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
+    known = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return dedup.new_only(table(spark, d, "customer").select("c_custkey", "c_name"), known, "c_custkey")
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def scope_semi(spark, d):
     c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left_semi")
+    return insights.in_scope(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey")
 
 
-@query("""SELECT coalesce(d.lang, '?') AS lang, bool_and(l.doc_id IS NOT NULL AND d.n_chars <= 100000) AS valid, count(*) AS n
-FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+@query("""SELECT 'same' AS pair, true AS valid UNION ALL SELECT 'newer', (SELECT max(n_chars) FROM documents) <= 100 UNION ALL SELECT 'missing', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0""")
 def cache_validity(spark, d):
-    a = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    b = table(spark, d, "labels").select(F.col("doc_id").alias("k"))
-    j = a.join(b, F.col("doc_id") == F.col("k"), "full_outer")
-    ok = F.col("k").isNotNull() & (F.col("n_chars") <= 100000)
-    return j.groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.bool_and(ok).alias("valid"), F.count(F.lit(1)).alias("n"))
+    now = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("mtime"))
+    older = now.select("path", F.least("mtime", F.lit(100.0)).alias("mtime"))
+    some = now.join(table(spark, d, "labels").select(F.col("doc_id").alias("path")), "path", "left_semi")
+    parts = [cache_is_valid(now, then).select(F.lit(name).alias("pair"), "valid") for name, then in (("same", now), ("newer", older), ("missing", some))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""SELECT 'single' AS source, c_custkey AS id, c_name AS title, c_mktsegment AS category FROM customer UNION ALL SELECT 'cross', s_suppkey, s_name, NULL FROM supplier""")
+@query("""SELECT 'single' AS source, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, CAST(1 AS BIGINT) AS session_count FROM customer UNION ALL
+SELECT 'cross', 's' || s_suppkey, s_name, (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem WHERE l_suppkey = s_suppkey) FROM supplier""")
 def union_payload(spark, d):
-    c = table(spark, d, "customer").select(F.lit("single").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
-    s = table(spark, d, "supplier").select(F.lit("cross").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
-    return c.unionByName(s, allowMissingColumns=True)
+    def shaped(df, key, title):
+        return df.select(key.alias("id"), F.lit("suggested_rule").alias("category"), F.lit(0.7).alias("confidence"), F.col(title).alias("title"), F.lit("").alias("description"), F.lit("x").alias("suggested_rule"), F.lit("unclear").alias("action_hint"))
 
+    single = shaped(table(spark, d, "customer"), F.col("c_custkey").cast("string"), "c_name")
+    cross = shaped(table(spark, d, "supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name")
+    seen = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), F.concat("l_returnflag", "l_linestatus").alias("session_id"))
+    return insights.payload(single, cross, seen).select("source", "id", "title", "session_count")
 
-@query("""SELECT p_partkey, p_name, n_name, CAST(rank AS INTEGER) AS rank FROM (
- SELECT p_partkey, p_name, n_name, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN lower(n_name) = lower(p_name) THEN 0 ELSE 1 END, n_nationkey) AS rank
- FROM part JOIN nation ON substr(lower(p_name), 1, 1) = substr(lower(n_name), 1, 1)) WHERE rank = 1""")
+
+@query("""WITH f AS (SELECT n_nationkey AS ord, '/home/me/.own/' || n_name || '.md' AS path, 'docs/' || n_name || '.md' AS rel, n_name FROM nation),
+s AS (SELECT p_partkey AS id, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN 'docs/' || n_name || '.md' WHEN 1 THEN n_name || '.md' WHEN 2 THEN '~/' || '.own/' || n_name || '.md' WHEN 3 THEN '.md' ELSE 'none/' || n_name END AS target
+ FROM part JOIN nation ON p_partkey % 25 = n_nationkey)
+SELECT s.id, s.target AS target_file, CASE WHEN k = 3 THEN (SELECT min_by(path, ord) FROM f) WHEN k = 4 THEN NULL ELSE f.path END AS file_path
+FROM s LEFT JOIN f ON s.k < 3 AND (f.rel = s.target OR ends_with(f.rel, s.target) OR (s.k = 2 AND ends_with(f.path, substr(s.target, 3)))) AND f.ord = s.id % 25""")
 def target_file_match(spark, d):
-    """Best of several kinds of match: an equal name first, else the first that shares the initial."""
-    initial = lambda c: F.substring(F.lower(c), 1, 1)
-    p, n = table(spark, d, "part").select("p_partkey", "p_name"), table(spark, d, "nation").select("n_nationkey", "n_name")
-    j = p.join(n, initial("p_name") == initial("n_name"))
-    w = Window.partitionBy("p_partkey").orderBy(F.when(F.lower("n_name") == F.lower("p_name"), 0).otherwise(1), "n_nationkey")
-    return j.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("p_partkey", "p_name", "n_name", "rank")
+    """Targets of every kind: the relative path, its end, a home path, an ending that all files share, and one that none has."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    md = F.concat("n_name", F.lit(".md"))
+    files = n.select(F.concat(F.lit("/home/me/.own/"), md).alias("path"), F.concat(F.lit("docs/"), md).alias("relative_path"), F.lit("text").alias("content"), F.col("n_nationkey").alias("ord"))
+    k = F.col("p_partkey") % 5
+    target = F.when(k == 0, F.concat(F.lit("docs/"), md)).when(k == 1, md).when(k == 2, F.concat(F.lit("~/.own/"), md)).when(k == 3, F.lit(".md")).otherwise(F.concat(F.lit("none/"), "n_name"))
+    aimed = table(spark, d, "part").join(F.broadcast(n), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("p_partkey").alias("id"), target.alias("target_file"))
+    return edits.match_files(aimed, files).select("id", "target_file", "file_path")
 
 
 # --- similarity, lines, digests ---
 
-_WORDS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))"
-
 
-@query(f"""WITH p AS (SELECT p_partkey, p_brand, {_WORDS.format("p_name || ' ' || p_type")} AS w FROM part),
-q AS (SELECT DISTINCT p_brand, list_sort(w) AS w, min(p_partkey) OVER (PARTITION BY p_brand, list_sort(w)) AS k FROM p),
-j AS (SELECT a.p_brand, a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS t FROM q a JOIN q b ON a.p_brand = b.p_brand AND a.k < b.k)
-SELECT p_brand, a, b, (i / (t - i))::DOUBLE AS similarity FROM j WHERE t > i AND i / (t - i) > 0.6""")
+@query(f"""WITH p AS (SELECT p_partkey, list_sort({_WORDS.format("p_name || ' ' || p_type || ' ' || p_brand")}) AS w FROM part),
+c AS (SELECT w, min(p_partkey) AS class_id FROM p GROUP BY w),
+j AS (SELECT a.class_id AS a, b.class_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS t FROM c a JOIN c b ON a.class_id <> b.class_id AND len(a.w) > 0 AND len(b.w) > 0),
+l AS (SELECT a, count(*) AS links FROM j WHERE i / (t - i) > 0.6 GROUP BY a)
+SELECT p.p_partkey, c.class_id, coalesce(l.links, 0) AS links FROM p JOIN c ON p.w = c.w LEFT JOIN l ON l.a = c.class_id""")
 def jaccard_pairs(spark, d):
-    """Pairs of representatives of equal word sets, within a brand, that are similar; a theta join on a small blocking key."""
-    w = F.array_sort(X.title_words(F.concat_ws(" ", "p_name", "p_type")))
-    p = table(spark, d, "part").groupBy("p_brand", w.alias("w")).agg(F.min("p_partkey").alias("k"))
-    a, b = p.select("p_brand", F.col("w").alias("wa"), F.col("k").alias("a")), p.select("p_brand", F.col("w").alias("wb"), F.col("k").alias("b"))
-    s = X.jaccard(F.col("wa"), F.col("wb"))
-    return a.join(b, "p_brand").where("a < b").select("p_brand", "a", "b", s.alias("similarity")).where("similarity > 0.6")
-
-
-@query()
+    """Every part with the class of equal word sets that it is in and the number of other classes that are similar to it."""
+    return dedup.similar_sets(table(spark, d, "part"), "p_partkey", X.title_words(F.concat_ws(" ", "p_name", "p_type", "p_brand")), 0.6)
+
+
+_FOLD = f"""WITH RECURSIVE items AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS id, {_WORDS.format("p_name || ' ' || p_type")} AS tw, {_WORDS.format("p_brand || ' ' || p_type || ' x' || (p_partkey % 50) || 'x y' || (p_partkey % 70) || 'y'")} AS cw,
+ p_size % 3 AS po, p_retailprice % 1.0 AS conf, p_partkey % 3 AS tf, CASE WHEN p_partkey % 40 = 0 THEN 'i' || (p_partkey % 400) END AS ins FROM part),
+n AS (SELECT *, row_number() OVER (ORDER BY ord, id) AS i FROM items),
+fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id VARCHAR, tw VARCHAR[], cw VARCHAR[], po BIGINT, conf DOUBLE, tf BIGINT, ins VARCHAR)[]) AS kept
+ UNION ALL
+ SELECT h.i, CASE WHEN h.hit IS NULL THEN list_append(kept, h.x) WHEN h.x.po < kept[h.hit].po OR (h.x.po = kept[h.hit].po AND h.x.conf > kept[h.hit].conf) THEN list_concat(list_append(kept[1:h.hit - 1], h.x), kept[h.hit + 1:]) ELSE kept END
+ FROM (SELECT n.i, f.kept, struct_pack(id := n.id, tw := n.tw, cw := n.cw, po := CAST(n.po AS BIGINT), conf := CAST(n.conf AS DOUBLE), tf := CAST(n.tf AS BIGINT), ins := n.ins) AS x,
+   list_position(list_transform(f.kept, lambda k: coalesce(k.ins = n.ins, false)
+     OR (len(list_intersect(k.tw, n.tw)) / nullif(len(k.tw) + len(n.tw) - len(list_intersect(k.tw, n.tw)), 0) > CASE WHEN k.tf = n.tf THEN 0.6 ELSE 0.8 END)
+     OR (len(list_intersect(k.cw, n.cw)) / nullif(len(k.cw) + len(n.cw) - len(list_intersect(k.cw, n.cw)), 0) > 0.6)), true) AS hit
+  FROM fold f JOIN n ON n.i = f.i + 1) h)
+SELECT CAST(place - 1 AS INTEGER) AS place, k.id AS id, CASE k.po WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, k.conf AS confidence,
+ CAST(row_number() OVER (ORDER BY k.po, k.conf DESC, place) AS INTEGER) AS rank
+FROM (SELECT unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS place FROM fold WHERE i = (SELECT max(i) FROM n))"""
+
+
+@query(_FOLD)
 def greedy_dedup(spark, d):
-    """The order-dependent fold over each brand's parts (a recursive fold; tested against a plain model)."""
-    parts = table(spark, d, "part").select(
-        "p_brand", F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"),
+    """The order-dependent fold over all parts as suggestions: three target files, contents, and insight ids that some share."""
+    k = F.col("p_partkey")
+    part = lambda a, m: F.concat(F.lit(f" {a}"), (k % m).cast("string"), F.lit(a))
+    made = table(spark, d, "part").select(
+        F.lit("all").alias("scope"), k.alias("ord"), k.cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"),
         F.element_at(F.array(*map(F.lit, dedup.PRIORITIES)), (F.col("p_size") % 3 + 1).cast("int")).alias("priority"),
-        (F.col("p_retailprice") % 1.0).alias("confidence"), F.lit("A.md").alias("target_file"), F.lit(None).cast("string").alias("target_section"),
-        F.array().cast("array<string>").alias("source_insight_ids"), F.lit("").alias("added_text"),
+        (F.col("p_retailprice") % 1.0).alias("confidence"), (k % 3).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_section"),
+        F.when(k % 40 == 0, F.array(F.concat(F.lit("i"), (k % 400).cast("string")))).otherwise(F.array().cast("array<string>")).alias("source_insight_ids"),
+        F.concat(F.concat_ws(" ", "p_brand", "p_type"), part("x", 50), part("y", 70)).alias("added_text"),
     )
-    return dedup.dedup_and_rank(parts, ["p_brand"]).select("p_brand", "place", "rank", "id", "title", "priority", "confidence")
+    return dedup.dedup_and_rank(made, ["scope"]).select("place", "id", "priority", "confidence", "rank")
 
 
-@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
-n AS (SELECT doc_id, lower(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l WHERE line <> ''),
-known AS (SELECT DISTINCT lower(regexp_replace(trim(line), '\\s+', ' ', 'g')) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 2 = 0))
-SELECT n.doc_id, count(*) AS lines, CAST(sum(CASE WHEN k.line IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS present,
- sum(CASE WHEN k.line IS NOT NULL THEN 1 ELSE 0 END) / count(*) > 0.8 AS already_present FROM n LEFT JOIN known k ON n.line = k.line GROUP BY n.doc_id""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, lower(regexp_replace(trim(line), '\\s+', ' ', 'g')) AS line FROM l WHERE trim(line) <> ''),
+shared AS (SELECT line FROM n GROUP BY line HAVING count(DISTINCT doc_id) > 1)
+SELECT n.doc_id, count(*) AS lines, count(s.line) AS present, count(s.line) / count(*) > 0.8 AS already_present FROM n LEFT JOIN shared s ON n.line = s.line GROUP BY n.doc_id""")
 def line_presence_ratio(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    norm = F.lower(F.regexp_replace(F.trim("line"), r"\s+", " "))
-    lines = t.select("doc_id", norm.alias("line")).where("line <> ''")
-    known = t.where("doc_id % 2 = 0").select(norm.alias("line"), F.lit(1).alias("hit")).distinct()
-    j = lines.join(known, "line", "left")
-    present = F.count("hit")
-    return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), present.alias("present"), (present / F.count(F.lit(1)) > 0.8).alias("already_present"))
+    """How many lines of each document stand in another document as well."""
+    return edits.line_presence(table(spark, d, "documents"))
 
 
 @query("""SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '(?m)^#{1,6}\\s+', '', 'g'), '[^a-z0-9À-ɏ\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))) AS INTEGER) AS words FROM documents""")
@@ -409,10 +534,10 @@ def cache_key(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(X.digest(F.concat(ids, F.lit("|prompt:v1")), 16).alias("cache_key"))
 
 
-@query("""SELECT o_custkey, o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) / 15) AS BIGINT) AS batch FROM orders""")
+@query("""SELECT o_custkey, o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) / 15) AS INTEGER) AS batch FROM orders""")
 def batch_chunks(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.ceil(F.row_number().over(w) / 15).alias("batch"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("confidence"))
+    return insights.batches(o, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "batch")
 
 
 @query("""SELECT p_partkey, regexp_extract_all(regexp_replace('see @docs/' || p_partkey || '.md and `@code/x.md` plus @' || p_brand || '.txt', '`[^`]+`', '', 'g'), '(?:^|\\s)@([\\w./-]+\\.[\\w]+)', 1) AS imports FROM part""")
@@ -426,8 +551,6 @@ s AS (SELECT *, regexp_replace(text, '^[*-]\\s+', '') AS body FROM r)
 SELECT p_partkey, CASE WHEN regexp_matches(body, '(?i)^(IMPORTANT|CRITICAL|YOU MUST|NEVER)\\b') THEN 'emphatic' WHEN regexp_matches(body, '^`[^`]+`') THEN 'command' WHEN regexp_matches(text, '^[*-]\\s+') THEN 'bullet_point' ELSE 'paragraph' END AS format,
  CASE WHEN regexp_matches(text, '(?i)\\b(IMPORTANT|NEVER|DO NOT|DON''T|YOU MUST|REQUIRED|CRITICAL)\\b') OR regexp_matches(text, '\\bMUST\\b') THEN 'important' WHEN regexp_matches(text, '(?i)\\bavoid\\b') THEN 'negative' ELSE 'normal' END AS emphasis FROM s""")
 def rule_classify(spark, d):
-    from skeinlog.operators import rules
-
     k = F.col("p_partkey") % 4
     text = F.concat(F.when(k == 0, "- NEVER use ").when(k == 1, "- `run` ").when(k == 2, "- avoid ").otherwise("Prefer "), F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", rules.format_of(text).alias("format"), rules.emphasis_of(text).alias("emphasis"))
@@ -436,8 +559,6 @@ def rule_classify(spark, d):
 @query("""WITH r AS (SELECT p_brand AS file, p_type AS section, p_partkey AS line FROM part)
 SELECT file, section, count(*) AS rules, min(line) AS first_line, max(line) AS last_line FROM r GROUP BY file, section""")
 def section_stats(spark, d):
-    from skeinlog.operators import rules
-
     r = table(spark, d, "part").select(F.col("p_brand").alias("source_file"), F.col("p_type").alias("section"), F.col("p_partkey").alias("line_start"), F.col("p_partkey").alias("line_end"))
     return rules.section_report(r).select(F.col("source_file").alias("file"), "section", "rules", "first_line", "last_line")
 
@@ -453,16 +574,15 @@ def llm_response_parse(spark, d):
 
 
 @query("""WITH n AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(length(props)) AS grown FROM events GROUP BY user_id, day),
-s AS (SELECT user_id, day, sum(grown) OVER (PARTITION BY user_id ORDER BY day) AS size FROM n),
-p AS (SELECT *, lag(size) OVER (PARTITION BY user_id ORDER BY day) AS seen FROM s)
-SELECT user_id, day, CAST(size AS BIGINT) AS size, (seen IS NULL OR size - seen > 20) AS candidate FROM p""")
+s AS (SELECT user_id, day, sum(grown) OVER (PARTITION BY user_id ORDER BY day) AS size, row_number() OVER (PARTITION BY user_id ORDER BY day) AS poll FROM n),
+p AS (SELECT *, lag(size) OVER (PARTITION BY user_id ORDER BY poll) AS seen FROM s)
+SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(size AS BIGINT) AS size, CAST(poll AS BIGINT) AS poll FROM p WHERE seen IS NULL OR size - seen > 20""")
 def watch_growth(spark, d):
-    """Sizes by day as snapshots: a session is a candidate when new or grown by more than the threshold since the last."""
+    """Sizes by day as polls: a session is a candidate when it is new or has grown by more than the threshold since the last."""
     n = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sum(F.length("props")).alias("grown"))
     w = Window.partitionBy("user_id").orderBy("day")
-    s = n.select("user_id", "day", F.sum("grown").over(w).alias("size"))
-    seen = F.lag("size").over(w)
-    return s.select("user_id", "day", "size", (seen.isNull() | (F.col("size") - seen > 20)).alias("candidate"))
+    polls = n.select(F.col("user_id").cast("string").alias("session_id"), F.sum("grown").over(w).alias("size"), F.lit(0.0).alias("mtime"), F.row_number().over(w).cast("long").alias("poll"))
+    return watch.replay(polls, 20).select("session_id", "size", "poll")
 
 
 @query("""SELECT p_partkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN format('{:.0f} KB', floor(s / 1024 + 0.5)) ELSE format('{:.1f} MB', floor(s / 104857.6 + 0.5) / 10) END AS size,
@@ -472,15 +592,50 @@ def file_size_label(spark, d):
     return table(spark, d, "part").select("p_partkey", X.file_size(s).alias("size"), X.decode_project(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("path"))
 
 
-@query("""SELECT doc_id, len(string_split(text, chr(10))) > 50 AS large, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines FROM documents""")
+@query("""SELECT source AS file, CAST(len(string_split(string_agg(text, chr(10)), chr(10))) AS INTEGER) AS lines FROM documents GROUP BY source HAVING len(string_split(string_agg(text, chr(10)), chr(10))) > 500
+UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(len(string_split(text, chr(10))) AS INTEGER) FROM documents WHERE len(string_split(text, chr(10))) > 500""")
 def large_file_warning(spark, d):
-    n = F.size(F.split("text", "\n", -1))
-    return table(spark, d, "documents").select("doc_id", (n > 50).alias("large"), n.alias("lines"))
+    docs = table(spark, d, "documents")
+    whole = docs.groupBy("source").agg(F.array_join(F.collect_list("text"), "\n").alias("content")).select(F.col("source").alias("path"), "content")
+    files = whole.unionByName(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+    return rules.large_files(files).select(F.col("path").alias("file"), "lines")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal / 10000 >= 0.8 THEN 'accept' ELSE 'skip' END AS decision FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_acctbal / 10000 >= 0.8 THEN 'accept' ELSE 'skip' END AS decision, 'accept' AS all_of_them, 'skip' AS dry, CASE WHEN c_custkey % 2 = 0 THEN 'accept' ELSE 'skip' END AS asked FROM customer""")
 def auto_accept(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") / 10000 >= 0.8, "accept").otherwise("skip").alias("decision"))
+    c = F.col("c_acctbal") / 10000
+    return table(spark, d, "customer").select(
+        "c_custkey", edits.decide(c, least=0.8).alias("decision"), edits.decide(c, yes=True).alias("all_of_them"), edits.decide(c, dry_run=True, yes=True).alias("dry"),
+        edits.decide(c, choice=F.when(F.col("c_custkey") % 2 == 0, "accept")).alias("asked"),
+    )
+
+
+@query("""SELECT count(*) FILTER (k = 0) AS accepted, count(*) FILTER (k = 1) AS failed, count(*) FILTER (k = 2) AS skipped, count(*) FILTER (k = 0 AND p % 2 = 0) AS split FROM (SELECT p_partkey % 3 AS k, p_partkey AS p FROM part)""")
+def review_totals(spark, d):
+    k = F.col("p_partkey") % 3
+    rows = table(spark, d, "part").select(F.when(k == 2, "skipped").otherwise("modified").alias("action"), F.when(k == 1, "not found").alias("error"), F.when((k == 0) & (F.col("p_partkey") % 2 == 0), "new.md").alias("created_file"))
+    return edits.review_counts(rows)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS priority FROM part WHERE p_partkey % 4 = 1""")
+def pending_only(spark, d):
+    status = F.when(F.col("p_partkey") % 4 == 1, "pending").otherwise("applied")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "high").otherwise("low").alias("priority"), status.alias("status"))
+    return suggestions.pending(rows).drop("status")
+
+
+@query("""SELECT user_id AS session_id, min(ts) FILTER (event_type = 'view') AS first_timestamp FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'view') > 0""")
+def listed_sessions(spark, d):
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min(F.when(F.col("event_type") == "view", F.col("ts"))).alias("first_timestamp"))
+    return sessions.listed(rows)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'run ' || p_name WHEN 1 THEN '/src/' || p_brand WHEN 2 THEN '/' || p_type || '/' ELSE '' END AS preview FROM part""")
+def tool_preview(spark, d):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, "Bash").when(k == 1, "Edit").when(k == 2, "Grep").otherwise("Other")
+    given = F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("run "), "p_name").alias("command")))).when(k == 1, F.to_json(F.struct(F.concat(F.lit("/src/"), "p_brand").alias("file_path")))).when(k == 2, F.to_json(F.struct(F.col("p_type").alias("pattern"), F.lit("/src").alias("path")))).otherwise("{}")
+    return table(spark, d, "part").select("p_partkey", usage.preview(name, given).alias("preview"))
 
 
 @query("""SELECT conv_id, turn, replace(replace('{{role}}: {{text}}', '{{role}}', role), '{{text}}', text) AS prompt, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM conversations""")

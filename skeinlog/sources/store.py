@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +35,14 @@ class Store:
         """Keyed overwrite: partitions of the sessions in ``rows`` are replaced, others stay."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(self._at(name))
 
+    def load(self, name: str, session_id: str) -> DataFrame | None:
+        """One session's results; its partition alone is read."""
+        rows = self.read(name)
+        return None if rows is None else rows.where(F.col("session_id") == session_id)
+
     def append_batch(self, name: str, rows: DataFrame, batch_id: str) -> None:
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(self._at(name))
+        """A batch under its id; a rerun of the batch replaces it."""
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self._at(name))
 
     def latest(self, name: str) -> DataFrame | None:
         """The rows of the largest batch id; its partition alone is read."""
@@ -63,7 +72,8 @@ class Store:
         """Upsert of audit(session_id, and any of its other columns): given values win over the recorded ones."""
         before = self.audit()
         names = [c.split()[0] for c in AUDIT.split(", ")]
-        start = (before.agg(F.max("seq")).first()[0] or 0) + 1
+        # later than what is recorded, and apart from what another writer records meanwhile
+        start = max((before.agg(F.max("seq")).first()[0] or 0) + 1, time.time_ns())
         old = before.select("session_id", *[F.col(n).alias(f"__{n}") for n in names[1:]])
         new = rows.join(old, "session_id", "left")
         kinds = dict(c.split() for c in AUDIT.split(", "))
@@ -84,3 +94,19 @@ def cache_is_valid(current: DataFrame, cached: DataFrame) -> DataFrame:
     c, k = current.select("path", F.col("mtime").alias("now")), cached.select("path", F.col("mtime").alias("then"))
     bad = F.col("now").isNull() | F.col("then").isNull() | (F.col("now") > F.col("then"))
     return c.join(k, "path", "full_outer").agg((~F.coalesce(F.bool_or(bad), F.lit(False))).alias("valid"))
+
+
+def fresh(listed: DataFrame, cached: DataFrame) -> DataFrame:
+    """Listed sessions(session_id, mtime) with ``fresh``: they are cached, no earlier than their last change."""
+    at = cached.select("session_id", "cached_at")
+    return listed.join(at, "session_id", "left").withColumn("fresh", F.coalesce(F.col("mtime") <= F.col("cached_at"), F.lit(False))).drop("cached_at")
+
+
+def cached_or_built(store: Store, name: str, files: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored table if its files (path, mtime) are still the same; else a new one, which is stored with them."""
+    held, before = store.read(name), store.read(f"{name}_files")
+    if held is not None and before is not None and cache_is_valid(files, before).first()["valid"]:
+        return held
+    build().write.mode("overwrite").parquet(store._at(name))
+    files.write.mode("overwrite").parquet(store._at(f"{name}_files"))
+    return store.read(name)

@@ -7,8 +7,10 @@ modification time. State per session decides what has become a candidate.
 from __future__ import annotations
 
 import os
+import time
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +42,7 @@ def step(seen: Seen | None, size: int, mtime: float, growth: int = GROWTH_BYTES)
 
 class ListingReader(SimpleDataSourceStreamReader):
     def __init__(self, root: str) -> None:
-        self.root = root
+        self.root, self.polls = root, {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"poll": 0}
@@ -57,10 +59,15 @@ class ListingReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         poll = start["poll"] + 1
-        return iter(self._list(poll)), {"poll": poll}
+        self.polls[poll] = rows = self._list(poll)
+        return iter(rows), {"poll": poll}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._list(end["poll"]))
+        # the same rows again where this reader made them; after a restart the folder as it is, which only moves a growth forward
+        return iter(self.polls.get(end["poll"]) or self._list(end["poll"]))
+
+    def commit(self, end: dict) -> None:
+        self.polls = {p: rows for p, rows in self.polls.items() if p > end["poll"]}
 
 
 class SessionListing(DataSource):
@@ -82,13 +89,27 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.format("session_listing").option("path", root).load()
 
 
-def candidates(rows: DataFrame, growth: int = GROWTH_BYTES) -> DataFrame:
-    """(session_id, size, mtime, poll) of sessions that are new or have grown; works on a stream of listings."""
+def baseline(now_listing: DataFrame, audit: DataFrame) -> DataFrame:
+    """What is known as a watch begins: every session that is there already, and whether the audit knows it as analysed."""
+    done = audit.where("analyzed_at is not null").select("session_id", F.lit(True).alias("__done")).distinct()
+    now = now_listing.select("session_id", F.col("mtime").alias("base_mtime"), F.col("size").alias("base_size"))
+    return now.join(done, "session_id", "left").withColumn("base_analyzed", F.coalesce("__done", F.lit(False))).drop("__done")
+
+
+def candidates(rows: DataFrame, growth: int = GROWTH_BYTES, known: DataFrame | None = None) -> DataFrame:
+    """(session_id, size, mtime, poll) of sessions that are new or have grown; works on a stream of listings. Sessions of the
+    baseline ``known`` start from what it says of them."""
+    if known is not None:
+        rows = rows.join(known, "session_id", "left")
+    else:
+        rows = rows.withColumns({"base_mtime": F.lit(None).cast("double"), "base_size": F.lit(None).cast("long"), "base_analyzed": F.lit(None).cast("boolean")})
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = Seen(*state.get) if state.exists else None
         out = []
         for r in pd.concat(list(frames)).sort_values("poll").itertuples():
+            if seen is None and not pd.isna(r.base_size):
+                seen = Seen(float(r.base_mtime), int(r.base_size), bool(r.base_analyzed))
             seen, hit = step(seen, int(r.size_bytes), float(r.mtime), growth)
             if hit:
                 out.append((key[0], int(r.size_bytes), float(r.mtime), int(r.poll)))
@@ -101,6 +122,21 @@ def candidates(rows: DataFrame, growth: int = GROWTH_BYTES) -> DataFrame:
     )
 
 
+def replay(polls: DataFrame, growth: int = GROWTH_BYTES) -> DataFrame:
+    """The same candidates from a finished table of listings (session_id, size, mtime, poll)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, out = None, []
+        for r in pdf.rename(columns={"size": "size_bytes"}).sort_values("poll").itertuples():
+            seen, hit = step(seen, int(r.size_bytes), float(r.mtime), growth)
+            if hit:
+                out.append((r.session_id, int(r.size_bytes), float(r.mtime), int(r.poll)))
+        return pd.DataFrame(out, columns=["session_id", "size", "mtime", "poll"])
+
+    own = polls.select("session_id", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), F.col("poll").cast("long").alias("poll"))
+    return own.groupBy("session_id").applyInPandas(run, "session_id string, size long, mtime double, poll long")
+
+
 def stable(found: DataFrame, now_listing: DataFrame) -> DataFrame:
     """Candidates whose file hasn't changed since they were found; the rest wait for their next growth."""
     now = now_listing.select("session_id", F.col("mtime").alias("__now"))
@@ -124,19 +160,68 @@ def own_sessions(messages: DataFrame, products: tuple[str, ...], shell: str = "B
     return head.where(asked | ran).select("session_id").distinct()
 
 
-def watch(spark: SparkSession, root: str, process: Callable[[DataFrame, int], None], checkpoint: str, poll_s: int = POLL_S, growth: int = GROWTH_BYTES):
-    """Start the query: each poll's candidates go to ``process``; an error there is reported and the watch goes on."""
-    errors: list[tuple[int, str]] = []
-
-    def batch(found: DataFrame, batch_id: int) -> None:
+def settle(found: DataFrame, listing_now: Callable[[], DataFrame], cooldown_s: float = COOLDOWN_S, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
+    """Candidates whose file rests for one cooldown, or else for a second one; and those that are deferred."""
+    sleep(cooldown_s)
+    middle = listing_now()
+    rest = stable(found, middle)
+    moving = found.join(rest.select("session_id"), "session_id", "left_anti")
+    if moving.isEmpty():
+        return rest, moving
+    sleep(cooldown_s)
+    again = stable(moving.drop("mtime").join(middle.select("session_id", "mtime"), "session_id").select(*found.columns), listing_now())
+    return rest.unionByName(again), moving.join(again.select("session_id"), "session_id", "left_anti")
+
+
+@dataclass
+class Watch:
+    """What happens to a poll's candidates: those that the audit knows, and sessions of the product itself, are left out; the
+    others are processed once their files rest. A deferred candidate waits with the next poll's, until it has been dealt with."""
+
+    listing_now: Callable[[], DataFrame]
+    audit: Callable[[], DataFrame]
+    own: Callable[[DataFrame], DataFrame]
+    process: Callable[[DataFrame, int], None]
+    cooldown_s: float = COOLDOWN_S
+    sleep: Callable[[float], None] = time.sleep
+    counts: Counter = field(default_factory=Counter)
+    errors: list[tuple[int, str]] = field(default_factory=list)
+    waiting: list[tuple] = field(default_factory=list)
+
+    def batch(self, found: DataFrame, batch_id: int) -> None:
         try:
-            process(found, batch_id)
-        except Exception as e:
-            errors.append((batch_id, f"{type(e).__name__}: {e}"))
-
-    started = candidates(listing(spark, root), growth).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    running = started.outputMode("append").trigger(processingTime=f"{poll_s} seconds").start()
-    return running, errors
-
-
-__all__ = ["Seen", "SessionListing", "candidates", "listing", "not_analyzed", "own_sessions", "stable", "step", "watch"]
+            if self.waiting:  # at most the sessions that were being written to in the last poll
+                found = found.unionByName(found.sparkSession.createDataFrame(self.waiting, found.schema)).groupBy("session_id").agg(*[F.max(c).alias(c) for c in found.columns[1:]])
+            todo = not_analyzed(found, self.audit())
+            todo = todo.join(self.own(todo).select("session_id"), "session_id", "left_anti").persist()
+            n_found, n_todo = found.count(), todo.count()
+            self.counts.update(polls=1, found=n_found, left_out=n_found - n_todo)
+            if not n_todo:
+                self.waiting = []
+                return
+            ready, deferred = settle(todo, self.listing_now, self.cooldown_s, self.sleep)
+            self.waiting = [tuple(r) for r in deferred.collect()]
+            n = n_todo - len(self.waiting)
+            self.counts.update(deferred=len(self.waiting), processed=n)
+            if n:
+                self.process(ready, batch_id)
+        except Exception as e:  # the watch goes on
+            self.counts.update(failed=1)
+            self.errors.append((batch_id, f"{type(e).__name__}: {e}"))
+
+    def summary(self) -> dict[str, int]:
+        return {k: self.counts[k] for k in ("polls", "found", "left_out", "deferred", "processed", "failed")}
+
+
+def watch(spark: SparkSession, root: str, work: Watch, checkpoint: str, poll_s: int = POLL_S, growth: int = GROWTH_BYTES):
+    """Start the query: sessions that are there already are the baseline, and each poll's candidates go through ``work``."""
+    found = candidates(listing(spark, root), growth, baseline(work.listing_now(), work.audit()))
+    return found.writeStream.foreachBatch(work.batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=f"{poll_s} seconds").start()
+
+
+def list_now(spark: SparkSession, root: str) -> DataFrame:
+    """The listing as it is, without a stream."""
+    return spark.createDataFrame(ListingReader(root)._list(0), LISTING)
+
+
+__all__ = ["Seen", "SessionListing", "Watch", "baseline", "candidates", "list_now", "listing", "not_analyzed", "own_sessions", "replay", "settle", "stable", "step", "watch"]
