@@ -46,8 +46,9 @@ def evidence(v: Column) -> Column:
     return F.slice(F.transform(objects, one), 1, MAX_EVIDENCE)
 
 
-def from_answers(answers: DataFrame, keys: list[str], cross: bool = False) -> DataFrame:
-    """Insights (or, with ``cross``, patterns) of answers(keys..., value variant): one row per valid item.
+def from_answers(answers: DataFrame, keys: list[str], cross: bool = False, keep_raw: bool = False) -> DataFrame:
+    """Insights (or, with ``cross``, patterns) of answers(keys..., value variant): one row per valid item; ``keep_raw`` adds the
+    item itself (``v``), of which :func:`occurrences` are read.
 
     Ids are digests of key, place and title, so that a repeated run gives the same ones.
     """
@@ -61,7 +62,7 @@ def from_answers(answers: DataFrame, keys: list[str], cross: bool = False) -> Da
         confidence(v, CROSS_CONFIDENCE if cross else SINGLE_CONFIDENCE).alias("confidence"),
         _text(v, "$.title").alias("title"), F.coalesce(_text(v, "$.description"), F.lit("")).alias("description"), evidence(v).alias("evidence"),
         _text(v, "$.suggestedRule").alias("suggested_rule"),
-        X.normalize_enum(F.coalesce(_text(v, "$.actionHint"), F.lit("")), ACTION_HINTS, "unclear").alias("action_hint"),
+        X.normalize_enum(F.coalesce(_text(v, "$.actionHint"), F.lit("")), ACTION_HINTS, "unclear").alias("action_hint"), *(["v"] if keep_raw else []),
     )
 
 

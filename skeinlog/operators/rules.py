@@ -189,3 +189,11 @@ LARGE_LINES = 500
 def large_files(files: DataFrame, most: int = LARGE_LINES) -> DataFrame:
     """Rule files (path, content) of more than ``most`` lines, with their number of lines."""
     return files.select("path", F.size(F.split("content", "\n", -1)).alias("lines")).where(F.col("lines") > most)
+
+
+def render(rules: DataFrame) -> DataFrame:
+    """One text per file for a prompt: its rules in order, with line, section and what marks them."""
+    marks = F.concat_ws(", ", F.when(F.col("format") != "paragraph", F.col("format")), F.when(F.col("emphasis") != "normal", F.col("emphasis")))
+    line = F.concat(F.lit("  L"), F.col("line_start").cast("string"), F.lit(" ["), F.coalesce("section", F.lit("no section")), F.lit("] "), F.replace("text", F.lit("\n"), F.lit(" / ")), F.when(marks != "", F.concat(F.lit(" ("), marks, F.lit(")"))).otherwise(""))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_start", line.alias("t")))), lambda x: x["t"])
+    return rules.groupBy("source_file").agg(F.concat_ws("\n", F.col("source_file"), F.array_join(lines, "\n")).alias("rendered"))

@@ -14,14 +14,10 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
 from skeinlog.operators import dedup, edits, insights, messages, model_calls, rules, sessions, suggestions, tool_usage
+from skeinlog.plans import prompts
 from skeinlog.sources import rule_files, transcripts
 from skeinlog.sources.store import Store
 
-SINGLE_PROMPT = "Analyse the session.\n{{rules}}\n{{usage}}\n{{conversation}}"
-CROSS_PROMPT = "Find patterns across sessions.\n{{insights}}"
-SUGGEST_PROMPT = "Suggest changes to the rules.\n{{rules}}\n{{insights}}"
-
-
 @dataclass
 class Result:
     sessions: DataFrame
@@ -49,31 +45,30 @@ class Analysis:
         return sessions.change_status(enough, self.store.audit(), prompt_version).where("needs_analysis")
 
     def rules_text(self) -> str:
-        report = rules.section_report(self.rules)
-        line = F.format_string("  - %s: %d rules (lines %d-%d)", "section", "rules", "first_line", "last_line")
-        return "\n".join(r[0] for r in report.select(F.concat_ws("\n", "source_file", line)).collect()) or "(No rules files exist yet.)"
+        """All rules as text; rule files are few and small."""
+        return "\n".join(r["rendered"] for r in rules.render(self.rules).orderBy("source_file").collect()) or "(No rules files exist yet.)"
 
-    def prompts(self, wanted: DataFrame, seed: int = 0) -> DataFrame:
+    def session_prompts(self, wanted: DataFrame, seed: int = 0) -> DataFrame:
         own = self.messages.join(wanted.select("session_id"), "session_id", "left_semi")
         sampled = messages.sample(messages.prepare(own), seed)
         conversation = messages.render(sampled, order="sort")
         usage = tool_usage.render(tool_usage.summary(own)).withColumnRenamed("rendered", "usage")
         joined = conversation.join(usage, "session_id", "left")
         values = {"rules": F.lit(self.rules_text()), "usage": F.coalesce("usage", F.lit("")), "conversation": F.col("rendered")}
-        return joined.select("session_id", X.template(F.lit(SINGLE_PROMPT), values).alias("prompt"))
+        return joined.select("session_id", X.template(F.lit(prompts.SINGLE), values).alias("prompt"))
 
-    def _answers(self, name: str, prompts: DataFrame, batch: str) -> DataFrame:
+    def _answers(self, name: str, asked: DataFrame, batch: str) -> DataFrame:
         """Call the model for prompts and keep what it said; later steps read the kept rows."""
-        self.store.append_batch(f"{name}_prompts", prompts, batch)
+        self.store.append_batch(f"{name}_prompts", asked, batch)
         written = self.store.read(f"{name}_prompts").where(F.col("batch_id").cast("string") == batch).drop("batch_id")
         said = model_calls.call(written, self.backend).drop("value", "tokens_used")
         self.store.append_batch(f"{name}_answers", said, batch)
         return model_calls.parse(self.store.read(f"{name}_answers").where(F.col("batch_id").cast("string") == batch).drop("batch_id"))
 
     def run(self, batch: str, limit: int | None = None, seed: int = 0) -> Result:
-        version = self.spark.range(1).select(X.digest(F.lit(SINGLE_PROMPT), 12)).first()[0]
+        version = self.spark.range(1).select(X.digest(F.lit(prompts.SINGLE), 12)).first()[0]
         wanted = self.to_analyze(version, limit=limit)
-        answers = self._answers("single", self.prompts(wanted, seed), batch)
+        answers = self._answers("single", self.session_prompts(wanted, seed), batch)
         found = insights.from_answers(answers.select("session_id", "value"), ["session_id"])
         self.store.save_sessions("insights", found)
         done = answers.where("error is null").join(wanted.select("session_id", "mtime"), "session_id").select(
@@ -85,20 +80,32 @@ class Analysis:
         # one answer over all sessions, from what the insights say in short
         brief = F.to_json(F.array_sort(F.collect_list(F.struct("session_id", "id", "category", "title"))))
         cross = known.agg(F.count_distinct("session_id").alias("n"), brief.alias("b")).where("n >= 2")
-        cross = cross.select(F.lit("all").alias("scope"), X.template(F.lit(CROSS_PROMPT), {"insights": F.col("b")}).alias("prompt"))
-        patterns = insights.from_answers(self._answers("cross", cross, batch).select("scope", "value"), ["scope"], cross=True)
-        self.store.append_batch("patterns", patterns, batch)
-
-        grouped = insights.batches(insights.actionable(known).withColumn("scope", F.lit("all")), ["scope"])
-        asked = grouped.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "title", "suggested_rule")))).alias("i"))
-        asked = asked.select("batch", X.template(F.lit(SUGGEST_PROMPT), {"rules": F.lit(self.rules_text()), "insights": F.col("i")}).alias("prompt"))
+        cross = cross.select(F.lit("all").alias("scope"), X.template(F.lit(prompts.CROSS), {"insights": F.col("b")}).alias("prompt"))
+        raw = insights.from_answers(self._answers("cross", cross, batch).select("scope", "value"), ["scope"], cross=True, keep_raw=True)
+        self.store.append_batch("patterns", raw.drop("v"), batch)
+        self.store.append_batch("pattern_occurrences", insights.occurrences(raw.select("id", "v")), batch)
+        patterns = insights.confident(self.store.latest("patterns").drop("batch_id"))
+        seen = self.store.latest("pattern_occurrences").where("session_id <> ''").select("id", "session_id")
+
+        payload = insights.payload(known, patterns, seen)
+        key = suggestions.cache_key(payload.select("id"), self.files, version)
+        held = self.store.by_cache_key("suggestions", key)
+        if held is not None:  # the same findings and files gave these suggestions before
+            return Result(self.sessions, known, patterns, held, held.limit(0), suggestions.stats(held, self.rules.count()))
+        before = self.store.latest("suggestions")
+        existing = "\n".join(f"- {r['title']}" for r in suggestions.pending(before).select("title").collect()) if before is not None else ""
+        grouped = insights.batches(payload.withColumn("scope", F.lit("all")), ["scope"])
+        told = F.struct("id", "source", "category", "title", "description", "suggested_rule", "confidence", "session_count")
+        asked = grouped.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(told))).alias("i"))
+        values = {"rules": F.lit(self.rules_text()), "existing": F.lit(existing or "(nothing)"), "insights": F.col("i")}
+        asked = asked.select("batch", X.template(F.lit(prompts.SUGGEST), values).alias("prompt"))
         said = suggestions.from_answers(self._answers("suggest", asked, batch).select("batch", "value"), ["batch"])
-        links = known.select(F.col("id").alias("insight_id"), "session_id")
+        links = known.select("id", "session_id").unionByName(seen).select(F.col("id").alias("insight_id"), "session_id")
         built = suggestions.with_provenance(said.where("not skipped"), links)
         built = edits.with_diffs(edits.match_files(built, self.files), self.rules).where("diff is not null")
         built = built.withColumn("added_text", edits.added_text(F.col("diff"))).withColumn("ord", F.col("batch") * 1_000_000 + F.col("ord"))
         ranked = dedup.dedup_and_rank(built.withColumn("scope", F.lit("all")).drop("file_content"), ["scope"])
-        self.store.append_batch("suggestions", ranked, batch)
+        self.store.append_batch("suggestions", ranked.withColumn("cache_key", F.lit(key)), batch)
         kept = self.store.latest("suggestions")
         return Result(self.sessions, known, patterns, kept, said.where("skipped"), suggestions.stats(kept, self.rules.count()))
 

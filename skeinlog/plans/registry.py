@@ -15,7 +15,7 @@ from skeinlog.functions import text as X
 from skeinlog.operators import dedup, edits, insights, messages, rules, sessions, suggestions
 from skeinlog.operators import tool_usage as usage
 from skeinlog.sources import transcripts
-from skeinlog.sources.store import cache_is_valid
+from skeinlog.sources.store import cache_is_valid, fresh
 from skeinlog.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,8 +256,8 @@ def parsed_sessions(spark, d):
     return s.select("session_id", "project_path", "message_count", "summary", "user_message_count", "assistant_message_count", "duration_minutes")
 
 
-@query(f"""WITH {_LINES}, c AS (SELECT user_id, coalesce(min_by(date_trunc('second', ts), n) FILTER (event_type <> 'error' AND n <= 5), TIMESTAMP '2024-06-01 00:00:00') AS at FROM numbered GROUP BY user_id)
-SELECT '/home/u' || (user_id % 7) AS project_path, '-home-u' || (user_id % 7) AS project_path_encoded, count(*) AS sessions, strftime(max(at), '%Y-%m-%d %H:%M:%S') AS latest FROM c GROUP BY user_id % 7""")
+@query(f"""WITH {_LINES}, c AS (SELECT user_id, coalesce(min_by(date_trunc('second', ts), n) FILTER (event_type <> 'error' AND n <= 5), TIMESTAMP '2024-06-01 00:00:00') AS made FROM numbered GROUP BY user_id)
+SELECT '/home/u' || (user_id % 7) AS project_path, '-home-u' || (user_id % 7) AS project_path_encoded, count(*) AS sessions, strftime(max(made), '%Y-%m-%d %H:%M:%S') AS latest FROM c GROUP BY user_id % 7""")
 def project_list(spark, d):
     p = transcripts.projects(transcripts.sessions(transcripts.parsed(event_lines(spark, d))))
     return p.withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss"))
@@ -563,7 +563,7 @@ def section_stats(spark, d):
     return rules.section_report(r).select(F.col("source_file").alias("file"), "section", "rules", "first_line", "last_line")
 
 
-@query()
+@query("""SELECT p_partkey, p_partkey % 4 AS shape, CASE WHEN p_partkey % 4 < 3 THEN p_name END AS title, p_partkey % 4 = 3 AS failed FROM part""")
 def llm_response_parse(spark, d):
     """Model answers in all their shapes, built from part names: plain, fenced, with a preamble, and none."""
     body = F.concat(F.lit('[{"title": "'), F.col("p_name"), F.lit('"}]'))
@@ -642,3 +642,147 @@ def tool_preview(spark, d):
 def template_fill(spark, d):
     filled = X.template(F.lit("{{role}}: {{text}}"), {"role": F.col("role"), "text": F.col("text")})
     return table(spark, d, "conversations").select("conv_id", "turn", filled.alias("prompt"), F.ceil(F.length("text") / 4).alias("tokens"))
+
+
+# --- model answers, rules, edits ---
+
+
+def part_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer per part: an array of two items, the second without a title, or broken JSON for every tenth part."""
+    k = F.col("p_partkey")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    item = F.concat(
+        F.lit('{"title": '), quote(F.col("p_name")), F.lit(', "category": '), quote(F.when(k % 3 == 0, "repeated_correction").when(k % 3 == 1, "no such kind").otherwise("suggested_rule")),
+        F.lit(', "confidence": '), F.when(k % 4 == 0, "1.5").when(k % 4 == 1, '"high"').otherwise("0.75"), F.lit(', "suggestedRule": '), quote(F.col("p_type")),
+        F.lit(', "evidence": [{"role": "user", "text": "a"}, 7, {"text": "b"}, {"text": "c"}, {"text": "d"}]'), F.lit(', "sourceInsightIds": ["i1"], "type": "'), F.when(k % 2 == 0, "update").otherwise("replace"),
+        F.lit('", "priority": "high", "content": {"add": ["x", "y"], "remove": "z"}'),
+        F.lit(', "occurrences": [{"sessionId": "s'), (k % 5).cast("string"), F.lit('", "insightId": "i'), (k % 7).cast("string"), F.lit('"}, {"insightId": "i0"}]}'),
+    )
+    raw = F.when(k % 10 == 9, "[{broken").otherwise(F.concat(F.lit("["), item, F.lit(', {"category": "unclear"}]')))
+    return table(spark, sf_dir, "part").select("p_partkey", X.model_json(raw).alias("value"))
+
+
+@query("""SELECT p_partkey, 0 AS pos, p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'repeated_correction' WHEN 1 THEN 'missing_project_knowledge' ELSE 'suggested_rule' END AS category,
+ CASE WHEN p_partkey % 4 < 2 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, p_type AS suggested_rule, 'unclear' AS action_hint, 3 AS evidence, 'user,assistant,assistant' AS roles FROM part WHERE p_partkey % 10 <> 9""")
+def insight_answers(spark, d):
+    out = insights.from_answers(part_answers(spark, d), ["p_partkey"])
+    return out.select("p_partkey", "pos", "title", "category", "confidence", "suggested_rule", "action_hint", F.size("evidence").alias("evidence"), F.array_join("evidence.role", ",").alias("roles"))
+
+
+@query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'update' ELSE 'add' END AS type, 'high' AS priority, 'CLAUDE.md' AS target_file, 'x' || chr(10) || 'y' AS add_text, 'z' AS removes, 'i1' AS insight, false AS skipped, 'pending' AS status FROM part WHERE p_partkey % 10 <> 9""")
+def suggestion_answers(spark, d):
+    out = suggestions.from_answers(part_answers(spark, d), ["p_partkey"])
+    return out.select("p_partkey", "title", "type", "priority", "target_file", "add_text", F.array_join("remove_texts", ",").alias("removes"), F.array_join("source_insight_ids", ",").alias("insight"), "skipped", "status")
+
+
+@query("""SELECT p_partkey AS id, 's' || (p_partkey % 5) AS session_id, 'i' || (p_partkey % 7) AS insight_id FROM part WHERE p_partkey % 10 <> 9 UNION ALL SELECT p_partkey, '', 'i0' FROM part WHERE p_partkey % 10 <> 9""")
+def pattern_occurrences(spark, d):
+    raw = insights.from_answers(part_answers(spark, d), ["p_partkey"], cross=True, keep_raw=True)
+    return insights.occurrences(raw.select(F.col("p_partkey").alias("id"), "v")).select("id", "session_id", "insight_id")
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule file per part: an introduction, a section of two bullets with a fence between them, and an import."""
+    k = F.col("p_partkey").cast("string")
+    nl = F.lit("\n")
+    text = F.concat(F.lit("# Part "), k, nl, F.lit("Intro of "), "p_name", nl, nl, F.lit("## Use"), nl, F.lit("- NEVER use "), "p_type", nl, F.lit("  nested"), nl, F.lit("```"), nl, F.lit("- no rule @a/b.md"), nl, F.lit("```"), nl, F.lit("* `run` it, see @docs/"), k, F.lit(".md"))
+    scope = F.when(F.col("p_partkey") % 2 == 0, "project").otherwise("global")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("/p/"), k, F.lit("/f.md")).alias("path"), scope.alias("scope"), text.alias("content"))
+
+
+@query("""SELECT '/p/' || p_partkey || '/f.md' AS source_file, v.line_start, v.line_end, CASE WHEN v.line_start = 2 THEN 'Part ' || p_partkey ELSE 'Use' END AS section, v.format, v.emphasis,
+ CASE v.line_start WHEN 2 THEN 'Intro of ' || p_name WHEN 5 THEN 'NEVER use ' || p_type || chr(10) || 'nested' ELSE '`run` it, see @docs/' || p_partkey || '.md' END AS text,
+ CASE WHEN v.line_start = 10 THEN 'docs/' || p_partkey || '.md' ELSE '' END AS imports
+ FROM part, (VALUES (2, 2, 'paragraph', 'normal'), (5, 6, 'emphatic', 'important'), (10, 10, 'command', 'normal')) v(line_start, line_end, format, emphasis)""")
+def rules_parse(spark, d):
+    r = rules.parse(part_files(spark, d))
+    return r.select("source_file", "line_start", "line_end", "section", "format", "emphasis", "text", F.array_join("imports", ",").alias("imports"))
+
+
+@query("""SELECT '/p/' || p_partkey || '/f.md' AS source_file, 'docs/' || p_partkey || '.md' AS path, '/p/' || p_partkey || '/docs/' || p_partkey || '.md' AS resolved_path, 10 AS line_number FROM part""")
+def file_imports(spark, d):
+    return rules.file_imports(part_files(spark, d))
+
+
+@query("""SELECT count(*) AS total_files, 10 * count(*) AS total_lines, 3 * count(*) AS total_rules, count(*) AS total_imports, count(*) AS emphasized, count(*) FILTER (p_partkey % 2 = 0) * 3 AS project_rules, count(*) AS commands, true AS has_global, false AS has_subdirectory FROM part""")
+def rules_stats(spark, d):
+    f = part_files(spark, d)
+    s = rules.stats(f, rules.parse(f), rules.file_imports(f))
+    return s.select("total_files", "total_lines", "total_rules", "total_imports", "emphasized", F.col("by_scope")["project"].alias("project_rules"), F.col("by_format")["command"].alias("commands"), "has_global", "has_subdirectory")
+
+
+def part_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four suggestions on each part's rule file: an addition to its section, a removal, a change of text that isn't there, one that is skipped."""
+    f = part_files(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.concat(F.lit("/p/"), F.col("p_partkey").cast("string"), F.lit("/f.md")).alias("path"), "p_name"), "path")
+    none = F.lit(None).cast("string")
+    one = lambda o, kind, decision, section, added, removed: F.struct(F.lit(o).cast("long").alias("ord"), F.lit(kind).alias("type"), F.lit(decision).alias("decision"), section.alias("target_section"), added.alias("added"), removed.alias("removed"))
+    every = F.array(one(1, "add", "accept", none, F.lit("- last rule"), none), one(2, "remove", "accept", none, none, F.concat(F.lit("Intro of "), "p_name")), one(3, "update", "accept", none, F.lit("x"), F.lit("not there")), one(4, "add", "skip", none, F.lit("- never"), none))
+    rows = f.select(F.col("path").alias("target_file"), F.col("content").alias("file_content"), F.inline(every))
+    return rows.withColumns({"id": F.concat_ws("-", "target_file", F.col("ord").cast("string")), "part_removes": F.array().cast("array<string>"), "split_target": none})
+
+
+@query("""SELECT '/p/' || p_partkey || '/f.md' AS target_file, CAST(v.o AS BIGINT) AS ord, v.action, v.o = 3 AS failed, v.o >= 1 AS has_last, v.o < 2 AS has_intro FROM part, (VALUES (1, 'modified'), (2, 'modified'), (3, 'modified'), (4, 'skipped')) v(o, action)""")
+def edits_applied(spark, d):
+    out = edits.apply_all(part_edits(spark, d))
+    return out.select("target_file", "ord", "action", F.col("error").isNotNull().alias("failed"), F.col("content").contains("- last rule").alias("has_last"), F.col("content").contains("Intro of").alias("has_intro"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'add' WHEN p_partkey % 3 = 1 THEN 'remove' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN '- one' || chr(10) || '- two' END AS added_text FROM part""")
+def suggestion_diffs(spark, d):
+    """The diffs of additions to new files, of removals from files that hold the text, and of suggestions without any text."""
+    k = F.col("p_partkey") % 3
+    none = F.lit(None).cast("string")
+    s = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.when(k == 1, "remove").otherwise("add").alias("type"), F.when(k == 0, "- one\n- two").otherwise(none).alias("add_text"), F.when(k == 1, F.array(F.lit("- old"))).otherwise(F.array().cast("array<string>")).alias("remove_texts"),
+        none.alias("target_section"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string")).alias("file_path"), F.when(k == 1, "# T\n- old\n").otherwise(none).alias("file_content"),
+    )
+    made = edits.with_diffs(s, rules.parse(part_files(spark, d)))
+    return made.select("id", F.col("diff.type").alias("kind"), edits.added_text(F.col("diff")).alias("added_text"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) > 5 AS verbose FROM documents""")
+def verbose_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", edits.is_verbose(F.col("text")).alias("verbose"))
+
+
+@query("""SELECT CAST(count(*) FILTER (k IN (0, 3)) + sum(CASE WHEN k < 3 THEN 1 ELSE 0 END) AS BIGINT) AS added, count(*) FILTER (k = 1) AS updated, count(*) FILTER (k IN (2, 3)) AS removed, count(*) FILTER (k = 4) AS split FROM (SELECT p_partkey % 5 AS k FROM part)""")
+def rule_counts(spark, d):
+    k = F.col("p_partkey") % 5
+    kind = F.element_at(F.array(*map(F.lit, ("add", "update", "remove", "consolidate", "split"))), (k + 1).cast("int"))
+    lines = F.when(k < 3, F.array(F.lit("- a"), F.lit("* b"), F.lit("text"))).otherwise(F.array(F.lit("- a")))
+    return edits.rule_counts(table(spark, d, "part").select(kind.alias("type"), lines.alias("added_lines")))
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') || ' - ' || strftime(max(ts), '%H:%M') AS shown, CASE WHEN user_id % 2 = 0 THEN '~/p' || user_id ELSE '/srv/p' || user_id END AS path FROM events GROUP BY user_id""")
+def list_labels(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    path = F.concat(F.when(F.col("user_id") % 2 == 0, "/home/me/p").otherwise("/srv/p"), F.col("user_id").cast("string"))
+    return e.select("user_id", sessions.date_range(F.col("a"), F.col("b")).alias("shown"), sessions.short_path(path, "/home/me").alias("path"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS session_id, n_chars % 900 <= 450 AND doc_id % 2 = 0 AS fresh FROM documents""")
+def cached_sessions(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("session_id"), (F.col("n_chars") % 900).cast("double").alias("mtime"))
+    cached = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(450.0).alias("cached_at"))
+    return fresh(rows, cached).select("session_id", "fresh")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 50 <> 0 AND p_partkey % 2 = 1 UNION ALL SELECT '1000000'""")
+def incremental_dedup(spark, d):
+    """New items against those kept before: the ones of odd keys and one of another title are new; the others repeat."""
+    k = F.col("p_partkey")
+
+    def shaped(df, key, title):
+        return df.select(
+            F.lit("all").alias("scope"), key.alias("ord"), key.cast("string").alias("id"), title.alias("title"), F.lit("high").alias("priority"), F.lit(0.5).alias("confidence"), F.lit("a").alias("target_file"),
+            F.lit(None).cast("string").alias("target_section"), F.array().cast("array<string>").alias("source_insight_ids"), F.lit("").alias("added_text"),
+        )
+
+    def name(c):
+        return F.concat(F.lit("key"), c.cast("string"), F.lit(" only"), c.cast("string"))
+
+    parts = table(spark, d, "part").where("p_partkey % 50 <> 0")
+    kept = dedup.dedup_and_rank(shaped(parts.where("p_partkey % 2 = 0"), k, name(k)), ["scope"])
+    more = shaped(parts, k + 10_000_000, name(k)).withColumn("id", (F.col("ord") - 10_000_000).cast("string")).unionByName(shaped(spark.range(1).select(F.lit(1_000_000).cast("long").alias("p_partkey")), k, F.lit("entirely different")))
+    return dedup.incremental(kept, more, ["scope"])[1].select("id")
+

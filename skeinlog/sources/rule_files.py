@@ -63,7 +63,10 @@ def read(spark: SparkSession, root: str, home: str | None = None) -> DataFrame:
     """The rule files of one project (a handful of small files on the driver's disk), as a DataFrame."""
     rows = []
     for i, (path, scope) in enumerate(discover(root, home)):
-        raw = Path(path).read_bytes()
+        try:
+            raw = Path(path).read_bytes()
+        except OSError:  # a file that cannot be read counts as empty
+            raw = b""
         try:
             content = raw.decode("utf-8")
         except UnicodeDecodeError:

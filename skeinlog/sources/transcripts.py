@@ -27,6 +27,10 @@ def lines(spark: SparkSession, root: str, min_bytes: int = MIN_BYTES) -> DataFra
     Files are split by their line ends only after they are read, so that numbers are physical ones; small files
     are left out by their metadata before that.
     """
+    folders = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*")
+    found = folders.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folders)
+    if found is None or not any(f.isDirectory() for f in found):  # no folder, or an empty one: no rows
+        return spark.createDataFrame([], "session_id string, project_path_encoded string, project_path string, file_path string, file_size long, modified_at timestamp, line string, line_no int")
     raw = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*/", wholetext=True)
     meta = raw.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified_at"))
     files = meta.where(F.col("file_size") >= min_bytes)
