@@ -137,6 +137,16 @@ def assign_demand(
     )
 
 
+def in_training_order(demand: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The documents range-sorted by the position of their first copy, those that are never taken last; ``last_position`` is
+    the time of the last copy. Documents of one position are ordered by source and id."""
+    last = F.col("full_copies") - F.when(F.col("cut_words") > 0, 0).otherwise(1)
+    at = _time(last * F.col("source_size") + F.col("supply"), F.col("target"), F.col("ramp"))
+    rest = [F.col(f"`{c}`") for c in demand.columns[:2]]
+    n, order = [partitions] if partitions else [], [F.col("position").asc_nulls_last(), *rest]
+    return demand.withColumn("last_position", F.when(F.col("taken") > 0, at)).repartitionByRange(*n, *order).sortWithinPartitions(*order)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), n), "")

@@ -33,8 +33,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.assign_demand(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", "full_copies", "cut_words", "position")
+    mix = mixing.in_training_order(mixing.assign_demand(table(spark, sf_dir, "documents")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "full_copies", "cut_words", "position", "last_position")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,11 @@ SELECT doc_id, size, source_size, target, CAST(full_copies * size + cut_words AS
   CAST(full_copies AS BIGINT) AS full_copies, CAST(cut_words AS BIGINT) AS cut_words,
   CASE WHEN full_copies * size + cut_words > 0 THEN
     CASE WHEN ramp = 0 THEN supply / target
-         ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * (supply / target)) - (1 - ramp)) / (2 * ramp) END END AS position
-FROM copies
+         ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * (supply / target)) - (1 - ramp)) / (2 * ramp) END END AS position,
+  CASE WHEN full_copies * size + cut_words > 0 THEN
+    CASE WHEN ramp = 0 THEN last_supply / target
+         ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * (last_supply / target)) - (1 - ramp)) / (2 * ramp) END END AS last_position
+FROM (SELECT *, (full_copies - CASE WHEN cut_words > 0 THEN 0 ELSE 1 END) * source_size + supply AS last_supply FROM copies)
 """
 
 _OP4 = r"""
@@ -178,5 +181,18 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m ON d.doc_id = m.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
+    return {"op10_ngram_jaccard_join": _OP10, "op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
