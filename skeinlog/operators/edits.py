@@ -1,7 +1,7 @@
 """Diffs of suggestions against rule files, and their application.
 
-Suggestions of one file are worked off in order by one grouped function (later ones see earlier edits); files are
-spread over tasks.
+Suggestions of one file are worked off in order, as a stream sorted by file and order (later ones see earlier edits); files
+are spread over tasks, which hold one file's text.
 """
 
 from __future__ import annotations
@@ -167,24 +167,28 @@ def apply_all(suggestions: DataFrame) -> DataFrame:
     """One row per suggestion(target_file, ord, id, type, decision, target_section, added, removed, part_removes,
     split_target, file_content): the outcome, with the file's text after it. Only decisions ``accept`` edit."""
 
-    def run(pdf):
-        import pandas as pd
-
-        rows, pdf = [], pdf.sort_values("ord")
-        content = pdf["file_content"].iloc[0]
-        content = content if isinstance(content, str) else None
-        text = lambda x: x if isinstance(x, str) else None
-        for r in pdf.to_dict("records"):
-            if r["decision"] != "accept":
-                rows.append((r["target_file"], r["ord"], r["id"], "skipped", None, content, None, None))
-                continue
-            removes = [] if r["part_removes"] is None else list(r["part_removes"])
-            out = apply_one(r["type"], content, text(r["target_section"]), text(r["added"]), text(r["removed"]), removes, text(r["split_target"]))
-            content = out.content
-            rows.append((r["target_file"], r["ord"], r["id"], out.action, out.error, content, *(out.created or (None, None))))
-        return pd.DataFrame(rows, columns=RESULT.names)
-
-    return suggestions.groupBy("target_file").applyInPandas(run, RESULT)
+    names = ["target_file", "ord", "id", "type", "decision", "target_section", "added", "removed", "part_removes", "split_target", "file_content"]
+    own = suggestions.select(*names[:1], F.col("ord").cast("long").alias("ord"), *names[2:])
+    ordered = own.repartition("target_file").sortWithinPartitions("target_file", "ord")
+    out = to_arrow_schema(RESULT)
+
+    def run(batches):
+        now, content = object(), None
+        for batch in batches:
+            rows = []
+            for target, place, key, kind, decision, section, added, removed, part_removes, split_target, file_content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if target != now:  # a new file begins; later suggestions see what earlier ones made of it
+                    now, content = target, file_content
+                if decision != "accept":
+                    rows.append((target, place, key, "skipped", None, content, None, None))
+                    continue
+                made = apply_one(kind, content, section, added, removed, part_removes or [], split_target)
+                content = made.content
+                rows.append((target, place, key, made.action, made.error, content, *(made.created or (None, None))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    return ordered.mapInArrow(run, RESULT)
 
 
 def decide(confidence: Column, dry_run: bool = False, yes: bool = False, least: float | None = None, choice: Column | None = None) -> Column:
