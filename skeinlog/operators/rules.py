@@ -187,8 +187,10 @@ LARGE_LINES = 500
 
 
 def large_files(files: DataFrame, most: int = LARGE_LINES) -> DataFrame:
-    """Rule files (path, content) of more than ``most`` lines, with their number of lines."""
-    return files.select("path", F.size(F.split("content", "\n", -1)).alias("lines")).where(F.col("lines") > most)
+    """Rule files (path, content) of more than ``most`` lines, with their number of lines. A file may come in several rows, each
+    a piece of whole lines; pieces are counted where they are and never put together."""
+    lines = F.sum(F.size(F.split("content", "\n", -1))).cast("int")
+    return files.groupBy("path").agg(lines.alias("lines")).where(F.col("lines") > most)
 
 
 def render(rules: DataFrame) -> DataFrame:

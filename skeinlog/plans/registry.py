@@ -596,8 +596,8 @@ def file_size_label(spark, d):
 UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(len(string_split(text, chr(10))) AS INTEGER) FROM documents WHERE len(string_split(text, chr(10))) > 500""")
 def large_file_warning(spark, d):
     docs = table(spark, d, "documents")
-    whole = docs.groupBy("source").agg(F.array_join(F.collect_list("text"), "\n").alias("content")).select(F.col("source").alias("path"), "content")
-    files = whole.unionByName(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+    pieces = docs.select(F.col("source").alias("path"), F.col("text").alias("content"))
+    files = pieces.unionByName(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
     return rules.large_files(files).select(F.col("path").alias("file"), "lines")
 
 
@@ -760,16 +760,18 @@ def list_labels(spark, d):
     return e.select("user_id", sessions.date_range(F.col("a"), F.col("b")).alias("shown"), sessions.short_path(path, "/home/me").alias("path"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS session_id, n_chars % 900 <= 450 AND doc_id % 2 = 0 AS fresh FROM documents""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS session_id, n_chars % 900 <= 450 AND doc_id IN (SELECT doc_id FROM labels) AS fresh FROM documents""")
 def cached_sessions(spark, d):
+    """Documents as sessions; those with a label are the cached ones."""
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("session_id"), (F.col("n_chars") % 900).cast("double").alias("mtime"))
-    cached = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(450.0).alias("cached_at"))
+    cached = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(450.0).alias("cached_at"))
     return fresh(rows, cached).select("session_id", "fresh")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 50 <> 0 AND p_partkey % 2 = 1 UNION ALL SELECT '1000000'""")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size > 25 UNION ALL SELECT 'other'""")
 def incremental_dedup(spark, d):
-    """New items against those kept before: the ones of odd keys and one of another title are new; the others repeat."""
+    """All items against those kept before, the parts of the smaller sizes: the larger ones and one of another title are new, the
+    others repeat."""
     k = F.col("p_partkey")
 
     def shaped(df, key, title):
@@ -781,8 +783,9 @@ def incremental_dedup(spark, d):
     def name(c):
         return F.concat(F.lit("key"), c.cast("string"), F.lit(" only"), c.cast("string"))
 
-    parts = table(spark, d, "part").where("p_partkey % 50 <> 0")
-    kept = dedup.dedup_and_rank(shaped(parts.where("p_partkey % 2 = 0"), k, name(k)), ["scope"])
-    more = shaped(parts, k + 10_000_000, name(k)).withColumn("id", (F.col("ord") - 10_000_000).cast("string")).unionByName(shaped(spark.range(1).select(F.lit(1_000_000).cast("long").alias("p_partkey")), k, F.lit("entirely different")))
+    parts = table(spark, d, "part")
+    kept = dedup.dedup_and_rank(shaped(parts.where("p_size <= 25"), k, name(k)), ["scope"])
+    other = shaped(spark.range(1).select(F.lit(0).cast("long").alias("p_partkey")), k, F.lit("entirely different")).withColumn("id", F.lit("other"))
+    more = shaped(parts, k, name(k)).unionByName(other)
     return dedup.incremental(kept, more, ["scope"])[1].select("id")
 
