@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skeinlog.llm._memory import released
-from skeinlog.llm._tables import shuffles_removed
+from skeinlog.llm._tables import frugal
 
 CELLS = 1 << 21
 _CHUNK = 1 << 11
@@ -43,7 +43,7 @@ def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with shuffles_removed(rows.sparkSession):
+    with frugal(rows.sparkSession):
         table = rows.select(column).mapInArrow(released(mark), schema).repartition(n, "chunk").mapInArrow(released(either), schema).toArrow()
     out = np.zeros(bits // 8, np.uint8)
     for i, blob in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
@@ -81,7 +81,7 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
 
     schema = "chunk int, counts binary"
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with shuffles_removed(rows.sparkSession):
+    with frugal(rows.sparkSession):
         table = rows.mapInArrow(released(count), schema).repartition(n, "chunk").mapInArrow(released(add), schema).toArrow()
     out = np.zeros(cells, np.int64)
     for i, blob in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):

@@ -32,23 +32,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that a Python worker is sent. A batch stands in the executor and in the worker at once.
+ARROW_BYTES = 8 << 20
+
+
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Shuffle files of the actions inside are removed as each of them ends, not when the driver next collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def frugal(spark: SparkSession):
+    """Actions inside remove their shuffle files as each of them ends, not when the driver next collects garbage, and send
+    Python workers small batches, however large rows are."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def write_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with shuffles_removed(spark):
+    with frugal(spark):
         df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,7 +64,7 @@ def write_parts(df: DataFrame, name: str, column: str, values: list[int]) -> lis
     """Write ``df`` once and return a table for each of the values that an integer column takes; each can be dropped alone."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with shuffles_removed(spark):
+    with frugal(spark):
         df.write.partitionBy(column).parquet(path, compression="zstd")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     own = df.drop(column).schema

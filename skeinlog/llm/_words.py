@@ -65,7 +65,10 @@ def _block(buffer: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarra
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    sums[1:] = buffer
+    sums[1:] += np.uint64(1)
+    sums[1:] *= up[:n]
+    np.cumsum(sums, out=sums)
     h = (sums[stops] - sums[starts]) * down[starts]
     return mix(h + (stops - starts).astype(np.uint64)), np.searchsorted(ends, starts, side="right"), starts, stops
 
