@@ -11,7 +11,8 @@ of a prefix n-gram, each entry is first paired with the list's first entry of fi
 predecessor only. Verified links give components. Lists that still hold several components are put in a new, hashed
 order, and entries of different components a few places apart are paired, twice with a growing reach, so that sparse
 groups merge at a cost in proportion to their size. What then remains are the pairs between different components,
-and all of these are formed and verified, so no link that could join two components is lost. There an entry names the
+and all of these are formed and verified, so no link that could join two components is lost. Sets are named by 64 bits, and 64
+more are compared once: should two different sets share a name, all names are drawn anew. There an entry names the
 few listed n-grams before it, and two entries that name a common one are passed over: their pair has been formed, or
 ruled out, at that n-gram. The lists of very frequent n-grams are dealt over several tasks by a salt.
 
@@ -65,8 +66,10 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.unique(grams[lo : hi - n + 1] if hi - lo >= n else _words.runs(h[lo:hi], hi - lo)) if hi > lo else h[:0]
 
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """128 bits that stand for a set: its key, and what tells it from another set with that key."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(16, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -109,9 +112,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 # --- tasks ------------------------------------------------------------------------------------------------
 
 
-def _blocks(n: int, schema: pa.Schema):
-    """Rows of about 2 MB of text: ids, texts, and each text's set size, key and signature. A text whose set this task has
-    had before is left out (null)."""
+def _blocks(n: int, seed: int, schema: pa.Schema):
+    """Rows of about 2 MB of text: ids, texts, and each text's set size, key, check and signature. A text whose set this task
+    has had before is left out (null)."""
 
     def run(batches):
         number, seen = TaskContext.get().partitionId() << 32, set()
@@ -119,17 +122,17 @@ def _blocks(n: int, schema: pa.Schema):
             texts = batch.column(1)
             for a, b, *_ in _words.blocks(texts, lower=True):
                 part = texts.slice(a, b - a)
-                sets = [(len(s), set_key(s), signature(s), s) if len(s) else (0, None, None, s) for s in sets_of(part, n)]
+                sets = [(len(s), *set_key(s, seed), signature(s)) if len(s) else (0, None, None, None) for s in sets_of(part, n)]
                 fresh = []
-                for size, key, _, _ in sets:
-                    fresh.append(size > 0 and key not in seen)
+                for size, *key, _ in sets:
+                    fresh.append(size > 0 and tuple(key) not in seen)
                     if fresh[-1]:
-                        seen.add(key)
+                        seen.add(tuple(key))
                 if len(seen) > 200_000:
                     seen.clear()
                 ends = pa.array([0, b - a], pa.int32())
                 lists = [batch.column(0).slice(a, b - a), part.take(pa.array(np.arange(b - a), mask=~np.array(fresh, bool)))]
-                lists += [pa.array([s[i] for s in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                lists += [pa.array([s[i] for s in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists)], schema=schema)
                 number += 1
 
@@ -307,7 +310,7 @@ def _neighbours(percent: int, width: int):
 _CANDIDATES = "a long, b long, h long, n int, pos int"
 
 
-def _sets(n: int):
+def _sets(n: int, seed: int):
     """The sets of documents that a verification needs, as (sid, set)."""
 
     def run(batches):
@@ -315,7 +318,7 @@ def _sets(n: int):
             wanted = batch.column(1).to_pylist()
             sids, blobs, size = [], [], 0
             for sid, s in zip(wanted, sets_of(batch.column(0), n), strict=True):
-                if len(s) and set_key(s) == sid:
+                if len(s) and set_key(s, seed)[0] == sid:
                     sids.append(sid)
                     blobs.append(s.tobytes())
                     size += len(blobs[-1])
@@ -362,13 +365,21 @@ class _Join:
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         self.labels: DataFrame | None = None
         self.docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        lists = [("ids", self.docs.schema[0].dataType), ("texts", T.StringType()), ("ns", T.LongType()), ("sids", T.LongType()), ("marks", T.BinaryType())]
+        self.seed = 0
+        while not self._read():  # two different sets with one key: all keys are drawn anew
+            self.seed += 1
+
+    def _read(self) -> bool:
+        """Write blocks, members and nodes; whether no two different sets have the same key."""
+        lists = [("ids", self.docs.schema[0].dataType), ("texts", T.StringType()), ("ns", T.LongType()), ("sids", T.LongType()), ("checks", T.LongType()), ("marks", T.BinaryType())]
         schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(name, T.ArrayType(t)) for name, t in lists)])
-        self.blocks = write_table(self.docs.mapInArrow(released(_blocks(n, to_arrow_schema(schema))), schema), "ngram-blocks", compression="zstd")
-        members = self.blocks.select(F.inline(F.arrays_zip("ids", "ns", "sids", "marks"))).toDF("__id", "n", "sid", "mark")
+        self.blocks = write_table(self.docs.mapInArrow(released(_blocks(self.n, self.seed, to_arrow_schema(schema))), schema), "ngram-blocks", compression="zstd")
+        members = self.blocks.select(F.inline(F.arrays_zip("ids", "ns", "sids", "checks", "marks"))).toDF("__id", "n", "sid", "check", "mark")
         self.members = write_table(members, "ngram-members")
         nodes = self.members.where("sid is not null").groupBy("sid")
-        self.nodes = write_table(nodes.agg(F.min("__id").alias("least"), F.max("n").alias("n"), F.max("mark").alias("mark")), "ngram-nodes")
+        told = (F.min("check") != F.max("check")).alias("shared")
+        self.nodes = write_table(nodes.agg(F.min("__id").alias("least"), F.max("n").alias("n"), F.max("mark").alias("mark"), told), "ngram-nodes")
+        return self.nodes.where("shared").isEmpty()
 
     def suffix_filter(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a written table) that the signatures of their sets allow."""
@@ -426,7 +437,7 @@ class _Join:
         few = picks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         side = F.broadcast(picks) if few else picks
         texts = self.docs.join(side, F.col("__id").eqNullSafe(F.col("__pick"))).select("__text", "sid")
-        sets = write_table(texts.mapInArrow(released(_sets(self.n)), "sid long, grams binary").dropDuplicates(["sid"]), "ngram-sets")
+        sets = write_table(texts.mapInArrow(released(_sets(self.n, self.seed)), "sid long, grams binary").dropDuplicates(["sid"]), "ngram-sets")
         both = (
             pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
             .join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
@@ -522,7 +533,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     least = write_table(named.groupBy("comp").agg(F.min("least").alias("component_id")), "ngram-least")
     by_set = write_table(named.join(least, "comp").select("sid", "component_id"), "ngram-names")
     own = F.coalesce("sid", F.xxhash64("__id"))  # documents without words spread over all tasks and match nothing
-    rows = join.members.drop("mark").withColumn("__key", own).join(by_set.withColumnRenamed("sid", "__key"), "__key", "left")
+    rows = join.members.drop("mark", "check").withColumn("__key", own).join(by_set.withColumnRenamed("sid", "__key"), "__key", "left")
     return rows.select(
         F.col("__id").alias(id_col),
         F.col("n").alias("n_shingles"),

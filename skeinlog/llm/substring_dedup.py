@@ -4,7 +4,7 @@ A window is ``WINDOW`` consecutive words of one document. A difference cover D o
 positions i and j a shift s < p such that i + s and j + s both lie in D modulo p. So two equal windows also share an
 anchor, a run of ``WINDOW - p + 1`` words that starts at a cover position in both documents, and only anchors at cover
 positions are hashed and shuffled (4 in 13). Anchors that occur twice are then extended: windows around them are
-hashed whole (128 bits), and of equal windows all but the earliest are repeats. Every word that a repeat covers goes.
+hashed whole (128 bits, from two independent hashes of the words), and of equal windows all but the earliest are repeats. Every word that a repeat covers goes.
 
 Documents are laid end to end in the order of their ids, and a word's place is its number in that row (leaving room for
 as many words as a text has bytes). So places are single numbers that tell both the document and the order, windows are
@@ -118,7 +118,7 @@ def _windows(counts, frequent: int):
         table = counts.value
         for batch in batches:
             begins, known = batch.column(0).to_numpy(), batch.column(2)
-            for a, b, h, offsets in _words.blocks(batch.column(1), lower=False):
+            for a, b, h, offsets, *words in _words.blocks_with_bytes(batch.column(1), lower=False):
                 marked = np.zeros(len(h), bool)
                 own, text, place = anchors(h, offsets)
                 often = table[_sketch.cell(own, len(table))] >= frequent
@@ -131,7 +131,7 @@ def _windows(counts, frequent: int):
                 starts = candidate_windows(h, offsets, marked)
                 if not len(starts):
                     continue
-                w, w2 = (_words.runs(h, WINDOW, *f)[starts].view(np.int64) for f in ((), (_SECOND,)))
+                w, w2 = (_words.runs(x, WINDOW, *f)[starts].view(np.int64) for x, f in ((h, ()), (_words.hashes(*words, family=1), (_SECOND,))))
                 text = np.searchsorted(offsets, starts, side="right") - 1
                 begin = begins[a + text]
                 place = begin + starts - offsets[text]

@@ -8,10 +8,11 @@ selections of all tasks are merged by a window per query.
 Sums that could pass 64 bits are taken in Python integers instead; a score that passes them is an error, as it is in
 the query's SQL.
 
-Defined results: a vector that is null, or holds a null or non-finite component, or one whose scaled value
-is no 64-bit integer (``LIMIT``), takes no part. Missing trailing components count as zero, so an empty vector scores 0 with everything. Rows that
+Defined results: a vector that is null, or holds a null or non-finite component, takes no part; a finite component whose
+scaled value is no 64-bit integer is an error. Missing trailing components count as zero, so an empty vector scores 0 with everything. Rows that
 share the query's id are not its candidates; a query id that occurs in several rows is answered for its smallest
-vector. Repeated candidate rows are each ranked. Ties go to the smaller id.
+vector. A row with a null id is no query but everyone's candidate. Repeated candidate rows are each ranked. Ties go to the smaller
+id, null last. An empty table, or one without queries, gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,16 +34,12 @@ _TILE_QUERIES, _TILE_ROWS = 128, 4096
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(__id, __v array<long>) of the rows that take part; a filter and a projection, no shuffle."""
-    v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    fine = F.forall(
-        F.col(vec_col),
-        lambda x: F.coalesce(F.abs(x.cast("double") * F.lit(float(scale))) < F.lit(float(LIMIT)), F.lit(False)),
-    )
-    return (
-        vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
-        .where(fine)
-        .select(F.col(id_col).cast("long").alias("__id"), v.cast("array<long>").alias("__v"))
-    )
+    wide = lambda x: x.cast("double") * F.lit(float(scale))
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))), F.lit(False))
+    passed = F.raise_error(F.lit("a component times the scale passes 64 bits; use a smaller scale")).cast("long")
+    v = F.transform(F.col(vec_col), lambda x: F.when(F.abs(wide(x)) < F.lit(float(LIMIT)), F.floor(wide(x)).cast("long")).otherwise(passed))
+    rows = vectors.where(F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), finite))
+    return rows.select(F.col(id_col).cast("long").alias("__id"), v.cast("array<long>").alias("__v"))
 
 
 def as_matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
@@ -102,48 +99,49 @@ def as_long(scores: np.ndarray) -> pa.Array:
     return pa.array(scores.astype(np.int64))
 
 
-def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, larger score first and then smaller id."""
+def select(scores: np.ndarray, ids: np.ndarray, lost: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, larger score first and then smaller id; those that are ``lost`` have no id and come last of a score."""
     if scores.dtype == object:
-        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], lost[i], ids[i]))[:k], np.int64)
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         above = np.flatnonzero(scores > least)
         equal = np.flatnonzero(scores == least)
         need = k - len(above)
-        if len(equal) > need:
-            equal = equal[np.argpartition(ids[equal], need - 1)[:need]] if need else equal[:0]
-        places = np.concatenate([above, equal])
+        named = equal[~lost[equal]]
+        if len(named) > need:
+            named = named[np.argpartition(ids[named], need - 1)[:need]] if need else named[:0]
+        places = np.concatenate([above, named, equal[lost[equal]][: need - len(named)]])
     else:
         places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))]
+    return places[np.lexsort((ids[places], lost[places], -scores[places]))]
 
 
 def _search(query_ids: np.ndarray, weights: np.ndarray, k: int):
     """A task: the k best of its rows for each query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)) for _ in query_ids]
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            all_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             matrix = as_matrix(batch.column(1))
             for at in range(0, len(all_ids), _TILE_ROWS):
-                ids, rows = all_ids[at : at + _TILE_ROWS], matrix[at : at + _TILE_ROWS]
+                ids, lost, rows = (x[at : at + _TILE_ROWS] for x in (all_ids, no_id, matrix))
                 for q in range(0, len(query_ids), _TILE_QUERIES):
                     scores = exact_scores(weights[q : q + _TILE_QUERIES], rows)
                     for i, own in enumerate(scores, q):
-                        other = ids != query_ids[i]
-                        s = np.concatenate([best[i][0], own[other]])
-                        v = np.concatenate([best[i][1], ids[other]])
-                        top = select(s, v, k)
-                        best[i] = s[top], v[top]
-        sizes = [len(s) for s, _ in best]
+                        other = lost | (ids != query_ids[i])
+                        found = [np.concatenate([b, x[other]]) for b, x in zip(best[i], (own, ids, lost), strict=True)]
+                        top = select(*found, k)
+                        best[i] = tuple(x[top] for x in found)
+        sizes = [len(s) for s, *_ in best]
         if sum(sizes):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(query_ids, sizes)),
-                    pa.array(np.concatenate([v for _, v in best])),
-                    as_long(np.concatenate([s for s, _ in best])),
+                    pa.array(np.concatenate([v for _, v, _ in best]), mask=np.concatenate([x for *_, x in best])),
+                    as_long(np.concatenate([s for s, *_ in best])),
                 ],
                 names=["query_id", "vec_id", "score"],
             )
@@ -163,11 +161,13 @@ def exact_top_k(
     """``query_id, rank, vec_id, score`` of each query's k best candidates, over all rows of ``vectors``.
 
     ``is_query`` is a condition over the columns of ``vectors``. No more than ``query_block`` queries are held by
-    the driver or a task at once; with more, each block's answers are written before the next block starts.
+    the driver or a task at once; with more, each block's answers are written before the next block starts. The queries are
+    found once and written in the order of their ids, so a block reads little besides its own rows.
     """
     spark = vectors.sparkSession
     rows = scaled(vectors, id_col, vec_col, scale)
-    queries = scaled(vectors.where(is_query), id_col, vec_col, scale).groupBy("__id").agg(F.min("__v").alias("__v"))
+    queries = scaled(vectors.where(is_query & F.col(id_col).isNotNull()), id_col, vec_col, scale).groupBy("__id").agg(F.min("__v").alias("__v"))
+    queries = write_table(queries.sort("__id"), "topk-queries")
     schema = "query_id long, vec_id long, score long"
     parts, after = [], None
     while True:
@@ -193,6 +193,6 @@ def exact_top_k(
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

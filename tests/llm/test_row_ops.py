@@ -4,12 +4,13 @@ import collections
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skeinlog.llm import _graph, exact_dedup, mixing, ngram_join, sharding, topk
+from skeinlog.llm import _graph, exact_dedup, mixing, ngram_join, queries, sharding, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, kept boolean, n long, sid long, shard_file string"
 
@@ -129,6 +130,14 @@ def test_ngram_join(spark, monkeypatch, salt_rows):
     assert collections.Counter(tuple(r) for r in got) == collections.Counter(brute(rows))
 
 
+def test_ngram_join_draws_names_anew(spark, monkeypatch):
+    """Where two different sets come to the same name, no result depends on it."""
+    real = ngram_join.set_key
+    monkeypatch.setattr(ngram_join, "set_key", lambda s, seed=0: (real(s, seed)[0] & 1, real(s, seed)[1]) if seed == 0 else real(s, seed))
+    join = ngram_join._Join(docs(spark, [(i, f"word{i}") for i in range(20)]), "doc_id", "text", 5, 75)
+    assert join.seed == 1 and join.nodes.count() == 20
+
+
 def test_ngram_join_without_links(spark):
     assert ngram_join.near_duplicate_components(docs(spark, [])).count() == 0
     got = ngram_join.near_duplicate_components(docs(spark, [(1, "a b c"), (2, "x y z"), (3, None)])).collect()
@@ -152,13 +161,13 @@ def test_filters():
 def search(rows, k=10):
     v = []
     for i, x in rows:
-        if i is not None and x is not None and all(c is not None and np.isfinite(c) and abs(c * 1024) < topk.LIMIT for c in x):
+        if x is not None and all(c is not None and np.isfinite(c) for c in x):
             v.append((i, [int(np.floor(1024 * float(np.float32(c)))) for c in x]))
     out = []
-    for q in sorted({i for i, _ in v if i % 100 == 0}):
+    for q in sorted({i for i, _ in v if i is not None and i % 100 == 0}):
         own = min(x for i, x in v if i == q)
-        scores = sorted((-sum(a * b for a, b in zip(own, x, strict=False)), i) for i, x in v if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+        scores = sorted((-sum(a * b for a, b in zip(own, x, strict=False)), i is None, i or 0) for i, x in v if i != q)
+        out += [(q, r, None if lost else i, -s) for r, (s, lost, i) in enumerate(scores[:k], 1)]
     return out
 
 
@@ -166,10 +175,31 @@ def search(rows, k=10):
 def test_top_k(spark, block):
     rnd = random.Random(3)
     rows = [(i, [rnd.choice([-1.5, -0.25, 0.0, 0.5, 0.1]) for _ in range(6)]) for i in range(410)]
-    rows += [(1000, None), (1001, [1.0, None]), (1100, [float("nan")] * 6), (1002, [float("inf")] * 6), (1003, []), (1004, [1e30] * 6), (200, [9.0] * 6), (7, rows[7][1]), (1200, [1.0, 1.0]), (None, [1.0] * 6)]
+    rows += [(1000, None), (1001, [1.0, None]), (1100, [float("nan")] * 6), (1002, [float("inf")] * 6), (1003, []), (200, [9.0] * 6), (7, rows[7][1]), (1200, [1.0, 1.0]), (None, [1.0] * 6)]
+    rows += [(None, [-90.0] * 6), (None, rows[3][1]), (None, rows[3][1]), (None, None)]
     df = spark.createDataFrame([(i, v, 0, 5) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int").repartition(5)
     got = topk.exact_top_k(df, F.col("vec_id") % 100 == 0, query_block=block).collect()
-    assert sorted(tuple(r) for r in got) == sorted(search(rows))
+    key = lambda r: (r[0], r[1])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(search(rows), key=key)
+    assert any(r.vec_id is None for r in got)
+
+
+def test_top_k_sql_with_null_ids(spark, tmp_path):
+    rows = [(0, [1.0, 2.0]), (None, [5.0, 0.0]), (None, [1.0, 2.0]), (3, [1.0, 2.0]), (100, [0.5, 0.5]), (4, None), (5, [1.0, float("inf")])]
+    rows += [(i, [0.1, 0.1]) for i in range(11, 19)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1])
+    got = sorted((tuple(r) for r in queries.op8_exact_top_k(spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(con.sql(queries.oracle_sql()["op8_exact_top_k"]).fetchall(), key=key) == sorted(search(rows), key=key)
+
+
+def test_top_k_says_what_is_too_large(spark):
+    for x in (1e30, 1e17):
+        df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [x, 0.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="passes 64 bits"):
+            topk.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()
 
 
 def test_top_k_large(spark):

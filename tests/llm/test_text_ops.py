@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinlog.llm import _exchange, _words, katz, langid, mixing, packing, queries, secrets, substring_dedup
+from skeinlog.llm import _exchange, _words, katz, langid, mixing, ngram_join, packing, queries, secrets, substring_dedup
 from skeinlog.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, score double, k long, n int, held_out string"
@@ -52,6 +52,36 @@ def test_words():
         assert at == len(texts) and len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    """A word of n letters and its complement, which polynomials in the bytes modulo 2^64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048])
+def test_words_do_not_cancel_out(n):
+    texts = [*thue_morse(n), *thue_morse(n)[::-1]]
+    for family in (0, 1):
+        (_, _, h, _, *words), = _words.blocks_with_bytes(pa.array(texts), False)
+        h = h if family == 0 else _words.hashes(*words, family=1)
+        assert h[0] != h[1] and h[0] == h[3] and h[1] == h[2]
+    # nor do arrangements of whole words
+    x, y = (np.array([h[ord(c) - 97] for c in t], np.uint64) for t in thue_morse(16))
+    assert (_words.runs(x, 16) != _words.runs(y, 16)).all()
+
+
+def test_operators_tell_long_words_apart(spark):
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, f"{w} {rest}") for i, w in enumerate([*thue_morse(1024), *thue_morse(2048)])]
+    got = substring_dedup.remove_repeats(docs(spark, [*rows, (9, rows[0][1])])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 20}
+    alone = [(i, t.split()[0]) for i, t in rows]
+    got = ngram_join.near_duplicate_components(docs(spark, [*alone, (9, alone[0][1])])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
+    scored = katz.KatzModel(2).fit_and_score(docs(spark, alone), F.col("doc_id") % 2 == 0).collect()
+    assert {r.doc_id: r.n_known for r in scored} == {0: 2, 1: 1, 2: 2, 3: 1}
+
+
 # --- packing ---
 
 
