@@ -36,8 +36,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by a 64-bit hash of id and text, which repeats for exact copies only (dropped before)."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    """Rows are told apart by 128 bits of a digest of id and text, which repeat for exact copies only (dropped before)."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).cast("binary"))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.struct(half(1).alias("high"), half(17).alias("low")).alias("key"))
     groups = ngram_join.near_duplicate_components(rows, id_col="key").select("key", "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     stay = groups.join(rows.select("key", "doc_id"), "key").groupBy("component_id").agg(least["key"].alias("stay"))
