@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
+from skeinlog.llm import conversations, exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
 from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
@@ -93,6 +93,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    pieces = conversations.repair(damaged, times=F.col("times"))
+    return conversations.summarise(pieces).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
@@ -194,5 +201,58 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(reached) AS c
 """
 
 
+_OP12 = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS fault
+  FROM said),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+flagged AS (
+  SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS late,
+    left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS step
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (late AND NOT blank AND NOT seen) AS truncated,
+    count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM flagged GROUP BY conv_id),
+grammar(q, c, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(q, t, letters) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (1, 2, 'I'), (2, 3, 'I'), (3, 2, 'I'), (0, 3, 'II'), (1, 3, 'II')),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS repaired FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, q, least.cost, least.audit, least.repaired FROM (
+    SELECT conv_id, i, q, min({'cost': cost, 'audit': audit, 'repaired': repaired}) AS least FROM (
+      SELECT b.conv_id, f.i, b.q, b.cost + 2 AS cost, b.audit || 'D' AS audit, b.repaired
+      FROM best b JOIN flagged f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = b.i + 1
+      UNION ALL
+      SELECT b.conv_id, f.i, g.t, b.cost + 5 * length(n.letters) + CASE WHEN o.edit = 'R' THEN 1 ELSE 0 END + CASE WHEN f.late THEN 5 ELSE 0 END,
+        b.audit || n.letters || o.edit,
+        b.repaired || CASE WHEN n.letters = '' THEN '' WHEN b.q = 2 THEN chr(10) || 'assistant:' WHEN n.letters = 'I' THEN chr(10) || 'user:' ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END
+          || chr(10) || CASE WHEN o.edit = 'K' THEN f.role WHEN g.c = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text
+      FROM best b JOIN flagged f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = b.i + 1 AND NOT f.blank AND NOT f.seen
+        JOIN inserts n ON n.q = b.q JOIN grammar g ON g.q = n.t JOIN (VALUES ('K'), ('R')) o(edit) ON CASE WHEN o.edit = 'K' THEN g.c = f.c ELSE g.c <> 's' END)
+    GROUP BY conv_id, i, q)),
+ended AS (
+  SELECT b.conv_id, min({'cost': b.cost + 5 * length(n.letters), 'audit': b.audit || n.letters,
+    'repaired': b.repaired || CASE n.letters WHEN '' THEN '' WHEN 'I' THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END}) AS least
+  FROM best b LEFT JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id JOIN inserts n ON n.q = b.q AND n.t IN (0, 3)
+  WHERE b.i = coalesce(c.n, 0) GROUP BY b.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(least.cost AS BIGINT) AS cost, least.audit AS audit, sha256(substr(least.repaired, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard_join": _OP10, "op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
+    return {"op12_conversation_repair": _OP12, "op10_ngram_jaccard_join": _OP10, "op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
