@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import conversations, exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
+from skeinlog.llm import conversations, divergence, exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
 from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
@@ -93,6 +93,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damage(table(spark, sf_dir, "conversations"))
     pieces = conversations.repair(damaged, times=F.col("times"))
@@ -111,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_source_divergence": op11_source_divergence,
         "op12_conversation_repair": op12_conversation_repair,
     }
 
@@ -201,6 +206,36 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(reached) AS c
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+u AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total, coalesce(c.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l ON g.lang = l.lang
+    LEFT JOIN (SELECT u.lang, source, count(*) AS total FROM u JOIN kept k ON u.lang = k.lang AND u.term = k.term GROUP BY u.lang, source) c
+      ON g.lang = c.lang AND g.source = c.source),
+counts AS (SELECT lang, source, term, count(*) AS n FROM u GROUP BY lang, source, term),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (g.total + 5 * g.v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (g.lang_total + 5 * g.v) AS BIGINT) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s
+      ON a.lang = s.lang AND a.source = s.s1 AND b.source = s.s2
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 _OP12 = r"""
 WITH RECURSIVE said AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -216,9 +251,11 @@ damaged AS (
   FROM hashed),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
 flagged AS (
-  SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  SELECT *, left(role, 1) AS c, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
-    NOT regexp_matches(text, '[.!?][ 	-]*$') AS late,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS late,
     left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS step
   FROM placed),
 counts AS (
@@ -255,4 +292,4 @@ FROM ended e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_conversation_repair": _OP12, "op10_ngram_jaccard_join": _OP10, "op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
+    return {"op11_source_divergence": _OP11, "op12_conversation_repair": _OP12, "op10_ngram_jaccard_join": _OP10, "op2_source_mixing": _OP2, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
