@@ -76,8 +76,9 @@ def blocks(texts: pa.Array, lower: bool, block_bytes: int = BLOCK_BYTES) -> Iter
         yield a, b, h, offsets
 
 
-def blocks_with_bytes(texts: pa.Array, lower: bool, block_bytes: int = BLOCK_BYTES):
-    """As blocks(), with the block's bytes (in lower case where wanted) and each word's start and end in them."""
+def blocks_with_bytes(texts: pa.Array, lower: bool, block_bytes: int = BLOCK_BYTES, fold: np.ndarray | None = None):
+    """As blocks(), with the block's bytes (in lower case where wanted, or as ``fold`` maps each byte) and each word's start and end in them."""
+    fold = _LOWER if lower and fold is None else fold
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -88,7 +89,7 @@ def blocks_with_bytes(texts: pa.Array, lower: bool, block_bytes: int = BLOCK_BYT
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + block_bytes, side="right")) - 1)
         own = data[bounds[a] : bounds[b]]
         ends = (bounds[a + 1 : b + 1] - bounds[a]).astype(np.int64)
-        own = _LOWER[own] if lower else own
+        own = own if fold is None else fold[own]
         text, starts, stops = _block(own, ends)
         yield a, b, hashes(own, starts, stops), np.searchsorted(text, np.arange(b - a + 1)), own, starts, stops
         a = b

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import conversations, divergence, exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk
+from skeinlog.llm import conversations, divergence, exact_dedup, katz, langid, mixing, ngram_join, packing, secrets, sharding, substring_dedup, topk, toxicity
 from skeinlog.llm._tables import new_path
 
 #: Vocabulary file that packing uses, a parameter of the operator.
@@ -103,6 +103,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summarise(pieces).withColumnRenamed("conv", "conv_id")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_of_id() % 4 != 2)
+    return toxicity.predict(docs.withColumn("held_out", crc_of_id() % 4 == 2), model, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -117,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_source_divergence": op11_source_divergence,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_toxicity": op13_toxicity,
     }
 
 

@@ -21,14 +21,17 @@ COLUMNS = {
     "op8_exact_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op10_ngram_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op11_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op12_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    for name in ("documents", "embeddings", "conversations", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
 
@@ -50,7 +53,7 @@ def test_query(spark, tables, name):
         assert names == sorted(want.columns)
         assert plain([tuple(r[n] for n in names) for r in rows]) == plain(want.select(*[f'"{n}"' for n in names]).fetchall())
     ids = {r[0] for r in tables.sql("SELECT doc_id FROM documents").fetchall()}
-    if name not in ("op1_best_fit_packing", "op8_exact_top_k"):
+    if name not in ("op1_best_fit_packing", "op8_exact_top_k", "op11_source_divergence", "op12_conversation_repair"):
         assert sorted(r.doc_id for r in rows) == sorted(ids)
     if name == "op1_best_fit_packing":
         assert {r.doc_id for r in rows} == ids and max(r.length for r in rows) <= 2048
