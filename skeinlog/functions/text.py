@@ -28,13 +28,13 @@ def normalize_line(x: Column) -> Column:
 
 
 def title_words(x: Column) -> Column:
-    """Lower-cased words of more than two letters or digits."""
+    """Lower-cased words of more than two letters or digits. Fixed: the characters that count."""
     plain = F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", "")
     return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 2))
 
 
 def content_words(x: Column) -> Column:
-    """As title_words, without heading marks and with accented Latin letters kept."""
+    """As title_words, without heading marks and with accented Latin letters kept. Fixed: the characters that count."""
     plain = F.regexp_replace(F.lower(x), r"(?m)^#{1,6}\s+", "")
     plain = F.regexp_replace(plain, r"[^a-z0-9À-ɏ\s]", "")
     return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 2))
@@ -69,9 +69,9 @@ def ordinal(x: Column, values: list[str]) -> Column:
 
 def file_size(n: Column) -> Column:
     return (
-        F.when(n < 1024, F.format_string("%d B", n.cast("long")))
-        .when(n < 1024 * 1024, F.format_string("%.0f KB", n / 1024))
-        .otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+        F.when(n < 1024, F.format_string("%dB", n.cast("long")))
+        .when(n < 1024 * 1024, F.format_string("%.0fKB", n / 1024))
+        .otherwise(F.format_string("%.1fMB", n / (1024 * 1024)))
     )
 
 
@@ -92,7 +92,7 @@ def template(text: Column, values: dict[str, Column]) -> Column:
 
 
 def import_references(line: Column) -> Column:
-    """@path references of a line, outside of code spans."""
+    """@path references of a line, outside of code spans. Fixed: what a reference looks like."""
     plain = F.regexp_replace(line, r"`[^`]+`", "")
     return F.regexp_extract_all(plain, F.lit(r"(?:^|\s)@([\w./-]+\.[\w]+)"), F.lit(1))
 

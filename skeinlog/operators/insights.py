@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from skeinlog.functions import text as X
 
 #: The enumerations of an insight.
-CATEGORIES = ["missing_project_knowledge", "repeated_correction", "rejected_approach", "intent_clarification", "suggested_rule", "tool_usage_pattern", "repeated_mistake"]
-ACTION_HINTS = ["add_to_rules", "update_existing_rule", "prompt_improvement", "one_time_issue", "unclear"]
+CATEGORIES = [
+    "missing_project_knowledge", "repeated_correction", "rejected_approach", "intent_clarification", "convention_establishment", "tool_command_correction",
+    "tool_usage_pattern",
+]
+ACTION_HINTS = ["add_to_rules", "update_rules", "add_to_global_rules", "prompt_improvement", "unclear"]
 CORRECTIONS = ("repeated_correction", "rejected_approach")
 SINGLE_CONFIDENCE, CROSS_CONFIDENCE = 0.5, 0.6
 LEAST_CONFIDENCE = 0.5

@@ -11,7 +11,7 @@ from skeinlog.operators.insights import _text
 #: The enumerations of a suggestion.
 TYPES = ["add", "update", "remove", "consolidate", "split"]
 PRIORITIES = ["high", "medium", "low"]
-DEFAULT_TARGET = "CLAUDE.md"
+DEFAULT_TARGET, SKIP_REASON = "CLAUDE.md", "already covered"
 
 
 def _texts(v: Column, path: str) -> Column:
@@ -38,7 +38,7 @@ def from_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.size(adds) > 0, F.array_join(adds, "\n")).alias("add_text"), _texts(v, "$.content.remove").alias("remove_texts"),
         F.coalesce(F.try_variant_get(v, "$.sourceInsightIds", "array<string>"), F.array().cast("array<string>")).alias("source_insight_ids"),
         F.when(kind == "split", F.get(adds, 0)).alias("split_target"), skipped.alias("skipped"),
-        F.when(skipped, F.coalesce(_text(v, "$.skipReason"), F.lit("not specified"))).alias("skip_reason"), F.lit("pending").alias("status"),
+        F.when(skipped, F.coalesce(_text(v, "$.skipReason"), F.lit(SKIP_REASON))).alias("skip_reason"), F.lit("pending").alias("status"),
     )
 
 

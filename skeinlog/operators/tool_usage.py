@@ -26,12 +26,18 @@ def calls(messages: DataFrame, scope: str = "message") -> DataFrame:
     A failed result counts for the first call of its id in the same message (``scope='message'``), or in the
     session (``scope='session'``).
     """
+    if scope == "message":  # calls and results stand in one row
+        failed_ids = F.transform(F.filter("tool_results", lambda r: is_failure(r["content"])), lambda r: r["tool_use_id"])
+        rows = messages.select("session_id", "msg_idx", F.posexplode("tool_uses").alias("pos", "u"), F.transform("tool_uses", lambda u: u["id"]).alias("ids"), failed_ids.alias("failed"))
+        n = F.size(F.filter("failed", lambda i: i == F.col("u.id")))
+        first = F.array_position("ids", F.col("u.id")) == F.col("pos") + 1
+        return rows.select("session_id", "msg_idx", "pos", F.col("u.name").alias("name"), F.col("u.input").alias("input"), F.when(first, n).otherwise(0).cast("int").alias("failures"))
     uses = messages.select("session_id", "msg_idx", F.posexplode("tool_uses").alias("pos", "u"))
     uses = uses.select("session_id", "msg_idx", "pos", F.col("u.id").alias("id"), F.col("u.name").alias("name"), F.col("u.input").alias("input"))
-    keys = ["session_id", "msg_idx", "id"] if scope == "message" else ["session_id", "id"]
+    keys = ["session_id", "id"]
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("msg_idx", "pos")) == 1
-    results = messages.select("session_id", "msg_idx", F.explode("tool_results").alias("r")).where(is_failure(F.col("r.content")))
-    failed = results.select(*keys[:-1], F.col("r.tool_use_id").alias("id")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    results = messages.select("session_id", F.explode("tool_results").alias("r")).where(is_failure(F.col("r.content")))
+    failed = results.select("session_id", F.col("r.tool_use_id").alias("id")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     joined = uses.withColumn("__first", first).join(failed, keys, "left")
     return joined.select("session_id", "msg_idx", "pos", "name", "input", F.when(F.col("__first"), F.coalesce("n", F.lit(0))).otherwise(0).cast("int").alias("failures"))
 
@@ -71,12 +77,16 @@ def summary(messages: DataFrame, scope: str = "message") -> DataFrame:
 
 
 def render(usage: DataFrame) -> DataFrame:
-    """The summary as text: tools by calls, failures where there are any, shell failure rate, much used files."""
+    """The summary as text: total, tools by calls with their failures where there are any, shell failure rate, much used files."""
     entries = F.array_sort(F.transform(F.map_entries("by_tool"), lambda e: F.struct((-e["value"]["count"]).alias("o"), e["key"].alias("k"), e["value"]["failures"].alias("f"))))
-    lines = F.transform(entries, lambda e: F.concat(F.lit("- "), e["k"], F.lit(": "), (-e["o"]).cast("string"), F.lit(" calls"), F.when(e["f"] > 0, F.concat(F.lit(" ("), e["f"].cast("string"), F.lit(" failures)"))).otherwise("")))
-    rate = F.when(F.col("bash_failure_rate") > 0, F.array(F.format_string("Bash failure rate: %.0f%%", F.col("bash_failure_rate") * 100))).otherwise(F.array().cast("array<string>"))
-    files = F.transform(F.coalesce("repeated_file_access", F.array().cast("array<struct<file_path:string,read_count:int,write_count:int>>")), lambda x: F.concat(F.lit("- "), x["file_path"], F.lit(": "), x["read_count"].cast("string"), F.lit(" reads, "), x["write_count"].cast("string"), F.lit(" writes")))
-    return usage.select("session_id", F.array_join(F.concat(lines, rate, files), "\n").alias("rendered"))
+    total = F.array(F.concat(F.lit("Total tool calls: "), F.col("total_tool_calls").cast("string")))
+    lines = F.transform(entries, lambda e: F.concat(F.lit("  "), e["k"], F.lit(": "), (-e["o"]).cast("string"), F.when(e["f"] > 0, F.concat(F.lit(" ("), e["f"].cast("string"), F.lit(" failures)"))).otherwise("")))
+    none = F.array().cast("array<string>")
+    rate = F.when(F.col("bash_failure_rate") > 0, F.array(F.format_string("Bash failure rate: %.0f%%", F.col("bash_failure_rate") * 100))).otherwise(none)
+    used = F.coalesce("repeated_file_access", F.array().cast("array<struct<file_path:string,read_count:int,write_count:int>>"))
+    files = F.transform(used, lambda x: F.concat(F.lit("  "), x["file_path"], F.lit(": "), x["read_count"].cast("string"), F.lit(" reads, "), x["write_count"].cast("string"), F.lit(" writes")))
+    heading = F.when(F.size(used) > 0, F.array(F.lit(""), F.lit("Frequently accessed files:"))).otherwise(none)
+    return usage.select("session_id", F.array_join(F.concat(total, lines, rate, heading, files), "\n").alias("rendered"))
 
 
 PREVIEW_CHARS = 80

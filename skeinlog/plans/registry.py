@@ -188,11 +188,11 @@ def tool_calls(spark, d):
 
 @query(f"""WITH {_CALLS},
 t AS (SELECT session_id, name, count(*) AS n, sum(failed) AS f FROM calls GROUP BY 1, 2),
-l AS (SELECT session_id, string_agg('- ' || name || ': ' || n || ' calls' || CASE WHEN f > 0 THEN ' (' || CAST(f AS BIGINT) || ' failures)' ELSE '' END, chr(10) ORDER BY n DESC, name) AS lines FROM t GROUP BY 1),
+l AS (SELECT session_id, 'Total tool calls: ' || CAST(sum(n) AS BIGINT) AS total, string_agg('  ' || name || ': ' || n || CASE WHEN f > 0 THEN ' (' || CAST(f AS BIGINT) || ' failures)' ELSE '' END, chr(10) ORDER BY n DESC, name) AS lines FROM t GROUP BY 1),
 r AS (SELECT session_id, coalesce(sum(CASE WHEN name = 'Bash' THEN failed END) / nullif(count(CASE WHEN name = 'Bash' AND has_input THEN 1 END), 0), 0) AS rate FROM calls GROUP BY 1),
 w AS (SELECT session_id, file, sum(CASE WHEN name = 'Read' THEN 1 ELSE 0 END) AS reads, sum(CASE WHEN name IN ('Write', 'Edit') THEN 1 ELSE 0 END) AS writes FROM calls WHERE has_input AND name IN ('Read', 'Write', 'Edit') GROUP BY 1, 2),
-f AS (SELECT session_id, string_agg('- ' || file || ': ' || CAST(reads AS BIGINT) || ' reads, ' || CAST(writes AS BIGINT) || ' writes', chr(10) ORDER BY reads + writes DESC, file) AS files FROM w WHERE reads + writes >= 5 GROUP BY 1)
-SELECT session_id, concat_ws(chr(10), lines, CASE WHEN rate > 0 THEN 'Bash failure rate: ' || format('{{:.0f}}', floor(rate * 100 + 0.5)) || '%' END, files) AS rendered FROM l JOIN r USING (session_id) LEFT JOIN f USING (session_id)""")
+f AS (SELECT session_id, chr(10) || 'Frequently accessed files:' || chr(10) || string_agg('  ' || file || ': ' || CAST(reads AS BIGINT) || ' reads, ' || CAST(writes AS BIGINT) || ' writes', chr(10) ORDER BY reads + writes DESC, file) AS files FROM w WHERE reads + writes >= 5 GROUP BY 1)
+SELECT session_id, concat_ws(chr(10), total, lines, CASE WHEN rate > 0 THEN 'Bash failure rate: ' || format('{{:.0f}}', floor(rate * 100 + 0.5)) || '%' END, files) AS rendered FROM l JOIN r USING (session_id) LEFT JOIN f USING (session_id)""")
 def tool_usage_text(spark, d):
     return usage.render(usage.summary(event_messages(spark, d)))
 
@@ -216,7 +216,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = table(spark, sf_dir, "events").withColumn("line_no", n)
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    said = F.struct(F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), F.col("value").cast("string")).alias("content"))
+    said = F.struct(F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), F.col("event_id").cast("string"), F.lit(" by "), F.col("user_id").cast("string")).alias("content"))
     kind = F.when(F.col("event_type") == "view", "user").when(F.col("event_type") == "signup", "summary").otherwise("assistant")
     whole = F.to_json(F.struct(kind.alias("type"), at.alias("timestamp"), said.alias("message"), F.concat(F.lit("about "), F.col("event_id").cast("string")).alias("summary")))
     session = F.col("user_id").cast("string")
@@ -240,10 +240,10 @@ def line_warnings(spark, d):
 
 
 @query(f"""WITH {_LINES} SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(n AS INTEGER) AS msg_idx, CASE WHEN event_type = 'view' THEN 'user' ELSE 'assistant' END AS role, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp,
- starts_with('said ' || CAST(value AS VARCHAR), 'said ') AS has_text, CASE WHEN event_type = 'view' THEN 'user' ELSE 'assistant' END AS raw_type FROM numbered WHERE event_type NOT IN ('error', 'signup')""")
+ 'said ' || event_id || ' by ' || user_id AS text_content, CASE WHEN event_type = 'view' THEN 'user' ELSE 'assistant' END AS raw_type FROM numbered WHERE event_type NOT IN ('error', 'signup')""")
 def parsed_messages(spark, d):
     m = transcripts.messages(transcripts.parsed(event_lines(spark, d)))
-    return m.select("session_id", "msg_idx", "role", "timestamp", F.col("text_content").startswith("said ").alias("has_text"), "raw_type")
+    return m.select("session_id", "msg_idx", "role", "timestamp", "text_content", "raw_type")
 
 
 @query(f"""WITH {_LINES},
@@ -585,7 +585,7 @@ def watch_growth(spark, d):
     return watch.replay(polls, 20).select("session_id", "size", "poll")
 
 
-@query("""SELECT p_partkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN format('{:.0f} KB', floor(s / 1024 + 0.5)) ELSE format('{:.1f} MB', floor(s / 104857.6 + 0.5) / 10) END AS size,
+@query("""SELECT p_partkey, CASE WHEN s < 1024 THEN s || 'B' WHEN s < 1048576 THEN format('{:.0f}KB', floor(s / 1024 + 0.5)) ELSE format('{:.1f}MB', floor(s / 104857.6 + 0.5) / 10) END AS size,
  replace(p_name, ' ', '/') AS path FROM (SELECT p_partkey, p_name, CAST(p_partkey * p_partkey AS BIGINT) AS s FROM part)""")
 def file_size_label(spark, d):
     s = F.col("p_partkey") * F.col("p_partkey")
@@ -648,11 +648,14 @@ def template_fill(spark, d):
 
 
 def part_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's answer per part: an array of two items, the second without a title, or broken JSON for every tenth part."""
+    """A model's answer per part: an array of two items, the second without a title, or broken JSON for every tenth part. Every
+    category and action hint occurs, and others that don't exist; every eighth item is one that the model skipped."""
     k = F.col("p_partkey")
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     item = F.concat(
-        F.lit('{"title": '), quote(F.col("p_name")), F.lit(', "category": '), quote(F.when(k % 3 == 0, "repeated_correction").when(k % 3 == 1, "no such kind").otherwise("suggested_rule")),
+        F.lit('{"title": '), quote(F.col("p_name")), F.lit(', "category": '), quote(F.element_at(F.array(*map(F.lit, [*insights.CATEGORIES, "no such kind"])), (k % 8 + 1).cast("int"))),
+        F.lit(', "actionHint": '), quote(F.element_at(F.array(*map(F.lit, [*insights.ACTION_HINTS, "later"])), (k % 6 + 1).cast("int"))),
+        F.when(k % 8 == 3, F.when(k % 16 == 3, ', "skipped": true').otherwise(', "skipped": true, "skipReason": "no need"')).otherwise(""),
         F.lit(', "confidence": '), F.when(k % 4 == 0, "1.5").when(k % 4 == 1, '"high"').otherwise("0.75"), F.lit(', "suggestedRule": '), quote(F.col("p_type")),
         F.lit(', "evidence": [{"role": "user", "text": "a"}, 7, {"text": "b"}, {"text": "c"}, {"text": "d"}]'), F.lit(', "sourceInsightIds": ["i1"], "type": "'), F.when(k % 2 == 0, "update").otherwise("replace"),
         F.lit('", "priority": "high", "content": {"add": ["x", "y"], "remove": "z"}'),
@@ -662,17 +665,17 @@ def part_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.model_json(raw).alias("value"))
 
 
-@query("""SELECT p_partkey, 0 AS pos, p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'repeated_correction' WHEN 1 THEN 'missing_project_knowledge' ELSE 'suggested_rule' END AS category,
- CASE WHEN p_partkey % 4 < 2 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, p_type AS suggested_rule, 'unclear' AS action_hint, 3 AS evidence, 'user,assistant,assistant' AS roles FROM part WHERE p_partkey % 10 <> 9""")
+@query("""SELECT p_partkey, 0 AS pos, p_name AS title, ['missing_project_knowledge', 'repeated_correction', 'rejected_approach', 'intent_clarification', 'convention_establishment', 'tool_command_correction', 'tool_usage_pattern', 'missing_project_knowledge'][p_partkey % 8 + 1] AS category,
+ CASE WHEN p_partkey % 4 < 2 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, p_type AS suggested_rule, ['add_to_rules', 'update_rules', 'add_to_global_rules', 'prompt_improvement', 'unclear', 'unclear'][p_partkey % 6 + 1] AS action_hint, 3 AS evidence, 'user,assistant,assistant' AS roles FROM part WHERE p_partkey % 10 <> 9""")
 def insight_answers(spark, d):
     out = insights.from_answers(part_answers(spark, d), ["p_partkey"])
     return out.select("p_partkey", "pos", "title", "category", "confidence", "suggested_rule", "action_hint", F.size("evidence").alias("evidence"), F.array_join("evidence.role", ",").alias("roles"))
 
 
-@query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'update' ELSE 'add' END AS type, 'high' AS priority, 'CLAUDE.md' AS target_file, 'x' || chr(10) || 'y' AS add_text, 'z' AS removes, 'i1' AS insight, false AS skipped, 'pending' AS status FROM part WHERE p_partkey % 10 <> 9""")
+@query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'update' ELSE 'add' END AS type, 'high' AS priority, 'CLAUDE.md' AS target_file, 'x' || chr(10) || 'y' AS add_text, 'z' AS removes, 'i1' AS insight, p_partkey % 8 = 3 AS skipped, CASE p_partkey % 16 WHEN 3 THEN 'already covered' WHEN 11 THEN 'no need' END AS skip_reason, 'pending' AS status FROM part WHERE p_partkey % 10 <> 9""")
 def suggestion_answers(spark, d):
     out = suggestions.from_answers(part_answers(spark, d), ["p_partkey"])
-    return out.select("p_partkey", "title", "type", "priority", "target_file", "add_text", F.array_join("remove_texts", ",").alias("removes"), F.array_join("source_insight_ids", ",").alias("insight"), "skipped", "status")
+    return out.select("p_partkey", "title", "type", "priority", "target_file", "add_text", F.array_join("remove_texts", ",").alias("removes"), F.array_join("source_insight_ids", ",").alias("insight"), "skipped", "skip_reason", "status")
 
 
 @query("""SELECT p_partkey AS id, 's' || (p_partkey % 5) AS session_id, 'i' || (p_partkey % 7) AS insight_id FROM part WHERE p_partkey % 10 <> 9 UNION ALL SELECT p_partkey, '', 'i0' FROM part WHERE p_partkey % 10 <> 9""")

@@ -10,9 +10,12 @@ from pyspark.sql import types as T
 
 #: File names, and folders that are not searched.
 RULES_FILE, LOCAL_FILE, RULES_DIR = "CLAUDE.md", "CLAUDE.local.md", ".claude"
-IGNORED = ("node_modules", ".git", "dist", "build", "vendor", ".next", "__pycache__", ".venv", "venv", "target", "coverage", ".cache", ".turbo", "out")
+IGNORED = ("node_modules", ".git", ".hg", ".svn", "dist", "build", ".next", ".nuxt", ".output", "vendor", "__pycache__", ".venv", "venv")
 MAX_DEPTH = 3
-ROOT_MARKERS = (".git", "package.json", RULES_FILE, RULES_DIR)
+#: The folder of the store in a project.
+STORE_DIR = ".skeinlog"
+#: What a project's root holds.
+ROOT_MARKERS = (".git", "package.json", RULES_FILE, STORE_DIR)
 
 SCHEMA = T.StructType(
     [
@@ -22,16 +25,16 @@ SCHEMA = T.StructType(
 )
 
 
-def project_root(start: str, home: str | None = None) -> str:
-    """The nearest folder upwards that has a marker, not above home; else the start."""
+def project_root(start: str, home: str | None = None) -> str | None:
+    """The nearest folder upwards that has a marker; never home or what lies above it, and None if there is no such folder."""
     home = Path(home or os.path.expanduser("~")).resolve()
     at = Path(start).resolve()
     for folder in (at, *at.parents):
-        if any((folder / m).exists() for m in ROOT_MARKERS):
-            return str(folder)
         if folder == home:
             break
-    return str(at)
+        if any((folder / m).exists() for m in ROOT_MARKERS):
+            return str(folder)
+    return None
 
 
 def discover(root: str, home: str | None = None) -> list[tuple[str, str]]:
@@ -39,10 +42,7 @@ def discover(root: str, home: str | None = None) -> list[tuple[str, str]]:
     base, home = Path(root), Path(home or os.path.expanduser("~"))
     wanted = [(home / RULES_DIR / RULES_FILE, "global"), (base / RULES_FILE, "project"), (base / LOCAL_FILE, "project_local"), (base / RULES_DIR / RULES_FILE, "project")]
     wanted += [(p, "project") for p in sorted((base / RULES_DIR / "rules").glob("*.md"))]
-    level = [base]
-    for _ in range(MAX_DEPTH):
-        level = [d for parent in level for d in _folders(parent)]
-        wanted += [(d / RULES_FILE, "subdirectory") for d in level]
+    wanted += [(d / RULES_FILE, "subdirectory") for d in _below(base, MAX_DEPTH)]
     seen, out = set(), []
     for path, scope in wanted:
         real = os.path.realpath(path)
@@ -52,6 +52,11 @@ def discover(root: str, home: str | None = None) -> list[tuple[str, str]]:
     return out
 
 
+def _below(parent: Path, depth: int) -> list[Path]:
+    """The folders below one, each followed by those in it."""
+    return [x for d in _folders(parent) for x in (d, *_below(d, depth - 1))] if depth else []
+
+
 def _folders(parent: Path) -> list[Path]:
     try:
         return sorted(d for d in parent.iterdir() if d.is_dir() and d.name not in IGNORED and not d.name.startswith("."))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -124,17 +124,9 @@ def candidates(rows: DataFrame, growth: int = GROWTH_BYTES, known: DataFrame | N
 
 def replay(polls: DataFrame, growth: int = GROWTH_BYTES) -> DataFrame:
     """The same candidates from a finished table of listings (session_id, size, mtime, poll)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, out = None, []
-        for r in pdf.rename(columns={"size": "size_bytes"}).sort_values("poll").itertuples():
-            seen, hit = step(seen, int(r.size_bytes), float(r.mtime), growth)
-            if hit:
-                out.append((r.session_id, int(r.size_bytes), float(r.mtime), int(r.poll)))
-        return pd.DataFrame(out, columns=["session_id", "size", "mtime", "poll"])
-
+    before = F.lag("size").over(Window.partitionBy("session_id").orderBy("poll"))
     own = polls.select("session_id", F.col("size").cast("long").alias("size"), F.col("mtime").cast("double").alias("mtime"), F.col("poll").cast("long").alias("poll"))
-    return own.groupBy("session_id").applyInPandas(run, "session_id string, size long, mtime double, poll long")
+    return own.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("size") - F.col("__before") > growth)).drop("__before")
 
 
 def stable(found: DataFrame, now_listing: DataFrame) -> DataFrame:
@@ -153,8 +145,6 @@ def own_sessions(messages: DataFrame, products: tuple[str, ...], shell: str = "B
     low = F.lower("text_content")
     asked = (F.col("role") == "user") & any_of(low, products) & any_of(low, COMMANDS)
     ran = (F.col("role") == "assistant") & F.exists("tool_uses", lambda u: (u["name"] == shell) & any_of(F.get_json_object(u["input"], "$.command"), products))
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("session_id").orderBy("msg_idx"))
     head = messages.withColumn("__n", n).where(F.col("__n") <= first)
     return head.where(asked | ran).select("session_id").distinct()

@@ -74,13 +74,30 @@ def test_imports_and_stats(spark):
 def test_discovery(spark, tmp_path):
     home = tmp_path / "home"
     root = tmp_path / "p"
-    for p in ("CLAUDE.md", "CLAUDE.local.md", ".claude/rules/b.md", ".claude/rules/a.md", "x/CLAUDE.md", "x/y/z/CLAUDE.md", "x/y/z/w/CLAUDE.md", "node_modules/CLAUDE.md", ".hid/CLAUDE.md"):
+    read = ("target", "coverage", "out", "x/a")  # folders that rules are read from
+    for p in (*(f"{d}/CLAUDE.md" for d in read), "dist/CLAUDE.md", ".svn/CLAUDE.md", "CLAUDE.md", "CLAUDE.local.md", ".claude/rules/b.md", ".claude/rules/a.md", "x/CLAUDE.md", "x/y/z/CLAUDE.md", "x/y/z/w/CLAUDE.md", "node_modules/CLAUDE.md", ".hid/CLAUDE.md"):
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_text("- rule\r\n")
     rows = rule_files.read(spark, str(root), str(home)).orderBy("ord").collect()
-    assert [r.relative_path for r in rows] == ["CLAUDE.md", "CLAUDE.local.md", ".claude/rules/a.md", ".claude/rules/b.md", "x/CLAUDE.md", "x/y/z/CLAUDE.md"]
+    assert [r.relative_path for r in rows] == ["CLAUDE.md", "CLAUDE.local.md", ".claude/rules/a.md", ".claude/rules/b.md", "coverage/CLAUDE.md", "out/CLAUDE.md", "target/CLAUDE.md", "x/CLAUDE.md", "x/a/CLAUDE.md", "x/y/z/CLAUDE.md"]
     assert rows[0].content == "- rule\n" and rows[4].scope == "subdirectory"
-    assert rule_files.project_root(str(root / "x" / "y"), str(home)) in (str(root / "x"), str(root))
+    assert rule_files.project_root(str(root / "x" / "y"), str(home)) == str(root / "x")
+
+
+def test_project_root(tmp_path):
+    """Never home, though it has a marker; nothing where no folder below it has one."""
+    home = tmp_path / "home"
+    for p in ("CLAUDE.md", ".claude/x", "plain/deep/x", "repo/.git/x", "repo/src/lib/x", "node/package.json", "node/.claude/x", "kept/.skeinlog/x"):
+        (home / p).parent.mkdir(parents=True, exist_ok=True)
+        (home / p).write_text("")
+    root = lambda p: rule_files.project_root(str(home / p), str(home))
+    assert root("") is None and root("plain/deep") is None
+    assert root("repo/src/lib") == root("repo") == str(home / "repo") and root("node/.claude") == str(home / "node") and root("kept") == str(home / "kept")
+
+
+def test_fixed_values():
+    assert len(I.CATEGORIES) == 7 and {"convention_establishment", "tool_command_correction"} < set(I.CATEGORIES)
+    assert I.ACTION_HINTS == ["add_to_rules", "update_rules", "add_to_global_rules", "prompt_improvement", "unclear"]
 
 
 def test_sections():
@@ -221,7 +238,7 @@ def test_suggestions(spark):
     got = {r.title: r for r in G.with_provenance(s, links).collect()}
     assert len(got) == 4 and got["A"].split_target == "n.md" and got["A"].confidence == 0.85
     assert got["B"].source_session_ids == ["s1", "s2"] and got["B"].confidence == 0.85 and got["B"].remove_texts == ["y", "z"]
-    assert got["C"].skip_reason == "not specified" and got["D"].confidence == 0.6 and got["D"].target_file == "CLAUDE.md"
+    assert got["C"].skip_reason == "already covered" and got["D"].confidence == 0.6 and got["D"].target_file == "CLAUDE.md"
     stats = G.stats(s.where("not skipped"), 10).first()
     assert stats.by_type["add"] == 2 and stats.by_type["remove"] == 0 and stats.estimated_rules_after == 12
 
