@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skeinlog.functions import text as X
 from skeinlog.operators import dedup, edits, insights, messages, rules, sessions, suggestions
 from skeinlog.operators import tool_usage as usage
-from skeinlog.sources import transcripts
+from skeinlog.sources import scratch, transcripts
 from skeinlog.sources.store import cache_is_valid, fresh
 from skeinlog.streaming import watch
 
@@ -271,6 +271,22 @@ def project_sessions(spark, d):
     return sessions.for_project(sessions.analyzable(s), "/home/u3/").select("session_id", "user_message_count")
 
 
+@query("""WITH n AS (SELECT 'bucket=' || (page_id % 16) AS folder, CAST(row_number() OVER (PARTITION BY page_id % 16 ORDER BY page_id) AS INTEGER) AS line_no,
+ page_id, CASE WHEN page_id % 9 = 0 THEN '{broken ' || page_id ELSE '{"type": "user", "timestamp": "2024-01-01T00:00:' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || '", "message": {"role": "user", "content": "' || hex(encode(html)) || '"}}' END AS line FROM pages)
+SELECT folder, line_no, length(line) AS chars, md5(line) AS line_md5, page_id % 9 = 0 AS warned FROM n""")
+def transcript_lines(spark, d):
+    """Pages as transcripts, written as text and scanned again: the physical number of every line, and which are broken."""
+    k = F.col("page_id")
+    said = F.concat(F.lit('{"type": "user", "timestamp": "2024-01-01T00:00:'), F.lpad((k % 60).cast("string"), 2, "0"), F.lit('", "message": {"role": "user", "content": "'), F.hex("html"), F.lit('"}}'))
+    line = F.when(k % 9 == 0, F.concat(F.lit("{broken "), k.cast("string"))).otherwise(said)
+    pages = table(spark, d, "pages").select((k % 16).alias("bucket"), k.alias("page_id"), line.alias("value"))
+    root = scratch.new_path(spark, "transcripts")
+    pages.repartition(16, "bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "value").write.partitionBy("bucket").text(root)
+    seen = transcripts.parsed(transcripts.lines(spark, root, suffix=".txt"))
+    broken = F.col("v").isNull() & (X.trim(F.col("line")) != "")
+    return seen.select(F.col("project_path_encoded").alias("folder"), "line_no", F.length("line").cast("long").alias("chars"), F.md5(F.col("line").cast("binary")).alias("line_md5"), broken.alias("warned"))
+
+
 # --- listing, limits, latest ---
 
 

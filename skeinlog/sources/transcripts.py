@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
@@ -15,28 +21,55 @@ MAX_RESULT = 500
 _BLOCKS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string>>"
 
 
-def _from_path(path: Column) -> dict[str, Column]:
-    name = F.url_decode(F.regexp_extract(path, r"([^/]+)\.jsonl$", 1))
+def _from_path(path: Column, suffix: str = ".jsonl") -> dict[str, Column]:
+    name = F.url_decode(F.regexp_extract(path, rf"([^/]+){re.escape(suffix)}$", 1))
     folder = F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
     return {"session_id": name, "project_path_encoded": folder, "project_path": X.decode_project(folder)}
 
 
-def lines(spark: SparkSession, root: str, min_bytes: int = MIN_BYTES) -> DataFrame:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each line's place in its split, from 1. A split's lines stand together and in order; holds one batch."""
+    last, before = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, start = batch.column("file_path"), batch.column("start").to_numpy()
+        new = np.ones(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            other = pc.not_equal(path.slice(1), path.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = other | (start[1:] != start[:-1])
+        new[0] = last != (path[0].as_py(), int(start[0]))
+        at = np.arange(batch.num_rows)
+        head = np.maximum.accumulate(np.where(new, at, 0))
+        place = at - head + 1 + np.where(new[head], 0, before)
+        last, before = (path[-1].as_py(), int(start[-1])), int(place[-1])
+        yield batch.append_column("place", pa.array(place, pa.int64()))
+
+
+def lines(spark: SparkSession, root: str, min_bytes: int = MIN_BYTES, suffix: str = ".jsonl") -> DataFrame:
     """One row per physical line: session_id, project columns, file columns, line_no from 1, line.
 
-    Files are split by their line ends only after they are read, so that numbers are physical ones; small files
-    are left out by their metadata before that.
+    A file of any size is read in splits by as many tasks. A line's number is its place in its split plus the lines of the
+    file's splits before it; these are counted for files of several splits only, of which a row each is joined (about one for
+    each ``spark.sql.files.maxPartitionBytes``). Small files are left out by their metadata.
     """
     folders = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*")
     found = folders.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folders)
     if found is None or not any(f.isDirectory() for f in found):  # no folder, or an empty one: no rows
         return spark.createDataFrame([], "session_id string, project_path_encoded string, project_path string, file_path string, file_size long, modified_at timestamp, line string, line_no int")
-    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*/", wholetext=True)
-    meta = raw.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified_at"))
-    files = meta.where(F.col("file_size") >= min_bytes)
-    text = F.regexp_replace(F.regexp_replace("value", r"\r\n|\r", "\n"), r"\n\z", "")
-    split = files.select(*[c.alias(n) for n, c in _from_path(F.col("file_path")).items()], "file_path", "file_size", "modified_at", F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
-    return split.withColumn("line_no", F.col("p") + 1).drop("p")
+    raw = spark.read.option("pathGlobFilter", f"*{suffix}").text(f"{root.rstrip('/')}/*/")
+    of = lambda name: F.col(f"_metadata.{name}")
+    large = raw.where((of("file_size") >= min_bytes) & (of("file_block_length") < of("file_size")))
+    counts = large.groupBy(of("file_path").alias("__path"), of("file_block_start").alias("__start")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__path", "__start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"))
+    rows = raw.where(of("file_size") >= min_bytes).select(
+        F.col("value").alias("line"), of("file_path").alias("file_path"), of("file_size").alias("file_size"), of("file_modification_time").alias("modified_at"), of("file_block_start").alias("start")
+    )
+    placed = rows.mapInArrow(_numbered, "line string, file_path string, file_size long, modified_at timestamp, start long, place long")
+    placed = placed.join(offsets, (F.col("file_path") == F.col("__path")) & (F.col("start") == F.col("__start")), "left")
+    number = (F.col("place") + F.coalesce("__offset", F.lit(0))).cast("int")
+    return placed.select(*[c.alias(n) for n, c in _from_path(F.col("file_path"), suffix).items()], "file_path", "file_size", "modified_at", "line", number.alias("line_no"))
 
 
 def parsed(all_lines: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def test_tool_usage(parsed):
     assert s.bash_failure_rate == 0.5
     assert [(x.file_path, x.read_count) for x in s.repeated_file_access] == [("/f", 5)]
     text = U.render(U.summary(T.messages(parsed))).where("session_id = 's1'").first().rendered
-    assert "- Bash: 2 calls (1 failures)" in text and "50%" in text
+    assert text == "Total tool calls: 7\n  Read: 5\n  Bash: 2 (1 failures)\nBash failure rate: 50%\n\nFrequently accessed files:\n  /f: 5 reads, 0 writes"
 
 
 def test_result_in_next_message_does_not_count(spark):
@@ -149,3 +151,42 @@ def test_listing_source(spark, tmp_path):
     q.awaitTermination(8)
     q.stop()
     assert spark.table("listed").where(F.col("session_id") == "a").count() >= 1
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Files read in many splits have the same line numbers, look-ahead and warnings as in one."""
+    rnd = random.Random(4)
+    want = {}
+    for f in range(3):
+        folder = tmp_path / "root" / f"-p-{f}"
+        folder.mkdir(parents=True)
+        own = ["" if rnd.random() < 0.1 else "x" * rnd.choice([1, 30, 400, 9000]) for _ in range(rnd.randint(50, 400))]
+        own[3] = json.dumps({"type": "user", "timestamp": "2024-01-01T10:00:00Z", "message": {"role": "user", "content": "é" * 3000}})
+        (folder / "s.jsonl").write_bytes(rnd.choice(["\n", "\r\n"]).join(own).encode() + b"\n" * (f > 0))
+        want[f"-p-{f}"] = list(enumerate(own, 1))
+    sizes = {}
+    for size in ("4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+        try:
+            found = T.lines(spark, str(tmp_path / "root"))
+            rows = found.withColumn("p", F.spark_partition_id()).collect()
+            sizes[size] = len({r.p for r in rows})
+            got = {}
+            for r in rows:
+                got.setdefault(r.project_path_encoded, []).append((r.line_no, r.line))
+            assert {k: sorted(v) for k, v in got.items()} == want
+            parsed = T.parsed(found)
+            assert T.warnings(parsed).count() == sum(line != "" and n != 4 for own in want.values() for n, line in own)
+            assert {r.created_at.isoformat() for r in T.first_timestamps(parsed.withColumn("session_id", F.col("project_path_encoded"))).collect()} == {"2024-01-01T10:00:00"}
+        finally:
+            for name in ("maxPartitionBytes", "openCostInBytes"):
+                spark.conf.unset(f"spark.sql.files.{name}")
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_places_over_batches(size):
+    rows = [("a", 0)] * 7 + [("a", 50)] * 5 + [("b", 0)] * 4 + [("a", 0)] + [("c", 9)] * 6
+    cut = [pa.RecordBatch.from_pylist([{"file_path": p, "start": s} for p, s in rows[i : i + size]]) for i in range(0, len(rows), size)]
+    got = [x for b in T._numbered(iter(cut)) for x in b.column("place").to_pylist()]
+    assert got == [*range(1, 8), *range(1, 6), *range(1, 5), 1, *range(1, 7)]
