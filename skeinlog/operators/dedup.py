@@ -1,26 +1,28 @@
-"""Greedy similarity de-duplication and ranking of suggestions, and links between similar titles.
+"""Greedy similarity de-duplication and ranking of suggestions.
 
 Items are folded in input order: an item similar to a kept one (the first such) replaces it in place if it is better, and is
-dropped if it isn't. What an item meets depends on all items before it, so a group (``group`` columns, such as a project) is
-one stream in order; the task holds the group's kept items, not the group. The kept items that an item can be similar to are
-found exactly, by the words and ids that they share.
+dropped if it isn't. An item only ever meets similar ones, so each component of the similarity graph is folded alone (see
+``similarity.components_of``), as a stream in order that holds its kept items only; components are dealt over all tasks. Places are then
+numbered by the items that opened them. The kept items that an item can be similar to are found exactly, by the words and ids that they share.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.functions import text as X
+from skeinlog.operators.ranking import numbered
+from skeinlog.operators.similarity import ANY_TARGET, SAME_CONTENT, SAME_TARGET, components_of, similar_sets
+from skeinlog.sources.scratch import written
 
 PRIORITIES = ["high", "medium", "low"]
-SAME_TARGET, ANY_TARGET, SAME_CONTENT = 0.6, 0.8, 0.6
 
 
 def with_words(rows: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def with_words(rows: DataFrame) -> DataFrame:
 
 
 class Kept:
-    """The kept items of one group, with the words and ids by which similar ones are found."""
+    """The kept items of one component, with the words and ids by which similar ones are found."""
 
     def __init__(self) -> None:
         self.items: list[dict] = []
@@ -72,12 +74,12 @@ class Kept:
         place = self.first_similar(x)
         if place is None:
             self._put(len(self.items), x)
-            self.items.append(x)
+            self.items.append(x | {"opened": x["at"]})
         elif better(x, self.items[place]):
             for key in self._keys(self.items[place]):
                 self.at[key].discard(place)
             self._put(place, x)
-            self.items[place] = x
+            self.items[place] = x | {"opened": self.items[place]["opened"]}
 
 
 def better(new: dict, old: dict) -> bool:
@@ -89,24 +91,23 @@ def better(new: dict, old: dict) -> bool:
 _COMPARED = ("tw", "cw", "source_insight_ids", "target_file", "target_section", "po", "confidence")
 
 
-def _fold(group: list[str], out: pa.Schema):
-    """Over rows sorted by group and order: the kept rows of each group with their places."""
+def _fold(order: str, out: pa.Schema):
+    """Over rows sorted by component and order: the kept rows of each, with what came first at their places."""
 
     def rows_of(kept: Kept) -> pa.RecordBatch:
-        rows = [x["row"].to_pylist()[0] | {"place": i} for i, x in enumerate(kept.items)]
+        rows = [x["row"].to_pylist()[0] | {"opened": x["opened"][0], "opened_id": x["opened"][1]} for x in kept.items]
         return pa.RecordBatch.from_pylist(rows, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, Kept()
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in (*group, *_COMPARED)}
+            columns = {c: batch.column(c).to_pylist() for c in ("component", order, "id", *_COMPARED)}
             for i in range(batch.num_rows):
-                key = tuple(columns[c][i] for c in group)
-                if key != now:
+                if columns["component"][i] != now:
                     if kept.items:
                         yield rows_of(kept)
-                    now, kept = key, Kept()
-                kept.add({c: columns[c][i] for c in _COMPARED} | {"row": batch.slice(i, 1)})
+                    now, kept = columns["component"][i], Kept()
+                kept.add({c: columns[c][i] for c in _COMPARED} | {"row": batch.slice(i, 1), "at": (columns[order][i], columns["id"][i])})
             for x in kept.items:  # a kept row alone, not its whole batch
                 x["row"] = pa.RecordBatch.from_pylist(x["row"].to_pylist(), schema=batch.schema)
         if kept.items:
@@ -115,48 +116,32 @@ def _fold(group: list[str], out: pa.Schema):
     return run
 
 
-def dedup(rows: DataFrame, group: list[str], order: str = "ord") -> DataFrame:
-    """Kept rows with ``place`` (from 0) within the group; rows of equal ``order`` go by their id."""
-    worded = with_words(rows)
+def dedup(rows: DataFrame, group: Sequence[str] = (), order: str = "ord") -> DataFrame:
+    """Kept rows with ``place`` (from 0) within the group, or the whole table; rows of equal ``order`` go by their id."""
+    group = list(group)
+    worded = components_of(written(with_words(rows), "worded"), "id", group)
     names = [order, *[c for c in rows.columns if c not in (*group, order)]]
-    schema = T.StructType([*(rows.schema[c] for c in group), T.StructField("place", T.IntegerType()), *(rows.schema[c] for c in names)])
-    ordered = worded.repartition(*map(F.col, group)).sortWithinPartitions(*group, order, "id")
-    return ordered.mapInArrow(_fold(group, to_arrow_schema(schema)), schema)
-
-
-def similar_sets(rows: DataFrame, key: str, words: Column, least: float = ANY_TARGET) -> DataFrame:
-    """One row per row: its key, ``class_id`` (the smallest key with the same word set) and ``links``, the number of other
-    classes whose sets have a similarity over ``least``.
-
-    Classes are joined by their rarest words: two sets can only be similar enough if the first words of both, rarest
-    first, have one in common. Each pair of classes is compared once.
-    """
-    own = rows.select(F.col(key), F.array_sort(words).alias("w"))
-    classes = own.groupBy("w").agg(F.min(key).alias("class_id")).withColumn("n", F.size("w"))
-    spread = classes.select("class_id", "n", F.explode("w").alias("word"))
-    rarity = spread.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
-    place = F.row_number().over(Window.partitionBy("class_id").orderBy("held", "word"))
-    prefix = spread.join(rarity, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = prefix.select("word", F.col("class_id").alias("a"), F.col("n").alias("na")), prefix.select("word", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * least)).select("a", "b").distinct()
-    sets = lambda side: classes.select(F.col("class_id").alias(side), F.col("w").alias(f"w{side}"))
-    linked = pairs.join(sets("a"), "a").join(sets("b"), "b").where(X.jaccard(F.col("wa"), F.col("wb")) > least)
-    ends = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    named = classes.join(ends, "class_id", "left").select("w", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return own.join(named, "w").select(key, "class_id", "links")
-
-
-def rank(rows: DataFrame, group: list[str], order: str = "place") -> DataFrame:
-    """Adds ``rank``: by priority, then confidence, then the order given."""
-    w = Window.partitionBy(*group).orderBy(X.ordinal(F.col("priority"), PRIORITIES).asc_nulls_last(), F.col("confidence").desc(), order)
-    return rows.withColumn("rank", F.row_number().over(w))
-
-
-def dedup_and_rank(rows: DataFrame, group: list[str], order: str = "ord") -> DataFrame:
+    opened = [T.StructField("opened", rows.schema[order].dataType), T.StructField("opened_id", rows.schema["id"].dataType)]
+    schema = T.StructType([*(rows.schema[c] for c in (*group, *names)), *opened])
+    ordered = worded.repartition("component").sortWithinPartitions("component", order, "id")
+    kept = ordered.mapInArrow(_fold(order, to_arrow_schema(schema)), schema)
+    by = [F.col("opened").asc(), F.col("opened_id").asc()]
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*by))) if group else numbered(kept, by, "place")
+    return placed.select(*group, (F.col("place") - 1).cast("int").alias("place"), *names)
+
+
+def rank(rows: DataFrame, group: Sequence[str] = (), order: str = "place") -> DataFrame:
+    """Adds ``rank`` within the group, or the whole table: by priority, then confidence, then the order given."""
+    by = [X.ordinal(F.col("priority"), PRIORITIES).asc_nulls_last(), F.col("confidence").desc(), F.col(order).asc()]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))) if group else numbered(rows, by)
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
+
+
+def dedup_and_rank(rows: DataFrame, group: Sequence[str] = (), order: str = "ord") -> DataFrame:
     return rank(dedup(rows, group, order), group)
 
 
-def incremental(kept: DataFrame, new: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+def incremental(kept: DataFrame, new: DataFrame, group: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Kept items in their rank order, followed by the new ones, folded and ranked again; and the new survivors."""
     shape = [c for c in new.columns if c != "ord"]
     before = kept.select(*shape, F.col("rank").cast("long").alias("ord"))
@@ -170,3 +155,6 @@ def incremental(kept: DataFrame, new: DataFrame, group: list[str]) -> tuple[Data
 def new_only(rows: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     """The rows whose key is not known yet."""
     return rows.join(known.select(key), key, "left_anti")
+
+
+__all__ = ["better", "dedup", "dedup_and_rank", "incremental", "new_only", "rank", "similar_sets", "with_words"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
+from skeinlog.operators.ranking import numbered
 
 #: The enumerations of an insight.
 CATEGORIES = [
@@ -101,10 +104,11 @@ def payload(insights: DataFrame, patterns: DataFrame, pattern_sessions: DataFram
     return actionable(single.unionByName(cross))
 
 
-def batches(rows: DataFrame, group: list[str], order: str = "id", size: int = BATCH) -> DataFrame:
-    """Adds ``batch``, from 1: the most confident first, ``size`` at a time, within each group."""
-    w = Window.partitionBy(*group).orderBy(F.col("confidence").desc(), order)
-    return rows.withColumn("batch", F.ceil(F.row_number().over(w) / size).cast("int"))
+def batches(rows: DataFrame, group: Sequence[str] = (), order: str = "id", size: int = BATCH) -> DataFrame:
+    """Adds ``batch``, from 1: the most confident first, ``size`` at a time, within each group or the whole table."""
+    by = [F.col("confidence").desc(), F.col(order).asc()]
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))) if group else numbered(rows, by, "__rank")
+    return ranked.withColumn("batch", F.ceil(F.col("__rank") / size).cast("int")).drop("__rank")
 
 
 def by_category(rows: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ class Analysis:
             return Result(self.sessions, known, patterns, held, held.limit(0), suggestions.stats(held, self.rules.count()))
         before = self.store.latest("suggestions")
         existing = "\n".join(f"- {r['title']}" for r in suggestions.pending(before).select("title").collect()) if before is not None else ""
-        grouped = insights.batches(payload.withColumn("scope", F.lit("all")), ["scope"])
+        grouped = insights.batches(payload)
         told = F.struct("id", "source", "category", "title", "description", "suggested_rule", "confidence", "session_count")
         asked = grouped.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(told))).alias("i"))
         values = {"rules": F.lit(self.rules_text()), "existing": F.lit(existing or "(nothing)"), "insights": F.col("i")}
@@ -104,7 +104,7 @@ class Analysis:
         built = suggestions.with_provenance(said.where("not skipped"), links)
         built = edits.with_diffs(edits.match_files(built, self.files), self.rules).where("diff is not null")
         built = built.withColumn("added_text", edits.added_text(F.col("diff"))).withColumn("ord", F.col("batch") * 1_000_000 + F.col("ord"))
-        ranked = dedup.dedup_and_rank(built.withColumn("scope", F.lit("all")).drop("file_content"), ["scope"])
+        ranked = dedup.dedup_and_rank(built.drop("file_content"))
         self.store.append_batch("suggestions", ranked.withColumn("cache_key", F.lit(key)), batch)
         kept = self.store.latest("suggestions")
         return Result(self.sessions, known, patterns, kept, said.where("skipped"), suggestions.stats(kept, self.rules.count()))

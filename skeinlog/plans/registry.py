@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
-from skeinlog.operators import dedup, edits, insights, messages, rules, sessions, suggestions
+from skeinlog.operators import dedup, edits, insights, messages, rules, sessions, similarity, suggestions
 from skeinlog.operators import tool_usage as usage
 from skeinlog.sources import scratch, transcripts
+from skeinlog.sources.scratch import written
 from skeinlog.sources.store import cache_is_valid, fresh
 from skeinlog.streaming import watch
 
@@ -491,6 +492,50 @@ def jaccard_pairs(spark, d):
     return dedup.similar_sets(table(spark, d, "part"), "p_partkey", X.title_words(F.concat_ws(" ", "p_name", "p_type", "p_brand")), 0.6)
 
 
+def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as suggestions: three target files, contents, and insight ids that some share."""
+    k = F.col("p_partkey")
+    part = lambda a, m: F.concat(F.lit(f" {a}"), (k % m).cast("string"), F.lit(a))
+    return table(spark, sf_dir, "part").select(
+        k.alias("ord"), k.cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"),
+        F.element_at(F.array(*map(F.lit, dedup.PRIORITIES)), (F.col("p_size") % 3 + 1).cast("int")).alias("priority"),
+        (F.col("p_retailprice") % 1.0).alias("confidence"), (k % 3).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_section"),
+        F.when(k % 40 == 0, F.array(F.concat(F.lit("i"), (k % 400).cast("string")))).otherwise(F.array().cast("array<string>")).alias("source_insight_ids"),
+        F.concat(F.concat_ws(" ", "p_brand", "p_type"), part("x", 50), part("y", 70)).alias("added_text"),
+    )
+
+
+@query(f"""WITH RECURSIVE items AS (SELECT p_partkey AS k, list_sort({_WORDS.format("p_name || ' ' || p_type")}) AS tw, list_sort({_WORDS.format("p_brand || ' ' || p_type || ' x' || (p_partkey % 50) || 'x y' || (p_partkey % 70) || 'y'")}) AS cw,
+ p_partkey % 3 AS tf, CASE WHEN p_partkey % 40 = 0 THEN p_partkey % 400 END AS ins FROM part),
+t AS (SELECT DISTINCT tw AS w FROM items WHERE len(tw) > 0), c AS (SELECT DISTINCT cw AS w FROM items WHERE len(cw) > 0),
+tt AS (SELECT a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON a.w <> b.w),
+near AS (SELECT a, b FROM tt WHERE i / (n - i) > 0.8
+ UNION SELECT a, b FROM tt JOIN (SELECT DISTINCT tw, tf FROM items) x ON x.tw = a JOIN (SELECT DISTINCT tw, tf FROM items) y ON y.tw = b AND x.tf = y.tf WHERE i / (n - i) > 0.6),
+cc AS (SELECT a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM c a JOIN c b ON a.w <> b.w),
+same AS (SELECT a, b FROM cc WHERE i / (n - i) > 0.6),
+nodes AS (SELECT k, tw, cw, ins FROM items),
+e AS (SELECT x.k AS a, min(y.k) AS b FROM nodes x JOIN nodes y ON x.tw = y.tw GROUP BY x.k UNION SELECT x.k, min(y.k) FROM nodes x JOIN nodes y ON x.cw = y.cw GROUP BY x.k
+ UNION SELECT x.k, min(y.k) FROM nodes x JOIN nodes y ON x.ins = y.ins GROUP BY x.k
+ UNION SELECT x.k, y.k FROM near JOIN (SELECT tw, min(k) AS k FROM nodes GROUP BY tw) x ON x.tw = near.a JOIN (SELECT tw, min(k) AS k FROM nodes GROUP BY tw) y ON y.tw = near.b
+ UNION SELECT x.k, y.k FROM same JOIN (SELECT cw, min(k) AS k FROM nodes GROUP BY cw) x ON x.cw = same.a JOIN (SELECT cw, min(k) AS k FROM nodes GROUP BY cw) y ON y.cw = same.b),
+r AS (SELECT k, k AS z FROM nodes UNION SELECT r.k, o.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) o ON r.z = o.a)
+SELECT CAST(i.k AS VARCHAR) AS id, coalesce(n1, 0) AS title_links, coalesce(n2, 0) AS content_links, CAST(min(z) AS VARCHAR) AS component
+FROM items i JOIN r ON r.k = i.k LEFT JOIN (SELECT a, count(*) AS n1 FROM near GROUP BY a) x ON x.a = i.tw LEFT JOIN (SELECT a, count(*) AS n2 FROM same GROUP BY a) y ON y.a = i.cw GROUP BY ALL""")
+def alike_items(spark, d):
+    """The join on any of four kinds of likeness: for each item the other title and content classes that its own are like, and the
+    smallest item of its component."""
+    items = written(dedup.with_words(part_items(spark, d)), "items")
+    titles, contents, edges = similarity.alike(items, "id")
+    count = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    node = F.md5(F.concat(F.lit("k|"), F.col("id")).cast("binary"))
+    labels = similarity.components(edges)
+    own = items.select("id", "ord", node.alias("node"), similarity.set_name("t", "tw").alias("t"), similarity.set_name("c", "cw").alias("c"))
+    own = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = own.groupBy("component").agg(F.min("ord").alias("least"))
+    out = own.join(least, "component").join(count(titles).toDF("t", "title_links"), "t", "left").join(count(contents).toDF("c", "content_links"), "c", "left")
+    return out.select("id", F.coalesce("title_links", F.lit(0)).alias("title_links"), F.coalesce("content_links", F.lit(0)).alias("content_links"), F.col("least").cast("string").alias("component"))
+
+
 _FOLD = f"""WITH RECURSIVE items AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS id, {_WORDS.format("p_name || ' ' || p_type")} AS tw, {_WORDS.format("p_brand || ' ' || p_type || ' x' || (p_partkey % 50) || 'x y' || (p_partkey % 70) || 'y'")} AS cw,
  p_size % 3 AS po, p_retailprice % 1.0 AS conf, p_partkey % 3 AS tf, CASE WHEN p_partkey % 40 = 0 THEN 'i' || (p_partkey % 400) END AS ins FROM part),
 n AS (SELECT *, row_number() OVER (ORDER BY ord, id) AS i FROM items),
@@ -509,17 +554,8 @@ FROM (SELECT unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS place FROM fo
 
 @query(_FOLD)
 def greedy_dedup(spark, d):
-    """The order-dependent fold over all parts as suggestions: three target files, contents, and insight ids that some share."""
-    k = F.col("p_partkey")
-    part = lambda a, m: F.concat(F.lit(f" {a}"), (k % m).cast("string"), F.lit(a))
-    made = table(spark, d, "part").select(
-        F.lit("all").alias("scope"), k.alias("ord"), k.cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"),
-        F.element_at(F.array(*map(F.lit, dedup.PRIORITIES)), (F.col("p_size") % 3 + 1).cast("int")).alias("priority"),
-        (F.col("p_retailprice") % 1.0).alias("confidence"), (k % 3).cast("string").alias("target_file"), F.lit(None).cast("string").alias("target_section"),
-        F.when(k % 40 == 0, F.array(F.concat(F.lit("i"), (k % 400).cast("string")))).otherwise(F.array().cast("array<string>")).alias("source_insight_ids"),
-        F.concat(F.concat_ws(" ", "p_brand", "p_type"), part("x", 50), part("y", 70)).alias("added_text"),
-    )
-    return dedup.dedup_and_rank(made, ["scope"]).select("place", "id", "priority", "confidence", "rank")
+    """The order-dependent fold over all parts as suggestions, a component at a time."""
+    return dedup.dedup_and_rank(part_items(spark, d)).select("place", "id", "priority", "confidence", "rank")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -787,24 +823,20 @@ def cached_sessions(spark, d):
     return fresh(rows, cached).select("session_id", "fresh")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size > 25 UNION ALL SELECT 'other'""")
+@query("""WITH i AS (SELECT p_partkey AS k, p_partkey % (SELECT greatest(1, count(*) // 4) FROM part) AS topic, (p_partkey * 7919 % 1000) / 1000 AS conf, p_size <= 25 AS known FROM part),
+kept AS (SELECT topic, max_by(k, (conf, -k)) AS k, max(conf) AS conf FROM i WHERE known GROUP BY topic),
+best AS (SELECT topic, max_by(k, (conf, -k)) AS k, max(conf) AS conf FROM i GROUP BY topic)
+SELECT CAST(b.k AS VARCHAR) AS id FROM best b LEFT JOIN kept USING (topic) WHERE kept.k IS NULL OR b.conf > kept.conf""")
 def incremental_dedup(spark, d):
-    """All items against those kept before, the parts of the smaller sizes: the larger ones and one of another title are new, the
-    others repeat."""
-    k = F.col("p_partkey")
-
-    def shaped(df, key, title):
-        return df.select(
-            F.lit("all").alias("scope"), key.alias("ord"), key.cast("string").alias("id"), title.alias("title"), F.lit("high").alias("priority"), F.lit(0.5).alias("confidence"), F.lit("a").alias("target_file"),
-            F.lit(None).cast("string").alias("target_section"), F.array().cast("array<string>").alias("source_insight_ids"), F.lit("").alias("added_text"),
-        )
-
-    def name(c):
-        return F.concat(F.lit("key"), c.cast("string"), F.lit(" only"), c.cast("string"))
-
+    """All parts, about four to a topic, against those kept from the smaller sizes: what survives is of a new topic, or surer than
+    the item kept of its topic. Every third title has a word more, so titles of a topic are alike and not equal."""
     parts = table(spark, d, "part")
-    kept = dedup.dedup_and_rank(shaped(parts.where("p_size <= 25"), k, name(k)), ["scope"])
-    other = shaped(spark.range(1).select(F.lit(0).cast("long").alias("p_partkey")), k, F.lit("entirely different")).withColumn("id", F.lit("other"))
-    more = shaped(parts, k, name(k)).unionByName(other)
-    return dedup.incremental(kept, more, ["scope"])[1].select("id")
-
+    topics = parts.agg(F.greatest(F.lit(1), F.expr("count(*) div 4")).alias("topics"))  # one row
+    k, topic = F.col("p_partkey"), (F.col("p_partkey") % F.col("topics")).cast("string")
+    title = F.concat(F.lit("topic"), topic, F.lit(" subject"), topic, F.when(k % 3 == 0, " extra").otherwise(""))
+    items = parts.join(F.broadcast(topics)).select(
+        k.alias("ord"), k.cast("string").alias("id"), title.alias("title"), F.lit("high").alias("priority"), (k * 7919 % 1000 / 1000).alias("confidence"), F.lit("a").alias("target_file"),
+        F.lit(None).cast("string").alias("target_section"), F.array().cast("array<string>").alias("source_insight_ids"), F.lit("").alias("added_text"), "p_size",
+    )
+    kept = dedup.dedup_and_rank(items.where("p_size <= 25").drop("p_size"))
+    return dedup.incremental(kept, items.drop("p_size"))[1].select("id")

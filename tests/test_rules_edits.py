@@ -10,7 +10,9 @@ from skeinlog.operators import dedup as D
 from skeinlog.operators import edits as E
 from skeinlog.operators import insights as I
 from skeinlog.operators import model_calls as L
+from skeinlog.operators import ranking
 from skeinlog.operators import rules as R
+from skeinlog.operators import similarity as S
 from skeinlog.operators import suggestions as G
 from skeinlog.sources import rule_files
 from skeinlog.sources.store import Store, cache_is_valid
@@ -273,3 +275,32 @@ def test_text_functions(spark):
     one = spark.createDataFrame([("\U0001f600",)], "t string").select(X.utf16_length(F.col("t"))).first()[0]
     assert one == 2
     assert list(itertools.chain(*spark.range(1).select(X.template(F.lit("{{a}}{{b}}"), {"a": F.lit("{{b}}"), "b": F.lit("$&")})).collect()))[0] == "$&$&"
+
+
+def test_dedup_in_components(spark):
+    """The fold is dealt over tasks by component, and comes out as over one stream."""
+    rnd = random.Random(11)
+    words = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        t = rnd.randint(0, 60)
+        title = " ".join(words[t % 30 : t % 30 + 4]) + (f" tail{t}" if t > 30 else "")
+        rows.append((i, str(i), title, rnd.choice(["high", "medium", "low"]), rnd.random(), rnd.choice(["a", "b"]), rnd.choice([None, "s"]), [f"i{rnd.randint(0, 300)}"] if rnd.random() < 0.1 else [], " ".join(rnd.choices(words, k=rnd.randint(0, 3)))))
+    df = spark.createDataFrame(rows, "ord long, id string, title string, priority string, confidence double, target_file string, target_section string, source_insight_ids array<string>, added_text string")
+    worded = D.with_words(df)
+    found = S.components_of(worded, "id")
+    assert 5 < found.select("component").distinct().count() < 400
+    kept = D.Kept()
+    for x in worded.orderBy("ord").collect():
+        kept.add(x.asDict() | {"row": x.id, "at": (x.ord, x.id)})
+    got = D.dedup(df).orderBy("place").collect()
+    assert [(r.place, r.id) for r in got] == [(i, x["row"]) for i, x in enumerate(kept.items)]
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("a"), (F.col("id") % 7).alias("b")).repartition(5)
+    got = ranking.numbered(df, [F.col("b").desc(), F.col("a").asc()]).collect()
+    assert [r.rank for r in sorted(got, key=lambda r: (-r.b, r.a))] == list(range(1, 1001))
+    assert ranking.numbered(df.where("false"), [F.col("a")]).count() == 0
+    plan = I.batches(spark.range(50).select("id", (F.col("id") / 50).alias("confidence")))._jdf.queryExecution().toString()
+    assert "Window" not in plan
