@@ -285,7 +285,7 @@ def test_dedup_in_components(spark):
     for i in range(400):
         t = rnd.randint(0, 60)
         title = " ".join(words[t % 30 : t % 30 + 4]) + (f" tail{t}" if t > 30 else "")
-        rows.append((i, str(i), title, rnd.choice(["high", "medium", "low"]), rnd.random(), rnd.choice(["a", "b"]), rnd.choice([None, "s"]), [f"i{rnd.randint(0, 300)}"] if rnd.random() < 0.1 else [], " ".join(rnd.choices(words, k=rnd.randint(0, 3)))))
+        rows.append((i, str(i), title, rnd.choice(["high", "medium", "low"]), rnd.random(), rnd.choice(["a", "b"]), rnd.choice([None, "s"]), [f"i{rnd.randint(0, 300)}"] if rnd.random() < 0.1 else [], " ".join(f"c{rnd.randint(0, 3000)}x" for _ in range(rnd.randint(0, 3)))))
     df = spark.createDataFrame(rows, "ord long, id string, title string, priority string, confidence double, target_file string, target_section string, source_insight_ids array<string>, added_text string")
     worded = D.with_words(df)
     found = S.components_of(worded, "id")
