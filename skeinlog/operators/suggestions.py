@@ -64,14 +64,35 @@ def stats(suggestions: DataFrame, total_rules: int = 0) -> DataFrame:
     )
 
 
-def cache_key(ids: DataFrame, files: DataFrame, prompt_version: str) -> str:
-    """A digest of the sorted ids, each file's path and text in order, and the prompt version."""
+LEAF = 64
+
+
+def set_digest(items: DataFrame, column: str = "item", leaf: int = LEAF) -> DataFrame:
+    """One row, ``digest``: of a set of texts, as the root of a tree of hashes.
+
+    Items are hashed, and gathered by the first digits of their hashes, as many as leave about ``leaf`` to a group; a group's digest is that of its
+    sorted hashes. Groups are then joined digit by digit, sixteen at most to one. So no group holds more than a few dozen
+    hashes, and the digest depends on the items alone, not on partitions. Repeated items count once; without any it is that of an empty text.
+    """
+    hashed = items.select(F.sha2(F.col(column).cast("binary"), 256).alias("h")).distinct()
+    n, digits = hashed.count(), 0
+    while n > leaf * 16**digits:
+        digits += 1
+    level = hashed.groupBy(F.substring("h", 1, digits).alias("p")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("t"))
+    level = level.select("p", F.sha2(F.col("t").cast("binary"), 256).alias("d"))
+    for k in range(digits - 1, -1, -1):
+        told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat(x["p"], F.lit(":"), x["d"])), ",")
+        level = level.groupBy(F.substring("p", 1, k).alias("q")).agg(told.alias("t")).select(F.col("q").alias("p"), F.sha2(F.col("t").cast("binary"), 256).alias("d"))
+    return level.agg(F.coalesce(F.max("d"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
+
+
+def cache_key(ids: DataFrame, files: DataFrame, prompt_version: str) -> DataFrame:
+    """One row, ``key``: a digest of the ids, of each file's place, path and text, and of the prompt version."""
     nul = F.chr(F.lit(0))
-    left = ids.agg(F.array_join(F.array_sort(F.collect_list("id")), "\n").alias("ids"))
-    one = F.struct("ord", F.concat("relative_path", nul, "content", nul).alias("t"))
-    right = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "").alias("files"))
+    one = F.concat(F.col("ord").cast("string"), nul, "relative_path", nul, F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
+    left, right = set_digest(ids.select(F.col("id").alias("item"))), set_digest(files.select(one.alias("item")))
     whole = F.concat("ids", nul, "files", nul, F.lit(f"prompt:{prompt_version}"))
-    return left.join(right).select(X.digest(whole, 16).alias("key")).first()["key"]
+    return left.toDF("ids").join(F.broadcast(right.toDF("files"))).select(X.digest(whole, 16).alias("key"))
 
 
 def pending(rows: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ class Analysis:
         seen = self.store.latest("pattern_occurrences").where("session_id <> ''").select("id", "session_id")
 
         payload = insights.payload(known, patterns, seen)
-        key = suggestions.cache_key(payload.select("id"), self.files, version)
+        key = suggestions.cache_key(payload.select("id"), self.files, version).first()["key"]
         held = self.store.by_cache_key("suggestions", key)
         if held is not None:  # the same findings and files gave these suggestions before
             return Result(self.sessions, known, patterns, held, held.limit(0), suggestions.stats(held, self.rules.count()))

@@ -579,11 +579,23 @@ def hash_id(spark, d):
     )
 
 
-@query("""SELECT source, substr(sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR)) || '|prompt:v1'), 1, 16) AS cache_key FROM documents GROUP BY source""")
+def _tree_sql(name: str, items: str) -> str:
+    """The root of a tree of hashes over the column ``item`` of a query, as tables of the WITH clause."""
+    return f"""{name}_h AS (SELECT DISTINCT sha256(item) AS h FROM ({items})),
+{name}_n AS (SELECT CAST(greatest(0, ceil(log(greatest(1, count(*)) / 64.0) / log(16) - 1e-9)) AS BIGINT) AS digits FROM {name}_h),
+{name}_l AS (SELECT digits AS k, substr(h, 1, digits) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM {name}_h, {name}_n GROUP BY ALL
+ UNION ALL SELECT k - 1, substr(p, 1, k - 1), sha256(string_agg(p || ':' || d, ',' ORDER BY p)) FROM {name}_l WHERE k > 0 GROUP BY ALL),
+{name} AS (SELECT coalesce(max(d), sha256('')) AS digest FROM {name}_l WHERE k = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_tree_sql("ids", "SELECT CAST(doc_id AS VARCHAR) AS item FROM documents")},
+{_tree_sql("files", "SELECT CAST(page_id AS VARCHAR) || chr(0) || coalesce(url, '') || chr(0) || sha256(coalesce(html, '')) AS item FROM pages")}
+SELECT substr(sha256(ids.digest || chr(0) || files.digest || chr(0) || 'prompt:v1'), 1, 16) AS key FROM ids, files""")
 def cache_key(spark, d):
-    """A digest over each source's sorted ids; the ids alone are gathered."""
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n")
-    return table(spark, d, "documents").groupBy("source").agg(X.digest(F.concat(ids, F.lit("|prompt:v1")), 16).alias("cache_key"))
+    """The key of all documents as findings and all pages as rule files."""
+    ids = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    files = table(spark, d, "pages").select(F.col("page_id").alias("ord"), F.coalesce("url", F.lit("")).alias("relative_path"), F.col("html").alias("content"))
+    return suggestions.cache_key(ids, files, "v1")
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(ceil(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) / 15) AS INTEGER) AS batch FROM orders""")

@@ -1,23 +1,23 @@
-"""Watching growing transcripts: a listing source, keyed change detection, debounce, and the batch step.
+"""Watching growing transcripts: a listing source, keyed change detection with a cooldown, and the batch step.
 
 Spark's file source emits a file once, so the source here emits one row per file and poll with its size and
-modification time. State per session decides what has become a candidate.
+modification time. State per session decides what has become a candidate, a timer when it rests, and tables of the store what is done.
 """
 
 from __future__ import annotations
 
 import os
-import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skeinlog.sources.store import Store
 
 GROWTH_BYTES = 5120
 POLL_S, COOLDOWN_S = 300, 60
@@ -96,30 +96,69 @@ def baseline(now_listing: DataFrame, audit: DataFrame) -> DataFrame:
     return now.join(done, "session_id", "left").withColumn("base_analyzed", F.coalesce("__done", F.lit(False))).drop("__done")
 
 
-def candidates(rows: DataFrame, growth: int = GROWTH_BYTES, known: DataFrame | None = None) -> DataFrame:
-    """(session_id, size, mtime, poll) of sessions that are new or have grown; works on a stream of listings. Sessions of the
-    baseline ``known`` start from what it says of them."""
-    if known is not None:
-        rows = rows.join(known, "session_id", "left")
-    else:
-        rows = rows.withColumns({"base_mtime": F.lit(None).cast("double"), "base_size": F.lit(None).cast("long"), "base_analyzed": F.lit(None).cast("boolean")})
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = Seen(*state.get) if state.exists else None
-        out = []
-        for r in pd.concat(list(frames)).sort_values("poll").itertuples():
-            if seen is None and not pd.isna(r.base_size):
-                seen = Seen(float(r.base_mtime), int(r.base_size), bool(r.base_analyzed))
-            seen, hit = step(seen, int(r.size_bytes), float(r.mtime), growth)
-            if hit:
-                out.append((key[0], int(r.size_bytes), float(r.mtime), int(r.poll)))
-        state.update((seen.mtime, seen.size, seen.analyzed))
+#: transformWithState keeps its state and timers in RocksDB.
+STATE_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+FOUND = "session_id string, size long, mtime double, poll long"
+
+
+class Growth(StatefulProcessor):
+    """What is known of one session, and its cooldown.
+
+    A session that is new or has grown becomes a candidate with a timer; each further change moves the timer on, and when it
+    expires the candidate is sent. All of it is state of the query, so a restart between growth and timer loses nothing
+    and sends nothing twice.
+    """
+
+    def __init__(self, growth: int, cooldown_ms: int) -> None:
+        self.growth, self.cooldown_ms = growth, cooldown_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "mtime double, size long, analyzed boolean")
+        self.found = handle.getValueState("found", "size long, mtime double, poll long, due long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        r = next(initialState.itertuples())
+        self.seen.update((float(r.base_mtime), int(r.base_size), bool(r.base_analyzed)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = Seen(*self.seen.get()) if self.seen.exists() else None
+        found = tuple(self.found.get()) if self.found.exists() else None
+        before, out = found, []
+        due = timerValues.getCurrentProcessingTimeInMs() + self.cooldown_ms
+        for r in pd.concat(list(rows)).sort_values("poll").itertuples():
+            size, mtime = int(r.size_bytes), float(r.mtime)
+            seen, hit = step(seen, size, mtime, self.growth)
+            if hit and not self.cooldown_ms:
+                out.append((key[0], size, mtime, int(r.poll)))
+            elif hit or (found is not None and mtime != found[1]):
+                found = (size, mtime, int(r.poll), due)
+        self.seen.update((seen.mtime, seen.size, seen.analyzed))
+        if found != before:
+            if before is not None:
+                self.handle.deleteTimer(before[3])
+            self.found.update(found)
+            self.handle.registerTimer(found[3])
         yield pd.DataFrame(out, columns=["session_id", "size", "mtime", "poll"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = self.found.get() if self.found.exists() else None
+        rests = found is not None and found[3] <= expiredTimerInfo.getExpiryTimeInMs()
+        if rests:
+            self.found.clear()
+        yield pd.DataFrame([(key[0], *found[:3])] if rests else [], columns=["session_id", "size", "mtime", "poll"])
+
+    def close(self) -> None:
+        pass
+
+
+def candidates(rows: DataFrame, growth: int = GROWTH_BYTES, known: DataFrame | None = None, cooldown_s: float = 0) -> DataFrame:
+    """(session_id, size, mtime, poll) of sessions that are new or have grown and then rested for the cooldown (none: at once), over a
+    stream of listings. The baseline ``known`` is the state that a new query begins with. The session needs ``STATE_PROVIDER``."""
     named = rows.withColumnRenamed("size", "size_bytes")  # a frame's own size would hide the column
-    return named.groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, size long, mtime double, poll long", "mtime double, size long, analyzed boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    initial = None if known is None else known.groupBy("session_id")
+    mode = "processingTime" if cooldown_s else "none"
+    return named.groupBy("session_id").transformWithStateInPandas(Growth(growth, round(cooldown_s * 1000)), FOUND, "append", mode, initial)
 
 
 def replay(polls: DataFrame, growth: int = GROWTH_BYTES) -> DataFrame:
@@ -150,62 +189,75 @@ def own_sessions(messages: DataFrame, products: tuple[str, ...], shell: str = "B
     return head.where(asked | ran).select("session_id").distinct()
 
 
-def settle(found: DataFrame, listing_now: Callable[[], DataFrame], cooldown_s: float = COOLDOWN_S, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
-    """Candidates whose file rests for one cooldown, or else for a second one; and those that are deferred."""
-    sleep(cooldown_s)
-    middle = listing_now()
-    rest = stable(found, middle)
-    moving = found.join(rest.select("session_id"), "session_id", "left_anti")
-    if moving.isEmpty():
-        return rest, moving
-    sleep(cooldown_s)
-    again = stable(moving.drop("mtime").join(middle.select("session_id", "mtime"), "session_id").select(*found.columns), listing_now())
-    return rest.unionByName(again), moving.join(again.select("session_id"), "session_id", "left_anti")
+DONE = "session_id string, size long, outcome string, batch_id string"
 
 
 @dataclass
 class Watch:
-    """What happens to a poll's candidates: those that the audit knows, and sessions of the product itself, are left out; the
-    others are processed once their files rest. A deferred candidate waits with the next poll's, until it has been dealt with."""
+    """What happens to the candidates of a micro-batch.
 
-    listing_now: Callable[[], DataFrame]
-    audit: Callable[[], DataFrame]
+    They are written to the store first, and a session at one size is done once its outcome is written too. So a batch that
+    Spark repeats does nothing twice, and what failed, or was found by a batch that failed, is taken up by the next one: the work
+    of a batch is all that has been found and isn't done. Sessions that the audit knows as analysed, and the product's own, are
+    left out.
+    """
+
+    store: Store
     own: Callable[[DataFrame], DataFrame]
-    process: Callable[[DataFrame, int], None]
-    cooldown_s: float = COOLDOWN_S
-    sleep: Callable[[float], None] = time.sleep
+    #: Gets the sessions to process and the batch's number; gives the sessions that it dealt with, or None for all of them.
+    process: Callable[[DataFrame, int], DataFrame | None]
     counts: Counter = field(default_factory=Counter)
     errors: list[tuple[int, str]] = field(default_factory=list)
-    waiting: list[tuple] = field(default_factory=list)
+
+    def open(self) -> DataFrame:
+        """The newest find of each session that isn't done at that size."""
+        found = self.store.read("watch_found", f"{FOUND}, batch_id string")
+        newest = found.groupBy("session_id").agg(F.max_by(F.struct("size", "mtime", "poll"), "poll").alias("r")).select("session_id", "r.*")
+        return newest.join(self.store.read("watch_done", DONE).select("session_id", "size"), ["session_id", "size"], "left_anti")
 
     def batch(self, found: DataFrame, batch_id: int) -> None:
+        """The step of foreachBatch. An error is noted and the watch goes on."""
+        work = None
         try:
-            if self.waiting:  # at most the sessions that were being written to in the last poll
-                found = found.unionByName(found.sparkSession.createDataFrame(self.waiting, found.schema)).groupBy("session_id").agg(*[F.max(c).alias(c) for c in found.columns[1:]])
-            todo = not_analyzed(found, self.audit())
-            todo = todo.join(self.own(todo).select("session_id"), "session_id", "left_anti").persist()
-            n_found, n_todo = found.count(), todo.count()
-            self.counts.update(polls=1, found=n_found, left_out=n_found - n_todo)
-            if not n_todo:
-                self.waiting = []
-                return
-            ready, deferred = settle(todo, self.listing_now, self.cooldown_s, self.sleep)
-            self.waiting = [tuple(r) for r in deferred.collect()]
-            n = n_todo - len(self.waiting)
-            self.counts.update(deferred=len(self.waiting), processed=n)
-            if n:
-                self.process(ready, batch_id)
-        except Exception as e:  # the watch goes on
-            self.counts.update(failed=1)
+            counted = Observation()
+            self.store.append_batch("watch_found", found.observe(counted, F.count(F.lit(1)).alias("n")), str(batch_id))
+            self.counts.update(polls=1, found=counted.get["n"])
+            work = self.open().persist()
+            todo = not_analyzed(work, self.store.audit())
+            todo = todo.join(self.own(todo).select("session_id"), "session_id", "left_anti")
+            left = work.join(todo.select("session_id"), "session_id", "left_anti")
+            n, n_todo = work.count(), todo.count()
+            self.counts.update(left_out=n - n_todo)
+            self._done(left, "left out", f"{batch_id}-left", n - n_todo)
+            if n_todo:
+                finished = self.process(todo, batch_id)
+                done = todo if finished is None else todo.join(finished.select("session_id").distinct(), "session_id", "left_semi")
+                n_done = self._done(done, "processed", str(batch_id), n_todo)
+                self.counts.update(processed=n_done, failed=n_todo - n_done)
+        except Exception as e:  # the watch goes on; what is open stays open
+            self.counts.update(errors=1)
             self.errors.append((batch_id, f"{type(e).__name__}: {e}"))
+        finally:
+            if work is not None:
+                work.unpersist()
+
+    def _done(self, rows: DataFrame, outcome: str, batch: str, most: int) -> int:
+        """Write an outcome; how many sessions have it, counted as they are written."""
+        if not most:
+            return 0
+        counted = Observation()
+        marked = rows.select("session_id", "size", F.lit(outcome).alias("outcome")).observe(counted, F.count(F.lit(1)).alias("n"))
+        self.store.append_batch("watch_done", marked, batch)
+        return counted.get["n"]
 
     def summary(self) -> dict[str, int]:
-        return {k: self.counts[k] for k in ("polls", "found", "left_out", "deferred", "processed", "failed")}
+        return {k: self.counts[k] for k in ("polls", "found", "left_out", "processed", "failed", "errors")}
 
 
-def watch(spark: SparkSession, root: str, work: Watch, checkpoint: str, poll_s: int = POLL_S, growth: int = GROWTH_BYTES):
+def watch(spark: SparkSession, root: str, work: Watch, checkpoint: str, poll_s: float = POLL_S, growth: int = GROWTH_BYTES, cooldown_s: float = COOLDOWN_S):
     """Start the query: sessions that are there already are the baseline, and each poll's candidates go through ``work``."""
-    found = candidates(listing(spark, root), growth, baseline(work.listing_now(), work.audit()))
+    spark.conf.set(*STATE_PROVIDER)
+    found = candidates(listing(spark, root), growth, baseline(list_now(spark, root), work.store.audit()), cooldown_s)
     return found.writeStream.foreachBatch(work.batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=f"{poll_s} seconds").start()
 
 
@@ -214,4 +266,4 @@ def list_now(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(ListingReader(root)._list(0), LISTING)
 
 
-__all__ = ["Seen", "SessionListing", "Watch", "baseline", "candidates", "list_now", "listing", "not_analyzed", "own_sessions", "replay", "settle", "stable", "step", "watch"]
+__all__ = ["Growth", "Seen", "SessionListing", "Watch", "baseline", "candidates", "list_now", "listing", "not_analyzed", "own_sessions", "replay", "stable", "step", "watch"]

@@ -2,11 +2,14 @@
 
 import json
 import os
+import time
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlog.operators import edits, sessions, tool_usage
+from skeinlog.operators import edits, sessions, suggestions, tool_usage
 from skeinlog.plans import analyze, prompts, registry
 from skeinlog.sources import store as S
 from skeinlog.sources import transcripts
@@ -68,44 +71,161 @@ def test_missing_transcripts(spark, tmp_path):
         assert p.count() == transcripts.sessions(p).count() == transcripts.messages(p).count() == 0
 
 
-def test_watch_settles(spark):
-    """Resting files are processed at once, those that rest after a second cooldown too, and others wait for the next poll."""
-    schema = "session_id string, size long, mtime double, poll long"
-    found = spark.createDataFrame([(s, 9, 1.0, 1) for s in ("rests", "slows", "moves", "done", "own")], schema)
-    clock = {"n": 0}
-    at = {"rests": [1, 1, 1, 1], "slows": [2, 2, 2, 2], "moves": [2, 3, 3, 3], "done": [1] * 4, "own": [1] * 4}
+def until(condition, seconds=60):
+    end = time.time() + seconds
+    while not condition():
+        assert time.time() < end, "nothing came"
+        time.sleep(0.2)
 
-    def listing():
-        rows = [(s, "p", 9, float(t[min(clock["n"], 4) - 1]), 1) for s, t in at.items()]
-        return spark.createDataFrame(rows, W.LISTING)
 
-    audit = spark.createDataFrame([("done", "then"), ("rests", None)], "session_id string, analyzed_at string")
-    got = []
-    work = W.Watch(listing, lambda: audit, lambda df: df.where("session_id = 'own'"), lambda df, i: got.append((i, sorted(r.session_id for r in df.collect()))), 60, lambda s: clock.update(n=clock["n"] + 1))
-    work.batch(found, 0)
-    assert got == [(0, ["rests", "slows"])] and [w[0] for w in work.waiting] == ["moves"]
-    at["moves"] = [1.0] * 4
-    work.batch(found.limit(0), 1)
-    assert got[1:] == [(1, ["moves"])] and work.summary() == {"polls": 2, "found": 6, "left_out": 2, "deferred": 1, "processed": 3, "failed": 0}
-    work.process = lambda df, i: 1 / 0
-    work.batch(found.where("session_id = 'rests'"), 2)
-    assert work.errors[0][1].startswith("ZeroDivisionError") and work.summary()["failed"] == 1
-
-
-def test_watch_baseline(spark, tmp_path):
-    """Sessions of the baseline are no news, unless they grow and haven't been analysed."""
+def poll(folder, n, **sessions):
+    """One poll of the listing, with the sessions' (size, mtime)."""
+    rows = [json.dumps({"session_id": s, "path": "p", "size": size, "mtime": mtime, "poll": n}) for s, (size, mtime) in sessions.items()]
+    (folder / f".{n}").write_text("\n".join(rows))
+    (folder / f".{n}").rename(folder / f"{n}.json")
+
+
+@pytest.fixture
+def state(spark):
+    spark.conf.set(*W.STATE_PROVIDER)
+    yield
+    spark.conf.unset(W.STATE_PROVIDER[0])
+
+
+class Held:
+    """State and timers of one key, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return types.SimpleNamespace(exists=lambda: name in self.value, get=lambda: self.value[name], update=lambda v: self.value.__setitem__(name, v), clear=lambda: self.value.pop(name, None))
+
+    def registerTimer(self, due):  # noqa: N802
+        self.timers.add(due)
+
+    def deleteTimer(self, due):  # noqa: N802
+        self.timers.discard(due)
+
+
+def test_watch_timers():
+    """A change moves the timer on; what expires is sent once, with the size that rests; growth after that is a new candidate."""
+    held = Held()
+    g = W.Growth(100, 60_000)
+    g.init(held)
+
+    def rows(now, *listed):
+        frame = pd.DataFrame([(s, m, n) for s, m, n in listed], columns=["size_bytes", "mtime", "poll"])
+        clock = types.SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+        return [tuple(r) for f in g.handleInputRows(("a",), iter([frame]), clock) for r in f.itertuples(index=False)]
+
+    def expire(now):
+        due = {t for t in held.timers if t <= now}
+        held.timers -= due
+        return [tuple(r) for t in sorted(due) for f in g.handleExpiredTimer(("a",), None, types.SimpleNamespace(getExpiryTimeInMs=lambda: t)) for r in f.itertuples(index=False)]
+
+    assert rows(0, (10, 1.0, 1)) == [] and held.timers == {60_000}
+    assert rows(50_000, (20, 2.0, 2)) == [] and held.timers == {110_000} and expire(70_000) == []
+    assert rows(90_000, (20, 2.0, 3)) == [] and held.timers == {110_000}
+    assert expire(120_000) == [("a", 20, 2.0, 2)] and expire(300_000) == [] and not held.timers
+    assert rows(310_000, (90, 3.0, 4)) == [] and not held.timers  # too little
+    assert rows(320_000, (500, 4.0, 5), (510, 5.0, 6)) == [] and held.timers == {380_000}
+    assert expire(380_000) == [("a", 510, 5.0, 6)]
+    known = pd.DataFrame([(1.0, 5000, True)], columns=["base_mtime", "base_size", "base_analyzed"])
+    other = W.Growth(100, 60_000)
+    other.init(fresh := Held())
+    other.handleInitialState(("b",), known, None)
+    assert fresh.value["seen"] == (1.0, 5000, True)
+
+
+def test_watch_restart(spark, tmp_path, state):
+    """A query that stops between growth and timer, and starts again, sends the candidate once, and no earlier."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    got, cooldown = [], 12
+
+    def start():
+        rows = spark.readStream.schema(W.LISTING).json(str(folder))
+        found = W.candidates(rows, cooldown_s=cooldown)
+        return found.writeStream.foreachBatch(lambda df, i: got.extend((time.time(), r.session_id, r["size"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+
+    began = time.time()
+    poll(folder, 1, a=(10, 1.0))
+    q = start()
+    until(lambda: q.lastProgress is not None and sum(p["numInputRows"] for p in q.recentProgress))
+    q.stop()
+    poll(folder, 2, a=(10, 1.0))  # nothing new, as most polls are
+    q = start()
+    until(lambda: got)
+    time.sleep(3)
+    q.stop()
+    assert [r[1:] for r in got] == [("a", 10)] and got[0][0] - began >= cooldown
+
+
+def test_watch_baseline(spark, tmp_path, state):
+    """Sessions of the baseline are no news, unless they grow and haven't been analysed; the state outlives a restart."""
     folder = tmp_path / "in"
     folder.mkdir()
-    now = spark.createDataFrame([("old", "p", 1000, 1.0, 0), ("done", "p", 1000, 1.0, 0)], W.LISTING)
+    now = spark.createDataFrame([("old", "p", 1000, 1.0, 0), ("done", "p", 1000, 1.0, 0), ("late", "p", 1000, 1.0, 0)], W.LISTING)
     base = W.baseline(now, spark.createDataFrame([("done", "then")], "session_id string, analyzed_at string"))
     got = []
-    rows = spark.readStream.schema(W.LISTING).json(str(folder))
-    q = W.candidates(rows, known=base).writeStream.foreachBatch(lambda df, i: got.extend((r.session_id, r["size"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
-    for poll, sizes in enumerate([{"old": 1000, "done": 1000, "new": 10}, {"old": 9000, "done": 9000, "new": 20}], 1):
-        (folder / f"{poll}.json").write_text("\n".join(json.dumps({"session_id": s, "path": "p", "size": n, "mtime": poll, "poll": poll}) for s, n in sizes.items()))
+
+    def run(known):
+        rows = spark.readStream.schema(W.LISTING).json(str(folder))
+        q = W.candidates(rows, known=known).writeStream.foreachBatch(lambda df, i: got.extend((r.session_id, r["size"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
         q.processAllAvailable()
-    q.stop()
-    assert got == [("new", 10), ("old", 9000)]
+        q.stop()
+
+    for n, sizes in enumerate([{"old": 1000, "done": 1000, "new": 10, "late": 1000}, {"old": 9000, "done": 9000, "new": 20, "late": 1001}, {"late": 9000, "done": 90000}], 1):
+        poll(folder, n, **{s: (size, float(n)) for s, size in sizes.items()})
+        run(base)
+    assert got == [("new", 10), ("old", 9000), ("late", 9000)]
+
+
+def test_watch_work(spark, tmp_path):
+    """A failed batch is taken up by the next; a repeated batch does nothing twice; what is left out doesn't come back."""
+    store = S.Store(spark, str(tmp_path / "store"))
+    store.mark(spark.createDataFrame([("done", "then"), ("a", None)], "session_id string, analyzed_at string"))
+    found = lambda *rows: spark.createDataFrame([(s, size, 1.0, n) for s, size, n in rows], W.FOUND)
+    got, fail = [], [True]
+
+    def process(df, i):
+        if fail[0]:
+            raise RuntimeError("no model")
+        got.append((i, sorted(r.session_id for r in df.collect())))
+        return df.where("session_id <> 'half'")
+
+    work = W.Watch(store, lambda df: df.where("session_id = 'own'"), process)
+    first = found(("a", 9, 1), ("b", 9, 1), ("own", 9, 1), ("done", 9, 1))
+    work.batch(first, 0)
+    assert work.errors[0][1].startswith("RuntimeError") and work.summary() == {"polls": 1, "found": 4, "left_out": 2, "processed": 0, "failed": 0, "errors": 1}
+    fail[0] = False
+    work.batch(first.limit(0), 1)
+    assert got == [(1, ["a", "b"])] and work.summary()["processed"] == 2
+    work.batch(first, 0)  # Spark repeats a batch
+    again = W.Watch(store, work.own, process)  # a new driver
+    again.batch(first.limit(0), 2)
+    assert len(got) == 1 and again.summary()["left_out"] == 0
+    again.batch(found(("b", 20, 3), ("half", 5, 3)), 3)
+    again.batch(first.limit(0), 4)
+    assert got[1:] == [(3, ["b", "half"]), (4, ["half"])] and again.summary() == {"polls": 3, "found": 2, "left_out": 0, "processed": 1, "failed": 2, "errors": 0}
+
+
+def test_watch_query(spark, tmp_path, state):
+    """The whole query over a real folder: the baseline is no candidate, a new file is, once it rests."""
+    (tmp_path / "t" / "p").mkdir(parents=True)
+    (tmp_path / "t" / "p" / "old.jsonl").write_text("x" * 200)
+    store, got = S.Store(spark, str(tmp_path / "store")), []
+    work = W.Watch(store, lambda df: df.limit(0), lambda df, i: got.extend(r.session_id for r in df.collect()))
+    q = W.watch(spark, str(tmp_path / "t"), work, str(tmp_path / "c"), poll_s=1, cooldown_s=2)
+    try:
+        until(lambda: work.counts["polls"] >= 1)
+        (tmp_path / "t" / "p" / "new.jsonl").write_text("y" * 300)
+        until(lambda: work.counts["processed"])
+    finally:
+        q.stop()
+    assert got == ["new"]
+    assert [tuple(r) for r in store.read("watch_done").select("session_id", "size", "outcome").collect()] == [("new", 300, "processed")]
 
 
 def test_store_caches(spark, tmp_path):
@@ -122,6 +242,69 @@ def test_store_caches(spark, tmp_path):
     assert got == {"a": True, "b": False, "c": False}
 
 
+def test_versions(spark, tmp_path):
+    """A reader sees the old version or the new one, whatever part of the new one has been written when its writer dies."""
+    s = S.Store(spark, str(tmp_path / "s"))
+    rows = lambda n: spark.createDataFrame([(n,)], "n int")
+    assert s.version("t") is None and s.part("t", "rows") is None
+    first = s.replace("t", rows=rows(1), files=rows(1))
+    held = s.part("t", "rows")
+    broken = rows(2).select(F.raise_error(F.lit("lost")).cast("int").alias("n"))
+    for parts in ({"rows": rows(2), "files": broken}, {"rows": broken, "files": rows(2)}):
+        with pytest.raises(Exception, match="lost"):
+            s.replace("t", **parts)
+        assert s.version("t") == first and (s.part("t", "rows").first().n, s.part("t", "files").first().n) == (1, 1)
+    s.replace("t", rows=rows(3), files=rows(3))
+    assert held.first().n == 1 and (s.part("t", "rows").first().n, s.part("t", "files").first().n) == (3, 3)
+    assert s.vacuum("t", keep=1) == 3 and s.part("t", "rows").first().n == 3
+    s.invalidate("t")
+    assert s.version("t") is None
+
+
+def test_audit_compaction(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path / "s"))
+    mark = lambda **v: s.mark(spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)))
+    mark(session_id="a", parsed_at="1")
+    mark(session_id="b", parsed_at="1")
+    mark(session_id="a", analyzed_at="2")
+    before = sorted(s.audit().collect())
+    s.compact_audit()
+    assert sorted(s.audit().collect()) == before and not [n for n in os.listdir(tmp_path / "s/audit/log") if n.startswith("seq=")]
+    mark(session_id="b", analyzed_at="3")
+    assert {r.session_id: (r.parsed_at, r.analyzed_at) for r in s.audit().collect()} == {"a": ("1", "2"), "b": ("1", "3")}
+    s.compact_audit()
+    assert s.audit().count() == 2 and s.cross_done() is None
+    s.mark_cross_done("4", "v")
+    assert tuple(s.cross_done().first()) == ("4", "v")
+
+
+def test_tolerant_load(spark, tmp_path):
+    """A cut file, a foreign one and an empty one among good ones cost their own rows only."""
+    s = S.Store(spark, str(tmp_path / "s"))
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "s/t"))
+    names = sorted(n for n in os.listdir(tmp_path / "s/t") if n.endswith(".parquet"))
+    lost = spark.read.parquet(str(tmp_path / "s/t" / names[0])).count()
+    data = (tmp_path / "s/t" / names[0]).read_bytes()
+    (tmp_path / "s/t" / names[0]).write_bytes(data[: len(data) // 2])
+    os.remove(tmp_path / "s/t" / f".{names[0]}.crc")
+    (tmp_path / "s/t/x.parquet").write_bytes(b"not a table at all")
+    spark.range(0).coalesce(1).write.mode("append").parquet(str(tmp_path / "s/t"))
+    rows, broken = s.read_tolerant("t", "id long")
+    assert rows.count() == 40 - lost
+    assert {os.path.basename(r.path): r.error for r in broken.collect()} == {names[0]: "no footer at the end", "x.parquet": "no magic number at the start"}
+    rows, broken = s.read_tolerant("none", "id long")
+    assert rows.count() == broken.count() == 0
+
+
+def test_set_digest(spark):
+    """The same for any order, partitioning and repetition; another item makes another one."""
+    items = spark.range(3000).select(F.col("id").cast("string").alias("item"))
+    root = lambda df: suggestions.set_digest(df).first().digest
+    one = root(items)
+    assert one == root(items.repartition(9)) == root(items.orderBy(F.rand(1)).unionByName(items.limit(5)))
+    assert len({one, root(items.limit(2999)), root(items.limit(0)), root(items.unionByName(items.limit(1).select(F.lit("x").alias("item"))))}) == 4
+
+
 def test_rule_writer(tmp_path):
     (tmp_path / "R.md").write_text("# R\n- old\n")
     (tmp_path / "S.md").write_text("# S\n")

@@ -135,6 +135,7 @@ def test_watch_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     got = []
+    spark.conf.set(*W.STATE_PROVIDER)
     rows = spark.readStream.schema(W.LISTING).json(str(folder))
     q = W.candidates(rows).writeStream.foreachBatch(lambda df, i: got.extend((r.session_id, r["size"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
     for poll, size in enumerate([5000, 9000, 20000], 1):
