@@ -81,6 +81,13 @@ class Kept:
             self._put(place, x)
             self.items[place] = x | {"opened": self.items[place]["opened"]}
 
+    def rerank(self) -> None:
+        """Put the kept items in the order of their rank, the earlier opened first where they are equal."""
+        self.items.sort(key=lambda x: (x["po"], -(x["confidence"] if x["confidence"] is not None else float("-inf"))))
+        self.at.clear()
+        for place, x in enumerate(self.items):
+            self._put(place, x)
+
 
 def better(new: dict, old: dict) -> bool:
     if new["po"] != old["po"]:
@@ -91,40 +98,57 @@ def better(new: dict, old: dict) -> bool:
 _COMPARED = ("tw", "cw", "source_insight_ids", "target_file", "target_section", "po", "confidence")
 
 
-def _fold(order: str, out: pa.Schema):
-    """Over rows sorted by component and order: the kept rows of each, with what came first at their places."""
+def _fold(order: str, step: str | None, out: pa.Schema):
+    """Over rows sorted by component, step and order: the kept rows of each component, with what came first at their places. At the end
+    of each step the kept rows are ranked, and those that the step has added are sent as they are then."""
 
-    def rows_of(kept: Kept) -> pa.RecordBatch:
-        rows = [x["row"].to_pylist()[0] | {"opened": x["opened"][0], "opened_id": x["opened"][1]} for x in kept.items]
+    def rows_of(kept: Kept, final: bool, of: object = None) -> pa.RecordBatch | None:
+        chosen = kept.items if final else [x for x in kept.items if x["step"] == of]
+        rows = [x["row"].to_pylist()[0] | {"opened": x["opened"][0], "opened_id": x["opened"][1], "final": final} for x in chosen]
         return pa.RecordBatch.from_pylist(rows, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, Kept()
+        now, at, kept = None, None, Kept()
+        names = ("component", order, "id", *_COMPARED, *([step] if step else []))
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("component", order, "id", *_COMPARED)}
+            columns = {c: batch.column(c).to_pylist() for c in names}
             for i in range(batch.num_rows):
-                if columns["component"][i] != now:
+                key, own = columns["component"][i], columns[step][i] if step else None
+                if kept.items and step and (key, own) != (now, at):
+                    yield rows_of(kept, False, at)
+                    kept.rerank()
+                if key != now:
                     if kept.items:
-                        yield rows_of(kept)
-                    now, kept = columns["component"][i], Kept()
-                kept.add({c: columns[c][i] for c in _COMPARED} | {"row": batch.slice(i, 1), "at": (columns[order][i], columns["id"][i])})
+                        yield rows_of(kept, True)
+                    kept = Kept()
+                now, at = key, own
+                opened = (columns[order][i], columns["id"][i])
+                kept.add({c: columns[c][i] for c in _COMPARED} | {"row": batch.slice(i, 1), "at": opened, "step": own})
             for x in kept.items:  # a kept row alone, not its whole batch
                 x["row"] = pa.RecordBatch.from_pylist(x["row"].to_pylist(), schema=batch.schema)
         if kept.items:
-            yield rows_of(kept)
+            if step:
+                yield rows_of(kept, False, at)
+                kept.rerank()
+            yield rows_of(kept, True)
 
     return run
 
 
+def _folded(rows: DataFrame, group: list[str], order: str, step: str | None) -> DataFrame:
+    """Kept rows with what opened their places (``opened``, ``opened_id``); ``final`` is false for rows as they were after their step."""
+    worded = components_of(written(with_words(rows), "worded"), "id", group)
+    opened = [T.StructField("opened", rows.schema[order].dataType), T.StructField("opened_id", rows.schema["id"].dataType), T.StructField("final", T.BooleanType())]
+    schema = T.StructType([*rows.schema.fields, *opened])
+    by = ["component", *([step] if step else []), order, "id"]
+    return worded.repartition("component").sortWithinPartitions(*by).mapInArrow(_fold(order, step, to_arrow_schema(schema)), schema)
+
+
 def dedup(rows: DataFrame, group: Sequence[str] = (), order: str = "ord") -> DataFrame:
     """Kept rows with ``place`` (from 0) within the group, or the whole table; rows of equal ``order`` go by their id."""
     group = list(group)
-    worded = components_of(written(with_words(rows), "worded"), "id", group)
     names = [order, *[c for c in rows.columns if c not in (*group, order)]]
-    opened = [T.StructField("opened", rows.schema[order].dataType), T.StructField("opened_id", rows.schema["id"].dataType)]
-    schema = T.StructType([*(rows.schema[c] for c in (*group, *names)), *opened])
-    ordered = worded.repartition("component").sortWithinPartitions("component", order, "id")
-    kept = ordered.mapInArrow(_fold(order, to_arrow_schema(schema)), schema)
+    kept = _folded(rows, group, order, None)
     by = [F.col("opened").asc(), F.col("opened_id").asc()]
     placed = kept.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*by))) if group else numbered(kept, by, "place")
     return placed.select(*group, (F.col("place") - 1).cast("int").alias("place"), *names)
@@ -141,6 +165,18 @@ def dedup_and_rank(rows: DataFrame, group: Sequence[str] = (), order: str = "ord
     return rank(dedup(rows, group, order), group)
 
 
+def by_step(rows: DataFrame, step: str, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """The fold step after step (a session's items are a step), with a ranking after each: the ranked rows at the end, and for
+    each step its own rows that were kept when it ended.
+
+    An item is compared with kept ones of its component only, so ranking these after each step gives what ranking all would. Rows that
+    are equal in rank go by what opened their places.
+    """
+    folded = written(_folded(rows.withColumn("__at", F.struct(step, order)), [], "__at", step), "folded")
+    final = folded.where("final").withColumn("__place", F.struct("opened", "opened_id"))
+    return rank(final, (), "__place").select(*rows.columns, "rank"), folded.where("not final").select(*rows.columns)
+
+
 def incremental(kept: DataFrame, new: DataFrame, group: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Kept items in their rank order, followed by the new ones, folded and ranked again; and the new survivors."""
     shape = [c for c in new.columns if c != "ord"]
@@ -157,4 +193,4 @@ def new_only(rows: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(known.select(key), key, "left_anti")
 
 
-__all__ = ["better", "dedup", "dedup_and_rank", "incremental", "new_only", "rank", "similar_sets", "with_words"]
+__all__ = ["better", "by_step", "dedup", "dedup_and_rank", "incremental", "new_only", "rank", "similar_sets", "with_words"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
-from skeinlog.operators import dedup, edits, insights, messages, rules, sessions, similarity, suggestions
+from skeinlog.operators import combined, dedup, edits, insights, messages, rules, sessions, similarity, suggestions
 from skeinlog.operators import tool_usage as usage
 from skeinlog.sources import scratch, transcripts
 from skeinlog.sources.scratch import written
@@ -742,6 +742,28 @@ def suggestion_answers(spark, d):
     return out.select("p_partkey", "title", "type", "priority", "target_file", "add_text", F.array_join("remove_texts", ",").alias("removes"), F.array_join("source_insight_ids", ",").alias("insight"), "skipped", "skip_reason", "status")
 
 
+@query("""WITH a AS (SELECT p_partkey AS k, p_name, p_type, p_partkey % 5 AS shape FROM part),
+i AS (SELECT k, 0 AS pos, 'first ' || p_name AS title FROM a WHERE shape < 3 UNION ALL SELECT k, 2, 'third ' || p_type FROM a WHERE shape < 3),
+s AS (SELECT k, 0 AS ord, 'change ' || p_name AS title, 'third ' || p_type AS of FROM a WHERE shape = 0 UNION ALL SELECT k, 1, 'other', 'first ' || p_name || '|named' FROM a WHERE shape = 0 UNION ALL SELECT k, 0, 'unfounded', '' FROM a WHERE shape = 3)
+SELECT k, 'insight' AS part, pos AS place, title, NULL AS founded_on FROM i UNION ALL SELECT k, 'suggestion', ord, title, of FROM s""")
+def combined_answers(spark, d):
+    """Answers of all shapes (an object with both arrays, findings alone in an object or as an array, changes alone, broken text), and the
+    titles of the findings that each change's places come down to."""
+    k = F.col("p_partkey")
+    found = F.concat(F.lit('[{"title": "first '), "p_name", F.lit('", "category": "x"}, {"category": "no title"}, {"title": "third '), "p_type", F.lit('", "category": "y"}]'))
+    changes = F.concat(F.lit('[{"title": "change '), "p_name", F.lit('", "sourceInsightIds": [2, 1, 9]}, {"title": "other", "sourceInsightIds": ["0", "named"]}, {"type": "add"}]'))
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"insights": '), found, F.lit(', "suggestions": '), changes, F.lit("}"))).when(k % 5 == 1, F.concat(F.lit('{"insights": '), found, F.lit("}")))
+        .when(k % 5 == 2, found).when(k % 5 == 3, F.lit('{"suggestions": [{"title": "unfounded", "sourceInsightIds": [0]}]}')).otherwise(F.lit("{broken"))
+    )
+    found, said = combined.from_answers(table(spark, d, "part").select(k.alias("k"), X.model_json(raw).alias("value")), ["k"])
+    titles = found.groupBy(F.col("k").alias("__k")).agg(F.map_from_entries(F.collect_list(F.struct("id", "title"))).alias("titles"))
+    of = F.array_join(F.transform("source_insight_ids", lambda i: F.coalesce(F.try_element_at("titles", i), i)), "|")
+    first = found.select("k", F.lit("insight").alias("part"), F.col("pos").alias("place"), "title", F.lit(None).cast("string").alias("founded_on"))
+    second = said.join(titles, F.col("k") == F.col("__k"), "left").select("k", F.lit("suggestion"), F.col("ord").cast("int"), "title", of)
+    return first.unionAll(second)
+
+
 @query("""SELECT p_partkey AS id, 's' || (p_partkey % 5) AS session_id, 'i' || (p_partkey % 7) AS insight_id FROM part WHERE p_partkey % 10 <> 9 UNION ALL SELECT p_partkey, '', 'i0' FROM part WHERE p_partkey % 10 <> 9""")
 def pattern_occurrences(spark, d):
     raw = insights.from_answers(part_answers(spark, d), ["p_partkey"], cross=True, keep_raw=True)

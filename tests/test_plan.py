@@ -4,6 +4,7 @@ import json
 import os
 import time
 import types
+import uuid
 
 import pandas as pd
 import pytest
@@ -24,7 +25,7 @@ def player():
         if "Find what recurs" in prompt:
             found = json.loads(prompt.split("\n\n")[1])
             pairs = [{"sessionId": x["session_id"], "insightId": x["id"]} for x in found]
-            return json.dumps([{"title": "Tests are forgotten", "category": "repeated_mistake", "confidence": 0.9, "suggestedRule": "Run the tests", "occurrences": pairs}])
+            return json.dumps([{"title": "Tests are forgotten", "category": "repeated_correction", "confidence": 0.9, "suggestedRule": "Run the tests", "occurrences": pairs}])
         if "Suggest changes" in prompt:
             found = json.loads(prompt.split("Findings:\n")[1].split("\n\n")[0])
             cross = [x for x in found if x["source"] == "cross"]
@@ -59,6 +60,146 @@ def test_analysis(spark, tmp_path):
     assert [x.title for x in again.suggestions.collect()] == ["Run tests"]
 
 
+def write_sessions(folder, *names):
+    folder.mkdir(parents=True, exist_ok=True)
+    for n, name in enumerate(names):
+        said = [{"type": k, "message": {"role": k, "content": f"{k} of {name} says something at some length {i}"}, "timestamp": f"2024-01-{n + 1:02}T10:0{i}:00Z"} for i, k in enumerate(["user", "assistant", "user", "assistant"])]
+        (folder / f"{name}.jsonl").write_text("\n".join(map(json.dumps, said)) + "\n")
+
+
+def counted(model, folder):
+    """A model whose calls leave a file each, also from the workers."""
+    folder.mkdir(exist_ok=True)
+    path = str(folder)
+
+    def call(prompt):
+        with open(os.path.join(path, uuid.uuid4().hex), "w") as f:
+            f.write(prompt)
+        return model(prompt)
+
+    return call
+
+
+def both_player():
+    def played(prompt):
+        if "Find what recurs" in prompt:
+            return "[]"
+        name = prompt.split("user of ")[1].split(" ")[0]
+        if name == "s3":
+            return json.dumps([{"title": "alone", "category": "intent_clarification", "confidence": 0.9}])  # findings without changes
+        sure = {"s1": "medium", "s2": "high", "s4": "low"}[name]
+        return json.dumps({
+            "insights": [{"title": f"first of {name}", "category": "repeated_correction", "confidence": 0.8}, {"category": "no title"}, {"title": f"third of {name}", "category": "tool_usage_pattern", "confidence": 0.9}],
+            "suggestions": [
+                {"type": "add", "priority": sure, "title": "Always run the tests first", "targetFile": "R.md", "content": {"add": [f"- Run them, says {name}"]}, "sourceInsightIds": [2]},
+                {"type": "add", "priority": "low", "title": f"Something {name}abc {name}def {name}ghi", "targetFile": f"{name}.md", "content": {"add": [f"- {name} {name}x {name}y"]}, "sourceInsightIds": [0, 7]},
+                {"title": "no need", "skipped": True},
+            ],
+        })
+
+    return played
+
+
+def test_combined_run(spark, tmp_path):
+    """One call a session; its changes are folded into those before, and each session is told of in turn."""
+    write_sessions(tmp_path / "t" / "-p", "s1", "s2", "s3", "s4")
+    (tmp_path / "p").mkdir()
+    a = analyze.Analysis(spark, str(tmp_path / "t"), str(tmp_path / "p"), S.Store(spark, str(tmp_path / "store")), counted(both_player(), tmp_path / "calls"), str(tmp_path / "home"))
+    told = []
+    r = a.run_combined("b1", on_session=lambda s, n: told.append((s, n)))
+    # the second session's change is better than the first's and takes its place; the last one's is worse
+    assert told == [("s1", 2), ("s2", 2), ("s3", 0), ("s4", 1)]
+    got = [(x.title, x.priority) for x in r.suggestions.orderBy("rank").collect()]
+    assert got == [("Always run the tests first", "high"), *[(f"Something {s}abc {s}def {s}ghi", "low") for s in ("s1", "s2", "s4")]]
+    ids = {x.title: x.id for x in r.insights.collect()}
+    best = r.suggestions.orderBy("rank").first()
+    assert best.source_insight_ids == [ids["third of s2"]] and best.source_session_ids == ["s2"]
+    assert {x.id for x in r.by_session.where("session_id = 's1'").collect()} != {x.id for x in r.suggestions.where("session_id = 's1'").collect()}
+    assert r.run == {"calls": 5, "failed_calls": 0, "insights": 7, "filtered_out": 0, "sessions": 4, "patterns": 0, "suggestions": 4} and r.skipped.count() == 3
+    assert len(os.listdir(tmp_path / "calls")) == 5
+
+
+def test_failed_calls_are_made_again(spark, tmp_path):
+    """What has been answered is never asked again; what failed is, by the next run, and is marked then."""
+    write_sessions(tmp_path / "t" / "-p", "s1", "s2")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "down").write_text("")
+    flag, model = str(tmp_path / "down"), player()
+
+    def broken(prompt):
+        if "of s2 " in prompt and os.path.exists(flag):
+            raise RuntimeError("no answer")
+        return model(prompt)
+
+    store = S.Store(spark, str(tmp_path / "store"))
+    run = lambda b: analyze.Analysis(spark, str(tmp_path / "t"), str(tmp_path / "p"), store, counted(broken, tmp_path / "calls"), str(tmp_path / "home")).run(b)
+    first = run("b1")
+    assert (first.run["sessions"], first.run["failed_calls"]) == (1, 1) and store.audit().where("analyzed_at is not null").count() == 1
+    os.remove(flag)
+    second = run("b2")
+    assert second.run["sessions"] == 1 and store.audit().where("analyzed_at is not null").count() == 2 and second.patterns.count() == 1
+    n = len(os.listdir(tmp_path / "calls"))
+    a = analyze.Analysis(spark, str(tmp_path / "t"), str(tmp_path / "p"), store, counted(broken, tmp_path / "calls"), str(tmp_path / "home"))
+    a.analyse(a.sessions.withColumn("mtime", F.lit(1.0)), "b1", "v")  # a batch is repeated
+    assert len(os.listdir(tmp_path / "calls")) == n and a.counts["calls"] == 0
+
+
+def test_watched_sessions(spark, tmp_path):
+    """A watch analyses what it finds and suggests from it alone; a repeated batch asks nothing; failed sessions are not dealt with."""
+    write_sessions(tmp_path / "t" / "-p", "s1", "s2")
+    (tmp_path / "p").mkdir()
+    store = S.Store(spark, str(tmp_path / "store"))
+
+    def model(prompt):
+        if "Suggest changes" in prompt:
+            found = json.loads(prompt.split("Findings:\n")[1].split("\n\n")[0])
+            return json.dumps([{"type": "add", "priority": "high", "title": "Run tests", "targetFile": "R.md", "content": {"add": ["- Run"]}, "sourceInsightIds": [x["id"] for x in found]}])
+        if "of s2 " in prompt:
+            raise RuntimeError("no answer")
+        return json.dumps([{"title": "No tests run", "category": "repeated_correction", "confidence": 0.8, "suggestedRule": "Run the tests"}])
+
+    a = analyze.Analysis(spark, str(tmp_path / "t"), str(tmp_path / "p"), store, counted(model, tmp_path / "calls"), str(tmp_path / "home"))
+    work = a.watch(["no such product"])
+    found = spark.createDataFrame([("s1", 9, 1.0, 1), ("s2", 9, 1.0, 1), ("gone", 9, 1.0, 1)], W.FOUND)
+    work.batch(found, 0)
+    assert not work.errors and work.summary() == {"polls": 1, "found": 3, "left_out": 0, "processed": 2, "failed": 1, "errors": 0}
+    (one,) = store.latest("suggestions").collect()
+    assert one.source_session_ids == ["s1"] and len(os.listdir(tmp_path / "calls")) == 3
+    work.process(found.where("session_id = 's1'"), 0)
+    assert len(os.listdir(tmp_path / "calls")) == 3 and store.latest("suggestions").count() == 1
+
+
+def test_synthesis_in_rounds(spark, tmp_path, monkeypatch):
+    """Many findings go through prompts of bounded size, and every finding of a pattern can be traced through the rounds."""
+    monkeypatch.setattr(analyze, "FINDINGS", 50)
+    (tmp_path / "p").mkdir()
+    topics = 23
+
+    def merge(prompt):
+        found, groups = json.loads(prompt.split("\n\n")[1]), {}
+        assert len(found) <= 50
+        for x in found:
+            if x["title"] != "alone":
+                groups.setdefault(x["title"], []).append({"sessionId": x["session_id"], "insightId": x["id"]})
+        return json.dumps([{"title": t, "category": "repeated_correction", "confidence": 0.9, "occurrences": o} for t, o in groups.items()])
+
+    store = S.Store(spark, str(tmp_path / "store"))
+    a = analyze.Analysis(spark, str(tmp_path / "none"), str(tmp_path / "p"), store, counted(merge, tmp_path / "calls"), str(tmp_path / "home"))
+    n = 1500
+    k = F.col("id")
+    known = spark.range(n).select(F.concat(F.lit("i"), k).alias("id"), F.concat(F.lit("s"), k % 40).alias("session_id"), F.lit("repeated_correction").alias("category"),
+                                  F.when(k % 100 == 99, "alone").otherwise(F.concat(F.lit("topic"), k * 7 % topics)).alias("title"))
+    patterns, seen = a.synthesize(known, "b")
+    assert sorted(r.title for r in patterns.collect()) == sorted(f"topic{t}" for t in range(topics))
+    title = {r.id: r.title for r in patterns.collect()}
+    got = {(title[r.id], r.insight_id, r.session_id) for r in seen.collect()}
+    assert got == {(f"topic{i * 7 % topics}", f"i{i}", f"s{i % 40}") for i in range(n) if i % 100 != 99} and seen.count() == len(got)
+    sizes = [os.path.getsize(tmp_path / "calls" / f) for f in os.listdir(tmp_path / "calls")]
+    assert max(sizes) < 50 * 200 + 5000 and len(sizes) > n / 50
+    few, none = a.synthesize(known.where("session_id = 's1'"), "c")
+    assert few.count() == none.count() == 0
+
+
 def test_prompts_ask_for_what_is_read():
     for text in (prompts.SINGLE, prompts.CROSS, prompts.SUGGEST, prompts.COMBINED):
         assert "JSON" in text and "{{" in text
