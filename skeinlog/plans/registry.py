@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
@@ -816,6 +816,36 @@ def edits_applied(spark, d):
     return out.select("target_file", "ord", "action", F.col("error").isNotNull().alias("failed"), F.col("content").contains("- last rule").alias("has_last"), F.col("content").contains("Intro of").alias("has_intro"))
 
 
+@query("""WITH b AS (SELECT p_partkey AS k, p_partkey % 15 AS kind, chr(10) AS nl, p_name AS a, p_type AS t FROM part),
+x AS (SELECT *, '# Part ' || k || nl || nl || '## Use' || nl || '- alpha ' || a AS head, nl || '- beta ' || t AS beta, nl || nl || '## Other' || nl || '- gamma' AS tail FROM b),
+y AS (SELECT *, head || beta || tail || nl AS text FROM x)
+SELECT CAST(k AS VARCHAR) AS id, CASE kind WHEN 14 THEN 'created' ELSE 'modified' END AS action,
+ CASE kind WHEN 7 THEN 'text to replace not found' WHEN 9 THEN 'text to remove not found' WHEN 12 THEN 'section not found' WHEN 13 THEN 'file not found' END AS error,
+ md5(CASE WHEN kind IN (0, 5) THEN head || beta || nl || nl || '- new' || tail || nl WHEN kind = 1 THEN head || beta || tail || nl || nl || '## New' || nl || nl || '- new' || nl
+  WHEN kind = 2 THEN head || beta || tail || nl || nl || '- new' || nl WHEN kind = 4 THEN head || beta || nl || nl || '## Other' || nl || '- delta' || nl
+  WHEN kind = 6 THEN '# Part ' || k || nl || nl || '## Use' || nl || '- delta' || beta || tail || nl WHEN kind = 8 THEN head || tail || nl
+  WHEN kind = 10 THEN head || beta || nl || nl || '- merged' || nl || nl || '## Other' || nl || nl WHEN kind = 11 THEN '# Part ' || k || tail || nl
+  WHEN kind = 13 THEN NULL WHEN kind = 14 THEN '- new' || nl ELSE text END) AS content_md5,
+ CASE kind WHEN 11 THEN 'use.md' END AS created_file, md5(CASE kind WHEN 11 THEN '# Use' || nl || '- alpha ' || a || beta || nl END) AS created_md5 FROM y""")
+def edits_by_kind(spark, d):
+    """Every kind of edit, each where its text or section is found and where it isn't: the file's whole text after it, and files that it makes."""
+    k, nl = F.col("p_partkey"), F.lit("\n")
+    kind = k % 15
+    text = F.concat(F.lit("# Part "), k.cast("string"), nl, nl, F.lit("## Use"), nl, F.lit("- alpha "), "p_name", nl, F.lit("- beta "), "p_type", nl, nl, F.lit("## Other"), nl, F.lit("- gamma"), nl)
+    of = lambda values, other=None: F.element_at(F.create_map(*[F.lit(x) if not isinstance(x, Column) else x for i, v in values.items() for x in (i, v)]), kind.cast("int")) if other is None else F.coalesce(of(values), F.lit(other))
+    kinds = ["add", "add", "add", "add", "update", "update", "update", "update", "remove", "remove", "consolidate", "split", "split", "remove", "add"]
+    rows = table(spark, d, "part").select(
+        F.concat(F.lit("/p/"), k.cast("string")).alias("target_file"), F.lit(1).cast("long").alias("ord"), k.cast("string").alias("id"), F.element_at(F.array(*map(F.lit, kinds)), (kind + 1).cast("int")).alias("type"),
+        F.lit("accept").alias("decision"), of({0: "Use", 1: "New", 5: "Use", 10: "Use", 11: "Use", 12: "Nowhere"}).alias("target_section"),
+        of({3: F.concat(F.lit("- alpha "), "p_name"), 4: "- delta", 6: "- delta", 10: "- merged"}, "- new").alias("added"),
+        of({4: "- gamma", 6: F.concat(F.lit("-  ALPHA   "), F.upper("p_name")), 7: "not there", 8: F.concat(F.lit("- beta "), "p_type"), 9: "not there", 13: "- gamma"}).alias("removed"),
+        F.when(kind == 10, F.array(F.lit("- gamma"), F.lit("not there"))).otherwise(F.array().cast("array<string>")).alias("part_removes"), of({11: "use.md", 12: "use.md"}).alias("split_target"),
+        F.when(kind < 13, text).alias("file_content"),
+    )
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    return edits.apply_all(rows).select("id", "action", "error", md5("content").alias("content_md5"), "created_file", md5("created_content").alias("created_md5"))
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'add' WHEN p_partkey % 3 = 1 THEN 'remove' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN '- one' || chr(10) || '- two' END AS added_text FROM part""")
 def suggestion_diffs(spark, d):
     """The diffs of additions to new files, of removals from files that hold the text, and of suggestions without any text."""

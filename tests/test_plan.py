@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.operators import edits, sessions, suggestions, tool_usage
 from skeinlog.plans import analyze, prompts, registry
+from skeinlog.plans import review as R
 from skeinlog.sources import store as S
 from skeinlog.sources import transcripts
 from skeinlog.sources.rule_writer import RuleWriter
@@ -460,6 +461,36 @@ def test_rule_writer(tmp_path):
     assert not [n for n in os.listdir(tmp_path) if n.startswith(".draft")]
 
 
+def test_review(spark, tmp_path):
+    """Decisions, edits, backups, files, history and what is left to review, in one flow."""
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "R.md").write_text("# R\n- old\n- keep\n")
+    store = S.Store(spark, str(tmp_path / "store"))
+    files = spark.createDataFrame([(str(root / "R.md"), "R.md", "# R\n- old\n- keep\n", 0)], "path string, relative_path string, content string, ord int")
+    raw = [
+        {"title": "more", "type": "add", "targetFile": "R.md", "content": {"add": ["- new"]}, "sourceInsightIds": ["1"]},
+        {"title": "less", "type": "remove", "targetFile": "R.md", "content": {"remove": "- old"}, "sourceInsightIds": ["1"]},
+        {"title": "made", "type": "add", "targetFile": "N.md", "content": {"add": [f"- {i}" for i in range(9)]}, "sourceInsightIds": ["1"]},
+        {"title": "unsure", "type": "add", "targetFile": "R.md", "content": {"add": ["- never"]}},
+    ]
+    answers = spark.createDataFrame([(1, json.dumps(raw))], "batch int, raw string").select("batch", F.try_parse_json("raw").alias("value"))
+    said = suggestions.with_provenance(suggestions.from_answers(answers, ["batch"]), spark.createDataFrame([("1", "s1")], "insight_id string, session_id string"))
+    made = edits.with_diffs(edits.match_files(said, files), spark.createDataFrame([], "source_file string, section string")).drop("file_content").withColumn("rank", F.col("ord") + 1)
+    writer = RuleWriter(str(root), str(tmp_path / "backups"))
+    dry = R.review(store, writer, made, files, "r0", dry_run=True)
+    assert dry.paths == [] and dry.counts["accepted"] == 4 and not (root / "N.md").exists() and store.read("reviews") is None
+    shown = {r.title: r.preview for r in dry.outcomes.collect()}
+    assert shown["less"] == "- - old" and shown["made"].split("\n")[-1] == "+ ... 3 more" and len(shown["made"].split("\n")) == 7
+    done = R.review(store, writer, made, files, "r1", least=0.65)
+    assert sorted(map(os.path.basename, done.paths)) == ["N.md", "R.md"] and done.counts == {"accepted": 3, "failed": 0, "skipped": 1, "split": 0}
+    assert (root / "R.md").read_text() == "# R\n\n- keep\n\n- new\n" and (root / "N.md").read_text().startswith("- 0\n- 1\n")
+    assert [(tmp_path / "backups" / n).read_text() for n in os.listdir(tmp_path / "backups")] == ["# R\n- old\n- keep\n"]
+    assert {(r.title, r.status) for r in store.history().collect()} == {("more", "applied"), ("less", "applied"), ("made", "applied"), ("unsure", "skipped")}
+    left = R.review(store, writer, made, files, "r2", choices=made.where("title = 'unsure'").select("id", F.lit("skip").alias("choice")))
+    assert [r.title for r in left.outcomes.collect()] == ["unsure"] and left.paths == []
+
+
 def test_match_files(spark):
     files = spark.createDataFrame([("/p/a/R.md", "a/R.md", "1", 0), ("/p/R.md", "R.md", "2", 1), ("/h/.claude/X.md", "/h/.claude/X.md", "3", 2)], "path string, relative_path string, content string, ord int")
     wanted = {"R.md": "/p/R.md", "a/R.md": "/p/a/R.md", "~/.claude/X.md": "/h/.claude/X.md", "X.md": "/h/.claude/X.md", "none.md": None}
