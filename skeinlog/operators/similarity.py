@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skeinlog.functions import text as X
@@ -50,7 +50,7 @@ def similar_sets(rows: DataFrame, key: str, words: Column, least: float) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b): the least node that each reaches, by least labels and pointer jumping.
 
-    Every round is a few joins and aggregates over written tables; one flag reaches the driver. Least labels are combined before the
+    Every round is one written table, and one count, taken as it is written, reaches the driver. Least labels are combined before the
     shuffle, so a node of very many edges is no special case."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     labels = written(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("c")), "labels")
@@ -58,9 +58,9 @@ def components(edges: DataFrame) -> DataFrame:
         offered = both.join(labels.select(F.col("u").alias("v"), "c"), "v").select("u", "c", F.lit(None).cast("string").alias("old"))
         lower = labels.select("u", "c", F.col("c").alias("old")).unionByName(offered).groupBy("u").agg(F.min("c").alias("c"), F.max("old").alias("old"))
         jumped = lower.join(lower.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c").select("u", F.col("cc").alias("c"), "old")
-        found = written(jumped, "labels")
-        labels = found.select("u", "c")
-        if found.where("c <> old").isEmpty():
+        moved = Observation()
+        labels = written(jumped.observe(moved, F.count_if(F.col("c") != F.col("old")).alias("n")), "labels").select("u", "c")
+        if not moved.get["n"]:
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
