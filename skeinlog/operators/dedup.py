@@ -2,17 +2,19 @@
 
 Items are folded in input order: an item similar to a kept one (the first such) replaces it in place if it is better, and is
 dropped if it isn't. An item only ever meets similar ones, so each component of the similarity graph is folded alone (see
-``similarity.components_of``), as a stream in order that holds its kept items only; components are dealt over all tasks. Places are then
+``similarity.components_of``), as a stream in order that holds its kept items only; components are dealt over all tasks. Most items of
+a large component change nothing: those that do are found by parts of it, in rounds, and are its stream. Places are then
 numbered by the items that opened them. The kept items that an item can be similar to are found exactly, by the words and ids that they share.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,6 +26,9 @@ from skeinlog.sources.scratch import written
 
 PRIORITIES = ["high", "medium", "low"]
 
+#: Components of more rows are folded from the rows that change what is kept; titles and word sets that a fold remembers.
+LARGE, FOUND = 20_000, 100_000
+
 
 def with_words(rows: DataFrame) -> DataFrame:
     """Adds the word sets and the priority's ordinal that the comparison reads."""
@@ -37,11 +42,13 @@ def with_words(rows: DataFrame) -> DataFrame:
 
 
 class Kept:
-    """The kept items of one component, with the words and ids by which similar ones are found."""
+    """The kept items of one component, with the words and ids by which similar ones are found. The place found for a title holds
+    until another title takes one; those that are opened lie behind it."""
 
     def __init__(self) -> None:
         self.items: list[dict] = []
         self.at: dict[tuple, set[int]] = defaultdict(set)
+        self.found: dict[tuple, int] = {}
 
     @staticmethod
     def _keys(x: dict) -> list[tuple]:
@@ -51,40 +58,67 @@ class Kept:
         for key in self._keys(x):
             self.at[key].add(place)
 
-    def first_similar(self, x: dict) -> int | None:
-        titles, contents, hits = Counter(), Counter(), set()
-        for key in self._keys(x):
-            places = self.at.get(key, ())
-            if key[0] == "i":
-                hits.update(places)
-            else:
-                (titles if key[0] == "t" else contents).update(places)
-        for place, common in titles.items():
+    def _shares(self, kind: str, words: Sequence[str], least: float) -> Iterator[tuple[int, float]]:
+        """Places and their likeness; all those over ``least`` are among them. They hold one of the words that are in the fewest places."""
+        n, field = len(words), f"{kind}w"
+        lists = sorted((self.at.get((kind, w), ()) for w in words), key=len)
+        own = set(words)
+        for place in set().union(*lists[: n - math.floor(least * n - 1e-9)]):
+            k = self.items[place][field]
+            common = len(own.intersection(k))
+            yield place, common / (len(k) + n - common)
+
+    def _by_title(self, x: dict) -> int | None:
+        hits = []
+        for place, share in self._shares("t", x["tw"] or (), min(SAME_TARGET, ANY_TARGET)):
             k = self.items[place]
-            share = common / (len(k["tw"]) + len(x["tw"]) - common)
             same_place = k["target_file"] == x["target_file"] and k["target_section"] == x["target_section"]
             if share > (SAME_TARGET if same_place else ANY_TARGET):
-                hits.add(place)
-        for place, common in contents.items():
-            if common / (len(self.items[place]["cw"]) + len(x["cw"]) - common) > SAME_CONTENT:
-                hits.add(place)
+                hits.append(place)
         return min(hits, default=None)
 
-    def add(self, x: dict) -> None:
+    def _by_content(self, x: dict) -> int | None:
+        return min((place for place, share in self._shares("c", x["cw"] or (), SAME_CONTENT) if share > SAME_CONTENT), default=None)
+
+    def _titled(self, x: dict) -> int | None:
+        key = (tuple(x["tw"] or ()), x["target_file"], x["target_section"])
+        place = self.found.get(key)
+        if place is None and (place := self._by_title(x)) is not None:
+            if len(self.found) >= FOUND:
+                self.found.clear()
+            self.found[key] = place
+        return place
+
+    def first_similar(self, x: dict) -> int | None:
+        hits = [self._titled(x), self._by_content(x)]
+        for i in x["source_insight_ids"] or ():
+            if i is not None:
+                hits.append(min(self.at.get(("i", i), ()), default=None))
+        return min((h for h in hits if h is not None), default=None)
+
+    def add(self, x: dict) -> int | None:
+        """The place that the item takes, if it changes anything."""
         place = self.first_similar(x)
         if place is None:
-            self._put(len(self.items), x)
+            place = len(self.items)
             self.items.append(x | {"opened": x["at"]})
         elif better(x, self.items[place]):
-            for key in self._keys(self.items[place]):
+            old = self.items[place]
+            for key in self._keys(old):
                 self.at[key].discard(place)
-            self._put(place, x)
+            if any(x[c] != old[c] for c in ("tw", "target_file", "target_section")):
+                self.found.clear()
             self.items[place] = x | {"opened": self.items[place]["opened"]}
+        else:
+            return None
+        self._put(place, x)
+        return place
 
     def rerank(self) -> None:
         """Put the kept items in the order of their rank, the earlier opened first where they are equal."""
         self.items.sort(key=lambda x: (x["po"], -(x["confidence"] if x["confidence"] is not None else float("-inf"))))
         self.at.clear()
+        self.found.clear()
         for place, x in enumerate(self.items):
             self._put(place, x)
 
@@ -104,7 +138,7 @@ def _fold(order: str, step: str | None, out: pa.Schema):
 
     def rows_of(kept: Kept, final: bool, of: object = None) -> pa.RecordBatch | None:
         chosen = kept.items if final else [x for x in kept.items if x["step"] == of]
-        rows = [x["row"].to_pylist()[0] | {"opened": x["opened"][0], "opened_id": x["opened"][1], "final": final} for x in chosen]
+        rows = [x["row"] | {"opened": x["opened"][0], "opened_id": x["opened"][1], "final": final} for x in chosen]
         return pa.RecordBatch.from_pylist(rows, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +157,9 @@ def _fold(order: str, step: str | None, out: pa.Schema):
                     kept = Kept()
                 now, at = key, own
                 opened = (columns[order][i], columns["id"][i])
-                kept.add({c: columns[c][i] for c in _COMPARED} | {"row": batch.slice(i, 1), "at": opened, "step": own})
-            for x in kept.items:  # a kept row alone, not its whole batch
-                x["row"] = pa.RecordBatch.from_pylist(x["row"].to_pylist(), schema=batch.schema)
+                place = kept.add({c: columns[c][i] for c in _COMPARED} | {"at": opened, "step": own})
+                if place is not None:
+                    kept.items[place]["row"] = batch.slice(i, 1).to_pylist()[0]
         if kept.items:
             if step:
                 yield rows_of(kept, False, at)
@@ -135,13 +169,85 @@ def _fold(order: str, step: str | None, out: pa.Schema):
     return run
 
 
+def _changes(step: str | None):
+    """Over rows sorted by component, part, step and order, the known ones among them: those not known that change what is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, kept, last, words = None, None, Kept(), None, {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("component", "__part", "__row", "__known", *_COMPARED, *([step] if step else []))}
+            for joined in {*columns["tw"], *columns["cw"]} - words.keys():
+                words[joined] = joined.split()
+            chosen = []
+            for i in range(batch.num_rows):
+                key, own, row = (columns["component"][i], columns["__part"][i]), columns[step][i] if step else None, columns["__row"][i]
+                if key != now:
+                    kept, last = Kept(), None
+                elif step and own != at:
+                    kept.rerank()
+                now, at = key, own
+                if row == last:  # known, and just added
+                    continue
+                last = row
+                x = {c: columns[c][i] for c in _COMPARED} | {"tw": words[columns["tw"][i]], "cw": words[columns["cw"][i]], "at": row}
+                if kept.add(x) is not None and not columns["__known"][i]:
+                    chosen.append(i)
+            if len(words) > FOUND:
+                words.clear()
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    return run
+
+
+def _changing(staged: DataFrame, large: DataFrame, by: list[str], step: str | None) -> DataFrame:
+    """(__row): rows of large components that include all that change what is kept, when all of ``staged`` are folded.
+
+    Rows of a component are dealt over parts. Each part folds its own rows together with the known ones (none at first) and tells
+    which of its own change anything. These join the known ones, of which a fold of theirs alone keeps those that change anything, and so on until
+    no part finds any. Then the known ones are folded as all rows would be: up to the first row that a part would have to tell of both
+    folds are the same. For the same reason each round knows more of the rows from the start, so there is an end.
+    """
+    plain = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    slim = [*dict.fromkeys(["component", *by, *_COMPARED, "__row"])]
+    own = staged.join(F.broadcast(large), "component").withColumns({"tw": plain(F.col("tw")), "cw": plain(F.col("cw"))})
+    tasks = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = written(own.select(*slim, F.pmod(F.xxhash64("__row"), F.col("parts")).alias("__part")), "own")
+    own = own.withColumn("__known", F.lit(False))
+
+    def told(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(tasks, "component", "__part").sortWithinPartitions("component", "__part", *by, F.col("__known").desc())
+        return dealt.mapInArrow(_changes(step), rows.schema).select(*slim)
+
+    known = None
+    while True:
+        rows = own
+        if known is not None:
+            each = known.join(F.broadcast(large), "component").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            rows = own.unionByName(each.drop("parts").withColumn("__known", F.lit(True)))
+        found = Observation()
+        new = written(told(rows).observe(found, F.count(F.lit(1)).alias("n")), "found")
+        if not found.get["n"]:
+            return known.select("__row")
+        both = new if known is None else known.unionByName(new)
+        known = written(told(both.withColumns({"__part": F.lit(0).cast("long"), "__known": F.lit(False)})), "known")
+
+
 def _folded(rows: DataFrame, group: list[str], order: str, step: str | None) -> DataFrame:
-    """Kept rows with what opened their places (``opened``, ``opened_id``); ``final`` is false for rows as they were after their step."""
+    """Kept rows with what opened their places (``opened``, ``opened_id``); ``final`` is false for rows as they were after their step.
+
+    A component of up to ``LARGE`` rows is one stream. Of a larger one only the rows go there that change what is kept."""
     worded = components_of(written(with_words(rows), "worded"), "id", group)
+    staged = written(worded.withColumn("__row", F.monotonically_increasing_id()), "staged")
+    by = [*([step] if step else []), order, "id", "__row"]
+    sizes = staged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+    # as many parts as a part has thousands of rows: both the parts and what they tell of grow with the square root
+    large = written(sizes.select("component", F.ceil(F.sqrt(F.col("n") / 1000)).alias("parts")), "large")
+    if not large.isEmpty():
+        changing = _changing(staged, large, by, step)
+        staged = staged.join(F.broadcast(large), "component", "left_anti").unionByName(staged.join(changing, "__row", "left_semi"))
     opened = [T.StructField("opened", rows.schema[order].dataType), T.StructField("opened_id", rows.schema["id"].dataType), T.StructField("final", T.BooleanType())]
     schema = T.StructType([*rows.schema.fields, *opened])
-    by = ["component", *([step] if step else []), order, "id"]
-    return worded.repartition("component").sortWithinPartitions(*by).mapInArrow(_fold(order, step, to_arrow_schema(schema)), schema)
+    return staged.repartition("component").sortWithinPartitions("component", *by).mapInArrow(_fold(order, step, to_arrow_schema(schema)), schema)
 
 
 def dedup(rows: DataFrame, group: Sequence[str] = (), order: str = "ord") -> DataFrame:

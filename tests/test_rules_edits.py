@@ -341,3 +341,30 @@ def test_alike_links_classes(spark):
     graph = S.components_of(items, "id")
     assert graph.select("component").distinct().count() == 1 and graph.count() == 500
     assert S.alike(items)[2].count() == 2
+
+
+def test_dedup_of_a_large_component(spark, monkeypatch):
+    """A large component is folded from the few rows that change what is kept, and comes out as over one stream."""
+    rnd = random.Random(12)
+    words = [f"word{i}" for i in range(9)]
+    rows = []
+    for i in range(3000):
+        title, content = (" ".join(rnd.choices(words, k=rnd.randint(0, n))) for n in (3, 4))
+        rows.append((i // 50, i, str(i), title, rnd.choice(["high", "medium", "low"]), rnd.choice([None, 0.5, rnd.random()]), rnd.choice("ab"), rnd.choice([None, "s"]), rnd.choice([[], [], [], None, [f"i{rnd.randint(0, 90)}", None]]), content))
+    df = spark.createDataFrame(rows, "step int, ord long, id string, title string, priority string, confidence double, target_file string, target_section string, source_insight_ids array<string>, added_text string")
+    kept = D.Kept()
+    for x in D.with_words(df).orderBy("ord").collect():
+        kept.add(x.asDict() | {"row": x.id, "at": (x.ord, x.id)})
+    steps = [sorted(map(str, t.collect())) for t in D.by_step(df, "step")]
+    tables = {}
+
+    def written(rows, name):
+        tables[name] = scratch.written(rows, name)
+        return tables[name]
+
+    monkeypatch.setattr(D, "LARGE", 300)
+    monkeypatch.setattr(D, "written", written)
+    got = D.dedup(df.drop("step")).orderBy("place").collect()
+    assert [(r.place, r.id) for r in got] == [(i, x["row"]) for i, x in enumerate(kept.items)]
+    assert tables["own"].count() > 2500 and tables["own"].select("__part").distinct().count() > 1 and tables["known"].count() < 1500
+    assert [sorted(map(str, t.collect())) for t in D.by_step(df, "step")] == steps
